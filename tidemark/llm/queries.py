@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, dedup, langid, simhash
+from tidemark.llm import bpe, chat, decontam, dedup, langid, lm, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -47,14 +55,43 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(chat.read_back(chat.render(chat.canonical_turns(chat.as_records(rows)))))
+
+
+def _escaped(column: str) -> str:
+    """The template's escaping in SQL."""
+    out = f"replace({column}, '\\', '\\\\')"
+    for i, control in enumerate(chat.CONTROL):
+        out = f"replace({out}, '{control}', '\\c{i};')"
+    return out
+
+
+OP8_SQL = rf"""
+WITH all_rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), per AS (
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text), '')) AS turns_sha256,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text) FILTER (role = 'assistant'), '') AS loss,
+        CAST(sum(23 + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
+    FROM all_rows GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM per
+"""
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_byte_level_bpe, op3_language_id, op6_simhash_near_dedup, op7_exact_dedup, op10_benchmark_decontamination]
+    own = [op2_byte_level_bpe, op3_language_id, op4_url_filter, op5_lm_scoring, op6_simhash_near_dedup, op7_exact_dedup, op8_chat_formatting, op10_benchmark_decontamination]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op8_chat_formatting": OP8_SQL}

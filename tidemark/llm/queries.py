@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, dedup, langid, lm, simhash, urls
+from tidemark.llm import bpe, chat, decontam, dedup, langid, licenses, lm, pii, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key would come from a secret store; a fixed one keeps the registered query's result the same."""
+    done = pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), "tidemark-demo-key")
+    return done.select("doc_id", "text", F.size("kinds").cast("long").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"))
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encode, decode what came out, and digest both."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -84,12 +90,16 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 """
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_byte_level_bpe, op3_language_id, op4_url_filter, op5_lm_scoring, op6_simhash_near_dedup, op7_exact_dedup, op8_chat_formatting, op10_benchmark_decontamination]
+    own = [op1_pii_pseudonyms, op2_byte_level_bpe, op3_language_id, op4_url_filter, op5_lm_scoring, op6_simhash_near_dedup, op7_exact_dedup, op8_chat_formatting, op9_license_scan, op10_benchmark_decontamination]
     return {f.__name__: f for f in own}
 
 

@@ -26,6 +26,8 @@ from tidemark.llm.common import only, written
 #: Keys that one filter holds on average; a bucket's filter is built and read in one task.
 KEYS_A_BUCKET = 250_000
 LEAST_BUCKETS = 64
+#: Bits of the bitmap of ids whose texts are compared (8 MB in all, 4 KB a row): the table that is broadcast has this size at most.
+ID_BITS, ROW_BITS = 1 << 26, 1 << 15
 
 
 def normal(text: Column) -> Column:
@@ -136,6 +138,17 @@ def screened(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     return incoming.select("bucket", "key", "digest").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, "digest binary")
 
 
+def perhaps_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs less most rows whose doc_id is not in ids (doc_id): those whose bit is clear in a bitmap of the ids' hashes."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    row, bit = F.floor(place / ROW_BITS).alias("_row"), (place % ROW_BITS)
+    marks = ids.select(row, bit.alias("_bit")).groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr("shiftright(_byte, _in_byte) & 1") == 1
+    marked = docs.withColumn("_row", row).join(F.broadcast(marks), "_row")
+    return marked.withColumn("_byte", byte).withColumn("_in_byte", (bit % 8).cast("int")).where(is_set).select(*docs.columns)
+
+
 def exact_dedup(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     """Decide every row of docs (doc_id, text): which row of its group of equal texts stays.
 
@@ -159,7 +172,7 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     )
     both = written(both, "dedup-both")
     ids = both.select("digest", F.explode("ids").alias("doc_id")).where("doc_id is not null").distinct()
-    texts = docs.join(ids, "doc_id").select("digest", normal(F.col("text")).alias("text")).where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
+    texts = perhaps_in(docs, ids).join(ids, "doc_id").select("digest", normal(F.col("text")).alias("text")).where(F.unhex(F.sha2("text", 256)) == F.col("digest"))
     differ = texts.groupBy("digest").agg((F.min("text") != F.max("text")).alias("differ")).where("differ").select("digest")
     same = both.drop("ids").join(differ, "digest", "left_anti")
 

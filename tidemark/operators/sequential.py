@@ -1,0 +1,279 @@
+"""Operators that must see each stream's records one after another.
+
+A core is an object with `step(*values) -> tuple`. In batch, streams are dealt
+by key, sorted within their partitions and fed batch by batch, so no stream is
+ever collected; a core's state has a bound of its own. Streaming keeps the
+same core in keyed state (tidemark.streaming.stateful).
+"""
+
+from __future__ import annotations
+
+import math
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from tidemark.spec import StreamSpec
+
+
+def in_order(df: DataFrame, spec: StreamSpec, inputs: list[str], make: Callable[[tuple], object], outputs: str) -> DataFrame:
+    """Keys, ts, order columns and the core's outputs ('name type, ...') for each record. make(key) gives a stream's core."""
+    keys, kept = len(spec.keys), [*spec.keys, spec.ts, *[c for c in spec.order if c not in (*spec.keys, spec.ts)]]
+    names = [f.strip().split(" ")[0] for f in outputs.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, core = None, None
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False, name=None):
+                if core is None or row[:keys] != key:
+                    key = row[:keys]
+                    core = make(key)
+                rows.append((*row[: len(kept)], *core.step(*row[len(kept) :])))
+            yield pd.DataFrame(rows, columns=[*kept, *names])
+
+    kinds = dict(df.dtypes)
+    own = df.select(*kept, *[df[c].alias(f"_in{i}") for i, c in enumerate(inputs)])
+    own = own.repartition(*spec.keys).sortWithinPartitions(*spec.keys, spec.ts, *spec.order)
+    return own.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", " + outputs)
+
+
+class SpatialPooler:
+    """Input bits to the columns that overlap them most; learning moves permanences. Global inhibition, every column may see every input."""
+
+    def __init__(self, inputs: int, columns: int = 256, active: int = 10, seed: int = 1, increment: float = 0.05, decrement: float = 0.008, connected: float = 0.1, boost: float = 0.0, period: int = 1000, potential: float = 0.85):
+        rng = np.random.default_rng(seed)
+        self.pool = rng.random((columns, inputs)) < potential
+        self.permanence = np.where(rng.random((columns, inputs)) < 0.5, rng.uniform(connected, 1, (columns, inputs)), rng.uniform(0, connected, (columns, inputs))) * self.pool
+        self.k, self.inc, self.dec, self.connected, self.strength, self.period = active, increment, decrement, connected, boost, period
+        self.overlap_duty, self.active_duty, self.boost, self.n = np.zeros(columns), np.zeros(columns), np.ones(columns), 0
+
+    def step(self, bits, learn: bool = True) -> tuple[list[int]]:
+        x = np.zeros(self.pool.shape[1], bool)
+        x[np.asarray(bits, int)] = True
+        overlap = (self.permanence[:, x] >= self.connected - 1e-6).sum(1)
+        order = np.lexsort((np.arange(len(overlap)), overlap * self.boost if learn else overlap))
+        winners = np.sort(order[-self.k :])
+        winners = winners[overlap[winners] > 0]
+        if learn:
+            self._learn(x, overlap, winners)
+        return (winners.tolist(),)
+
+    def _learn(self, x: np.ndarray, overlap: np.ndarray, winners: np.ndarray) -> None:
+        self.n += 1
+        moved = self.permanence[winners] + np.where(x, self.inc, -self.dec)
+        self.permanence[winners] = np.where(moved < self.inc / 2, 0, np.clip(moved, 0, 1)) * self.pool[winners]
+        p = min(self.period, self.n)
+        on = np.zeros(len(overlap))
+        on[winners] = 1
+        self.overlap_duty += ((overlap > 0) - self.overlap_duty) / p
+        self.active_duty += (on - self.active_duty) / p
+        weak = self.overlap_duty < 0.001 * self.overlap_duty.max()
+        self.permanence[weak] = np.clip(self.permanence[weak] + self.connected / 10, 0, 1) * self.pool[weak]
+        self.boost = np.exp((self.k / len(overlap) - self.active_duty) * self.strength)
+
+
+class TemporalMemory:
+    """Column sequences to cells: predicted cells stay alone, surprised columns burst, segments learn who came before.
+
+    Segments are rows of two arrays (presynaptic cells, permanences; -1: free),
+    so activity is one gather and sum; a cell's segments and a segment's
+    synapses have greatest numbers.
+    """
+
+    def __init__(self, columns: int = 256, cells: int = 8, threshold: int = 7, matching: int = 5, new: int = 12, initial: float = 0.21, connected: float = 0.5, increment: float = 0.1, decrement: float = 0.1, punish: float = 0.0, synapses: int = 32, segments: int = 16, seed: int = 42):
+        self.cells, self.threshold, self.matching, self.new, self.initial, self.connected = cells, threshold, matching, new, initial, connected
+        self.inc, self.dec, self.punish, self.most, self.rng = increment, decrement, punish, segments, np.random.default_rng(seed)
+        self.total = columns * cells
+        self.source, self.permanence, self.owner, self.used = np.full((64, synapses), -1), np.zeros((64, synapses)), np.full(64, -1), np.zeros(64, int)
+        self.size, self.time = 0, 0
+        self.reset()
+
+    def reset(self) -> None:
+        self.active, self.winners = np.zeros(0, int), np.zeros(0, int)
+        self.active_segments = self.matching_segments = np.zeros(0, int)
+        self.potential = np.zeros(self.size, int)
+
+    def predicted_columns(self) -> np.ndarray:
+        return np.unique(self.owner[self.active_segments] // self.cells)
+
+    def step(self, columns, reset=0, learn: bool = True) -> tuple[list[int], list[int], float]:
+        """Active cells, columns predicted for the next record, and the share of the columns that weren't predicted for this one."""
+        if reset:
+            self.reset()
+        columns, foreseen = np.asarray(columns, int), self.predicted_columns()
+        score = 1 - len(np.intersect1d(columns, foreseen)) / len(columns) if len(columns) else 0.0
+        before, chosen = self.active, self.winners
+        active, winners = [], []
+        by_active = self._by_column(self.active_segments)
+        by_match = self._by_column(self.matching_segments)
+        for c in columns.tolist():
+            if c in by_active:
+                own = by_active[c]
+                cells = np.unique(self.owner[own]).tolist()
+                active += cells
+                winners += cells
+                if learn:
+                    for s in own:
+                        self._adapt(s, before, self.inc, self.dec)
+                        self._grow(s, chosen, self.new - self.potential[s])
+                continue
+            active += range(c * self.cells, (c + 1) * self.cells)
+            if c in by_match:
+                s = max(by_match[c], key=lambda s: (self.potential[s], -s))
+                winners.append(int(self.owner[s]))
+                if learn:
+                    self._adapt(s, before, self.inc, self.dec)
+                    self._grow(s, chosen, self.new - self.potential[s])
+            else:
+                cell = self._least_used(c)
+                winners.append(cell)
+                if learn and len(chosen):
+                    self._grow(self._segment(cell), chosen, self.new)
+        if learn and self.punish:
+            for c in by_match.keys() - set(columns.tolist()):
+                for s in by_match[c]:
+                    self._adapt(s, before, -self.punish, 0.0)
+        self.active, self.winners = np.array(sorted(active), int), np.array(sorted(winners), int)
+        self._activate(learn)
+        return self.active.tolist(), self.predicted_columns().tolist(), float(score)
+
+    def _by_column(self, segments: np.ndarray) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for s in segments.tolist():
+            out.setdefault(int(self.owner[s]) // self.cells, []).append(s)
+        return out
+
+    def _activate(self, learn: bool) -> None:
+        on = np.zeros(self.total + 1, bool)
+        on[self.active] = True  # the last place, where free synapses point, stays off
+        hit = on[self.source[: self.size]]
+        self.potential = hit.sum(1)
+        connected = (hit & (self.permanence[: self.size] >= self.connected - 1e-6)).sum(1)
+        live = self.owner[: self.size] >= 0
+        self.active_segments, self.matching_segments = np.flatnonzero(live & (connected >= self.threshold)), np.flatnonzero(live & (self.potential >= self.matching))
+        if learn:
+            self.time += 1
+            self.used[self.active_segments] = self.time
+
+    def _least_used(self, column: int) -> int:
+        n = np.bincount(self.owner[: self.size][self.owner[: self.size] // self.cells == column] - column * self.cells, minlength=self.cells)
+        return column * self.cells + int(self.rng.choice(np.flatnonzero(n == n.min())))
+
+    def _segment(self, cell: int) -> int:
+        own = np.flatnonzero(self.owner[: self.size] == cell)
+        if len(own) >= self.most:
+            s = int(own[np.argmin(self.used[own])])
+        else:
+            if self.size == len(self.owner):
+                grow = lambda a, v: np.concatenate([a, np.full(a.shape, v, a.dtype)])
+                self.source, self.permanence, self.owner, self.used = grow(self.source, -1), grow(self.permanence, 0), grow(self.owner, -1), grow(self.used, 0)
+            s = self.size
+            self.size += 1
+        self.source[s], self.permanence[s], self.owner[s], self.used[s] = -1, 0, cell, self.time
+        return s
+
+    def _adapt(self, s: int, before: np.ndarray, up: float, down: float) -> None:
+        real = self.source[s] >= 0
+        moved = np.clip(self.permanence[s] + np.where(np.isin(self.source[s], before), up, -down), 0, 1)
+        gone = real & (moved < 1e-5)
+        self.permanence[s] = np.where(real & ~gone, moved, 0)
+        self.source[s][gone] = -1
+
+    def _grow(self, s: int, chosen: np.ndarray, n: int) -> None:
+        free = np.setdiff1d(chosen, self.source[s])
+        n = min(int(n), len(free))
+        if n <= 0:
+            return
+        places = np.lexsort((self.permanence[s], self.source[s] >= 0))[:n]  # free ones first, then the weakest
+        self.source[s][places], self.permanence[s][places] = self.rng.choice(free, n, replace=False), self.initial
+
+
+class SoftmaxClassifier:
+    """Active bits to a distribution over buckets `steps` records ahead: softmax regression, learned online."""
+
+    def __init__(self, bits: int, buckets: int, steps: int = 1, alpha: float = 0.1, value_alpha: float = 0.3):
+        self.weights, self.values, self.seen = np.zeros((bits, buckets)), np.zeros(buckets), np.zeros(buckets, bool)
+        self.alpha, self.value_alpha, self.history, self.steps, self.n = alpha, value_alpha, deque(maxlen=steps + 1), steps, 0
+
+    def infer(self, bits) -> np.ndarray:
+        z = self.weights[np.asarray(bits, int)].sum(0)
+        p = np.exp(z - z.max())
+        return p / p.sum()
+
+    def step(self, bits, bucket, value, learn: bool = True) -> tuple[int, float, float]:
+        """The likeliest bucket `steps` ahead, its probability and its value; then learn from the record `steps` ago."""
+        self.history.append((self.n, np.asarray(bits, int)))
+        p = self.infer(bits)
+        best = int(p.argmax())
+        out = best, float(p[best]), float(self.values[best])
+        if learn and bucket is not None and bucket == bucket:
+            b = int(bucket)
+            self.values[b] = value if not self.seen[b] else (1 - self.value_alpha) * self.values[b] + self.value_alpha * value
+            self.seen[b] = True
+            for at, old in self.history:
+                if self.n - at == self.steps:
+                    target = np.zeros(len(p))
+                    target[b] = 1
+                    self.weights[old] += self.alpha * (target - self.infer(old))
+        self.n += 1
+        return out
+
+
+class Likelihood:
+    """How unlikely the recent raw scores are: 1 less the Gaussian tail of their moving average, under a normal fitted to the history.
+
+    0.5 while learning; the fit is renewed every `every` records over the last
+    `history`, less the first of the learning period; after one red record the
+    next red ones are yellow.
+    """
+
+    def __init__(self, learning: int = 288, samples: int = 100, history: int = 8640, every: int = 100, average: int = 10):
+        self.learning, self.wait, self.size, self.every = learning, learning + samples, history, every
+        self.points, self.recent, self.fit, self.n, self.red = deque(maxlen=history), deque(maxlen=average), None, 0, False
+        self.average = average
+
+    def step(self, score) -> tuple[float, float]:
+        score = float(score)
+        if self.n >= self.wait and (self.fit is None or self.n % self.every == 0):
+            self._estimate()
+        self.recent.append(score)
+        likelihood = 0.5
+        if self.n >= self.wait:
+            mean, dev = self.fit
+            x = sum(self.recent) / len(self.recent)
+            tail = 0.5 * math.erfc(abs(x - mean) / dev / 1.4142)
+            tail = tail if x >= mean else 1 - tail
+            red = tail <= 1e-5
+            likelihood = 1 - (1e-3 if red and self.red else tail)
+            self.red = red
+        self.points.append(score)
+        self.n += 1
+        return likelihood, math.log(1.0000000001 - likelihood) / -23.02585084720009
+
+    def _estimate(self) -> None:
+        skip = min(self.n, max(0, self.learning - max(0, self.n - self.size)))
+        x = np.array(self.points)
+        sums = np.concatenate([[0.0], np.cumsum(x)])
+        lo = np.maximum(np.arange(len(x)) - self.average + 1, 0)
+        means = ((sums[1:] - sums[lo]) / (np.arange(len(x)) - lo + 1))[skip:]
+        self.fit = (max(0.03, means.mean()), math.sqrt(max(0.0003, means.var()))) if len(means) else (0.5, 1e3)
+
+
+class SequenceModel:
+    """Bits to columns, columns to cells, cells to the bucket ahead, and an anomaly score with its likelihood: the stages in one pass."""
+
+    def __init__(self, inputs: int, buckets: int, columns: int = 128, cells: int = 4, steps: int = 1, learning: int = 100, seed: int = 1):
+        self.pool = SpatialPooler(inputs, columns, max(6, columns // 16), seed)
+        self.memory = TemporalMemory(columns, cells, threshold=5, matching=3, new=8, seed=seed)
+        self.classifier = SoftmaxClassifier(columns * cells, buckets, steps)
+        self.likelihood = Likelihood(learning, 50)
+
+    def step(self, bits, bucket, value, reset=0) -> tuple[float, float, int, float, float]:
+        (columns,) = self.pool.step(bits)
+        cells, _, score = self.memory.step(columns, reset)
+        likelihood, _ = self.likelihood.step(score)
+        return score, likelihood, *self.classifier.step(cells, bucket, value)

@@ -68,7 +68,7 @@ class Scalar:
     def _in(self, x: Column) -> Column:
         x = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
         if self.clip and not self.periodic:
-            return F.greatest(F.least(x, F.lit(float(self.high))), F.lit(float(self.low)))
+            return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(self.high))), F.lit(float(self.low))))
         outside = (x < self.low) | ((x >= self.high) if self.periodic else (x > self.high))
         return F.when(~outside, x).when(x.isNull(), None).otherwise(F.raise_error("out of the encoder's range").cast("double"))
 
@@ -306,12 +306,16 @@ def category_table(df: DataFrame, column: str, n: int, w: int, seed: int = 1) ->
     return c.withColumn("bits", F.array_sort(F.transform(F.slice(ranked, 1, w), lambda s: s["b"])))
 
 
+def _extended(points: Column, span: Column) -> Column:
+    """Every point with each value of span as one more coordinate."""
+    return F.flatten(F.transform(points, lambda p: F.transform(span, lambda v: F.concat(p, F.array(v)))))
+
+
 def coordinate(xs: list[Column], radius: int, w: int, n: int) -> Column:
     """The w best points of the neighbourhood by hashed order, each as a hashed bit of n: near coordinates share points, and so bits."""
     points = F.array(F.array().cast("array<long>"))
     for x in xs:
-        span = F.sequence(x.cast("long") - radius, x.cast("long") + radius)
-        points = F.flatten(F.transform(points, lambda p, span=span: F.transform(span, lambda v: F.concat(p, F.array(v)))))
+        points = _extended(points, F.sequence(x.cast("long") - radius, x.cast("long") + radius))
     ranked = F.reverse(F.array_sort(F.transform(points, lambda p: F.struct(F.xxhash64(F.lit("order"), p).alias("h"), F.pmod(F.xxhash64(F.lit("bit"), p), F.lit(n)).cast("int").alias("b")))))
     return F.array_sort(F.array_distinct(F.transform(F.slice(ranked, 1, w), lambda s: s["b"])))
 

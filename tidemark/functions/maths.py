@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def entropy(df: DataFrame, column: str) -> DataFrame:
@@ -73,7 +74,7 @@ def log_likelihood(p: Column) -> Column:
     return F.log(F.lit(1.0000000001) - p) / -23.02585084720009
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def tail_probability(x: pd.Series, mean: pd.Series, stdev: pd.Series) -> pd.Series:
     """Gaussian tail above x, mirrored below the mean (Spark has no erf)."""
     z = (x - mean).abs() / stdev
@@ -97,16 +98,24 @@ def index_of(coords: Column, dims: list[int]) -> Column:
     return out
 
 
+def _span(at: Column, radius: int, size: int, wrap: bool) -> Column:
+    """Coordinates within radius of one, in a dimension of a size."""
+    if wrap:
+        return F.array_distinct(F.transform(F.sequence(at - radius, at - radius + min(2 * radius, size - 1)), lambda v: F.pmod(v, F.lit(size))))
+    return F.sequence(F.greatest(at - radius, F.lit(0)), F.least(at + radius, F.lit(size - 1)))
+
+
+def _deeper(indices: Column, span: Column, size: int) -> Column:
+    """Row-major indices with each coordinate of one more dimension."""
+    return F.flatten(F.transform(indices, lambda a: F.transform(span, lambda v: a * size + v)))
+
+
 def neighbourhood(centre: Column, radius: int, dims: list[int], wrap: bool = False) -> Column:
     """Indices within radius in each dimension: clipped at the edges, or around them."""
     c = coordinates(centre, dims)
     out = F.array(F.lit(0).cast("long"))
     for i, d in enumerate(dims):
-        if wrap:
-            span = F.array_distinct(F.transform(F.sequence(c[i] - radius, c[i] - radius + min(2 * radius, d - 1)), lambda v, d=d: F.pmod(v, F.lit(d))))
-        else:
-            span = F.sequence(F.greatest(c[i] - radius, F.lit(0)), F.least(c[i] + radius, F.lit(d - 1)))
-        out = F.flatten(F.transform(out, lambda a, span=span, d=d: F.transform(span, lambda v: a * d + v)))
+        out = _deeper(out, _span(c[i], radius, d, wrap), d)
     return F.array_sort(out)
 
 

@@ -90,6 +90,7 @@ class TemporalMemory:
         self.total = columns * cells
         self.source, self.permanence, self.owner, self.used = np.full((64, synapses), -1), np.zeros((64, synapses)), np.full(64, -1), np.zeros(64, int)
         self.size, self.time = 0, 0
+        self.owned, self.flag = np.zeros(self.total, int), np.zeros(self.total + 1, bool)  # segments of each cell; marks, all off between calls
         self.reset()
 
     def reset(self) -> None:
@@ -107,36 +108,33 @@ class TemporalMemory:
         columns, foreseen = np.asarray(columns, int), self.predicted_columns()
         score = 1 - len(np.intersect1d(columns, foreseen)) / len(columns) if len(columns) else 0.0
         before, chosen = self.active, self.winners
-        active, winners = [], []
+        active, winners, learning, fresh = [], [], [], []
         by_active = self._by_column(self.active_segments)
         by_match = self._by_column(self.matching_segments)
         for c in columns.tolist():
             if c in by_active:
-                own = by_active[c]
-                cells = np.unique(self.owner[own]).tolist()
+                cells = np.unique(self.owner[by_active[c]]).tolist()
                 active += cells
                 winners += cells
-                if learn:
-                    for s in own:
-                        self._adapt(s, before, self.inc, self.dec)
-                        self._grow(s, chosen, self.new - self.potential[s])
+                learning += by_active[c]
                 continue
             active += range(c * self.cells, (c + 1) * self.cells)
             if c in by_match:
                 s = max(by_match[c], key=lambda s: (self.potential[s], -s))
                 winners.append(int(self.owner[s]))
-                if learn:
-                    self._adapt(s, before, self.inc, self.dec)
-                    self._grow(s, chosen, self.new - self.potential[s])
+                learning.append(s)
             else:
                 cell = self._least_used(c)
                 winners.append(cell)
-                if learn and len(chosen):
-                    self._grow(self._segment(cell), chosen, self.new)
+                fresh.append(cell)
+        if learn:
+            self._adapt(learning, before, self.inc, self.dec)
+            for s in learning:
+                self._grow(s, chosen, self.new - self.potential[s])
+            for cell in fresh if len(chosen) else ():
+                self._grow(self._segment(cell), chosen, self.new)
         if learn and self.punish:
-            for c in by_match.keys() - set(columns.tolist()):
-                for s in by_match[c]:
-                    self._adapt(s, before, -self.punish, 0.0)
+            self._adapt([s for c in by_match.keys() - set(columns.tolist()) for s in by_match[c]], before, -self.punish, 0.0)
         self.active, self.winners = np.array(sorted(active), int), np.array(sorted(winners), int)
         self._activate(learn)
         return self.active.tolist(), self.predicted_columns().tolist(), float(score)
@@ -160,12 +158,12 @@ class TemporalMemory:
             self.used[self.active_segments] = self.time
 
     def _least_used(self, column: int) -> int:
-        n = np.bincount(self.owner[: self.size][self.owner[: self.size] // self.cells == column] - column * self.cells, minlength=self.cells)
+        n = self.owned[column * self.cells : (column + 1) * self.cells]
         return column * self.cells + int(self.rng.choice(np.flatnonzero(n == n.min())))
 
     def _segment(self, cell: int) -> int:
-        own = np.flatnonzero(self.owner[: self.size] == cell)
-        if len(own) >= self.most:
+        if self.owned[cell] >= self.most:
+            own = np.flatnonzero(self.owner[: self.size] == cell)
             s = int(own[np.argmin(self.used[own])])
         else:
             if self.size == len(self.owner):
@@ -173,23 +171,33 @@ class TemporalMemory:
                 self.source, self.permanence, self.owner, self.used = grow(self.source, -1), grow(self.permanence, 0), grow(self.owner, -1), grow(self.used, 0)
             s = self.size
             self.size += 1
+            self.owned[cell] += 1
         self.source[s], self.permanence[s], self.owner[s], self.used[s] = -1, 0, cell, self.time
         return s
 
-    def _adapt(self, s: int, before: np.ndarray, up: float, down: float) -> None:
-        real = self.source[s] >= 0
-        moved = np.clip(self.permanence[s] + np.where(np.isin(self.source[s], before), up, -down), 0, 1)
-        gone = real & (moved < 1e-5)
-        self.permanence[s] = np.where(real & ~gone, moved, 0)
-        self.source[s][gone] = -1
+    def _adapt(self, segments: list[int], before: np.ndarray, up: float, down: float) -> None:
+        """Synapses of cells that were active move up, others down; those that reach zero go."""
+        if not segments:
+            return
+        source = self.source[segments]
+        self.flag[before] = True
+        moved = np.clip(self.permanence[segments] + np.where(self.flag[source], up, -down), 0, 1)
+        self.flag[before] = False
+        kept = (source >= 0) & (moved >= 1e-5)
+        self.permanence[segments], self.source[segments] = np.where(kept, moved, 0), np.where(kept, source, -1)
 
     def _grow(self, s: int, chosen: np.ndarray, n: int) -> None:
-        free = np.setdiff1d(chosen, self.source[s])
+        source = self.source[s]
+        self.flag[source] = True
+        free = chosen[~self.flag[chosen]]
+        self.flag[source] = False
         n = min(int(n), len(free))
         if n <= 0:
             return
-        places = np.lexsort((self.permanence[s], self.source[s] >= 0))[:n]  # free ones first, then the weakest
-        self.source[s][places], self.permanence[s][places] = self.rng.choice(free, n, replace=False), self.initial
+        places = np.flatnonzero(source < 0)[:n]
+        if len(places) < n:
+            places = np.lexsort((self.permanence[s], source >= 0))[:n]  # free ones first, then the weakest
+        source[places], self.permanence[s][places] = self.rng.permutation(free)[:n], self.initial
 
 
 class SoftmaxClassifier:

@@ -109,12 +109,12 @@ def metric_pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.with_metric(events(spark, sf_dir), EVENTS, m, "metric").select("event_id", F.round("metric", 8).alias("metric"))
 
 
-@query(f"{GUESSED}, m AS (SELECT user_id, ts, event_id, {ERRORS['aae']} AS a, {ERRORS['rmse']} AS r FROM e), l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM m) SELECT user_id, round(a, 4) AS aae, round(r, 4) AS rmse FROM l WHERE k = 1")
+@query(f"{GUESSED}, m AS (SELECT user_id, ts, event_id, {ERRORS['aae']} AS a, {ERRORS['rmse']} AS r FROM e), l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM m) SELECT user_id, round(a, 8) AS aae, round(r, 8) AS rmse FROM l WHERE k = 1")
 def metric_final_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir).withColumn("p", F.lag("x").over(EVENTS.records()))
     for name in ("aae", "rmse"):
         df = metrics.with_metric(df, EVENTS, metrics.Metric(name, "x", "p", window=WINDOW))
-    return metrics.final_values(df, EVENTS, ["aae", "rmse"]).select("user_id", F.round("aae", 4).alias("aae"), F.round("rmse", 4).alias("rmse"))
+    return metrics.final_values(df, EVENTS, ["aae", "rmse"]).select("user_id", F.round("aae", 8).alias("aae"), F.round("rmse", 8).alias("rmse"))
 
 
 @query("SELECT event_id, value AS one_ahead, 1.0 AS p FROM events")

@@ -135,13 +135,13 @@ def agg_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH an AS (SELECT *, min(l_shipdate) OVER (PARTITION BY l_suppkey) AS anchor FROM lineitem),
     b AS (SELECT *, (epoch_us(l_shipdate) - epoch_us(anchor)) // (30 * 86400000000) AS k FROM an)
-    SELECT l_suppkey, epoch_us(anchor) + k * 30 * 86400000000 AS w, round(sum(l_extendedprice * l_quantity) / nullif(sum(l_quantity), 0), 2) AS price FROM b GROUP BY ALL"""
+    SELECT l_suppkey, epoch_us(anchor) + k * 30 * 86400000000 AS w, round(sum(l_extendedprice * l_quantity) / nullif(sum(l_quantity), 0), 6) AS price FROM b GROUP BY ALL"""
 )
 def agg_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = StreamSpec(("l_suppkey",), "l_shipdate", ("l_orderkey", "l_linenumber"))
     df = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     df = agg.aggregate(df, spec, Aggregation(Interval.of(days=30), (("l_extendedprice", "wmean:l_quantity"),)))
-    return df.select("l_suppkey", micros("l_shipdate").alias("w"), F.round("l_extendedprice", 2).alias("price"))
+    return df.select("l_suppkey", micros("l_shipdate").alias("w"), F.round("l_extendedprice", 6).alias("price"))
 
 
 @query(

@@ -253,9 +253,9 @@ def pseudonymised(docs: DataFrame, key: str, back: bool = False, text: str = "te
     """docs with the text's personal data replaced, and kinds: the kinds of the values replaced, in order. back: undo it."""
     permute = feistel(key, back)
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), 0), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    docs = docs.withColumn("_gaps", F.split(text, ANY, -1)).withColumn("_found", found)
-    new = F.transform("_found", lambda f: pseudonym(f["m"], f["kind"], permute))
-    woven = F.concat(F.col("_gaps")[0], F.array_join(F.zip_with(new, F.slice("_gaps", 2, 1 << 30), lambda a, b: F.concat(a, b)), ""))
-    has = F.size("_found") > 0
-    kinds = F.transform(F.filter("_found", lambda f: f["kind"].isNotNull()), lambda f: f["kind"])
-    return docs.withColumn(text, F.when(has, woven).otherwise(F.col(text))).withColumn("kinds", F.coalesce(kinds, F.array().cast("array<string>"))).drop("_gaps", "_found")
+    gaps, held = ("_".join([name, *docs.columns]) for name in ("gaps", "found"))  # longer than any column's name
+    docs = docs.withColumn(gaps, F.split(text, ANY, -1)).withColumn(held, found)
+    new = F.transform(held, lambda f: pseudonym(f["m"], f["kind"], permute))
+    woven = F.concat(F.col(gaps)[0], F.array_join(F.zip_with(new, F.slice(gaps, 2, 1 << 30), lambda a, b: F.concat(a, b)), ""))
+    kinds = F.transform(F.filter(held, lambda f: f["kind"].isNotNull()), lambda f: f["kind"])
+    return docs.withColumn(text, F.when(F.size(held) > 0, woven).otherwise(F.col(text))).withColumn("kinds", F.coalesce(kinds, F.array().cast("array<string>"))).drop(gaps, held)

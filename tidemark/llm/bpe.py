@@ -5,7 +5,7 @@ merge stands in the bucket of its merge's rank; a three-level bitmap over the
 ranks names the lowest occupied bucket by find-first-set. A bucket gives up its
 positions from the left; an entry whose position no longer starts a pair of
 that rank is stale and skipped. A pre-token of n bytes takes O(n log n) steps,
-however long it is. Short pre-tokens are kept in a bounded table.
+however long it is. Short pre-tokens are kept in two bounded generations.
 
 Odd input: a null text is empty and has no tokens; repeated rows each get a
 row; empty tables give empty results; columns besides those named are not read.
@@ -14,6 +14,8 @@ row; empty tables give empty results; columns besides those named are not read.
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -22,105 +24,137 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import as_bytes
+from tidemark.llm.common import as_bytes, small_batches
 
-#: Pre-tokens that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 250_000, 64
+#: Pre-tokens that a worker remembers in each of two generations, and the longest of them.
+REMEMBERED, LONGEST = 200_000, 64
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Remembered(dict):
+    """Pre-token -> its packed ids. A full young generation becomes the old one, whose entries return as they are asked for."""
+
+    def __init__(self, merge):
+        self.merge, self.old = merge, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.old.get(piece)) is None:
+            ids = _packed(self.merge(piece.encode()))
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Bpe:
-    """One vocabulary: bytes -> rank. A token's id is its rank."""
+    """One vocabulary: bytes -> rank. A token's id is its rank; two neighbours merge if their bytes together are a token."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.tokens = ranks, {r: t for t, r in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
-        self.merges: dict[int, int] = {}  # both sides' ids in one int -> the merged token's rank
-        for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                a, b = ranks.get(token[:i]), ranks.get(token[i:])
-                if a is not None and b is not None:
-                    self.merges[a << 32 | b] = rank
         top = max(ranks.values(), default=0) + 1
         self.words = [0] * ((top >> 6) + 1)  # the bitmap's levels: all zero between calls
         self.upper = [0] * ((top >> 12) + 1)
-        self.seen: dict[str, tuple[int, ...]] = {}
+        #: Of each rank: its places in the two lists, its bits there and in the top word.
+        self.place = [(r >> 6, r >> 12, 1 << (r & 63), 1 << (r >> 6 & 63), 1 << (r >> 12)) for r in range(top)]
+        self.seen = _Remembered(self.merge)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
-        if (whole := self.ranks.get(piece)) is not None:
+        ranks = self.ranks
+        if (whole := ranks.get(piece)) is not None:
             return [whole]
-        merges, words, upper, n = self.merges.get, self.words, self.upper, len(piece)
-        ids = [self.single[b] for b in piece]
-        if min(ids) < 0:
-            raise ValueError("the vocabulary lacks a byte")
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = [-1 if (r := merges(a << 32 | b)) is None else r for a, b in zip(ids, ids[1:])] + [-1]  # of the pair that starts here
+        get, words, upper, place, n = ranks.get, self.words, self.upper, self.place, len(piece)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        rank = [get(piece[p : p + 2], -1) for p in range(n - 1)]  # of the pair that starts here
+        rank.append(-1)
         buckets: dict[int, list[int]] = {}
-        top = 0
+        top = live = 0  # live: pairs that can merge
         for p, r in enumerate(rank):
             if r >= 0:
-                if (bucket := buckets.get(r)) is None:
-                    buckets[r] = [p]
-                    words[r >> 6] |= 1 << (r & 63)
-                    upper[r >> 12] |= 1 << (r >> 6 & 63)
-                    top |= 1 << (r >> 12)
+                live += 1
+                if r in buckets:
+                    buckets[r].append(p)  # in order, so already a heap
                 else:
-                    bucket.append(p)  # in order, so already a heap
-        while top:
+                    buckets[r] = [p]
+                    w, i, bit, above, high = place[r]
+                    words[w] |= bit
+                    upper[i] |= above
+                    top |= high
+        while live:
             i = (top & -top).bit_length() - 1
-            w = i << 6 | (upper[i] & -upper[i]).bit_length() - 1
-            r = w << 6 | (words[w] & -words[w]).bit_length() - 1
+            x = upper[i]
+            w = i << 6 | (x & -x).bit_length() - 1
+            x = words[w]
+            r = w << 6 | (x & -x).bit_length() - 1
             bucket, lower = buckets[r], False
-            while bucket and not lower:
-                p = heappop(bucket)
+            while bucket and live and not lower:
+                p = heappop(bucket) if len(bucket) > 1 else bucket.pop()
                 if rank[p] != r:
                     continue
                 q = after[p]
-                ids[p], after[p], rank[q] = r, (e := after[q]), -1
+                e = after[p] = after[q]
+                live -= 1 if rank[q] < 0 else 2
+                rank[q] = new = -1
                 if e < n:
                     before[e] = p
-                    new = merges(r << 32 | ids[e])
-                else:
-                    new = None
-                for at, m in ((p, new), ((o := before[p]), merges(ids[o] << 32 | r) if o >= 0 else None)):
-                    if at < 0:
-                        continue
-                    rank[at] = -1 if m is None else m
-                    if m is not None:
-                        if (other := buckets.get(m)) is None or not other and other is not bucket:
-                            buckets[m] = [at]
-                            words[m >> 6] |= 1 << (m & 63)
-                            upper[m >> 12] |= 1 << (m >> 6 & 63)
-                            top |= 1 << (m >> 12)
+                    new = get(piece[p : after[e]], -1)
+                rank[p] = new
+                if new >= 0:
+                    live += 1
+                    if new in buckets:
+                        heappush(buckets[new], p)
+                    else:
+                        buckets[new] = [p]
+                        x, y, bit, above, high = place[new]
+                        words[x] |= bit
+                        upper[y] |= above
+                        top |= high
+                    lower = new < r
+                if (o := before[p]) >= 0:
+                    live -= rank[o] >= 0
+                    rank[o] = new = get(piece[o:e], -1)
+                    if new >= 0:
+                        live += 1
+                        if new in buckets:
+                            heappush(buckets[new], o)
                         else:
-                            heappush(other, at)
-                        lower |= m < r
+                            buckets[new] = [o]
+                            x, y, bit, above, high = place[new]
+                            words[x] |= bit
+                            upper[y] |= above
+                            top |= high
+                        lower = lower or new < r
             if not bucket:
                 del buckets[r]
-                words[w] &= ~(1 << (r & 63))
+                words[w] ^= 1 << (r & 63)
                 if not words[w]:
-                    upper[i] &= ~(1 << (w & 63))
+                    upper[i] ^= 1 << (w & 63)
                     if not upper[i]:
-                        top &= ~(1 << i)
+                        top ^= 1 << i
+        for r in buckets:  # what is left is stale
+            words[r >> 6] = upper[r >> 12] = 0
         out, p = [], 0
         while p < n:
-            out.append(ids[p])
-            p = after[p]
+            e = after[p]
+            out.append(ranks[piece[p:e]])
+            p = e
         return out
 
+    def packed(self, text: str) -> bytes:
+        """A text's ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.seen.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.seen.get
-        for piece in self.split(text):
-            if (ids := known(piece)) is None:
-                ids = tuple(self.merge(piece.encode()))
-                if len(piece) <= LONGEST:
-                    if len(self.seen) >= REMEMBERED:
-                        self.seen.clear()
-                    self.seen[piece] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -151,10 +185,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(given.value, pattern)
         for batch in batches:
-            ids = [np.array(bpe.encode(t or ""), "<u4").tobytes() for t in batch.column("text").to_pylist()]
+            ids = [bpe.packed(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -167,4 +201,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             texts = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in as_bytes(batch, "ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids binary, decoded binary")
+    return small_batches(encoded.select("doc_id", "ids")).mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids binary, decoded binary")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, written
+from tidemark.llm.common import as_bytes, small_batches, written
 
 WINDOW = 13
 #: A shard is closed at so many words, so one row of the index stays at a few MB; only a longer document makes a longer row.
@@ -86,7 +86,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         if ids:
             yield _shard(number, ids, texts, schema)
 
-    return written(docs.select("doc_id", "text").mapInArrow(shards, INDEX.format(id=kind)), "positional-index")
+    return written(small_batches(docs.select("doc_id", "text")).mapInArrow(shards, INDEX.format(id=kind)), "positional-index")
 
 
 class Shard:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tidemark.llm.common import bucket3
+from tidemark.llm.common import bucket3, small_batches
 
 #: Hashed n-gram features (a power of two), and bytes that are counted at once.
 FEATURES, PIECE = 1 << 13, 1 << 19
@@ -125,7 +125,7 @@ def train(labelled: DataFrame) -> Codes | None:
             seen = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(row[seen], pa.int64())], names=["lang", "feature", "n"])
 
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, feature int, n long")
+    rows = small_batches(labelled).where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, feature int, n long")
     rows = rows.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     if rows.empty:
         return None
@@ -153,7 +153,7 @@ def predict(docs: DataFrame, codes: Codes | None, column: str = "said") -> DataF
                 out.append({"lang_pred": codes.languages[which], "score": float(score), "lead": float(lead)} if _has_letter(t) else {"lang_pred": "und", "score": 0.0, "lead": 0.0})
         return pa.array(out, kind)
 
-    return docs.withColumn(column, said("text"))
+    return small_batches(docs).withColumn(column, said("text"))
 
 
 def fold_of(docs: DataFrame, by: int = 3) -> DataFrame:

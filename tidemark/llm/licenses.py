@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import as_bytes
+from tidemark.llm.common import as_bytes, small_batches
 from tidemark.llm.decontam import words
 
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 32
@@ -194,4 +194,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
                 names=["doc_id", "license", "template", "containment", "first_word", "end_word"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {MATCHES}")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {MATCHES}")

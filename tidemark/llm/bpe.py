@@ -58,7 +58,7 @@ class Bpe:
     """One vocabulary: bytes -> rank. A token's id is its rank; two neighbours merge if their bytes together are a token."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.tokens = ranks, {r: t for t, r in ranks.items()}
+        self.ranks = ranks
         self.split = regex.compile(pattern).findall
         top = max(ranks.values(), default=0) + 1
         self.words = [0] * ((top >> 6) + 1)  # the bitmap's levels: all zero between calls
@@ -97,7 +97,7 @@ class Bpe:
             r = w << 6 | (x & -x).bit_length() - 1
             bucket, lower = buckets[r], False
             while bucket and live and not lower:
-                p = heappop(bucket) if len(bucket) > 1 else bucket.pop()
+                p = heappop(bucket) if len(bucket) > 1 else bucket.pop()  # the leftmost
                 if rank[p] != r:
                     continue
                 q = after[p]
@@ -156,9 +156,6 @@ class Bpe:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank on each line."""
@@ -191,14 +188,41 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
 
 
+#: Ids that are decoded at once.
+CHUNK = 1 << 16
+
+
+class Tokens:
+    """All tokens' bytes end to end, so that ids decode as gathered slices. An id that is no token is an error."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.lengths = np.full(max(ranks.values(), default=-1) + 1, -1, np.int64)
+        self.starts = np.zeros(len(self.lengths), np.int64)
+        at = 0
+        for token, rank in ranks.items():
+            self.starts[rank], self.lengths[rank] = at, len(token)
+            at += len(token)
+        self.flat = np.frombuffer(b"".join(ranks), np.uint8)
+
+    def decode(self, packed: bytes) -> bytes:
+        ids, out = np.frombuffer(packed, "<u4"), []
+        for s in range(0, len(ids), CHUNK):
+            some = ids[s : s + CHUNK]
+            n = self.lengths[some]
+            if n.min() < 0:
+                raise ValueError("an id is no token")
+            before = np.cumsum(n) - n
+            out.append(self.flat[np.repeat(self.starts[some] - before, n) + np.arange(int(n.sum()))].tobytes())
+        return b"".join(out)
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """encoded (doc_id, ids) -> doc_id, ids, decoded (bytes)."""
-    given = encoded.sparkSession.sparkContext.broadcast({r: t for t, r in ranks.items()})
+    given = encoded.sparkSession.sparkContext.broadcast(Tokens(ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = given.value.__getitem__
         for batch in batches:
-            texts = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in as_bytes(batch, "ids")]
+            texts = list(map(given.value.decode, as_bytes(batch, "ids")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return small_batches(encoded.select("doc_id", "ids")).mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids binary, decoded binary")

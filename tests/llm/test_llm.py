@@ -81,14 +81,17 @@ def test_bpe_equals_tiktoken(spark, documents, odd, reference_encoding):
         assert sorted(got, key=str) == expected_bpe(reference_encoding, [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_bpe_on_random_pieces(reference_encoding):
+@pytest.mark.parametrize("bounds", [{}, {"SPLIT": 40, "TOGETHER": 8, "REMEMBERED": 5, "LONGEST": 4}])
+def test_bpe_on_random_pieces(reference_encoding, monkeypatch, bounds):
+    for name, bound in bounds.items():
+        monkeypatch.setattr(bpe, name, bound)
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ours, tokens = bpe.Bpe(ranks, public_tokenizers.PATTERN), bpe.Tokens(ranks)
     rng = np.random.default_rng(3)
     for _ in range(300):
         text = "".join(rng.choice(list("abcdehilmnorst  \n1é中😀"), rng.integers(1, 200)))
         assert ours.encode(text) == reference_encoding.encode_ordinary(text)
-        assert tokens.decode(ours.packed(text)) == text.encode()
+        assert tokens.decode(ours.packed([text])[0]) == text.encode()
 
 
 # language ID

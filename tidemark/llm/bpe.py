@@ -5,7 +5,8 @@ merge stands in the bucket of its merge's rank; a three-level bitmap over the
 ranks names the lowest occupied bucket by find-first-set. A bucket gives up its
 positions from the left; an entry whose position no longer starts a pair of
 that rank is stale and skipped. A pre-token of n bytes takes O(n log n) steps,
-however long it is. Short pre-tokens are kept in two bounded generations.
+however long it is. Many short new pre-tokens share one queue, and what they
+merge to is kept in two bounded generations.
 
 Odd input: a null text is empty and has no tokens; repeated rows each get a
 row; empty tables give empty results; columns besides those named are not read.
@@ -18,6 +19,7 @@ import sys
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from tidemark.llm.common import as_bytes, small_batches
 
 #: Pre-tokens that a worker remembers in each of two generations, and the longest of them.
 REMEMBERED, LONGEST = 200_000, 64
+#: Characters of text that are split at once, and bytes of new pre-tokens that share a queue; a longer text is split step by step, a longer pre-token taken whole.
+SPLIT, TOGETHER = 1 << 19, 1 << 15
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -37,50 +41,38 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-class _Remembered(dict):
-    """Pre-token -> its packed ids. A full young generation becomes the old one, whose entries return as they are asked for."""
-
-    def __init__(self, merge):
-        self.merge, self.old = merge, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        if (ids := self.old.get(piece)) is None:
-            ids = _packed(self.merge(piece.encode()))
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 class Bpe:
     """One vocabulary: bytes -> rank. A token's id is its rank; two neighbours merge if their bytes together are a token."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         top = max(ranks.values(), default=0) + 1
         self.words = [0] * ((top >> 6) + 1)  # the bitmap's levels: all zero between calls
         self.upper = [0] * ((top >> 12) + 1)
         #: Of each rank: its places in the two lists, its bits there and in the top word.
         self.place = [(r >> 6, r >> 12, 1 << (r & 63), 1 << (r >> 6 & 63), 1 << (r >> 12)) for r in range(top)]
-        self.seen = _Remembered(self.merge)
-
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        ranks = self.ranks
-        if (whole := ranks.get(piece)) is not None:
-            return [whole]
-        get, words, upper, place, n = ranks.get, self.words, self.upper, self.place, len(piece)
+        #: Pre-token -> its packed ids. A full young generation becomes the old one, whose entries return as they are asked for.
+        self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each pre-token. They share one queue: no pair spans two of them, so none sees the others' merges."""
+        get, words, upper, place = self.ranks.get, self.words, self.upper, self.place
+        data, n = b"".join(pieces), sum(map(len, pieces))
         after, before = list(range(1, n + 1)), list(range(-1, n))
-        rank = [get(piece[p : p + 2], -1) for p in range(n - 1)]  # of the pair that starts here
-        rank.append(-1)
+        rank = [get(data[p : p + 2], -1) for p in range(n)]  # of the pair that starts here
+        begins = bytearray(n + 1)  # where a piece begins, or the last one ends
+        at = 0
+        for piece in pieces:
+            begins[at], before[at] = 1, -1
+            at += len(piece)
+            rank[at - 1] = -1
+        begins[n] = 1
         buckets: dict[int, list[int]] = {}
-        top = live = 0  # live: pairs that can merge
+        top = 0
         for p, r in enumerate(rank):
             if r >= 0:
-                live += 1
                 if r in buckets:
                     buckets[r].append(p)  # in order, so already a heap
                 else:
@@ -89,41 +81,37 @@ class Bpe:
                     words[w] |= bit
                     upper[i] |= above
                     top |= high
-        while live:
+        while top:
             i = (top & -top).bit_length() - 1
             x = upper[i]
             w = i << 6 | (x & -x).bit_length() - 1
             x = words[w]
             r = w << 6 | (x & -x).bit_length() - 1
             bucket, lower = buckets[r], False
-            while bucket and live and not lower:
-                p = heappop(bucket) if len(bucket) > 1 else bucket.pop()  # the leftmost
+            while bucket and not lower:
+                p = heappop(bucket)  # the leftmost
                 if rank[p] != r:
                     continue
                 q = after[p]
                 e = after[p] = after[q]
-                live -= 1 if rank[q] < 0 else 2
                 rank[q] = new = -1
-                if e < n:
+                if not begins[e]:
                     before[e] = p
-                    new = get(piece[p : after[e]], -1)
+                    new = get(data[p : after[e]], -1)
+                    if new >= 0:
+                        if new in buckets:
+                            heappush(buckets[new], p)
+                        else:
+                            buckets[new] = [p]
+                            x, y, bit, above, high = place[new]
+                            words[x] |= bit
+                            upper[y] |= above
+                            top |= high
+                        lower = new < r
                 rank[p] = new
-                if new >= 0:
-                    live += 1
-                    if new in buckets:
-                        heappush(buckets[new], p)
-                    else:
-                        buckets[new] = [p]
-                        x, y, bit, above, high = place[new]
-                        words[x] |= bit
-                        upper[y] |= above
-                        top |= high
-                    lower = new < r
                 if (o := before[p]) >= 0:
-                    live -= rank[o] >= 0
-                    rank[o] = new = get(piece[o:e], -1)
+                    rank[o] = new = get(data[o:e], -1)
                     if new >= 0:
-                        live += 1
                         if new in buckets:
                             heappush(buckets[new], o)
                         else:
@@ -140,21 +128,72 @@ class Bpe:
                     upper[i] ^= 1 << (w & 63)
                     if not upper[i]:
                         top ^= 1 << i
-        for r in buckets:  # what is left is stale
-            words[r >> 6] = upper[r >> 12] = 0
-        out, p = [], 0
-        while p < n:
-            e = after[p]
-            out.append(ranks[piece[p:e]])
-            p = e
+        out, ranks, p = [], self.ranks, 0
+        for piece in pieces:
+            end, ids = p + len(piece), []
+            while p < end:
+                e = after[p]
+                ids.append(ranks[data[p:e]])
+                p = e
+            out.append(ids)
+        return out
+
+    def _learn(self, wanted: set[str]) -> list[str]:
+        """See to it that `seen` has all that is wanted; returns what is too long to be remembered."""
+        if len(self.seen) >= REMEMBERED:
+            self.seen, self.old = {}, self.seen
+        seen, some, size = self.seen, {}, 0
+
+        def merged() -> None:
+            seen.update(zip(some, map(_packed, self.merge(list(some.values()))), strict=True))
+            some.clear()
+
+        new = wanted.difference(seen)
+        for piece in new:
+            if (ids := self.old.get(piece)) is not None:
+                seen[piece] = ids
+                continue
+            raw = piece.encode()
+            if (whole := self.ranks.get(raw)) is not None:
+                seen[piece] = _packed([whole])
+                continue
+            if some and size + len(raw) > TOGETHER:
+                merged()
+                size = 0
+            some[piece] = raw
+            size += len(raw)
+        merged()
+        return [piece for piece in new if len(piece) > LONGEST]
+
+    def _ids(self, parts: list[list[str]]) -> list[bytes]:
+        """The packed ids of each list of pre-tokens."""
+        long = self._learn(set().union(*parts))
+        out = [b"".join(map(self.seen.__getitem__, part)) for part in parts]
+        for piece in long:
+            del self.seen[piece]
         return out
 
-    def packed(self, text: str) -> bytes:
-        """A text's ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.seen.__getitem__, self.split(text)))
+    def _long(self, text: str) -> bytes:
+        """A long text's packed ids, some pre-tokens after the others."""
+        found = self.pattern.finditer(text)
+        return b"".join(self._ids([part])[0] for part in iter(lambda: [m[0] for m in islice(found, SPLIT >> 2)], []))
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        out, some, size = [], [], 0
+        for text in texts:
+            if size + len(text) > SPLIT:
+                out += self._ids(list(map(self.pattern.findall, some)))
+                some, size = [], 0
+            if len(text) > SPLIT:
+                out.append(self._long(text))
+            else:
+                some.append(text)
+                size += len(text)
+        return out + self._ids(list(map(self.pattern.findall, some)))
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.packed(text), "<u4").tolist()
+        return np.frombuffer(self.packed([text])[0], "<u4").tolist()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -182,7 +221,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(given.value, pattern)
         for batch in batches:
-            ids = [bpe.packed(t or "") for t in batch.column("text").to_pylist()]
+            ids = bpe.packed([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")

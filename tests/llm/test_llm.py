@@ -187,6 +187,30 @@ def test_filter_reads_levels_back():
     assert (f.levels(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) > 0).mean() < 0.05
 
 
+def test_lm_scores_hold_every_bigram(spark, documents, monkeypatch):
+    """Bigrams seen once count as well, and more segments give the same scores: against exact counts, at the filter's levels."""
+    monkeypatch.setattr(lm, "ENTRY_BITS", 40)  # next to no false positives
+    rows = [(r["doc_id"], r["text"] or "") for r in documents.collect()]
+    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) + [None]
+    one, two = Counter(), Counter()
+    for i, t in rows:
+        if fold(i, 7) != 2:
+            one.update(tokens(t))
+            two.update(zip([None, *tokens(t)], tokens(t)))
+    n, v = sum(one.values()), len(one)
+    counts = {0, *one.values(), *two.values()}
+    read = {c: float(lm.value(lm.level(np.array([c])))[0]) for c in counts}.__getitem__
+    want = {}
+    for i, t in rows:
+        w = tokens(t)
+        want[i] = sum(log10((min(read(two[h, x]), read(one[x]), read(one[h])) + lm.KAPPA * (read(one[x]) + 1) / (n + v + 1)) / (read(one[h]) + lm.KAPPA)) for h, x in zip([None, *w], w))
+    for least, together in ((64, 400_000), (128, 20_000)):
+        monkeypatch.setattr(lm, "LEAST_SEGMENTS", least)
+        monkeypatch.setattr(lm, "TOGETHER", together, raising=False)
+        got = {r["doc_id"]: r["score"] for r in lm.score_documents(documents).collect()}
+        assert got == pytest.approx(want, rel=1e-3)
+
+
 # SimHash
 
 

@@ -4,10 +4,13 @@ Training counts word unigrams and bigrams (64-bit hashes) over all training
 documents. Tasks hand sorted hash arrays to hash segments, whose number follows
 the corpus, so no segment outgrows a task and no hot n-gram a row. An n-gram of
 quantised log frequency q goes into the filter q times, as (n-gram, 1) to
-(n-gram, q); probing upwards until the first miss reads q back. The filter is a
-broadcast and so has a greatest size (FILTER_BYTES): within it all unigrams and
-the bigrams of count 2 and more are held; a corpus that needs more room raises
-the bigrams' least count until they fit. Probabilities are Dirichlet-smoothed:
+(n-gram, q); probing upwards until the first miss reads q back. Every unigram
+and every bigram is held, whatever the corpus's size: each segment has a filter
+of its own, of ENTRY_BITS an entry, and no machine holds more than one. The
+distinct n-grams of a batch of texts go to their segments, and their levels
+come back to the batch. There an n-gram is known by the 32 bits after the
+segment's: as a segment's n-grams are bounded, few share them at any size (some
+600,000 of 4 billion, far below the filter's own false positives). Probabilities are Dirichlet-smoothed:
 P(w|h) = (c(h,w) + KAPPA * P(w)) / (c(h) + KAPPA), P(w) = (c(w)+1)/(N+V+1), all
 counts read from the filter.
 
@@ -21,7 +24,7 @@ every count is zero; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,13 +37,15 @@ from tidemark.llm.common import as_bytes, bucket3, small_batches, written
 
 #: Strength of the unigrams in a bigram's probability.
 KAPPA = 2000.0
-#: The filter's greatest size, its bits an entry, its probes.
-FILTER_BYTES, ENTRY_BITS, PROBES = 64 << 20, 10, 6
+#: The filter's bits an entry, its probes.
+ENTRY_BITS, PROBES = 10, 6
 #: Exact counts that are broadcast; the others are joined.
 HOT = 1 << 17
 #: Bytes of training text a segment, and hashes that a task sorts at once.
 SEGMENT_BYTES, SORTED = 8 << 20, 1 << 21
 LEAST_SEGMENTS = 64
+#: Tokens of the texts whose n-grams are asked for at once; a longer text is taken whole.
+TOGETHER = 400_000
 #: Words whose hashes a worker remembers.
 REMEMBERED = 400_000
 
@@ -90,6 +95,15 @@ def value(q: np.ndarray, least: int = 1) -> np.ndarray:
     return np.where(q > 0, (low + high) / 2, 0.0)
 
 
+def _keys(h: np.ndarray, bits: int) -> np.ndarray:
+    """The segment and the 32 bits after it."""
+    return h >> np.uint64(32 - bits)
+
+
+def _low(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def _counted(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes in order, with their counts."""
     if n is None:
@@ -101,14 +115,15 @@ def _counted(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np
 
 
 def ngram_counts(training: DataFrame) -> tuple[DataFrame, int]:
-    """A row a segment of the hash space (segment, hashes and counts of its unigrams and of its bigrams from 2 on, their entries by least count), and the segments' number (a power of two)."""
+    """A row a segment of the hash space (segment, hashes and counts of its unigrams, the filter of its unigrams and bigrams, the unigrams' number and total), and the segments' number (a power of two)."""
     size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(LEAST_SEGMENTS, size // SEGMENT_BYTES + 1).bit_length()
-    shift = np.uint64(64 - bits)
+    shift, room = np.uint64(64 - bits), ENTRY_BITS
 
     def dealt(kind: int, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        h, n = _counted(h)
-        segment = (h >> shift).astype(np.int64)
+        h, n = _counted(_keys(h, bits) if kind else h)
+        segment = (h >> (np.uint64(32) if kind else shift)).astype(np.int64)
+        h = _low(h) if kind else h
         edges = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]]))
         spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
         yield pa.RecordBatch.from_arrays(
@@ -135,19 +150,16 @@ def ngram_counts(training: DataFrame) -> tuple[DataFrame, int]:
             yield from dealt(1, np.concatenate(two))
 
     def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = [key[0]]
+        held = []
         for kind in (0, 1):
             own = rows[rows["kind"] == kind]
-            h, n = _counted(np.frombuffer(b"".join(own["hashes"]), np.uint64), np.frombuffer(b"".join(own["counts"]), np.uint32).astype(np.int64))
-            if kind:
-                h, n = h[n > 1], n[n > 1]
-            out += [h.tobytes(), n.tobytes()]
-        one = np.frombuffer(out[2], np.int64)
-        out += [[int(level(one).sum())] + [int(level(n, least).sum()) for least in range(2, 66)], len(one), int(one.sum())]
-        return pd.DataFrame([out], columns=["segment", "one", "one_n", "two", "two_n", "entries", "distinct", "total"])
+            held.append(_counted(np.frombuffer(b"".join(own["hashes"]), np.uint32 if kind else np.uint64), np.frombuffer(b"".join(own["counts"]), np.uint32).astype(np.int64)))
+        (one, one_n), (two, two_n) = held
+        made = Filter.holding(np.concatenate([_low(_keys(one, bits)), two]).astype(np.uint64), np.concatenate([one_n, two_n]), room).bits
+        return pd.DataFrame([[key[0], one.tobytes(), one_n.tobytes(), made.tobytes(), len(one), int(one_n.sum())]], columns=["segment", "one", "one_n", "bits", "distinct", "total"])
 
     rows = small_batches(training.select("text")).mapInArrow(deal, "segment long, kind int, hashes binary, counts binary")
-    rows = rows.groupBy("segment").applyInPandas(gather, "segment long, one binary, one_n binary, two binary, two_n binary, entries array<long>, distinct long, total long")
+    rows = rows.groupBy("segment").applyInPandas(gather, "segment long, one binary, one_n binary, bits binary, distinct long, total long")
     return written(rows, "ngrams"), 1 << bits
 
 
@@ -158,6 +170,25 @@ class Filter:
         self.shift, self.each, self.least, self.n, self.v = np.uint64(65 - segments.bit_length()), each, least, n, v
         self.bits = np.zeros(segments * each // 8, np.uint8)
 
+    @classmethod
+    def holding(cls, h: np.ndarray, n: np.ndarray, room: int) -> Filter:
+        """One segment's filter of the n-grams h of counts n, of room bits an entry."""
+        q = level(n)
+        out = cls(1, max(64, -(-int(q.sum()) * room // 64) * 64), 1, 0, 0)
+        bits = np.zeros(out.each, np.uint8)
+        for j in range(1, int(q.max(initial=0)) + 1):
+            for at in out.places(h[q >= j], j, segment=False):
+                bits[at] = 1
+        out.bits = np.packbits(bits, bitorder="little")
+        return out
+
+    @classmethod
+    def of(cls, bits: bytes) -> Filter:
+        """One segment's filter, read back."""
+        out = cls(1, len(bits) * 8, 1, 0, 0)
+        out.bits = np.frombuffer(bits, np.uint8)
+        return out
+
     def places(self, h: np.ndarray, q: int, segment: bool = True) -> Iterator[np.ndarray]:
         """The bits of (n-gram, q), probe by probe; without segment, counted from the segment's start."""
         g = mixed(h + np.uint64(q * _ODD & MASK))
@@ -170,9 +201,9 @@ class Filter:
         """The upper half of g as a place in a segment: a multiplication and a shift, as a division would take longer."""
         return (g >> np.uint64(32)) * np.uint64(self.each) >> np.uint64(32)
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
+    def levels(self, h: np.ndarray, segment: bool = True) -> np.ndarray:
         q, left, j = np.zeros(len(h), np.int64), np.arange(len(h)), 0
-        start = (h >> self.shift) * np.uint64(self.each)
+        start = (h >> self.shift) * np.uint64(self.each) if segment else np.zeros(len(h), np.uint64)
         while len(left):
             j += 1
             g = mixed(h + np.uint64(j * _ODD & MASK))
@@ -184,48 +215,68 @@ class Filter:
             q[left] = j
         return q
 
-    def log10(self, t: np.ndarray, distinct: np.ndarray, which: np.ndarray) -> np.ndarray:
-        """log10 P of each token of texts that are laid end to end; a token's history is the one before (a first token's: an end). t is distinct[which]."""
-        one = value(self.levels(distinct))[which]
-        before = np.concatenate([[END], t[:-1]])
-        ends = value(self.levels(np.array([END])))[0]
-        history = np.concatenate([[ends], one[:-1]])
-        distinct, which = np.unique(pairs(before, t), return_inverse=True)  # frequent ones take most probes; in order, they go through the filter segment by segment
-        two = np.minimum(value(self.levels(distinct), self.least)[which], np.minimum(one, history))
-        return np.log10((two + KAPPA * (one + 1) / (self.n + self.v + 1)) / (history + KAPPA))
-
-
-def build_filter(ngrams: DataFrame, segments: int) -> Filter:
-    """The filter of an n-gram table. The driver gets its bits, FILTER_BYTES at most."""
-    sums = ngrams.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n"), *[F.sum(F.col("entries")[i]).alias(f"e{i}") for i in range(65)]).first()
-    entries = [sums[f"e{i}"] or 0 for i in range(65)]
-    room = FILTER_BYTES * 8 // ENTRY_BITS
-    least = next((k for k in range(2, 66) if entries[0] + entries[k - 1] <= room), 66)
-    held = min(room, max(1000, entries[0] + (entries[least - 1] if least < 66 else 0)))
-    each = max(64, -(-held * ENTRY_BITS // segments // 8) * 8)
-    out = Filter(segments, each, least, sums["n"] or 0, sums["v"] or 0)
-    blank = Filter(1, each, least, 0, 0)
-    blank.shift = out.shift
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for one, one_n, two, two_n in zip(*(batch.column(c).to_pylist() for c in ("one", "one_n", "two", "two_n")), strict=True):
-                bits = np.zeros(each, np.uint8)
-                for h, n, least_of in ((one, one_n, 1), (two, two_n, least)):
-                    h, q = np.frombuffer(h, np.uint64), level(np.frombuffer(n, np.int64), least_of)
-                    if least_of == 66:
-                        continue
-                    for j in range(1, int(q.max(initial=0)) + 1):
-                        for at in blank.places(h[q >= j], j, segment=False):
-                            bits[at] = 1
-                made.append(np.packbits(bits, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(made, pa.binary())], names=["segment", "bits"])
-
-    parts = ngrams.select("segment", "one", "one_n", "two", "two_n").mapInArrow(build, "segment long, bits binary")
-    for r in parts.toLocalIterator():
-        out.bits[r["segment"] * each // 8 : (r["segment"] + 1) * each // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
+
+def log10_p(words: np.ndarray, which: np.ndarray, read: Callable[[np.ndarray], np.ndarray], n: int, v: int) -> np.ndarray:
+    """log10 P of each token of texts that are laid end to end; a token's history is the one before (a first token's: an end). The tokens are words[which]; read gives the levels of n-grams that asked_for has."""
+    counts = value(read(words))
+    one = counts[which]
+    distinct, at = np.unique(_bigrams(words[which]), return_inverse=True)
+    history = np.concatenate([counts[words == END], one[:-1]])
+    two = np.minimum(value(read(distinct))[at], np.minimum(one, history))
+    return np.log10((two + KAPPA * (one + 1) / (n + v + 1)) / (history + KAPPA))
+
+
+def _bigrams(t: np.ndarray) -> np.ndarray:
+    return pairs(np.concatenate([[END], t[:-1]]), t)
+
+
+def asked_for(words: np.ndarray, which: np.ndarray, bits: int) -> np.ndarray:
+    """The distinct keys of the n-grams of the tokens words[which], in order."""
+    return np.unique(_keys(np.concatenate([words, _bigrams(words[which])]), bits))
+
+
+def _packed(which: np.ndarray) -> bytes:
+    """Places byte plane by byte plane: the upper ones are zero nearly everywhere, and compress."""
+    return which.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def filter_scores(batches: DataFrame, ngrams: DataFrame, segments: int, n: int, v: int) -> DataFrame:
+    """batches (batch, words, which, lengths, rows) -> row, score. Each n-gram is looked up in its segment's filter."""
+    bits = segments.bit_length() - 1
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in rows:
+            for batch, words, which in zip(*(some.column(c).to_pylist() for c in ("batch", "words", "which")), strict=True):
+                h = asked_for(np.frombuffer(words, np.uint64), _unpacked(which), bits)
+                segment, h = (h >> np.uint64(32)).astype(np.int64), _low(h)
+                edges = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]])).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(segment[edges[:-1]]), pa.array([batch] * (len(edges) - 1), pa.int64()), pa.array([h[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)], pa.binary())],
+                    names=["segment", "batch", "hashes"],
+                )
+
+    def probe(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        levels = [b"\0" * (len(h) // 4) for h in asked["hashes"]]
+        if len(own) and len(asked):
+            known = Filter.of(own["bits"].iloc[0])
+            levels = [known.levels(np.frombuffer(h, np.uint32).astype(np.uint64), segment=False).astype(np.uint8).tobytes() for h in asked["hashes"]]
+        return pd.DataFrame({"batch": asked["batch"], "segment": asked["segment"], "levels": levels})
+
+    def answer(key: tuple, batch: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        (given,) = batch.itertuples()
+        words, which = np.frombuffer(given.words, np.uint64), _unpacked(given.which)
+        asked, levels = asked_for(words, which, bits), np.frombuffer(b"".join(told.sort_values("segment")["levels"]), np.uint8)
+        log10 = log10_p(words, which, lambda h: levels[np.searchsorted(asked, _keys(h, bits))].astype(np.int64), n, v)
+        starts = np.concatenate([[0], np.cumsum(np.frombuffer(given.lengths, np.int64))[:-1]])
+        return pd.DataFrame({"row": np.frombuffer(given.rows, np.int64), "score": np.add.reduceat(log10, starts)})
+
+    asked = batches.select("batch", "words", "which").mapInArrow(ask, "segment long, batch long, hashes binary")
+    told = ngrams.select("segment", "bits").groupBy("segment").cogroup(asked.groupBy("segment")).applyInPandas(probe, "batch long, segment long, levels binary")
+    return batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(answer, "row long, score double")
 
 
 def unigrams(ngrams: DataFrame) -> DataFrame:
@@ -254,29 +305,34 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """docs (text and others): the others, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ngrams, segments = ngram_counts(training)
-    model = build_filter(ngrams, segments)
+    sums = ngrams.agg(F.sum("total"), F.sum("distinct")).first()
+    n, v = (x or 0 for x in sums)
     counts = unigrams(ngrams)
     top = most_frequent(counts).toPandas().sort_values("token")
     hot_token, hot_c = top["token"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    given = spark.sparkContext.broadcast((model, hot_token, hot_c))
-    docs = docs.withColumn("row", F.monotonically_increasing_id())  # stays with the row, as what is scored is written at once
+    given = spark.sparkContext.broadcast((hot_token, hot_c))
+    docs = docs.withColumn("row", F.monotonically_increasing_id())  # stays with the row, as what is read is written at once
     others = [c for c in docs.columns if c != "text"]
+    together = TOGETHER
+    of_text = {"n_tokens": pa.int64(), "hot_known": pa.int64(), "hot_base": pa.float64(), "rare": pa.list_(pa.int64())}
+    of_batch = {"batch": pa.int64(), "words": pa.binary(), "which": pa.binary(), "lengths": pa.binary(), "rows": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot_token, hot_c = given.value
+        """A row a text, and one more for some texts together: their distinct tokens (frequent ones first) and each token's place there."""
+        hot_token, hot_c = given.value
         hot_log = np.log10(hot_c + 1.0)
         for batch in batches:
             texts, at = as_bytes(batch, "text"), 0
+            names, kinds = [*others, *of_text, *of_batch], [*(batch.schema.field(c).type for c in others), *of_text.values(), *of_batch.values()]
             while at < len(texts):  # some texts at once, or one long one
                 some, size = [], 0
-                while at + len(some) < len(texts) and size < 400_000:
+                while at + len(some) < len(texts) and size < together:
                     some.append(tokens(texts[at + len(some)]))
                     size += len(some[-1])
                 lengths = np.array([len(t) for t in some])
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 t = np.concatenate(some)
-                distinct, which = np.unique(t, return_inverse=True)
-                log10 = np.add.reduceat(model.log10(t, distinct, which), starts)
+                distinct, which, times = np.unique(t, return_inverse=True, return_counts=True)
                 signed = distinct.view(np.int64)
                 place = np.minimum(np.searchsorted(hot_token, signed), max(len(hot_token) - 1, 0))
                 hot = hot_token[place] == signed if len(hot_token) else np.zeros(len(signed), bool)
@@ -285,19 +341,27 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 known = np.add.reduceat(hot.astype(np.int64), starts)
                 rare = np.where(~hot)[0]
                 cut = np.concatenate([[0], np.searchsorted(rare, starts[1:]), [len(rare)]]).astype(np.int32)
+                own = [batch.column(c).slice(at, len(some)) for c in others]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(at, len(some)) for c in others), pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.array(log10), pa.ListArray.from_arrays(pa.array(cut), pa.array(signed[rare]))],
-                    names=[*others, "n_tokens", "hot_known", "hot_base", "score", "rare"],
+                    [*own, pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.ListArray.from_arrays(pa.array(cut), pa.array(signed[rare])), *(pa.nulls(len(some), k) for k in of_batch.values())], names=names
                 )
+                order = np.argsort(-times, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                rows = own[-1].to_numpy()
+                joint = [int(rows[0]), distinct[order].tobytes(), _packed(rank[which]), lengths.astype(np.int64).tobytes(), rows.astype(np.int64).tobytes()]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[: -len(of_batch)]), *(pa.array([x], k) for x, k in zip(joint, of_batch.values(), strict=True))], names=names)
                 at += len(some)
 
     kinds = "".join(f"`{c}` {kind}, " for c, kind in docs.select(*others).dtypes)
-    seen = written(docs.mapInArrow(run, kinds + "n_tokens long, hot_known long, hot_base double, score double, rare array<long>"), "scored")
+    both = written(docs.mapInArrow(run, kinds + "n_tokens long, hot_known long, hot_base double, rare array<long>, batch long, words binary, which binary, lengths binary, rows binary"), "read")
+    seen, batches = both.where("batch is null").drop(*of_batch), both.where("batch is not null").select(*of_batch)
+    scores = filter_scores(batches, ngrams, segments, n, v)
     rare = seen.select("row", F.explode("rare").alias("token")).join(counts, "token")
     rare = rare.groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("b"))
-    each = float(np.log10(model.n + model.v + 1))
-    return seen.join(rare, "row", "left").select(
-        *others[:-1], "n_tokens", (F.col("hot_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(model.n)).cast("long").alias("train_tokens"),
+    each = float(np.log10(n + v + 1))
+    return seen.join(scores, "row").join(rare, "row", "left").select(
+        *others[:-1], "n_tokens", (F.col("hot_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("hot_base") + F.coalesce("b", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), "score",
     )
 

@@ -443,6 +443,21 @@ def test_pii_pseudonyms(spark):
     assert other[0] != new[0]["text"]
 
 
+def test_pii_adjacent_values(spark):
+    """A neighbour ends a phone or a card; a time may follow an ISO date."""
+    phone = "+1 (826) 555-4081"
+    rows = [
+        (phone + " alone", ["phone"]), (phone + " 190.137.223.204", ["phone", "ip"]), (phone + " 123-45-6789", ["phone", "ssn"]), (phone + " 2024-01-05", ["phone", "date"]), (phone + " 31.12.1999", ["phone", "date"]),
+        (phone + " 4111 1111 1111 1111", ["phone", "card"]), ("4111111111111111 12/27", ["card"]), ("4111 1111 1111 1111 190.137.223.204", ["card", "ip"]), ("at 2024-01-05T10:00", ["date"]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    done = pii.pseudonymised(docs, "key").cache()
+    new = {r["doc_id"]: r for r in done.collect()}
+    assert [list(new[i]["kinds"]) for i in range(len(rows))] == [k for _, k in rows]
+    assert len({new[i]["text"][: len(phone)] for i in range(6)}) == 1 and not new[0]["text"].startswith(phone)
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(done.select("doc_id", "text"), "key", back=True).collect()} == {i: t for i, (t, _) in enumerate(rows)}
+
+
 def test_pii_is_a_permutation(spark):
     """All values of a small format map to different ones."""
     ips = spark.range(2000).select(F.concat_ws(".", F.lit("10"), F.lit("0"), F.floor(F.col("id") / 250).cast("string"), (F.col("id") % 250).cast("string")).alias("text"))

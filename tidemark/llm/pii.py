@@ -30,11 +30,14 @@ ROUNDS, PIECE = 8, 24
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
-PHONE = r"(?<![\w+])\+\d{1,3}(?:[ -]?\(\d{1,4}\))?(?:[ -]?\d{2,4}){2,5}(?![\w-])"
+#: What a space sets apart from a phone or card before it.
+_NEXT = r"\d{1,3}(?:\.\d{1,3}){3}|\d{2}\.\d{2}\.\d{4}|\d{1,2}/\d{2}|\d{4}-\d{2}-\d{2}(?![\d-])|\d{3}-\d{2}-\d{4}(?![\d-])"
+#: 15 digits at most, so that a longer run is tried shorter; a card of 16 digits is not a phone's.
+PHONE = r"(?<![\w+])\+\d{1,3}(?:[ -]?\(\d{1,4}\))?(?:(?: (?!" + _NEXT + r"|\d{4}(?:[ -]?\d{4}){3}(?![\w-]))|-?)\d{2,4}){2,5}(?![\w-])(?<!" + r"\d[ ()-]{0,3}" * 16 + ")"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
-DATE = r"(?<![\w.])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\w)"
+DATE = r"(?<![\w.])(?:\d{4}-\d{2}-\d{2}(?=T\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\w))"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
+CARD = r"(?<![\w-])\d(?:(?: (?!" + _NEXT + r")|-?)\d){12,18}(?![\w-])"
 ANY = "|".join([EMAIL, IBAN, PHONE, IP, DATE, SSN, CARD])
 
 Permute = Callable[[Column, Column, Column, Column, str | Column], Column]

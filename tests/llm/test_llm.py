@@ -113,6 +113,12 @@ def test_language_odd_input(spark, odd):
     assert {r["lang_pred"] for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_stage_without_labels(spark, odd):
+    """Nothing to learn from: what has a letter stays."""
+    kept = langid.in_a_language(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 4, 4, 6, 7, 8, 9]
+
+
 # URL filters
 
 

@@ -110,6 +110,10 @@ def _has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text)) if text else False
 
 
+def _lettered(texts: pa.Array) -> pa.Array:
+    return pa.array(map(_has_letter, texts.to_pylist()), pa.bool_())
+
+
 def train(labelled: DataFrame) -> Codes | None:
     """From all rows of labelled (text, lang): n-gram counts a language, summed over the tasks. What the driver gets is languages x features numbers."""
 
@@ -170,7 +174,9 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def in_a_language(docs: DataFrame) -> DataFrame:
-    """docs with all their columns, less those in no language (`und`)."""
+    """docs with all their columns, less those in no language (`und`). If no row is labelled, those with a letter stay."""
     own = "_".join(["said", *docs.columns])  # longer than any of them
     codes = train(fold_of(docs.select("doc_id", "text", "lang")).where("fold <> 1"))
+    if codes is None:
+        return small_batches(docs).where(arrow_udf(_lettered, "boolean")("text"))
     return predict(docs, codes, own).where(F.col(f"`{own}`.lang_pred") != "und").select(*docs.columns)

@@ -5,14 +5,21 @@ documents. Tasks hand sorted hash arrays to hash segments, whose number follows
 the corpus, so no segment outgrows a task and no hot n-gram a row. An n-gram of
 quantised log frequency q goes into the filter q times, as (n-gram, 1) to
 (n-gram, q); probing upwards until the first miss reads q back. Every unigram
-and every bigram is held, whatever the corpus's size: each segment has a filter
-of its own, of ENTRY_BITS an entry, and no machine holds more than one. The
-distinct n-grams of a batch of texts go to their segments, and their levels
-come back to the batch. There an n-gram is known by the 32 bits after the
-segment's: as a segment's n-grams are bounded, few share them at any size (some
-600,000 of 4 billion, far below the filter's own false positives). Probabilities are Dirichlet-smoothed:
-P(w|h) = (c(h,w) + KAPPA * P(w)) / (c(h) + KAPPA), P(w) = (c(w)+1)/(N+V+1), all
-counts read from the filter.
+and every bigram is held, whatever the corpus's size: each segment has bits of
+its own, ENTRY_BITS an entry, made in the segment's task. There an n-gram is
+known by the 32 bits after the segment's: as a segment's n-grams are bounded,
+few share them at any size (some 600,000 of 4 billion, far below the filter's
+own false positives).
+
+The segments together are broadcast if they measure BROADCAST bytes at most.
+Beyond that no machine holds more than one: the distinct n-grams of a batch of
+texts go to their segments, and their levels come back to the batch. Both ways
+probe the same bits, so they give the same scores.
+
+A level stands for a range of counts. P(w|h) = (low c(h,w) + KAPPA * P(w)) /
+(high c(h) + KAPPA) and P(w) = (low c(w) + 1) / (N + V + 1), low and high being
+the range's ends, so that the probabilities after a history never sum to more
+than 1 (false positives of the filter excepted).
 
 The base score uses exact counts: those of the HOT most frequent tokens are
 broadcast; a text's other tokens join the count table.
@@ -36,9 +43,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import as_bytes, bucket3, small_batches, written
 
 #: Strength of the unigrams in a bigram's probability.
-KAPPA = 2000.0
-#: The filter's bits an entry, its probes.
-ENTRY_BITS, PROBES = 10, 6
+KAPPA = 100.0
+#: The filter's bits an entry, its probes, and the bytes of it that are broadcast at most.
+ENTRY_BITS, PROBES, BROADCAST = 10, 6, 128 << 20
 #: Exact counts that are broadcast; the others are joined.
 HOT = 1 << 17
 #: Bytes of training text a segment, and hashes that a task sorts at once.
@@ -51,6 +58,8 @@ REMEMBERED = 400_000
 
 END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
 _ODD, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: The level of 2**62, more than any count.
+TOP = 125
 
 
 class _Hashes(dict):
@@ -83,16 +92,19 @@ def pairs(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mixed(mixed(before) * np.uint64(3) + token)
 
 
-def level(count: np.ndarray, least: int = 1) -> np.ndarray:
-    """Quantised log frequency in half octaves, from 1 at the least count."""
-    return (1 + np.floor(2 * np.log2(np.maximum(count, least) / least) + 1e-9)).astype(np.int64) * (count >= least)
+def level(count: np.ndarray) -> np.ndarray:
+    """Quantised log frequency in half octaves: 1 for a count of 1, 0 for none."""
+    return (1 + np.floor(2 * np.log2(np.maximum(count, 1)) + 1e-9)).astype(np.int64) * (count > 0)
 
 
-def value(q: np.ndarray, least: int = 1) -> np.ndarray:
-    """The count that a level stands for: the middle of its whole numbers."""
-    low = np.ceil(least * 2.0 ** ((q - 1) / 2) - 1e-6)
-    high = np.maximum(low, np.ceil(least * 2.0 ** (q / 2) - 1e-6) - 1)
-    return np.where(q > 0, (low + high) / 2, 0.0)
+def low(q: np.ndarray) -> np.ndarray:
+    """The least count of a level."""
+    return np.where(q > 0, np.ceil(2.0 ** ((q - 1) / 2) - 1e-6), 0.0)
+
+
+def high(q: np.ndarray) -> np.ndarray:
+    """The greatest count of a level."""
+    return np.where(q > 0, np.maximum(low(q), np.ceil(2.0 ** (q / 2) - 1e-6) - 1), 0.0)
 
 
 def _keys(h: np.ndarray, bits: int) -> np.ndarray:
@@ -104,6 +116,15 @@ def _low(keys: np.ndarray) -> np.ndarray:
     return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _packed(which: np.ndarray) -> bytes:
+    """Small numbers byte plane by byte plane: the upper ones are zero nearly everywhere, and compress."""
+    return which.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _counted(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes in order, with their counts."""
     if n is None:
@@ -118,7 +139,7 @@ def ngram_counts(training: DataFrame) -> tuple[DataFrame, int]:
     """A row a segment of the hash space (segment, hashes and counts of its unigrams, the filter of its unigrams and bigrams, the unigrams' number and total), and the segments' number (a power of two)."""
     size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(LEAST_SEGMENTS, size // SEGMENT_BYTES + 1).bit_length()
-    shift, room = np.uint64(64 - bits), ENTRY_BITS
+    shift, room = np.uint64(64 - bits), ENTRY_BITS  # what a task uses is closed over: a worker has no changed module
 
     def dealt(kind: int, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         h, n = _counted(_keys(h, bits) if kind else h)
@@ -127,7 +148,7 @@ def ngram_counts(training: DataFrame) -> tuple[DataFrame, int]:
         edges = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]]))
         spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int(segment[s]) for s, _ in spans], pa.int64()), pa.array([kind] * len(spans), pa.int32()), pa.array([h[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([n[s:e].astype(np.uint32).tobytes() for s, e in spans], pa.binary())],
+            [pa.array([int(segment[s]) for s, _ in spans], pa.int64()), pa.array([kind] * len(spans), pa.int32()), pa.array([h[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([_packed(n[s:e]) for s, e in spans], pa.binary())],
             names=["segment", "kind", "hashes", "counts"],
         )
 
@@ -153,7 +174,7 @@ def ngram_counts(training: DataFrame) -> tuple[DataFrame, int]:
         held = []
         for kind in (0, 1):
             own = rows[rows["kind"] == kind]
-            held.append(_counted(np.frombuffer(b"".join(own["hashes"]), np.uint32 if kind else np.uint64), np.frombuffer(b"".join(own["counts"]), np.uint32).astype(np.int64)))
+            held.append(_counted(np.frombuffer(b"".join(own["hashes"]), np.uint32 if kind else np.uint64), np.concatenate([np.zeros(0, np.int64), *map(_unpacked, own["counts"])]).astype(np.int64)))
         (one, one_n), (two, two_n) = held
         made = Filter.holding(np.concatenate([_low(_keys(one, bits)), two]).astype(np.uint64), np.concatenate([one_n, two_n]), room).bits
         return pd.DataFrame([[key[0], one.tobytes(), one_n.tobytes(), made.tobytes(), len(one), int(one_n.sum())]], columns=["segment", "one", "one_n", "bits", "distinct", "total"])
@@ -164,66 +185,62 @@ def ngram_counts(training: DataFrame) -> tuple[DataFrame, int]:
 
 
 class Filter:
-    """Segments of bits in one array; the model's constants."""
+    """Segments of bits end to end. A key is the segment, then 32 bits of the n-gram."""
 
-    def __init__(self, segments: int, each: int, least: int, n: int, v: int):
-        self.shift, self.each, self.least, self.n, self.v = np.uint64(65 - segments.bit_length()), each, least, n, v
-        self.bits = np.zeros(segments * each // 8, np.uint8)
+    def __init__(self, segments: list[bytes]):
+        self.bits = np.frombuffer(b"".join(segments), np.uint8)
+        self.sizes = np.array([len(s) * 8 for s in segments], np.uint64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     @classmethod
     def holding(cls, h: np.ndarray, n: np.ndarray, room: int) -> Filter:
-        """One segment's filter of the n-grams h of counts n, of room bits an entry."""
+        """One segment's filter of the n-grams h (below 2**32) of counts n, of room bits an entry."""
         q = level(n)
-        out = cls(1, max(64, -(-int(q.sum()) * room // 64) * 64), 1, 0, 0)
-        bits = np.zeros(out.each, np.uint8)
+        bits = np.zeros(max(64, -(-int(q.sum()) * room // 64) * 64), np.uint8)
         for j in range(1, int(q.max(initial=0)) + 1):
-            for at in out.places(h[q >= j], j, segment=False):
-                bits[at] = 1
-        out.bits = np.packbits(bits, bitorder="little")
-        return out
-
-    @classmethod
-    def of(cls, bits: bytes) -> Filter:
-        """One segment's filter, read back."""
-        out = cls(1, len(bits) * 8, 1, 0, 0)
-        out.bits = np.frombuffer(bits, np.uint8)
-        return out
-
-    def places(self, h: np.ndarray, q: int, segment: bool = True) -> Iterator[np.ndarray]:
-        """The bits of (n-gram, q), probe by probe; without segment, counted from the segment's start."""
+            g, step = cls._hashed(h[q >= j], j)
+            for _ in range(PROBES):
+                bits[cls._scaled(g, np.uint64(len(bits)))] = 1
+                g = g + step
+        return cls([np.packbits(bits, bitorder="little").tobytes()])
+
+    @staticmethod
+    def _hashed(h: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first probe of (n-gram, q), and the step to the next ones."""
         g = mixed(h + np.uint64(q * _ODD & MASK))
-        step = g << np.uint64(32) | g >> np.uint64(32) | np.uint64(1)
-        at = (h >> self.shift) * np.uint64(self.each) if segment else np.uint64(0)
-        for i in range(PROBES):
-            yield at + self._scaled(g + np.uint64(i) * step)
+        return g, g << np.uint64(32) | g >> np.uint64(32) | np.uint64(1)
 
-    def _scaled(self, g: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _scaled(g: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
         """The upper half of g as a place in a segment: a multiplication and a shift, as a division would take longer."""
-        return (g >> np.uint64(32)) * np.uint64(self.each) >> np.uint64(32)
-
-    def levels(self, h: np.ndarray, segment: bool = True) -> np.ndarray:
-        q, left, j = np.zeros(len(h), np.int64), np.arange(len(h)), 0
-        start = (h >> self.shift) * np.uint64(self.each) if segment else np.zeros(len(h), np.uint64)
-        while len(left):
-            j += 1
-            g = mixed(h + np.uint64(j * _ODD & MASK))
-            step = g << np.uint64(32) | g >> np.uint64(32) | np.uint64(1)
+        return (g >> np.uint64(32)) * size >> np.uint64(32)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key: probing ends at the first miss, and at TOP, the level of the greatest possible count."""
+        segment = (keys >> np.uint64(32)).astype(np.int64)
+        h, start, size = keys & np.uint64(0xFFFFFFFF), self.starts[segment], self.sizes[segment]
+        q, left = np.zeros(len(keys), np.int64), np.flatnonzero(size)
+        h, start, size = h[left], start[left], size[left]
+        for j in range(1, TOP + 1):
+            g, step = self._hashed(h, j)
             for _ in range(PROBES):  # most misses end at the first probes
-                at = start + self._scaled(g)
+                at = start + self._scaled(g, size)
                 hit = np.flatnonzero(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-                h, start, left, g, step = h[hit], start[hit], left[hit], g[hit] + step[hit], step[hit]
+                h, start, size, left, g, step = h[hit], start[hit], size[hit], left[hit], g[hit] + step[hit], step[hit]
             q[left] = j
+            if not len(left):
+                break
         return q
 
 
-def log10_p(words: np.ndarray, which: np.ndarray, read: Callable[[np.ndarray], np.ndarray], n: int, v: int) -> np.ndarray:
+def log10_p(words: np.ndarray, which: np.ndarray, read: Callable[[np.ndarray], np.ndarray], n: int, v: int, kappa: float) -> np.ndarray:
     """log10 P of each token of texts that are laid end to end; a token's history is the one before (a first token's: an end). The tokens are words[which]; read gives the levels of n-grams that asked_for has."""
-    counts = value(read(words))
-    one = counts[which]
+    level = read(words)
+    least, most = low(level), high(level)
     distinct, at = np.unique(_bigrams(words[which]), return_inverse=True)
-    history = np.concatenate([counts[words == END], one[:-1]])
-    two = np.minimum(value(read(distinct))[at], np.minimum(one, history))
-    return np.log10((two + KAPPA * (one + 1) / (n + v + 1)) / (history + KAPPA))
+    before = np.concatenate([np.flatnonzero(words == END), which[:-1]])
+    two = np.minimum(low(read(distinct))[at], np.minimum(least[which], least[before]))
+    return np.log10((two + kappa * (least[which] + 1) / (n + v + 1)) / (most[before] + kappa))
 
 
 def _bigrams(t: np.ndarray) -> np.ndarray:
@@ -235,16 +252,7 @@ def asked_for(words: np.ndarray, which: np.ndarray, bits: int) -> np.ndarray:
     return np.unique(_keys(np.concatenate([words, _bigrams(words[which])]), bits))
 
 
-def _packed(which: np.ndarray) -> bytes:
-    """Places byte plane by byte plane: the upper ones are zero nearly everywhere, and compress."""
-    return which.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unpacked(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def filter_scores(batches: DataFrame, ngrams: DataFrame, segments: int, n: int, v: int) -> DataFrame:
+def filter_scores(batches: DataFrame, ngrams: DataFrame, segments: int, n: int, v: int, kappa: float) -> DataFrame:
     """batches (batch, words, which, lengths, rows) -> row, score. Each n-gram is looked up in its segment's filter."""
     bits = segments.bit_length() - 1
 
@@ -262,15 +270,15 @@ def filter_scores(batches: DataFrame, ngrams: DataFrame, segments: int, n: int,
     def probe(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         levels = [b"\0" * (len(h) // 4) for h in asked["hashes"]]
         if len(own) and len(asked):
-            known = Filter.of(own["bits"].iloc[0])
-            levels = [known.levels(np.frombuffer(h, np.uint32).astype(np.uint64), segment=False).astype(np.uint8).tobytes() for h in asked["hashes"]]
+            known = Filter([own["bits"].iloc[0]])
+            levels = [known.levels(np.frombuffer(h, np.uint32).astype(np.uint64)).astype(np.uint8).tobytes() for h in asked["hashes"]]
         return pd.DataFrame({"batch": asked["batch"], "segment": asked["segment"], "levels": levels})
 
     def answer(key: tuple, batch: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         (given,) = batch.itertuples()
         words, which = np.frombuffer(given.words, np.uint64), _unpacked(given.which)
         asked, levels = asked_for(words, which, bits), np.frombuffer(b"".join(told.sort_values("segment")["levels"]), np.uint8)
-        log10 = log10_p(words, which, lambda h: levels[np.searchsorted(asked, _keys(h, bits))].astype(np.int64), n, v)
+        log10 = log10_p(words, which, lambda h: levels[np.searchsorted(asked, _keys(h, bits))].astype(np.int64), n, v, kappa)
         starts = np.concatenate([[0], np.cumsum(np.frombuffer(given.lengths, np.int64))[:-1]])
         return pd.DataFrame({"row": np.frombuffer(given.rows, np.int64), "score": np.add.reduceat(log10, starts)})
 
@@ -301,25 +309,36 @@ def most_frequent(counts: DataFrame) -> DataFrame:
     return counts.where(F.lit(False) if bound is None else step >= bound)
 
 
-def score(docs: DataFrame, training: DataFrame) -> DataFrame:
+def whole_filter(ngrams: DataFrame, segments: int) -> Filter | None:
+    """All segments' bits in one; None if they measure more than BROADCAST bytes."""
+    if (ngrams.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) > BROADCAST:
+        return None
+    known = {r["segment"]: bytes(r["bits"]) for r in ngrams.select("segment", "bits").collect()}
+    return Filter([known.get(i, b"") for i in range(segments)])
+
+
+def score(docs: DataFrame, training: DataFrame, kappa: float = KAPPA) -> DataFrame:
     """docs (text and others): the others, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ngrams, segments = ngram_counts(training)
     sums = ngrams.agg(F.sum("total"), F.sum("distinct")).first()
     n, v = (x or 0 for x in sums)
+    bits = segments.bit_length() - 1
     counts = unigrams(ngrams)
     top = most_frequent(counts).toPandas().sort_values("token")
     hot_token, hot_c = top["token"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    given = spark.sparkContext.broadcast((hot_token, hot_c))
+    whole = whole_filter(ngrams, segments)
+    joined = whole is None
+    given = spark.sparkContext.broadcast((hot_token, hot_c, whole))
     docs = docs.withColumn("row", F.monotonically_increasing_id())  # stays with the row, as what is read is written at once
     others = [c for c in docs.columns if c != "text"]
     together = TOGETHER
-    of_text = {"n_tokens": pa.int64(), "hot_known": pa.int64(), "hot_base": pa.float64(), "rare": pa.list_(pa.int64())}
+    of_text = {"n_tokens": pa.int64(), "hot_known": pa.int64(), "hot_base": pa.float64(), "rare": pa.list_(pa.int64()), "score": pa.float64()}
     of_batch = {"batch": pa.int64(), "words": pa.binary(), "which": pa.binary(), "lengths": pa.binary(), "rows": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a text, and one more for some texts together: their distinct tokens (frequent ones first) and each token's place there."""
-        hot_token, hot_c = given.value
+        """A row a text. If the filter isn't here: one more for some texts together, their distinct tokens (frequent ones first) and each token's place there."""
+        hot_token, hot_c, whole = given.value
         hot_log = np.log10(hot_c + 1.0)
         for batch in batches:
             texts, at = as_bytes(batch, "text"), 0
@@ -342,25 +361,31 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 rare = np.where(~hot)[0]
                 cut = np.concatenate([[0], np.searchsorted(rare, starts[1:]), [len(rare)]]).astype(np.int32)
                 own = [batch.column(c).slice(at, len(some)) for c in others]
+                scores = pa.nulls(len(some), pa.float64())
+                if whole is not None:
+                    scores = pa.array(np.add.reduceat(log10_p(distinct, which, lambda h: whole.levels(_keys(h, bits)), n, v, kappa), starts))
                 yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.ListArray.from_arrays(pa.array(cut), pa.array(signed[rare])), *(pa.nulls(len(some), k) for k in of_batch.values())], names=names
+                    [*own, pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.ListArray.from_arrays(pa.array(cut), pa.array(signed[rare])), scores, *(pa.nulls(len(some), k) for k in of_batch.values())], names=names
                 )
+                at += len(some)
+                if whole is not None:
+                    continue
                 order = np.argsort(-times, kind="stable")
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
                 rows = own[-1].to_numpy()
                 joint = [int(rows[0]), distinct[order].tobytes(), _packed(rank[which]), lengths.astype(np.int64).tobytes(), rows.astype(np.int64).tobytes()]
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[: -len(of_batch)]), *(pa.array([x], k) for x, k in zip(joint, of_batch.values(), strict=True))], names=names)
-                at += len(some)
 
     kinds = "".join(f"`{c}` {kind}, " for c, kind in docs.select(*others).dtypes)
-    both = written(docs.mapInArrow(run, kinds + "n_tokens long, hot_known long, hot_base double, rare array<long>, batch long, words binary, which binary, lengths binary, rows binary"), "read")
-    seen, batches = both.where("batch is null").drop(*of_batch), both.where("batch is not null").select(*of_batch)
-    scores = filter_scores(batches, ngrams, segments, n, v)
+    both = written(small_batches(docs).mapInArrow(run, kinds + "n_tokens long, hot_known long, hot_base double, rare array<long>, score double, batch long, words binary, which binary, lengths binary, rows binary"), "read")
+    seen = both.where("batch is null").drop(*of_batch)
+    if joined:
+        seen = seen.drop("score").join(filter_scores(both.where("batch is not null").select(*of_batch), ngrams, segments, n, v, kappa), "row")
     rare = seen.select("row", F.explode("rare").alias("token")).join(counts, "token")
     rare = rare.groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("b"))
     each = float(np.log10(n + v + 1))
-    return seen.join(scores, "row").join(rare, "row", "left").select(
+    return seen.join(rare, "row", "left").select(
         *others[:-1], "n_tokens", (F.col("hot_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("hot_base") + F.coalesce("b", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), "score",
     )

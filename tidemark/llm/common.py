@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,23 +11,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of whole texts that pass to a Python worker at once, at most: with Spark's own 10,000 a batch of long documents has no useful bound.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of whole texts that pass to a Python worker at once, at most (one longer text passes alone): Spark's own 10,000 rows or 64 MB are too much for long documents in several workers.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+#: Bytes of a row group that a task holds as it writes.
+ROW_GROUP = 16 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches hold BATCH_ROWS rows at most. It stays set, as plans run later than they are made."""
+    """df, in a session whose Arrow batches are bounded by BATCH. It stays set, as plans run later than they are made."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
+    for name, most in BATCH.items():
+        now = conf.get(name, None)
+        if now is None or not 0 < int(str(now).rstrip("bB")) <= most:
+            conf.set(name, str(most))
     return df
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; unset (local tests), a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local session gets a new temporary one; a cluster must have it."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -36,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,8 +8,10 @@ permutation of its own format: an eight-round Feistel network over the product
 Z_a x Z_b whose size is just the format's, so nothing has to be walked or
 padded: a date becomes a date, a card a card of the same length and first
 digit with a right check digit. Equal values get equal pseudonyms in every
-document, different ones different ones, and the key reverses them. Round
-values come from SHA-256 over the key, the format, the round and the other half.
+document, different ones different ones, and the key reverses them. A phone's,
+card's or IBAN's separators make no difference; an e-mail address's case does.
+Round values come from SHA-256 over the key, the format, the round and the other
+half.
 
 Values that fail validation stay as they are. A value's pieces of more than 24
 characters are permuted one by one.
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 ROUNDS, PIECE = 8, 24
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}+"
+#: Labels and their number are bounded, as a mail domain's are: the matcher recurses once a label.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,127}[A-Za-z]{2,}+"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 #: What a space sets apart from a phone or card before it.
 _NEXT = r"\d{1,3}(?:\.\d{1,3}){3}|\d{2}\.\d{2}\.\d{4}|\d{1,2}/\d{2}|\d{4}-\d{2}-\d{2}(?![\d-])|\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -219,10 +222,10 @@ def _phone_ok(m: Column) -> Column:
 
 
 def _phone(m: Column, permute: Permute) -> Column:
-    """The country code and the first digit after it stay."""
-    head = F.regexp_extract(m, r"^\+\d{1,3}[ (-]*\d", 0)
-    head = F.when(head == "", F.substring(m, 1, 3)).otherwise(head)
-    return F.concat(head, characters(F.substring(m, F.length(head) + 1, F.length(m)), permute, F.concat(F.lit("phone"), head)))
+    """The first three digits stay; the others are permuted by themselves, so that separators make no difference."""
+    digits = F.regexp_replace(m, r"\D", "")
+    head = F.substring(digits, 1, 3)
+    return _poured(m, F.concat(head, characters(F.substring(digits, F.lit(4), F.length(digits)), permute, F.concat(F.lit("phone"), head))))
 
 
 def _email(m: Column, permute: Permute) -> Column:

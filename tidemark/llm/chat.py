@@ -13,9 +13,12 @@ and `;`, so no text can hold one and escaping is reversible.
 
 Odd input: null roles and texts are empty; a null turn comes last, equal turns
 are ordered by role and text, and repeated rows stay; a record whose layout is
-not known becomes one turn of the role `unmapped` that holds it as JSON, none
-is lost; null payloads have no fields and are unmapped, too; an empty table
-gives an empty result. One conversation is held in memory at a time, as its
+not known, or whose values don't fit it (a list of messages that is none, is
+empty or holds other things than objects, a turn that is no whole number, JSON
+nested too deep to be parsed), becomes one turn of the role `unmapped` that
+holds it as it came, none is lost; null payloads have no fields and are
+unmapped, too; fields of EXTRA beside a known layout are passed over; an empty
+table gives an empty result. One conversation is held in memory at a time, as its
 output is one row.
 """
 
@@ -66,30 +69,46 @@ def fingerprint(field_paths) -> int:
     return xxhash.xxh64_intdigest("\n".join(sorted(field_paths)))
 
 
+#: Fields beside a layout's own that change nothing in it.
+EXTRA = frozenset(["id", "source", "lang", "dataset", "model", "timestamp"])
+
 BY_FINGERPRINT = {fingerprint(of): mapping for of, mapping in MAPPINGS}
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def _text(value) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    """A value as text; halves of surrogate pairs, which no text can hold, become U+FFFD."""
+    return _LONE.sub("\ufffd", value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False))
 
 
-def turns_of(payload: str | None) -> tuple[int, list[tuple[int | None, str, str]]]:
-    """The fingerprint and the canonical turns (turn, role, text) of a record."""
-    try:
-        record = json.loads(payload) if payload else {}
-    except ValueError:
-        record = None
-    mark = fingerprint(paths(record))
-    mapping = BY_FINGERPRINT.get(mark)
-    if mapping is None:
-        return mark, [(0, "unmapped", payload or "")]
+def _mapped(record, mapping: dict) -> list[tuple[int | None, str, str]] | None:
+    """The turns of a record of a known layout; None if a value isn't of the kind that the mapping takes."""
     if "row" in mapping:
         turn, role, text = (record[k] for k in mapping["row"])
-        return mark, [(turn, _text(role), _text(text))]
+        return [(turn, _text(role), _text(text))] if turn is None or type(turn) is int and abs(turn) < 1 << 63 else None
     if "turns" in mapping:
-        return mark, [(i, role, _text(record[field])) for i, (role, field) in enumerate(mapping["turns"])]
+        return [(i, role, _text(record[field])) for i, (role, field) in enumerate(mapping["turns"])]
     field, role, text = mapping["list"]
-    return mark, [(i, ROLES.get(r := _text((m or {}).get(role)), r), _text((m or {}).get(text))) for i, m in enumerate(record[field] or [])]
+    turns = record[field]
+    if not isinstance(turns, list) or not turns or not all(isinstance(m, dict) for m in turns):
+        return None
+    return [(i, ROLES.get(r := _text(m.get(role)), r), _text(m.get(text))) for i, m in enumerate(turns)]
+
+
+def turns_of(payload: str | None) -> tuple[int, list[tuple[int | None, str, str]]]:
+    """The fingerprint and the canonical turns (turn, role, text) of a record."""
+    mark, turns = fingerprint(()), None
+    try:
+        record = json.loads(payload) if payload else {}
+        own = paths(record)
+        mark = fingerprint(own)
+        mapping = BY_FINGERPRINT.get(mark) or BY_FINGERPRINT.get(fingerprint(p for p in own if p not in EXTRA))
+        turns = mapping and _mapped(record, mapping)
+    except (ValueError, RecursionError):  # no JSON, or nested too deep
+        pass
+    return mark, turns or [(0, "unmapped", payload or "")]
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:

@@ -142,17 +142,38 @@ def _near(shard: Shard, at: np.ndarray, order: np.ndarray, span: int) -> list[tu
     return sorted(out)
 
 
-def _phrases(items: DataFrame, block: int, blocks: int, window: int | None) -> tuple[np.ndarray, list[np.ndarray], list[list[int]], list]:
-    """Of one block of the items: term hashes, the phrases as places among them, each phrase's items, the item ids."""
-    rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", F.col("text").cast("binary").alias("text")).collect()
-    terms: dict[bytes, int] = {}
-    of: dict[tuple, dict[int, None]] = {}
-    for i, r in enumerate(rows):
-        w = [terms.setdefault(x, len(terms)) for x in words(bytes(r["text"] or b""))]
-        n = min(window or len(w), len(w))
-        for s in range(len(w) - n + 1 if n else 0):
-            of.setdefault(tuple(w[s : s + n]), {})[i] = None
-    return np.fromiter(map(_hash, terms), np.uint64, len(terms)), [np.array(p) for p in of], [list(x) for x in of.values()], [r["item_id"] for r in rows]
+class Phrases:
+    """The distinct phrases of a block of test items, as arrays: phrase k is flat[starts[k] : starts[k] + lengths[k]], places among the terms."""
+
+    def __init__(self, texts: list[bytes], window: int | None):
+        terms: dict[bytes, int] = {}
+        seqs = [np.array([terms.setdefault(x, len(terms)) for x in words(t)], np.int32) for t in texts]
+        self.hashes = np.fromiter(map(_hash, terms), np.uint64, len(terms))
+        lengths, flat, whose = [], [], []
+        for n in sorted({min(window or len(q), len(q)) for q in seqs} - {0}):
+            own = [(i, np.lib.stride_tricks.sliding_window_view(q, n)) for i, q in enumerate(seqs) if min(window or len(q), len(q)) == n]
+            distinct, at = np.unique(np.concatenate([w for _, w in own]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([at.ravel() + sum(map(len, lengths)), np.repeat([i for i, _ in own], [len(w) for _, w in own])]), axis=1)
+            lengths.append(np.full(len(distinct), n, np.int32))
+            flat.append(distinct.ravel())
+            whose.append(pairs)
+        none = np.zeros(0, np.int32)
+        self.lengths, self.flat = np.concatenate([none, *lengths]), np.concatenate([none, *flat])
+        self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        self.phrase, self.item = np.concatenate([np.zeros((2, 0), np.int64), *whose], axis=1)  # sorted by phrase
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def terms(self, k: int) -> np.ndarray:
+        return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]]
+
+    def items(self, k: int) -> np.ndarray:
+        return self.item[slice(*np.searchsorted(self.phrase, [k, k + 1]))]
+
+    def all_there(self, at: np.ndarray) -> np.ndarray:
+        """The phrases of which a shard has every term: nearly all are out after one look at all of them at once."""
+        return np.flatnonzero(np.minimum.reduceat(at[self.flat], self.starts) >= 0) if len(self) else np.zeros(0, np.int64)
 
 
 def _hits(index: DataFrame, items: DataFrame, window: int | None, span: int | None) -> DataFrame:
@@ -162,14 +183,15 @@ def _hits(index: DataFrame, items: DataFrame, window: int | None, span: int | No
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     out = None
     for block in range(blocks := max(1, -(-size // BLOCK_BYTES))):
-        hashes, phrases, whose, names = _phrases(items, block, blocks, window)
-        if not phrases and block < blocks - 1:
+        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", F.col("text").cast("binary").alias("text")).toArrow()
+        phrases, names = Phrases([t or b"" for t in own.column("text").to_pylist()], window), own.column("item_id").combine_chunks()
+        if not len(phrases) and block < blocks - 1:
             continue
-        given = spark.sparkContext.broadcast((hashes, phrases, whose, names))
-        frequency = np.zeros(len(hashes), np.int64)
+        given = spark.sparkContext.broadcast((phrases, names))
 
         def counts(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            hashes, total = given.value[0], np.zeros(len(given.value[0]), np.int64)
+            hashes = given.value[0].hashes
+            total = np.zeros(len(hashes), np.int64)
             for batch in batches:
                 for terms, offsets in zip(batch.column("terms").to_pylist(), batch.column("offsets").to_pylist(), strict=True):
                     s = Shard(terms, offsets, b"")
@@ -178,26 +200,26 @@ def _hits(index: DataFrame, items: DataFrame, window: int | None, span: int | No
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["term", "n"])
 
+        frequency = np.zeros(len(phrases.hashes), np.int64)
         for r in index.select("terms", "offsets").mapInArrow(counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
             frequency[r["term"]] = r["n"]
-        order = spark.sparkContext.broadcast([np.argsort(frequency[p], kind="stable") for p in phrases])
+        often = spark.sparkContext.broadcast(frequency)
 
-        def match(batches: Iterator[pa.RecordBatch], given=given, order=order) -> Iterator[pa.RecordBatch]:
-            hashes, phrases, whose, names = given.value
+        def match(batches: Iterator[pa.RecordBatch], given=given, often=often) -> Iterator[pa.RecordBatch]:
+            phrases, names = given.value
             for batch in batches:
                 columns = [batch.column(c).to_pylist() for c in ("shard", "n_words", "terms", "offsets", "positions")]
                 for number, n_words, *lists in zip(*columns, strict=True):
                     s = Shard(*lists)
-                    at = s.places(hashes)
+                    at = s.places(phrases.hashes)
                     ranges: list[tuple[int, int, int]] = []
-                    for k, (p, o) in enumerate(zip(phrases, order.value, strict=True)):
-                        here = at[p]
-                        if here.min() < 0:
-                            continue
+                    for k in phrases.all_there(at).tolist():
+                        p = phrases.terms(k)
+                        rarest = np.argsort(often.value[p], kind="stable")
                         if span is None:
-                            ranges += [(int(x), int(x) + len(p), k) for x in _starts(s, here, o)]
+                            ranges += [(x, x + len(p), k) for x in _starts(s, at[p], rarest).tolist()]
                         else:
-                            ranges += [(lo, hi, k) for lo, hi in _near(s, here, o, span)]
+                            ranges += [(lo, hi, k) for lo, hi in _near(s, at[p], rarest, span)]
                     if not ranges:
                         continue
                     begins = np.concatenate([[0], np.cumsum(np.array(n_words, np.int64) + 1)])
@@ -208,10 +230,11 @@ def _hits(index: DataFrame, items: DataFrame, window: int | None, span: int | No
                             continue  # a proximity range that runs over a document's end
                         hit, found = per_doc.setdefault(d, (set(), set()))
                         hit.update(range(lo - int(begins[d]), hi - int(begins[d])))
-                        found.update(whose[k])
+                        found.update(phrases.items(k).tolist())
                     rows = sorted(per_doc.items())
+                    item_ids = [names.take(pa.array(sorted(f), pa.int64())) for _, (_, f) in rows]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([number] * len(rows), pa.int64()), pa.array([d for d, _ in rows], pa.int32()), pa.array([sorted(h) for _, (h, _) in rows], pa.list_(pa.int32())), pa.array([[names[i] for i in sorted(f)] for _, (_, f) in rows])],
+                        [pa.array([number] * len(rows), pa.int64()), pa.array([d for d, _ in rows], pa.int32()), pa.array([sorted(h) for _, (h, _) in rows], pa.list_(pa.int32())), pa.ListArray.from_arrays(np.cumsum([0, *map(len, item_ids)]).astype(np.int32), pa.concat_arrays([names.slice(0, 0), *item_ids]))],
                         names=["shard", "doc", "words", "item_ids"],
                     )
 

@@ -180,41 +180,58 @@ def test_lm_empty(spark, odd):
 
 def test_filter_reads_levels_back():
     rng = np.random.default_rng(1)
-    h = rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
-    q = rng.integers(1, 9, 5000)
-    f = lm.Filter(64, 8192, 2, 0, 0)
-    raw = np.zeros(64 * 8192, np.uint8)
-    for j in range(1, 9):
-        for at in f.places(h[q >= j], j):
-            raw[at] = 1
-    f.bits = np.packbits(raw, bitorder="little")
-    got = f.levels(h)
-    assert (got >= q).all() and (got > q).mean() < 0.05
-    assert (f.levels(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) > 0).mean() < 0.05
-
-
-def test_lm_scores_hold_every_bigram(spark, documents, monkeypatch):
-    """Bigrams seen once count as well, and more segments give the same scores: against exact counts, at the filter's levels."""
-    monkeypatch.setattr(lm, "ENTRY_BITS", 40)  # next to no false positives
-    rows = [(r["doc_id"], r["text"] or "") for r in documents.collect()]
-    tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) + [None]
+    keys = np.unique(rng.integers(0, 1 << 38, 5000, dtype=np.uint64))  # 64 segments
+    n = rng.integers(1, 2000, len(keys))
+    of = (keys >> np.uint64(32)).astype(int)
+    f = lm.Filter([lm.Filter.holding(keys[of == i] & np.uint64(0xFFFFFFFF), n[of == i], lm.ENTRY_BITS).bits.tobytes() if i else b"" for i in range(64)])
+    keys, n = keys[of > 0], n[of > 0]
+    got, q = f.levels(keys), lm.level(n)
+    assert (got >= q).all() and (got > q).mean() < 0.05 and (lm.low(q) <= n).all() and (n <= lm.high(q)).all()
+    others = rng.integers(0, 1 << 38, 5000, dtype=np.uint64)
+    assert (f.levels(others) > 0).mean() < 0.05 and not f.levels(others & np.uint64(0xFFFFFFFF)).any()
+
+
+def test_probing_a_full_filter_ends():
+    f = lm.Filter([b"\xff" * 8])
+    assert f.levels(np.arange(5, dtype=np.uint64)).tolist() == [lm.TOP] * 5
+
+
+def lm_tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) + [None]
+
+
+def exact_lm(rows):
+    """P(word | history) of the whole training text from exact counts, at the filter's levels; the vocabulary; the counts after each history."""
     one, two = Counter(), Counter()
     for i, t in rows:
-        if fold(i, 7) != 2:
-            one.update(tokens(t))
-            two.update(zip([None, *tokens(t)], tokens(t)))
+        if i is not None and fold(i, 7) != 2:
+            one.update(lm_tokens(t))
+            two.update(zip([None, *lm_tokens(t)], lm_tokens(t)))
     n, v = sum(one.values()), len(one)
-    counts = {0, *one.values(), *two.values()}
-    read = {c: float(lm.value(lm.level(np.array([c])))[0]) for c in counts}.__getitem__
-    want = {}
-    for i, t in rows:
-        w = tokens(t)
-        want[i] = sum(log10((min(read(two[h, x]), read(one[x]), read(one[h])) + lm.KAPPA * (read(one[x]) + 1) / (n + v + 1)) / (read(one[h]) + lm.KAPPA)) for h, x in zip([None, *w], w))
-    for least, together in ((64, 400_000), (128, 20_000)):
-        monkeypatch.setattr(lm, "LEAST_SEGMENTS", least)
-        monkeypatch.setattr(lm, "TOGETHER", together, raising=False)
-        got = {r["doc_id"]: r["score"] for r in lm.score_documents(documents).collect()}
-        assert got == pytest.approx(want, rel=1e-3)
+    ends = {c: (float(lm.low(q)), float(lm.high(q))) for c in {0, *one.values(), *two.values()} for q in [lm.level(np.array(c))]}
+    return lambda h, w: (min(ends[two[h, w]][0], ends[one[w]][0], ends[one[h]][0]) + lm.KAPPA * (ends[one[w]][0] + 1) / (n + v + 1)) / (ends[one[h]][1] + lm.KAPPA), one, two
+
+
+def test_lm_probabilities_are_normalised(documents):
+    """After any history the words of the vocabulary and one unknown sum to no more than 1, and to most of it."""
+    p, one, _ = exact_lm([(r["doc_id"], r["text"] or "") for r in documents.collect()])
+    for h in [None, "never seen", *[w for w, _ in one.most_common(5)], *list(one)[-5:]]:
+        total = sum(p(h, w) for w in [*one, "never seen"])
+        assert 0.4 < total <= 1 + 1e-9
+
+
+def test_lm_scores_hold_every_bigram(spark, documents, odd, monkeypatch):
+    """Broadcast or joined, with more segments or fewer: the scores of exact counts, at the filter's levels."""
+    monkeypatch.setattr(lm, "ENTRY_BITS", 40)  # next to no false positives
+    for docs, settings in ((documents, [{}, {"BROADCAST": 0}, {"BROADCAST": 0, "LEAST_SEGMENTS": 128, "TOGETHER": 20_000}, {"LEAST_SEGMENTS": 128, "TOGETHER": 20_000}]), (odd, [{}, {"BROADCAST": 0}])):
+        rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+        p = exact_lm(rows)[0]
+        want = {i: sum(log10(p(h, w)) for h, w in zip([None, *lm_tokens(t)], lm_tokens(t))) for i, t in rows}
+        for setting in settings:
+            with monkeypatch.context() as m:
+                for name, x in setting.items():
+                    m.setattr(lm, name, x)
+                assert {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()} == pytest.approx(want, rel=1e-3), setting
 
 
 # SimHash
@@ -337,7 +354,17 @@ def test_chat_layouts(spark):
         of.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
     assert of[1] == [("user", "p"), ("assistant", "r")] and [r for r, _ in of[2]] == ["user", "user", "assistant"]
     assert of[3] == [("user", "a"), ("assistant", "b")] and of[4] == [("user", "a"), ("assistant", "")]
-    assert [of[k][0][0] for k in (5, 6, 7)] == ["unmapped"] * 3 and 8 not in of
+    assert [of[k][0] for k in (5, 6, 7, 8)] == [("unmapped", x) for x in ('{"odd": 1}', "no json", "", '{"messages": []}')]
+
+
+@pytest.mark.parametrize("payload", ['{"messages": ["a"]}', '{"messages": "x"}', '{"messages": 5}', '{"messages": {}}', "[" * 100_000 + "]" * 100_000, '{"a":' * 100_000 + "1" + "}" * 100_000, '{"conv_id": 1, "turn": "x", "role": "user", "text": "t"}', '{"conv_id": 1, "turn": 1e400, "role": "user", "text": "t"}', '{"conv_id": 1, "turn": 99999999999999999999, "role": "user", "text": "t"}', '"x"', "5", "null", '{"\\ud800": 1}'])
+def test_chat_takes_malformed_records(payload):
+    assert chat.turns_of(payload)[1] == [(0, "unmapped", payload)]
+
+
+def test_chat_values_that_are_no_text(spark):
+    records = [(1, '{"id": 7, "source": "s", "prompt": [1], "response": "\\ud800x"}')]
+    assert [(r["role"], r["text"]) for r in chat.canonical_turns(spark.createDataFrame(records, "conv_id long, payload string")).collect()] == [("user", "[1]"), ("assistant", "\ufffdx")]
 
 
 def test_chat_odd_rows(spark):
@@ -416,6 +443,13 @@ def test_decontamination_equals_brute_force(spark, documents, odd):
     assert {r["n_hit"] for r in decontam.contamination(odd, items.limit(0)).collect()} == {0}
 
 
+def test_decontamination_takes_any_kind_of_id(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "five")], "doc_id long, text string")
+    for kind, one in (("int", 7), ("long", 7), ("date", __import__("datetime").date(2024, 1, 5)), ("string", "q")):
+        got = {r["doc_id"]: r for r in decontam.contamination(docs, spark.createDataFrame([(one, "two three"), (None, "five")], f"item_id {kind}, text string")).collect()}
+        assert got[1]["n_hit"] == 2 and got[1]["items_sha256"] == hashlib.sha256(str(one).encode()).hexdigest() and got[2]["n_hit"] == 1
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x green y blue"), (2, "blue green red"), (3, "red " + "x " * 30 + "green blue"), (4, "red green"), (5, "blue")], "doc_id long, text string")
     items = spark.createDataFrame([("q", "red green blue")], "item_id string, text string")
@@ -464,6 +498,20 @@ def test_pii_adjacent_values(spark):
     assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(done.select("doc_id", "text"), "key", back=True).collect()} == {i: t for i, (t, _) in enumerate(rows)}
 
 
+def test_pii_long_domains(spark):
+    """Labels without end, after an @: no value, and no stack overflow."""
+    texts = ["x@" + "a." * 3000 + "com", "x@" + "a." * 200_000 + "com", "x@" + "a" * 400_000, "a" * 400_000 + "@b.com", "1 " * 200_000, "+1" + "-12" * 100_000, "AB12" + " ABCD" * 100_000, "bob@sub.example.co.uk."]
+    got = {r["doc_id"]: r for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    assert [got[i]["text"] for i in (0, 1, 2)] == texts[:3] and all(len(got[i]["text"]) == len(t) for i, t in enumerate(texts))
+    assert got[7]["kinds"] == ["email"] and got[7]["text"].endswith("@sub.example.co.uk.") and not got[7]["text"].startswith("bob")
+
+
+def test_pii_phone_separators_make_no_difference(spark):
+    texts = ["+1 555-123-4567", "+1-555-123-4567", "+15551234567", "+1 (555) 123 4567"]
+    new = [r["text"] for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    assert len({re.sub(r"\D", "", t) for t in new}) == 1 and new[2] != texts[2] and [re.sub(r"\d", "0", t) for t in new] == [re.sub(r"\d", "0", t) for t in texts]
+
+
 def test_pii_is_a_permutation(spark):
     """All values of a small format map to different ones."""
     ips = spark.range(2000).select(F.concat_ws(".", F.lit("10"), F.lit("0"), F.floor(F.col("id") / 250).cast("string"), (F.col("id") % 250).cast("string")).alias("text"))

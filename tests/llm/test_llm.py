@@ -183,7 +183,7 @@ def test_filter_reads_levels_back():
     keys = np.unique(rng.integers(0, 1 << 38, 5000, dtype=np.uint64))  # 64 segments
     n = rng.integers(1, 2000, len(keys))
     of = (keys >> np.uint64(32)).astype(int)
-    f = lm.Filter([lm.Filter.holding(keys[of == i] & np.uint64(0xFFFFFFFF), n[of == i], lm.ENTRY_BITS).bits.tobytes() if i else b"" for i in range(64)])
+    f = lm.Filter.of([lm.Filter.holding(keys[of == i] & np.uint64(0xFFFFFFFF), n[of == i], lm.ENTRY_BITS).bits.tobytes() if i else b"" for i in range(64)])
     keys, n = keys[of > 0], n[of > 0]
     got, q = f.levels(keys), lm.level(n)
     assert (got >= q).all() and (got > q).mean() < 0.05 and (lm.low(q) <= n).all() and (n <= lm.high(q)).all()
@@ -192,7 +192,7 @@ def test_filter_reads_levels_back():
 
 
 def test_probing_a_full_filter_ends():
-    f = lm.Filter([b"\xff" * 8])
+    f = lm.Filter.of([b"\xff" * 8])
     assert f.levels(np.arange(5, dtype=np.uint64)).tolist() == [lm.TOP] * 5
 
 

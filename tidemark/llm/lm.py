@@ -36,6 +36,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,17 +50,17 @@ ENTRY_BITS, PROBES, BROADCAST = 10, 6, 128 << 20
 #: Exact counts that are broadcast; the others are joined.
 HOT = 1 << 17
 #: Bytes of training text a segment, and hashes that a task sorts at once.
-SEGMENT_BYTES, SORTED = 8 << 20, 1 << 21
+SEGMENT_BYTES, SORTED = 8 << 20, 1 << 20
 LEAST_SEGMENTS = 64
 #: Tokens of the texts whose n-grams are asked for at once; a longer text is taken whole.
 TOGETHER = 400_000
 #: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 END = np.uint64(xxhash.xxh64_intdigest(b""))  # no word is empty
 _ODD, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: The level of 2**62, more than any count.
-TOP = 125
+TOP = 124
 
 
 class _Hashes(dict):
@@ -93,18 +94,18 @@ def pairs(before: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 def level(count: np.ndarray) -> np.ndarray:
-    """Quantised log frequency in half octaves: 1 for a count of 1, 0 for none."""
-    return (1 + np.floor(2 * np.log2(np.maximum(count, 1)) + 1e-9)).astype(np.int64) * (count > 0)
+    """Quantised log frequency: 1, 2 and 3 for these counts, then half octaves; 0 for none."""
+    return np.where(count > 1, np.floor(2 * np.log2(np.maximum(count, 1)) + 1e-9), count > 0).astype(np.int64)
 
 
 def low(q: np.ndarray) -> np.ndarray:
     """The least count of a level."""
-    return np.where(q > 0, np.ceil(2.0 ** ((q - 1) / 2) - 1e-6), 0.0)
+    return np.where(q > 1, np.ceil(2.0 ** (q / 2) - 1e-6), q > 0).astype(np.float64)
 
 
 def high(q: np.ndarray) -> np.ndarray:
     """The greatest count of a level."""
-    return np.where(q > 0, np.maximum(low(q), np.ceil(2.0 ** (q / 2) - 1e-6) - 1), 0.0)
+    return np.where(q > 0, low(q + 1) - 1, 0.0)
 
 
 def _keys(h: np.ndarray, bits: int) -> np.ndarray:
@@ -187,10 +188,13 @@ def ngram_counts(training: DataFrame) -> tuple[DataFrame, int]:
 class Filter:
     """Segments of bits end to end. A key is the segment, then 32 bits of the n-gram."""
 
-    def __init__(self, segments: list[bytes]):
-        self.bits = np.frombuffer(b"".join(segments), np.uint8)
-        self.sizes = np.array([len(s) * 8 for s in segments], np.uint64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
+        self.bits, self.sizes = bits, sizes
+        self.starts = np.cumsum(sizes, dtype=np.uint64) - sizes
+
+    @classmethod
+    def of(cls, segments: list[bytes]) -> Filter:
+        return cls(np.frombuffer(b"".join(segments), np.uint8), np.array([len(s) * 8 for s in segments], np.uint64))
 
     @classmethod
     def holding(cls, h: np.ndarray, n: np.ndarray, room: int) -> Filter:
@@ -202,7 +206,7 @@ class Filter:
             for _ in range(PROBES):
                 bits[cls._scaled(g, np.uint64(len(bits)))] = 1
                 g = g + step
-        return cls([np.packbits(bits, bitorder="little").tobytes()])
+        return cls.of([np.packbits(bits, bitorder="little").tobytes()])
 
     @staticmethod
     def _hashed(h: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,7 +274,7 @@ def filter_scores(batches: DataFrame, ngrams: DataFrame, segments: int, n: int,
     def probe(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         levels = [b"\0" * (len(h) // 4) for h in asked["hashes"]]
         if len(own) and len(asked):
-            known = Filter([own["bits"].iloc[0]])
+            known = Filter.of([own["bits"].iloc[0]])
             levels = [known.levels(np.frombuffer(h, np.uint32).astype(np.uint64)).astype(np.uint8).tobytes() for h in asked["hashes"]]
         return pd.DataFrame({"batch": asked["batch"], "segment": asked["segment"], "levels": levels})
 
@@ -313,8 +317,18 @@ def whole_filter(ngrams: DataFrame, segments: int) -> Filter | None:
     """All segments' bits in one; None if they measure more than BROADCAST bytes."""
     if (ngrams.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) > BROADCAST:
         return None
-    known = {r["segment"]: bytes(r["bits"]) for r in ngrams.select("segment", "bits").collect()}
-    return Filter([known.get(i, b"") for i in range(segments)])
+    rows = ngrams.select("segment", "bits").orderBy("segment").toArrow()
+    sizes = np.zeros(segments, np.uint64)
+    sizes[rows.column("segment").to_numpy()] = pc.binary_length(rows.column("bits")).to_numpy() * 8
+    return Filter(np.concatenate([np.zeros(0, np.uint8), *(_bytes_of(chunk) for chunk in rows.column("bits").chunks)]), sizes)
+
+
+def _bytes_of(rows: pa.Array) -> np.ndarray:
+    """The values of a binary array end to end, where they are."""
+    kind = np.int64 if pa.types.is_large_binary(rows.type) else np.int32
+    _, offsets, data = rows.buffers()
+    first, last = np.frombuffer(offsets, kind)[[rows.offset, rows.offset + len(rows)]] if len(rows) else (0, 0)
+    return np.frombuffer(data, np.uint8)[first:last] if last > first else np.zeros(0, np.uint8)
 
 
 def score(docs: DataFrame, training: DataFrame, kappa: float = KAPPA) -> DataFrame:

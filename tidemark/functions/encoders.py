@@ -7,6 +7,7 @@ none for a missing value) and, where it has buckets, `bucket` and `value_of`.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -66,10 +67,13 @@ class Scalar:
         return math.ceil(span / self.step - 1e-9) + 2 * self.padding
 
     def _in(self, x: Column) -> Column:
+        """x in the range: periodic values go around, others are clipped or refused."""
         x = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
-        if self.clip and not self.periodic:
+        if self.periodic:
+            return self.low + F.pmod(x - self.low, F.lit(float(self.high - self.low)))
+        if self.clip:
             return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(self.high))), F.lit(float(self.low))))
-        outside = (x < self.low) | ((x >= self.high) if self.periodic else (x > self.high))
+        outside = (x < self.low) | (x > self.high)
         return F.when(~outside, x).when(x.isNull(), None).otherwise(F.raise_error("out of the encoder's range").cast("double"))
 
     def bucket(self, x: Column) -> Column:
@@ -87,12 +91,17 @@ class Scalar:
         return self.low + bucket * self.step + (self.step / 2 if self.periodic else 0.0)
 
     def decode(self, bits: Column) -> Column:
-        """The value whose bucket has the most of the bits (the least on a tie); null for none."""
+        """The value whose bucket has the most of the bits (the least on a tie); null for none. Only buckets that begin or end at a bit can have the most, and a block of neighbours names its own."""
         n = self.width if self.periodic else self.width - self.w + 1
-        half = (self.w - 1) // 2
-        block = lambda b: F.transform(F.sequence(F.lit(0), F.lit(self.w - 1)), lambda i: (F.pmod(b - half + i, F.lit(n)) if self.periodic else b + i).cast("int"))
-        votes = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.struct(F.size(F.array_intersect(bits, block(b))).alias("n"), (-b).alias("b")))
-        return F.when(F.size(bits) > 0, self.value_of(-F.array_max(votes)["b"]))
+        half = (self.w - 1) // 2 if self.periodic else 0
+        first = lambda b: F.pmod(b + half, F.lit(n)) if self.periodic else F.least(F.greatest(b, F.lit(0)), F.lit(n - 1))
+        held = lambda b: F.size(F.filter(bits, lambda p: F.pmod(p - b + half, F.lit(n)) < self.w if self.periodic else p.between(b, b + self.w - 1)))
+        asked = F.array_distinct(F.concat(F.array(F.lit(0)), F.transform(bits, first), F.transform(bits, lambda p: first(p - self.w + 1))))
+        best = F.array_max(F.transform(asked, lambda b: F.struct(held(b).alias("n"), (-b).alias("b"))))
+        low, high = F.array_min(bits), F.array_max(bits)
+        whole = (F.size(bits) == self.w) & (high - low == self.w - 1)
+        at = F.when(whole, first(low)).otherwise(-best["b"])
+        return F.when(F.size(bits) > 0, self.value_of(at))
 
     def closeness(self, expected: Column, actual: Column, fractional: bool = True) -> Column:
         error = F.abs(expected - actual)
@@ -150,6 +159,11 @@ class Category:
     def encode(self, x: Column) -> Column:
         return F.when(x.isNotNull(), _block(self.bucket(x) * self.w, self.w)).otherwise(_none())
 
+    def decode(self, bits: Column) -> Column:
+        """The category whose block has the most of the bits (the first on a tie); null for none."""
+        votes = F.transform(F.array_distinct(F.transform(bits, lambda b: F.floor(b / self.w).cast("int"))), lambda k: F.struct(F.size(F.filter(bits, lambda b: F.floor(b / self.w) == k)).alias("n"), (-k).alias("k")))
+        return F.when(F.size(bits) > 0, self.value_of(-F.array_max(votes)["k"]))
+
     def value_of(self, bucket: Column) -> Column:
         return F.when(bucket > 0, F.get(F.array(*map(F.lit, self.categories)), bucket - 1)).otherwise("<UNKNOWN>")
 
@@ -237,12 +251,67 @@ class Multi:
     def encode(self) -> Column:
         return concat(*[(e.encode(F.col(c)), e.width) for _, (c, e) in sorted(self.fields.items())])
 
+    def scalars(self) -> Column:
+        """What each field's encoder makes of its value before it is bits, in order: its bucket, or the value itself."""
+        return F.array(*[(e.bucket(F.col(c)) if hasattr(e, "bucket") else F.col(c)).cast("double") for _, (c, e) in sorted(self.fields.items())])
+
+    def values_of(self, buckets: dict[str, Column]) -> Column:
+        """The fields' values of their buckets, as a struct."""
+        return F.struct(*[self.fields[name][1].value_of(b).alias(name) for name, b in sorted(buckets.items())])
+
+    def parts(self, bits: Column) -> dict[str, Column]:
+        """Each field's own bits, counted from its first."""
+        own = lambda o, e: F.transform(F.filter(bits, lambda b: b.between(o, o + e.width - 1)), lambda b: b - o)
+        return {name: own(at, self.fields[name][1]) for name, at in self.offsets.items()}
+
+    def decode(self, bits: Column) -> Column:
+        """The fields' values of their parts of the bits, as a struct; null where a part has none."""
+        return F.struct(*[self.fields[name][1].decode(part).alias(name) for name, part in self.parts(bits).items()])
+
+    @classmethod
+    def of(cls, definitions: dict[str, dict | None]) -> Multi:
+        """From definitions, name -> {fieldname, type, and the encoder's parameters}; a definition of None, or a name with a colon, is left out."""
+        made = {}
+        for name, definition in definitions.items():
+            if definition is None or ":" in name:
+                continue
+            own = dict(definition)
+            column, kind = own.pop("fieldname"), own.pop("type")
+            if kind not in ENCODERS:
+                raise ValueError(f"no such encoder: {kind}")
+            made[name] = (column, ENCODERS[kind](**own))
+        return cls(made)
+
     def describe(self, bit: int) -> tuple[str, int]:
         """Which field a bit belongs to, and which of its bits it is."""
         name = max((n for n, o in self.offsets.items() if o <= bit), key=self.offsets.get)
         return name, bit - self.offsets[name]
 
 
+#: Encoders by the names that definitions use; register adds one's own.
+ENCODERS: dict[str, Callable[..., object]] = {"scalar": Scalar, "log": Log, "category": lambda w, categories: Category(w, tuple(categories)), "date": Date, "pass_through": PassThrough}
+
+
+def register(name: str, make: Callable[..., object]) -> None:
+    """An encoder of one's own: make(**parameters) gives an object with width and encode(column)."""
+    ENCODERS[name] = make
+
+
+def scalar_space(spec: StreamSpec, column: str, w: int, n: int, space: str = "absolute", reach: float = 100.0) -> Column:
+    """Bits of a value whose range isn't known ("absolute", an adaptive range) or of its changes ("delta", within reach)."""
+    if space == "absolute":
+        return adaptive(spec, column, w, n)
+    if space != "delta":
+        raise ValueError(f"no such space: {space}")
+    return Scalar(w, -reach, reach, n=n).encode(F.col(column) - F.lag(column).over(spec.records()))
+
+
+def expected_overlap(i: int, j: int, w: int) -> tuple[int, int]:
+    """The least and the most bits that two buckets of a distributed encoder share."""
+    d = abs(i - j)
+    return (w - d, w - d) if d < w else (0, 2)
+
+
 MAX_BUCKETS = 1000
 
 

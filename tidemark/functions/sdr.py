@@ -51,9 +51,9 @@ def transitions(active: Column, predicted: Column) -> Column:
     return F.struct(F.array_intersect(predicted, active).alias("predicted_active"), F.array_except(predicted, active).alias("predicted_inactive"), F.array_except(active, predicted).alias("unpredicted_active"))
 
 
-def with_noise(bits: Column, width: int, share: float, seed: str | Column) -> Column:
+def with_noise(bits: Column | str, width: int, share: float, seed: str | Column) -> Column:
     """A share of the on bits off and as many others on, chosen by a seeded hash."""
-    seed = F.lit(seed) if isinstance(seed, str) else seed
+    seed, bits = F.lit(seed) if isinstance(seed, str) else seed, F.col(bits) if isinstance(bits, str) else bits
     n = F.floor(F.size(bits) * share).cast("int")
     by_hash = lambda a: F.transform(F.array_sort(F.transform(a, lambda b: F.struct(F.xxhash64(seed, b).alias("h"), b.alias("b")))), lambda s: s["b"])
     off = F.array_except(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: i.cast("int")), bits)
@@ -64,3 +64,23 @@ def raw_anomaly(active: Column, predicted: Column) -> Column:
     """The share of active columns that weren't predicted; none active: 0."""
     n = F.size(active)
     return F.when(n > 0, (n - overlap(active, F.coalesce(predicted, F.array().cast("array<int>")))) / n).otherwise(0.0)
+
+
+def column_of(cell: Column, per_column: int) -> Column:
+    """The column that a cell is in."""
+    return F.floor(cell / per_column).cast("int")
+
+
+def cells_of(column: Column, per_column: int) -> Column:
+    """The cells of a column, as an array."""
+    return F.transform(F.sequence(F.lit(0), F.lit(per_column - 1)), lambda i: (column * per_column + i).cast("int"))
+
+
+def columns_of(cells: Column, per_column: int) -> Column:
+    """The columns of an array of cells, in order."""
+    return F.array_sort(F.array_distinct(F.transform(cells, lambda c: column_of(c, per_column))))
+
+
+def learned_only(active: Column, learned: Column) -> Column:
+    """Active columns less those that never learned."""
+    return F.array_sort(F.array_intersect(active, learned))

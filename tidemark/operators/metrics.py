@@ -6,17 +6,18 @@ value so far. All are window aggregates in record order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.windows import shift_inferences
 from tidemark.spec import StreamSpec
 
 
 @dataclass(frozen=True, slots=True)
 class Metric:
-    """name: one of ERRORS, or trivial, moving_mean, moving_mode, two_gram, neg_auc, multi_step, pass_through."""
+    """most: only the first so many records with a truth (and a prediction, if one is named) count. name: one of ERRORS, or trivial, moving_mean, moving_mode, two_gram, neg_auc, multi_step, pass_through."""
 
     name: str
     truth: str
@@ -24,11 +25,12 @@ class Metric:
     window: int | None = None
     steps: int = 1
     error: str = "aae"
+    most: int | None = None
     params: dict = field(default_factory=dict)
 
     @property
     def label(self) -> str:
-        said = {"window": self.window, "steps": self.steps, **self.params}
+        said = {"window": self.window, "steps": self.steps, "most": self.most, **self.params}
         return ":".join([self.name, *(f"{k}={v!r}" for k, v in sorted(said.items()) if v is not None), f"field={self.truth}"])
 
 
@@ -57,8 +59,18 @@ ERRORS = ("rmse", "nrmse", "aae", "alt_mape", "mape", "acc", "avg_err")
 
 def with_metric(df: DataFrame, spec: StreamSpec, m: Metric, name: str | None = None) -> DataFrame:
     """df with one more column, the metric's value after each record."""
+    name = name or m.name
+    if m.most is not None:
+        counts = F.col(m.truth).isNotNull() & (F.col(m.prediction).isNotNull() if m.prediction else F.lit(True))
+        some = df.withColumn("_counted", F.sum(counts.cast("long")).over(_frame(spec, None)))
+        within = lambda c: F.when(F.col("_counted") <= m.most, F.col(c))
+        some = some.withColumns({"_truth": within(m.truth), "_said": within(m.prediction) if m.prediction else F.lit(None)})
+        own = replace(m, truth="_truth", prediction="_said" if m.prediction else "", most=None, window=None)
+        if m.window is not None:
+            raise ValueError("a metric of the first records has no window")
+        return with_metric(some, spec, own, name).drop("_counted", "_truth", "_said")
     w, whole, rows = _frame(spec, m.window), _frame(spec, None), spec.records()
-    name, truth = name or m.name, F.col(m.truth)
+    truth = F.col(m.truth)
     if m.name in ERRORS:
         return df.withColumn(name, error(m.name, truth, F.col(m.prediction), w, whole))
     if m.name == "trivial":
@@ -89,6 +101,33 @@ def with_metric(df: DataFrame, spec: StreamSpec, m: Metric, name: str | None = N
     return df.withColumn(name, error(m.error, truth, F.col("_guess"), w, whole)).drop("_guess")
 
 
+def with_metrics(df: DataFrame, spec: StreamSpec, metrics: list[Metric], shift: dict[str, int] | None = None) -> DataFrame:
+    """df with a column for each metric, named by its label. shift: predictions that are about a later record are first moved there, by so many records."""
+    if shift:
+        df = shift_inferences(df, spec, shift)
+    for m in metrics:
+        df = with_metric(df, spec, m, m.label)
+    return df
+
+
+def as_json(df: DataFrame, spec: StreamSpec, labels: list[str], every: int | None = None) -> DataFrame:
+    """Keys, record and metrics (JSON of label -> value): of every so many-th record of a stream, or of its last one."""
+    values = F.to_json(F.create_map(*[x for c in labels for x in (F.lit(c), F.col(f"`{c}`").cast("double"))]))
+    df = df.withColumn("record", F.row_number().over(spec.records()).cast("long"))
+    if every is None:
+        return df.groupBy(*spec.keys).agg(F.max("record").alias("record"), F.max_by(values, "record").alias("metrics"))
+    return df.where(F.col("record") % every == 0).select(*spec.keys, "record", values.alias("metrics"))
+
+
+def prediction_log(df: DataFrame, spec: StreamSpec, inputs: list[str], predictions: dict[str, str], labels: list[str] = ()) -> DataFrame:
+    """What a log of predictions holds: keys and order, reset, the inputs by name, for each prediction (name -> column of the truth) its actual and its own value, then the metrics; all as text, missing as empty."""
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    reset = F.coalesce((F.col(spec.reset) != 0).cast("int"), F.lit(0)) if spec.reset else F.lit(0)
+    said = [x for name, truth in predictions.items() for x in (text(truth).alias(f"{name}.actual"), text(name).alias(name))]
+    own = [c for c in dict.fromkeys((*spec.keys, spec.ts, *spec.order)) if c not in inputs]
+    return df.select(*own, reset.alias("reset"), *[text(c).alias(c) for c in sorted(inputs)], *said, *[text(c).alias(c) for c in labels])
+
+
 def with_two_gram(df: DataFrame, spec: StreamSpec, column: str, name: str) -> DataFrame:
     """What has followed the previous value most often so far (the least on a tie); null if nothing has."""
     w = spec.records()

@@ -41,3 +41,12 @@ def softmax(records: DataFrame, weights: DataFrame) -> DataFrame:
 def best(distribution: DataFrame) -> DataFrame:
     """rec, bucket, p of the likeliest bucket (the least on a tie)."""
     return distribution.groupBy("rec").agg(F.max(F.struct("p", (-F.col("bucket")).alias("b"))).alias("m")).select("rec", (-F.col("m.b")).alias("bucket"), F.col("m.p").alias("p"))
+
+
+def state_differences(one: DataFrame, two: DataFrame, keys: list[str]) -> DataFrame:
+    """Of two tables of learned state: the keys of rows that only one has or whose other columns differ, with which: only_first, only_second or different."""
+    values = [c for c in one.columns if c not in keys]
+    pack = lambda df, name: df.select(*keys, F.struct(*values).alias(name))
+    both = pack(one, "_a").join(pack(two, "_b"), keys, "full_outer")
+    kind = F.when(F.col("_b").isNull(), "only_first").when(F.col("_a").isNull(), "only_second").when(~F.col("_a").eqNullSafe(F.col("_b")), "different")
+    return both.select(*keys, kind.alias("kind")).where("kind is not null")

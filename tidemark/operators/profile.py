@@ -55,12 +55,43 @@ def varying_date_parts(df: DataFrame, column: str) -> DataFrame:
     return df.agg(*[(F.min(e) != F.max(e)).alias(n) for n, e in parts.items()])
 
 
-def entries(df: DataFrame) -> DataFrame:
-    """A row for each column: field, total, n (not missing), distinct."""
-    each = [F.struct(F.lit(c).alias("field"), F.count(F.lit(1)).alias("total"), F.count(c).alias("n"), F.count_distinct(c).alias("distinct")) for c, _ in df.dtypes]
+def entries(df: DataFrame, error: float | None = None) -> DataFrame:
+    """A row for each column: field, total, n (not missing), distinct. Exact distinct counts expand each row by the number of columns; with a relative error they are sketches, in one pass."""
+    distinct = F.count_distinct if error is None else lambda c: F.approx_count_distinct(c, error)
+    each = [F.struct(F.lit(c).alias("field"), F.count(F.lit(1)).alias("total"), F.count(c).alias("n"), distinct(c).alias("distinct")) for c, _ in df.dtypes]
     return df.agg(F.array(*each).alias("all")).select(F.explode("all").alias("s")).select("s.*")
 
 
+def profile(df: DataFrame, top: int = 5) -> DataFrame:
+    """Every column by its kind: field, kind, statistic, value (text). Numbers: of numeric_profile; text: `value` and its count for the most frequent ones; dates: whether each part varies."""
+    out = None
+    for c, kind in df.dtypes:
+        if kind in NUMBERS:
+            own, name = numeric_profile(df, c), "number"
+        elif kind.startswith(("timestamp", "date")):
+            own, name = varying_date_parts(df, c), "date"
+        elif kind == "string":
+            own, name = string_profile(df, c, top), "text"
+            own = own.select(F.lit(c).alias("field"), F.lit(name).alias("kind"), F.col("value").alias("statistic"), F.col("n").cast("string").alias("value"))
+            out = own if out is None else out.unionByName(own)
+            continue
+        else:
+            continue
+        names = own.columns
+        rows = own.select(F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).cast("string").alias("value")) for n in names])).alias("s"))
+        own = rows.select(F.lit(c).alias("field"), F.lit(name).alias("kind"), "s.statistic", "s.value")
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no column has a kind that is profiled")
+    return out
+
+
+def cached(df: DataFrame, path: str) -> DataFrame:
+    """Statistics that are computed once: written where they aren't yet, then read."""
+    df.write.mode("ignore").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def joint_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """A joint histogram with its conditional probabilities: a, b, n, p_b_given_a, p_a_given_b."""
     n = df.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (a, b)])).groupBy(a, b).agg(F.count("*").alias("n"))

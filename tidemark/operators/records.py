@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -133,8 +135,39 @@ def project(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def align(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Both sides' records of equal keys, grouped: keys, left and right (arrays, null where a side has none)."""
-    one = left.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[c for c in left.columns if c not in keys]))).alias("left"))
-    two = right.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[c for c in right.columns if c not in keys]))).alias("right"))
-    return one.join(two, keys, "full_outer")
+def align(left: DataFrame, right: DataFrame, keys: list[str], of_left: list[Column], of_right: list[Column]) -> DataFrame:
+    """Both sides' records of equal keys, side by side: keys and the aggregates of each side, null where a side has none. Each side is aggregated first, so that a key is one row however often it comes."""
+    return left.groupBy(*keys).agg(*of_left).join(right.groupBy(*keys).agg(*of_right), keys, "full_outer")
+
+
+def bookmark(df: DataFrame, spec: StreamSpec) -> DataFrame:
+    """How far a stream has been read: keys, and upto, its last record's time and order."""
+    return df.groupBy(*spec.keys).agg(F.max(spec.first_by).alias("upto"))
+
+
+def after(df: DataFrame, spec: StreamSpec, mark: DataFrame) -> DataFrame:
+    """The records that come after a bookmark; streams that it doesn't name are read whole."""
+    return df.join(mark, list(spec.keys), "left").where(F.col("upto").isNull() | (spec.first_by > F.col("upto"))).drop("upto")
+
+
+def chain(df: DataFrame, spec: StreamSpec, filters: list[Callable[[DataFrame, StreamSpec], DataFrame]]) -> DataFrame:
+    """Filters one after another. Each takes and gives records; a record passes if all pass it, and its _reset is set if any of them, or the record before all filters, sets it."""
+    df = df if "_reset" in df.columns else with_record_meta(df, spec)
+    for f in filters:
+        df = f(df.withColumn("_before", F.col("_reset")), spec).withColumn("_reset", F.greatest("_before", "_reset")).drop("_before")
+    return df
+
+
+@dataclass(frozen=True, slots=True)
+class Sensor:
+    """Records to encoded records: derived metadata, a chain of filters, then the encoders' bits (encoders: an object with encode())."""
+
+    spec: StreamSpec
+    encoders: object
+    filters: tuple[Callable[[DataFrame, StreamSpec], DataFrame], ...] = ()
+    period: Interval | None = None
+
+    def sense(self, df: DataFrame, bits: str = "bits") -> DataFrame:
+        """df's records that pass, with _reset, _sequence, _category, _learning, _time_index and their bits."""
+        df = with_record_meta(df, self.spec, self.period)
+        return chain(df, self.spec, list(self.filters)).withColumn(bits, self.encoders.encode())

@@ -83,3 +83,27 @@ def cumulative(spec: StreamSpec, column: str) -> Column:
 def last_values(spec: StreamSpec, column: str, size: int) -> Column:
     """The last `size` values, oldest first."""
     return F.collect_list(column).over(_frame(spec, size))
+
+
+def prediction_extent(df: DataFrame, spec: StreamSpec, inputs: str, outputs: str, most: int, share: float = 1.0) -> DataFrame:
+    """df with extent: of how many of the next inputs in a row (`most` at most, none beyond a reset) each record's output holds at least a share of the bits."""
+    df = df.withColumn("_block", F.sum(F.coalesce((F.col(spec.reset) != 0).cast("int"), F.lit(0))).over(_frame(spec, None)) if spec.reset else F.lit(0))
+    ahead = F.collect_list(inputs).over(spec.records("_block").rowsBetween(1, most))
+    held = lambda x: F.size(F.array_intersect(x, outputs)) >= share * F.size(x)
+    step = lambda s, x: F.struct((s["n"] + (s["on"] & held(x)).cast("int")).alias("n"), (s["on"] & held(x)).alias("on"))
+    return df.withColumn("extent", F.aggregate(ahead, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), step)["n"]).drop("_block")
+
+
+def saturation(bits: str, height: int, width: int, box: int = 15) -> Column:
+    """Shares of on bits in the boxes of a level of height x width bits (those that have any), as an array of structs (row, column, share, inner); inner: the boxes above, below, left and right have some, too. Bits beyond the last whole box belong to none."""
+    rows, columns = height // box, width // box
+    at = F.transform(bits, lambda b: F.floor(F.floor(b / width) / box) * columns + F.floor(b % width / box))
+    inside = F.zip_with(bits, at, lambda b, k: F.when((F.floor(b / width) < rows * box) & (b % width < columns * box), k))
+    inside = F.filter(inside, lambda k: k.isNotNull())
+    box_of = lambda k: F.struct(F.floor(k / columns).alias("row"), (k % columns).alias("column"), (F.size(F.filter(inside, lambda o: o == k)) / (box * box)).alias("share"), _surrounded(inside, k, columns).alias("inner"))
+    return F.transform(F.array_sort(F.array_distinct(inside)), box_of)
+
+
+def _surrounded(boxes: Column, k: Column, columns: int) -> Column:
+    there = lambda o, ok: ok & F.array_contains(boxes, o)
+    return there(k - columns, k >= columns) & F.array_contains(boxes, k + columns) & there(k - 1, k % columns > 0) & there(k + 1, k % columns < columns - 1)

@@ -16,7 +16,7 @@ TYPES = encoders.Category(3, ("click", "error", "purchase", "view"))
 DATES = encoders.Date(season=3, day_of_week=3, weekend=3, time_of_day=5)
 
 #: Buckets of SCALAR (5.0 a step) and of PERIODIC (10.0 a step), in SQL.
-BUCKET, AROUND = "CAST(floor((x + 2.5) / 5.0) AS INT)", "CAST(floor(x * 50 / 500.0) AS INT)"
+BUCKET, AROUND = "CAST(floor((CASE WHEN x > 500 THEN 500.0 WHEN x < 0 THEN 0.0 ELSE x END + 2.5) / 5.0) AS INT)", "CAST(floor((x % 500) * 50 / 500.0) AS INT)"
 
 
 def _text(bits) -> F.Column:
@@ -56,7 +56,22 @@ def enc_date_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *[F.round(parts[k], 6).alias(k) if k != "weekend" else parts[k].alias(k) for k in ("season", "day_of_week", "weekend", "time_of_day")])
 
 
-@query()
+def _round_bits(scalar: encoders.Scalar, x: str, at: int) -> str:
+    """A periodic scalar's bits in SQL, moved by at."""
+    n, span, half = scalar.width, scalar.high - scalar.low, (scalar.w - 1) // 2
+    return f"list_sort([{at} + (CAST(floor((({x}) % {span}) * {n} / {span}.0) AS INT) - {half} + i + {n}) % {n} FOR i IN range({scalar.w})])"
+
+
+_HOURS = "(hour(ts) + minute(ts) / 60.0)"
+_D = DATES.parts
+_AT = {"season": 0, "day_of_week": _D["season"].width, "weekend": _D["season"].width + _D["day_of_week"].width, "time_of_day": _D["season"].width + _D["day_of_week"].width + _D["weekend"].width}
+
+
+@query(
+    f"""SELECT event_id, array_to_string(list_concat(list_concat({_round_bits(_D["season"], "dayofyear(ts) - 1", 0)}, {_round_bits(_D["day_of_week"], f"isodow(ts) - 1 + {_HOURS} / 24.0", _AT["day_of_week"])}),
+    list_concat(range({_AT["weekend"]} + w, {_AT["weekend"]} + w + 3), {_round_bits(_D["time_of_day"], _HOURS, _AT["time_of_day"])})), ' ') AS bits
+    FROM (SELECT *, CASE WHEN isodow(ts) > 5 OR (isodow(ts) = 5 AND hour(ts) > 18) THEN 3 ELSE 0 END AS w FROM events)"""
+)
 def enc_date_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All the parts' bits side by side."""
     return table(spark, sf_dir, "events").select("event_id", _text(DATES.encode(F.col("ts"))).alias("bits"))
@@ -223,3 +238,170 @@ def log_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def topology_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", _text(F.array_sort(maths.neighbourhood(F.col("event_id") % 60, 1, [6, 10]))).alias("near"))
+
+
+@query(
+    f"""WITH ev AS (SELECT event_id, value AS x, coalesce(list_position(['click', 'error', 'purchase', 'view'], event_type), 0) AS c, event_type FROM events)
+    SELECT event_id, array_to_string([CAST(c AS VARCHAR), CAST({BUCKET} AS VARCHAR)], ' ') AS scalars, round({BUCKET} * 5.0, 6) AS x, CASE WHEN c > 0 THEN event_type ELSE '<UNKNOWN>' END AS kind FROM ev"""
+)
+def composite_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoders from definitions: the fields' buckets, and what their bits decode to."""
+    multi = encoders.Multi.of({"kind": {"fieldname": "event_type", "type": "category", "w": 3, "categories": TYPES.categories}, "x": {"fieldname": "value", "type": "scalar", "w": 21, "low": 0, "high": 500, "n": 121}, "none": None})
+    df = table(spark, sf_dir, "events").withColumn("back", multi.decode(multi.encode()))
+    return df.select("event_id", F.array_join(multi.scalars().cast("array<int>").cast("array<string>"), " ").alias("scalars"), F.round("back.x", 6).alias("x"), "back.kind")
+
+
+@query(f"WITH ev AS (SELECT event_id, value AS x FROM events), b AS (SELECT event_id, CAST(floor((x % 500) * 50 / 500.0) AS INT) AS b FROM ev) SELECT event_id, round(b * 10.0 + 5.0, 6) AS decoded FROM b")
+def periodic_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.round(PERIODIC.decode(PERIODIC.encode(F.col("value"))), 6).alias("decoded"))
+
+
+@query(
+    f"""WITH ev AS (SELECT event_id, value AS x FROM events), n AS (SELECT event_id, {BUCKET} AS b FROM ev), v AS (SELECT event_id, k, CAST(len(list_filter(range(b, b + 21), lambda p: p % 3 <> 1 AND p BETWEEN k AND k + 20)) AS INT) AS n FROM n, range(101) r(k))
+    SELECT event_id, round(arg_max(k, (n, -k)) * 5.0, 6) AS decoded FROM v GROUP BY 1"""
+)
+def decode_partial_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of which a third of the bits is missing: the bucket with the most of them, the least on a tie."""
+    bits = F.filter(SCALAR.encode(F.col("value")), lambda b: b % 3 != 1)
+    return table(spark, sf_dir, "events").select("event_id", F.round(SCALAR.decode(bits), 6).alias("decoded"))
+
+
+@query(
+    f"""WITH d AS (SELECT event_id, value - lag(value) OVER ({RECORDS}) AS x FROM events), c AS (SELECT event_id, CASE WHEN x IS NOT NULL THEN greatest(least(x, 100.0), -100.0) END AS x FROM d)
+    SELECT event_id, CASE WHEN x IS NULL THEN '' ELSE array_to_string(range(CAST(floor((x + 101.0) / 2.0) AS INT), CAST(floor((x + 101.0) / 2.0) AS INT) + 21), ' ') END AS bits FROM c"""
+)
+def enc_scalar_space_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", _text(encoders.scalar_space(EVENTS, "value", 21, 121, "delta")).alias("bits"))
+
+
+@query("SELECT event_id, CAST(greatest(round(s * 2.0 / 30 / 2 * 1.5), 2) AS INT) AS radius FROM (SELECT event_id, value / 3 AS s FROM events)")
+def geo_speed_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", encoders.speed_radius(F.col("value") / 3, 2.0, 30.0, 21).alias("radius"))
+
+
+@query("SELECT event_id, array_to_string([event_id % 7, 7 + event_id % 11, 30], ' ') AS bits, CASE WHEN greatest(abs(value), 100) = 0 THEN 1.0 ELSE round(greatest(0, 1 - abs(value - 100) / greatest(abs(value), 100)), 6) END AS close FROM events")
+def pass_through_and_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = F.array((7 + F.col("event_id") % 11).cast("int"), (F.col("event_id") % 7).cast("int"), F.lit(30))
+    return table(spark, sf_dir, "events").select("event_id", _text(encoders.PassThrough(40, 3).encode(bits)).alias("bits"), F.round(encoders.closeness(F.col("value"), F.lit(100.0)), 6).alias("close"))
+
+
+@query(
+    f"""{PAIRS} SELECT event_id, len(list_intersect(a, b)) / 21.0 AS hits, (21 - len(list_intersect(a, b))) / 21.0 AS extra, (21 - len(list_intersect(a, b))) / 21.0 AS missing,
+    len(list_intersect(a, b)) AS met, 21 - len(list_intersect(a, b)) AS failed, 21 - len(list_intersect(a, b)) AS surprising FROM p WHERE b IS NOT NULL"""
+)
+def sdr_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the last record's bits foretell this one's."""
+    m, t = sdr.match(F.col("a"), F.col("b")), sdr.transitions(F.col("a"), F.col("b"))
+    df = _pairs(spark, sf_dir).where("b is not null").select("event_id", m.alias("m"), t.alias("t"))
+    return df.select("event_id", "m.hits", "m.extra", "m.missing", F.size("t.predicted_active").cast("long").alias("met"), F.size("t.predicted_inactive").cast("long").alias("failed"), F.size("t.unpredicted_active").cast("long").alias("surprising"))
+
+
+@query(f"{PAIRS} SELECT event_id, array_to_string(list_sort(list_distinct([c // 4 FOR c IN a])), ' ') AS columns, array_to_string(range((event_id % 30) * 4, (event_id % 30) * 4 + 4), ' ') AS cells, array_to_string([c FOR c IN a IF c % 2 = 0], ' ') AS learned FROM p")
+def cells_and_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evens = F.transform(F.sequence(F.lit(0), F.lit(60)), lambda i: i * 2)
+    return _pairs(spark, sf_dir).select("event_id", _text(sdr.columns_of(F.col("a"), 4)).alias("columns"), _text(sdr.cells_of(F.col("event_id") % 30, 4)).alias("cells"), _text(sdr.learned_only(F.col("a"), evens)).alias("learned"))
+
+
+@query("SELECT event_id, event_type = 'click' AS said, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id AS DOUBLE) / 4 END AS x, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id END AS n, array_to_string([event_id % 7, event_id % 11], ' ') AS list, repeat('.', CAST(event_id % 9 AS INT)) || '*' || repeat('.', CAST(8 - event_id % 9 AS INT)) AS drawn FROM events")
+def parse_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that are text: booleans, nullable numbers, lists; and bits drawn."""
+    none = F.col("event_id") % 5 == 0
+    df = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_type") == "click", F.element_at(F.array(F.lit("True"), F.lit("t"), F.lit("1")), (F.col("event_id") % 3 + 1).cast("int"))).otherwise("F").alias("b"),
+        F.when(none, "None").otherwise((F.col("event_id") / 4).cast("string")).alias("f"), F.when(none, F.when(F.col("event_id") % 2 == 0, "NULL").otherwise("None")).otherwise(F.col("event_id").cast("string")).alias("i"),
+        F.concat_ws("  ", F.col("event_id") % 7, F.col("event_id") % 11).alias("l"),
+    )
+    bits = F.array((F.col("event_id") % 9).cast("int"))
+    return df.select("event_id", text.parse_bool(F.col("b")).alias("said"), text.parse_float(F.col("f")).alias("x"), text.parse_int(F.col("i")).alias("n"), text.format_ints(text.parse_ints(F.col("l"))).alias("list"), text.draw_bits(bits, 9).alias("drawn"))
+
+
+@query(
+    """SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL, false) AS fits, CAST(event_id % 6 * 10 + event_id % 10 AS BIGINT) AS back,
+    array_to_string([CASE WHEN i = event_id % 6 THEN 1 ELSE 0 END FOR i IN range(6)], '') AS hot, round(ln(1.0000000001 - (event_id % 100) / 100.0) / -23.02585084720009, 6) AS scaled FROM events"""
+)
+def small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON of a schema, coordinates to an index, an indicator vector, a likelihood's log scale."""
+    back = maths.index_of(F.array(F.col("event_id") % 6, F.col("event_id") % 10), [6, 10])
+    hot = F.array_join(maths.one_hot(F.col("event_id") % 6, 6).cast("array<string>"), "")
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k long")["k"].isNotNull() & text.is_json_of(F.col("props"), "k long"), F.lit(False)).alias("fits"), back.alias("back"), hot.alias("hot"), F.round(maths.log_likelihood(F.col("event_id") % 100 / 100.0), 6).alias("scaled"))
+
+
+@query(
+    """SELECT event_id, string_agg(CAST(y * 10 + x AS VARCHAR), ' ' ORDER BY y * 10 + x) AS near FROM (SELECT event_id, (event_id % 60) // 10 AS r, event_id % 10 AS c FROM events), range(6) a(y), range(10) b(x)
+    WHERE least((y - r + 6) % 6, (r - y + 6) % 6) <= 1 AND least((x - c + 10) % 10, (c - x + 10) % 10) <= 1 GROUP BY 1"""
+)
+def wrapping_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", _text(F.array_sort(maths.neighbourhood(F.col("event_id") % 60, 1, [6, 10], wrap=True))).alias("near"))
+
+
+@query(
+    """WITH p AS (SELECT event_id, [(event_id % 5 + 1) / 10.0, 0.2, 0.8 - (event_id % 5 + 1) / 10.0] AS p, [2.0, 1.0, 0.5] AS a FROM events)
+    SELECT event_id, round(list_sum([CASE WHEN v > 0 THEN -v * ln(v) ELSE 0 END FOR v IN p]), 6) AS entropy, round(list_sum([CASE WHEN p[i] > 0 THEN -p[i] * ln(p[i] / a[i]) ELSE 0 END FOR i IN [1, 2, 3]]), 6) AS differential,
+    round(p[1] * p[2] * p[3], 8) AS product, list_max(p) > 0.45 AS some, list_max(p) < 0.65 AS every FROM p"""
+)
+def array_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = (F.col("event_id") % 5 + 1) / 10.0
+    df = table(spark, sf_dir, "events").select("event_id", F.array(first, F.lit(0.2), 0.8 - first).alias("p"))
+    areas = F.array(F.lit(2.0), F.lit(1.0), F.lit(0.5))
+    return df.select("event_id", F.round(maths.array_entropy(F.col("p")), 6).alias("entropy"), F.round(maths.differential_entropy(F.col("p"), areas), 6).alias("differential"), F.round(maths.product(F.col("p")), 8).alias("product"), maths.any_of(F.transform("p", lambda v: v > 0.45)).alias("some"), maths.all_of(F.transform("p", lambda v: v < 0.65)).alias("every"))
+
+
+@query("SELECT n, k, CAST(round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1))) AS DOUBLE) AS ways FROM range(1, 31) a(n), range(0, 31) b(k) WHERE k <= n")
+def binomial_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = (F.floor(F.col("id") / 31) + 1).cast("long"), F.col("id") % 31
+    return spark.range(30 * 31).select(n.alias("n"), k.alias("k")).where("k <= n").withColumn("ways", maths.choose(F.col("n"), F.col("k")))
+
+
+@query(
+    """WITH v AS (SELECT event_id, value AS x, value / 600 AS u, CAST(floor(value / 10) AS DOUBLE) AS k FROM events)
+    SELECT event_id, round(-0.5 * pow((x - 50) / 20, 2) - ln(20) - 0.5 * ln(2 * pi()), 6) AS normal, round(2 * ln(0.05) - lgamma(2) + ln(x) - 0.05 * x, 6) AS gamma,
+    round(lgamma(5) - lgamma(2) - lgamma(3) + ln(u) + 2 * ln(1 - u), 6) AS beta, round(k * ln(4) - 4 - lgamma(k + 1), 6) AS poisson, round(CASE WHEN k <= 9 THEN lgamma(10) - lgamma(k + 1) - lgamma(10 - k) + k * ln(0.3) + (9 - k) * ln(0.7) END, 6) AS binomial, round(ln(0.2) + k * ln(0.8), 6) AS geometric FROM v WHERE u BETWEEN 0.001 AND 0.999"""
+)
+def log_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, u, k = F.col("value"), F.col("value") / 600, F.floor(F.col("value") / 10).cast("double")
+    d = maths.log_density
+    each = {"normal": d("normal", x, mean=50.0, stdev=20.0), "gamma": d("gamma", x, shape=2.0, rate=0.05), "beta": d("beta", u, a=2.0, b=3.0), "poisson": d("poisson", k, rate=4.0), "binomial": F.when(k <= 9, d("binomial", k, n=9.0, p=0.3)), "geometric": d("geometric", k, p=0.2)}
+    return table(spark, sf_dir, "events").where(u.between(0.001, 0.999)).select("event_id", *[F.round(e, 6).alias(n) for n, e in each.items()])
+
+
+@query(
+    """WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) - 0.1 AS a, CAST(embedding[2] AS DOUBLE) + 0.2 AS b FROM embeddings)
+    SELECT vec_id, round(-0.5 * (3 * a * a - 2 * 0.5 * a * b + 2 * b * b) / 5.75 - 0.5 * ln(5.75) - ln(2 * pi()), 5) AS log_p FROM v"""
+)
+def log_normal_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "embeddings")
+    return df.select("vec_id", F.round(maths.log_normal_density("embedding", [0.1, -0.2], [[2.0, 0.5], [0.5, 3.0]]), 5).alias("log_p"))
+
+
+@query("SELECT event_id, a, b FROM (SELECT event_id, [event_id % 3, event_id % 5 + 10, event_id % 7 + 20] AS v FROM events), (VALUES (1, 2), (1, 3), (2, 3)) p(i, j), LATERAL (SELECT v[i] AS a, v[j] AS b)")
+def pairs_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    df = table(spark, sf_dir, "events").withColumn("v", F.array(e % 3, e % 5 + 10, e % 7 + 20))
+    return df.select("event_id", F.explode(maths.combinations("v", ("a", "b"))).alias("p")).select("event_id", "p.a", "p.b")
+
+
+def _centre_sql(rounds: int) -> str:
+    """Rounds of fuzzy means in SQL: each takes the one before it as one row."""
+    out = "WITH c0 AS (SELECT 10.0 AS a, 60.0 AS b, 200.0 AS c)"
+    for i in range(rounds):
+        w = ", ".join(f"pow(greatest(abs(value - {k}), 1e-12), -2.0) AS w{k}" for k in "abc")
+        u = ", ".join(f"pow(w{k} / (wa + wb + wc), 1.5) AS u{k}" for k in "abc")
+        m = ", ".join(f"sum(u{k} * value) / sum(u{k}) AS {k}" for k in "abc")
+        out += f", d{i} AS (SELECT value, {w} FROM events, c{i}), e{i} AS (SELECT value, {u} FROM d{i}), c{i + 1} AS (SELECT {m} FROM e{i})"
+    return out + f" SELECT round(a, 5) AS low, round(b, 5) AS middle, round(c, 5) AS high FROM c{rounds}"
+
+
+@query(_centre_sql(5))
+def fuzzy_three_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low, middle, high = maths.fuzzy_centres(table(spark, sf_dir, "events"), "value", [10.0, 60.0, 200.0])
+    return spark.range(1).select(*[F.round(F.lit(x), 5).alias(n) for x, n in ((low, "low"), (middle, "middle"), (high, "high"))])
+
+
+def erf_sql(z: str) -> str:
+    """erf in SQL, by its series of positive terms."""
+    return f"(2 / sqrt(pi()) * exp(-{z} * {z}) * list_sum([exp(2 * n * ln(2) + (2 * n + 1) * ln(greatest({z}, 1e-300)) + lgamma(n + 1) - lgamma(2 * n + 2)) FOR n IN range(150)]))"
+
+
+@query(f"WITH v AS (SELECT event_id, (value - 50) / 20 AS z, abs(value - 50) / 20 / sqrt(2) AS a FROM events WHERE value < 200) SELECT event_id, round(CASE WHEN z > 0 THEN 0.5 + {erf_sql('a')} / 2 ELSE 0.5 - {erf_sql('a')} / 2 END, 8) AS p FROM v")
+def normal_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("value < 200").select("event_id", F.round(maths.normal_cdf(F.col("value"), 50.0, 20.0), 8).alias("p"))

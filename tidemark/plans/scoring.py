@@ -1,14 +1,16 @@
-"""Queries over predictions: error metrics, models, anomaly scores, nearest neighbours, inference over frozen state, learning cores, search."""
+"""Queries over predictions: error metrics, models, anomaly scores, nearest neighbours, inference over frozen state, search."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.encoders import Scalar
-from tidemark.operators import anomaly, knn, metrics, models, pooling, search
-from tidemark.operators.sequential import SoftmaxClassifier, SpatialPooler, TemporalMemory, in_order
+from tidemark.operators import anomaly, knn, metrics, models, pooling, ranking, search
+from tidemark.operators.records import with_index
 from tidemark.plans.catalog import EVENTS, EVENTS_SQL, RECORDS, events, query, register, table
+from tidemark.plans.coding import erf_sql
+from tidemark.spec import StreamSpec
 
 WINDOW = 20
 #: Truth x, predicted by the record before.
@@ -134,16 +136,75 @@ def likelihood_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.fit(df, ["user_id"], "raw").select("user_id", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
 
 
-@query()
+def _tail_sql(mean: str, dev: str) -> str:
+    """The tail of avg under a normal, by a series of positive terms; then the likelihood, runs of red as yellow."""
+    z = f"(abs(a - {mean}) / {dev} / 1.4142)"
+    return f"(0.5 - {erf_sql(z)} / 2)"
+
+
+def _likelihood_sql(rows: str, ready: str) -> str:
+    """rows: a query with event_id, user_id, ts, a (the average), m and d (the fit)."""
+    return f"""{rows}, z AS (SELECT *, {_tail_sql("m", "d")} AS half FROM r), t AS (SELECT *, CASE WHEN {ready} THEN CASE WHEN a >= m THEN half ELSE 1 - half END END AS q FROM z),
+    l AS (SELECT *, lag(q) OVER ({RECORDS}) AS before FROM t), y AS (SELECT event_id, coalesce(1 - CASE WHEN q <= 1e-5 AND before <= 1e-5 THEN 1e-3 ELSE q END, 0.5) AS p FROM l)
+    SELECT event_id, round(p, 6) AS likelihood, round(ln(1.0000000001 - p) / -23.02585084720009, 5) AS log_likelihood FROM y"""
+
+
+@query(
+    _likelihood_sql(
+        f"""WITH v AS (SELECT *, avg(value / 500) OVER ({RECORDS} ROWS 9 PRECEDING) AS a FROM events), f AS (SELECT user_id, greatest(avg(a), 0.03) AS m, sqrt(greatest(var_pop(a), 0.0003)) AS d FROM v GROUP BY 1),
+        r AS (SELECT v.*, m, d FROM v JOIN f USING (user_id))""",
+        "true",
+    )
+)
 def likelihood_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").withColumn("raw", F.col("value") / 500)
-    return anomaly.batch_likelihoods(df, EVENTS, "raw").select("event_id", F.round("likelihood", 6).alias("likelihood"), F.round("log_likelihood", 6).alias("log_likelihood"))
+    return anomaly.batch_likelihoods(df, EVENTS, "raw").select("event_id", F.round("likelihood", 6).alias("likelihood"), F.round("log_likelihood", 5).alias("log_likelihood"))
 
 
-@query()
+#: Each record's last fit: at the first record that is due, then at each multiple of 5, over the 40 records before it, less the first 20 of the stream.
+ONLINE = f"""WITH n AS (SELECT *, value / 500 AS raw, row_number() OVER ({RECORDS}) - 1 AS n, avg(value / 500) OVER ({RECORDS} ROWS 9 PRECEDING) AS a FROM events),
+due AS (SELECT user_id, n AS upto FROM n WHERE n = 30 OR (n > 30 AND n % 5 = 0)),
+h AS (SELECT d.user_id, d.upto, p.n, avg(p.raw) OVER (PARTITION BY d.user_id, d.upto ORDER BY p.n ROWS 9 PRECEDING) AS a, row_number() OVER (PARTITION BY d.user_id, d.upto ORDER BY p.n) - 1 AS k FROM due d JOIN n p ON p.user_id = d.user_id AND p.n >= d.upto - 40 AND p.n < d.upto),
+f AS (SELECT user_id, upto, greatest(avg(a), 0.03) AS m, sqrt(greatest(var_pop(a), 0.0003)) AS d FROM h WHERE k >= least(upto, greatest(0, 20 - greatest(0, upto - 40))) GROUP BY ALL),
+r AS (SELECT n.*, f.m, f.d FROM n ASOF LEFT JOIN f ON n.user_id = f.user_id AND n.n >= f.upto)"""
+
+
+@query(_likelihood_sql(ONLINE, "n >= 30"))
 def likelihood_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").withColumn("raw", F.col("value") / 500)
-    return anomaly.online_likelihoods(df, EVENTS, "raw", learning=20, samples=10, every=5).select("event_id", F.round("likelihood", 6).alias("likelihood"))
+    done = anomaly.online_likelihoods(df, EVENTS, "raw", learning=20, samples=10, history=40, every=5)
+    return done.select("event_id", F.round("likelihood", 6).alias("likelihood"), F.round("log_likelihood", 5).alias("log_likelihood"))
+
+
+@query(f"WITH p AS (SELECT event_id, value / 500 AS raw, (event_id % 100) / 100.0 AS l FROM events) SELECT event_id, round(1 - l, 6) AS by_likelihood, round(raw * (1 - l), 6) AS weighted, CAST(raw >= 0.1 AS DOUBLE) AS flag FROM p")
+def anomaly_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, l = F.col("value") / 500, F.col("event_id") % 100 / 100.0  # noqa: E741
+    each = {"by_likelihood": F.round(anomaly.score("likelihood", raw, l), 6), "weighted": F.round(anomaly.score("weighted", raw, l), 6), "flag": anomaly.thresholded(anomaly.score("pure", raw, l), 0.1)}
+    return table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in each.items()])
+
+
+@query("SELECT n, CAST(least(n, greatest(0, 288 - greatest(0, n - 8640))) AS BIGINT) AS skipped FROM range(0, 10000, 7) r(n)")
+def likelihood_skip_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(0, 10000, 7).select(F.col("id").alias("n"), anomaly.skipped(F.col("id"), 8640, 288).cast("long").alias("skipped"))
+
+
+@query("SELECT user_id, CASE WHEN var_pop(value % 1) < 1.5e-5 THEN 0.5 ELSE round(greatest(avg(value / 500), 0.03), 6) END AS mean, CASE WHEN var_pop(value % 1) < 1.5e-5 THEN 1e6 ELSE round(greatest(var_pop(value / 500), 0.0003), 6) END AS variance FROM (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 7.5 ELSE value END AS value FROM events) GROUP BY 1")
+def likelihood_null_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric that hardly varies gives the null distribution."""
+    value = F.when(F.col("user_id") % 3 == 0, 7.5).otherwise(F.col("value"))
+    df = table(spark, sf_dir, "events").withColumns({"raw": value / 500, "metric": value % 1})
+    return anomaly.fit(df, ["user_id"], "raw", "metric").select("user_id", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+@query(
+    f"""WITH r AS (SELECT user_id, event_id, row_number() OVER ({RECORDS}) - 1 AS n FROM events) SELECT user_id, event_id, CASE WHEN n >= 4 AND n < 6 THEN 'odd,spike' WHEN n >= 2 AND n < 8 THEN 'odd' ELSE '' END AS labels FROM r"""
+)
+def anomaly_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = with_index(table(spark, sf_dir, "events"), EVENTS)
+    users = df.select("user_id").distinct()
+    ranges = spark.createDataFrame([(2, 8, "odd"), (4, 6, "spike"), (3, 5, "wrong")], "start long, stop long, label string")
+    ranges = anomaly.without_labels(users.crossJoin(F.broadcast(ranges)), 3, 5, "wrong")
+    return anomaly.labelled(df, EVENTS, ranges).select("user_id", "event_id", F.array_join("labels", ",").alias("labels"))
 
 
 KNN = """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -207,12 +268,12 @@ def pooler_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH b AS ({BITS}), s AS (SELECT col AS segment, input AS cell, permanence FROM ({SYNAPSES})),
     a AS (SELECT rec, segment, count(*) AS potential, count(*) FILTER (permanence > 0.5 - 1e-5) AS connected FROM b JOIN s ON b.input = s.cell GROUP BY ALL)
-    SELECT rec, CAST(segment // 4 AS INT) AS cell, count(*) AS n FROM a WHERE connected >= 13 GROUP BY ALL"""
+    SELECT rec, CAST(segment // 4 AS INT) AS cell, count(*) AS n FROM a WHERE connected >= 9 GROUP BY ALL"""
 )
 def segment_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     synapses = _synapses(spark).select(F.col("column").alias("segment"), F.col("input").alias("cell"), "permanence")
     active = _records(spark, sf_dir).select("rec", F.explode("bits").alias("cell"))
-    done = pooling.segment_activity(active, synapses).where("connected >= 13")
+    done = pooling.segment_activity(active, synapses).where("connected >= 9")
     return done.groupBy("rec", F.floor(F.col("segment") / 4).cast("int").alias("cell")).agg(F.count("*").alias("n"))
 
 
@@ -226,33 +287,165 @@ def softmax_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooling.softmax(_records(spark, sf_dir), weights).select("rec", "bucket", F.round("p", 6).alias("p"))
 
 
-def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumns({"bits": CODE.encode(F.col("value")), "bucket": CODE.bucket(F.col("value"))})
+@query(
+    """WITH w AS (SELECT event_id, range(CAST(floor((value + 2.5) / 5.0) AS INT), CAST(floor((value + 2.5) / 5.0) AS INT) + 21) AS b FROM events)
+    SELECT q.event_id AS query_id, p.event_id AS row_id, len(list_intersect(q.b, p.b)) AS overlap FROM w q, w p WHERE q.event_id % 100 = 0 AND len(list_intersect(q.b, p.b)) > 0"""
+)
+def knn_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common bits of the records whose id is divisible by 100 with all records."""
+    df = _records(spark, sf_dir)
+    return knn.overlaps(df.where("rec % 100 = 0").withColumnRenamed("rec", "query_id"), df.withColumnRenamed("rec", "row_id"))
 
 
-@query()
-def pooler_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = in_order(_encoded(spark, sf_dir), EVENTS, ["bits"], lambda key: SpatialPooler(CODE.width, 128, 8), "columns array<int>")
-    return df.select("event_id", "columns")
+@query("SELECT vec_id, round(sqrt(sum(pow(CAST(x AS DOUBLE) - m, 2))), 3) AS length FROM (SELECT vec_id, i, embedding[i] AS x, avg(embedding[i]) OVER (PARTITION BY i) AS m FROM embeddings, range(1, 65) r(i)) GROUP BY 1")
+def principal_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In all its principal directions a vector less the mean keeps its length."""
+    df = knn.principal(table(spark, sf_dir, "embeddings"), "embedding", 64, 64)
+    return df.select("vec_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)), 3).alias("length"))
 
 
-@query()
-def memory_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = in_order(_encoded(spark, sf_dir), EVENTS, ["bits"], lambda key: TemporalMemory(CODE.width, 4), "cells array<int>, predicted array<int>, score double")
-    return df.select("event_id", "predicted", "score")
+@query(
+    """WITH old AS (SELECT vec_id, vec_id % 50 AS v, label FROM embeddings WHERE vec_id % 7 <> 0), more AS (SELECT vec_id + 1000000 AS vec_id, vec_id % 60 AS v, 9 AS label FROM embeddings WHERE vec_id % 3 = 0),
+    b AS (SELECT * FROM old UNION ALL SELECT * FROM more), l AS (SELECT v, max(vec_id) AS row_id, arg_max(label, vec_id) AS category FROM b GROUP BY 1)
+    SELECT row_id, CAST(CASE WHEN category = 9 THEN 90 ELSE category END AS INT) AS category FROM l WHERE row_id % 11 <> 0 AND category <> 2"""
+)
+def knn_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prototypes are learned (of equal ones the latest stays), removed by id and category, and named anew."""
+    df = table(spark, sf_dir, "embeddings")
+    own = lambda d, i, by, c: d.select(i.alias("row_id"), F.array(F.col("vec_id") % by).alias("vector"), c.alias("category"), F.lit(None).cast("long").alias("part"))
+    old = own(df.where("vec_id % 7 <> 0"), F.col("vec_id"), 50, F.col("label"))
+    both = knn.learned(old, own(df.where("vec_id % 3 = 0"), F.col("vec_id") + 1000000, 60, F.lit(9)), replace=True)
+    left = knn.without_category(knn.without_rows(both, both.where("row_id % 11 = 0")), 2)
+    return knn.remapped(left, spark.createDataFrame([(9, 90)], "category int, new int")).select("row_id", "category")
 
 
-@query()
-def classifier_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = lambda key: SoftmaxClassifier(CODE.width, 101, 1)
-    df = in_order(_encoded(spark, sf_dir), EVENTS, ["bits", "bucket", "value"], make, "best int, p double, prediction double")
-    return df.select("event_id", "best", F.round("p", 6).alias("p"), F.round("prediction", 4).alias("prediction"))
+@query(
+    """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+    SELECT vec_id, array_to_string([i - 1 FOR i IN range(1, 65) IF e[i] > 0.5], ' ') AS bits, CAST(len([x FOR x IN e IF abs(x) > 0.1]) AS BIGINT) AS kept FROM v"""
+)
+def knn_input_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return df.select("vec_id", F.array_join(knn.binarised("embedding").cast("array<string>"), " ").alias("bits"), F.size(F.filter(knn.sparsified("embedding"), lambda v: v != 0)).cast("long").alias("kept"))
 
 
-@query()
-def sequence_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoder, pooler, memory, classifier and likelihood over every user's records."""
-    return models.sequence_model(table(spark, sf_dir, "events"), EVENTS, "value", CODE).select("event_id", "score", "likelihood", "bucket", "prediction")
+@query(
+    f"""WITH s AS ({SYNAPSES}), t AS (SELECT col, input, CASE WHEN input % 10 = 3 THEN permanence + 1 ELSE permanence END AS permanence FROM s WHERE col <> 5 UNION ALL SELECT 64, 0, 0.5)
+    SELECT CAST(coalesce(s.col, t.col) AS INT) AS "column", CAST(coalesce(s.input, t.input) AS INT) AS input, CASE WHEN t.col IS NULL THEN 'only_first' WHEN s.col IS NULL THEN 'only_second' ELSE 'different' END AS kind
+    FROM s FULL JOIN t ON s.col = t.col AND s.input = t.input WHERE t.col IS NULL OR s.col IS NULL OR s.permanence <> t.permanence"""
+)
+def state_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = _synapses(spark)
+    two = one.where("column <> 5").withColumn("permanence", F.when(F.col("input") % 10 == 3, F.col("permanence") + 1).otherwise(F.col("permanence")))
+    return pooling.state_differences(one, two.unionByName(spark.createDataFrame([(64, 0, 0.5)], "column int, input int, permanence double")), ["column", "input"])
+
+
+@query(f"WITH s AS ({SYNAPSES}), b AS ({BITS}), a AS (SELECT rec, col AS segment, count(*) FILTER (permanence > 0.5 - 1e-5) AS n FROM b JOIN s ON b.input = s.input GROUP BY ALL) SELECT DISTINCT rec, CAST(segment // 4 AS INT) AS cell FROM a WHERE n >= 9")
+def predicted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synapses = _synapses(spark).select(F.col("column").alias("segment"), F.col("input").alias("cell"), "permanence")
+    active = _records(spark, sf_dir).select("rec", F.explode("bits").alias("cell"))
+    owners = spark.range(64).select(F.col("id").cast("int").alias("segment"), F.floor(F.col("id") / 4).cast("int").alias("cell"))
+    return pooling.predictive_cells(pooling.segment_activity(active, synapses), owners, 9)
+
+
+@query(
+    """WITH p AS (SELECT event_id, event_id % 7 + 1 AS a, event_id % 5 + 1 AS b, 3 AS c FROM events)
+    SELECT event_id, CASE WHEN a >= b AND a >= c THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS category, round(a / (a + b + c), 6) AS p_a FROM p"""
+)
+def classification_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = F.create_map(F.lit("a"), (F.col("event_id") % 7 + 1).cast("double"), F.lit("b"), (F.col("event_id") % 5 + 1).cast("double"), F.lit("c"), F.lit(3.0))
+    df = models.classified(table(spark, sf_dir, "events").withColumn("scores", scores), "scores")
+    return df.select("event_id", "category", F.round(F.col("confidences")[0]["a"], 6).alias("p_a"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a' ELSE 'a,b' END AS places, CASE WHEN event_id % 3 = 0 THEN '0:0.5,2:0.4' ELSE '2:0.4,1:0.35' END AS likely FROM events")
+def top_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of the greatest value, and the likeliest predictions: at least 0.3 each, two at most."""
+    first = F.col("event_id") % 3 == 0
+    p = F.create_map(F.lit(0), F.when(first, 0.5).otherwise(0.25), F.lit(1), F.when(first, 0.1).otherwise(0.35), F.lit(2), F.lit(0.4))
+    df = table(spark, sf_dir, "events").select("event_id", p.alias("p"), F.when(first, F.array(F.lit(3), F.lit(1))).otherwise(F.array(F.lit(3), F.lit(3))).alias("v"))
+    names = F.array(F.lit("a"), F.lit("b"))
+    places = F.array_join(F.transform(ranking.argmax_all("v"), lambda i: F.get(names, i)), ",")
+    return df.select("event_id", places.alias("places"), F.array_join(F.transform(ranking.likely("p", 0.3, 2), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",").alias("likely"))
+
+
+@query(f"WITH g AS (SELECT *, lag(value) OVER ({RECORDS}) AS p FROM events), e AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id, p IS NULL ORDER BY ts, event_id) <= 5 THEN abs(value - p) END AS d FROM g) SELECT event_id, round(avg(d) {WHOLE}, 8) AS metric FROM e")
+def metric_max_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").withColumn("p", F.lag("value").over(EVENTS.records()))
+    return metrics.with_metric(df, EVENTS, metrics.Metric("aae", "value", "p", most=5), "metric").select("event_id", F.round("metric", 8).alias("metric"))
+
+
+@query(f"WITH l AS (SELECT *, CAST(event_id % 4 AS INT) AS b FROM events), g AS (SELECT *, -ln(CASE b WHEN 0 THEN 0.6 WHEN 1 THEN 0.3 ELSE 0.1 END) AS d FROM l) SELECT event_id, round(avg(d) {OVER}, 8) AS metric FROM g")
+def metric_negative_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets that the prediction doesn't name share what is left."""
+    df = table(spark, sf_dir, "events").withColumns({"b": (F.col("event_id") % 4).cast("int"), "said": F.create_map(F.lit(0), F.lit(0.6), F.lit(1), F.lit(0.3))})
+    return metrics.with_metric(df, EVENTS, metrics.Metric("negative_log_likelihood", "b", "said", window=WINDOW), "metric").select("event_id", F.round("metric", 8).alias("metric"))
+
+
+@query(f"{GUESSED}, m AS (SELECT *, {ERRORS['aae']} AS a, {ERRORS['mape']} AS b FROM e), c AS (SELECT *, 0.25 * a + 0.75 * b AS total FROM m) SELECT event_id, round(total, 6) AS multi, round(avg(total) {OVER}, 6) AS mean, round(avg(CASE WHEN x > p THEN x - p ELSE 0.5 * (p - x) END) {OVER}, 8) AS own FROM c")
+def metric_multi_and_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A weighted sum of metrics, its moving mean, and a metric of one's own as an expression."""
+    df = events(spark, sf_dir).select("user_id", "ts", "event_id", "x").withColumn("p", F.lag("x").over(EVENTS.records()))
+    df = metrics.with_metrics(df, EVENTS, [metrics.Metric("aae", "x", "p", window=WINDOW), metrics.Metric("mape", "x", "p", window=WINDOW)])
+    parts = {f"`{metrics.Metric(n, 'x', 'p', window=WINDOW).label}`": w for n, w in (("aae", 0.25), ("mape", 0.75))}
+    df = df.withColumn("both", metrics.multi(parts))
+    own = metrics.custom("CASE WHEN groundTruth > prediction THEN groundTruth - prediction ELSE 0.5 * (prediction - groundTruth) END", "x", "p", EVENTS, WINDOW)
+    return df.select("event_id", F.round("both", 6).alias("multi"), F.round(metrics.multi({"both": 1.0}, WINDOW, EVENTS), 6).alias("mean"), F.round(own, 8).alias("own"))
+
+
+@query(
+    f"""WITH g AS (SELECT *, lag(value, 3) OVER ({RECORDS}) AS p FROM events), m AS (SELECT *, avg(abs(value - p)) {OVER} AS a, row_number() OVER ({RECORDS}) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM g)
+    SELECT user_id, k AS record, round(a, 6) AS aae FROM m WHERE k % 10 = 0 UNION ALL SELECT user_id, k, round(a, 6) FROM m WHERE k = n AND k % 10 <> 0"""
+)
+def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of predictions three ahead as JSON, every ten records and at the end, read back."""
+    m = metrics.Metric("aae", "value", "said", window=WINDOW)
+    df = metrics.with_metrics(table(spark, sf_dir, "events").withColumn("said", F.col("value")), EVENTS, [m], {"said": 3})
+    periodic, last = metrics.as_json(df, EVENTS, [m.label], 10), metrics.as_json(df, EVENTS, [m.label])
+    rows = periodic.union(last.where("record % 10 <> 0"))
+    return rows.select("user_id", "record", F.round(F.from_json("metrics", "map<string, double>")[m.label], 6).alias("aae"))
+
+
+@query(
+    f"""WITH g AS (SELECT *, lag(value) OVER ({RECORDS}) AS p FROM events), m AS (SELECT *, avg(abs(value - p)) {OVER} AS a FROM g)
+    SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS reset, event_type AS type, value AS actual, p AS said, round(a, 6) AS aae FROM m"""
+)
+def experiment_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An experiment from its description: a model of the previous value, shifted predictions, metrics, and its log of text columns, read back as numbers."""
+    spec = StreamSpec(EVENTS.keys, EVENTS.ts, EVENTS.order, reset="begins")
+    df = table(spark, sf_dir, "events").withColumn("begins", (F.col("event_id") % 50 == 0).cast("int"))
+    e = models.Experiment.of({"model": "previous_value", "predictedField": "value", "steps": 1, "metrics": [{"metric": "aae", "window": WINDOW}], "tasks": [["learn", 5], ["infer", 2]]}, spec)
+    log, (m,) = e.log(e.run(df), ["event_type", "value"]), e.metrics
+    number = lambda c: F.nullif(F.col(f"`{c}`"), F.lit("")).cast("double")
+    return log.select("event_id", "reset", F.col("event_type").alias("type"), number("prediction.actual").alias("actual"), number("prediction").alias("said"), F.round(number(m.label), 6).alias("aae"))
+
+
+@query("SELECT round(greatest(0.001, (max(value) - min(value) + 2 * stddev_pop(value)) * 1.4 / 130), 8) AS resolution FROM events")
+def anomaly_model_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = models.anomaly_params(table(spark, sf_dir, "events"), "value")
+    return spark.range(1).select(F.round(F.lit(found["value"]["resolution"]), 8).alias("resolution"))
+
+
+@query(
+    f"""WITH n(w) AS (VALUES (1), (2), (5), (20)), r AS (SELECT *, row_number() OVER ({RECORDS}) AS k FROM events),
+    m AS (SELECT a.event_id, w, a.value, avg(b.value) AS mean FROM n, r a JOIN r b ON a.user_id = b.user_id AND b.k >= a.k - w AND b.k < a.k GROUP BY ALL)
+    SELECT CAST(w AS BIGINT) AS "window", round(avg(abs(value - mean)), 6) AS error FROM m GROUP BY 1"""
+)
+def smoothing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The errors of four windows of a moving mean, all in one pass."""
+    candidates = spark.createDataFrame([(w, w) for w in (1, 2, 5, 20)], "candidate long, window int")
+    found = search.smoothing_errors(table(spark, sf_dir, "events"), EVENTS, "value")(candidates)
+    return found.select(F.col("candidate").alias("window"), F.round("error", 6).alias("error"))
+
+
+RUNS = "SELECT CAST(row_number() OVER (ORDER BY user_id, event_type) AS BIGINT) AS candidate, event_type AS field, user_id, avg(value) AS error FROM events GROUP BY user_id, event_type"
+
+
+@query(f"WITH r AS ({RUNS}), e AS (SELECT field, min(error) AS error, arg_min(candidate, (error, candidate)) AS candidate FROM r GROUP BY 1) SELECT field, candidate, round(error, 6) AS error, round(100 * (50.0 - error) / 50.0, 6) AS contribution FROM e")
+def best_and_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a table of scored candidates: the best of each field, and how much better than a base each field is."""
+    runs = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("field")).agg(F.avg("value").alias("error"))
+    runs = runs.withColumn("candidate", F.row_number().over(Window.orderBy("user_id", "field")).cast("long"))
+    return search.best(runs, ["field"]).join(search.contributions(runs, "field", 50.0), "field").select("field", "candidate", F.round("error", 6).alias("error"), F.round("contribution", 6).alias("contribution"))
 
 
 @query()

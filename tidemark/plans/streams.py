@@ -103,8 +103,8 @@ def last_3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def align_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), "event_id")
     right = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
-    n = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    return records.align(left, right, ["k"]).select("k", n("left").alias("n_events"), n("right").alias("n_orders"))
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return records.align(left, right, ["k"], [F.count("*").alias("n_events")], [F.count("*").alias("n_orders")]).select("k", n("n_events"), n("n_orders"))
 
 
 @query(f"{DAYS} SELECT user_id, w, round(avg(x) * count(*), 4) AS sum_x, round(avg(value), 6) AS mean_value FROM d GROUP BY ALL")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.spec import StreamSpec
+from tidemark.functions.sdr import with_noise
+from tidemark.spec import StreamSpec, micros
 
 
 def records(spark: SparkSession, n: int, fields: dict[str, Column]) -> DataFrame:
@@ -46,9 +47,36 @@ def scale(df: DataFrame, spec: StreamSpec, column: str, start: int, stop: int, f
     return df.withColumn("_at", _at(spec)).withColumn(column, F.when(F.col("_at").between(start, stop), F.col(column) * factor).otherwise(F.col(column))).drop("_at")
 
 
+def respaced(df: DataFrame, spec: StreamSpec, by: str) -> DataFrame:
+    """Times anew in the order of `by`: from the stream's first time on, a step apart that is that of its first two times."""
+    whole = Window.partitionBy(*spec.keys)
+    place = F.row_number().over(whole.orderBy(by)) - 1
+    df = df.withColumn("_us", micros(spec.ts)).withColumn("_second", F.row_number().over(spec.records()))
+    df = df.withColumns({"_t0": F.min("_us").over(whole), "_t1": F.min(F.when(F.col("_second") == 2, F.col("_us"))).over(whole)})
+    step = F.coalesce(F.col("_t1") - F.col("_t0"), F.lit(0))
+    return df.withColumn(spec.ts, F.timestamp_micros(F.col("_t0") + place * step)).drop("_us", "_second", "_t0", "_t1")
+
+
 def copy(df: DataFrame, spec: StreamSpec, start: int, stop: int, to: int, name: str = "rec_idx") -> DataFrame:
     """Records start to stop once more before record `to`; name counts the new order."""
     df = df.withColumn(name, _at(spec).cast("long"))
     n = stop - start + 1
     again = df.where(F.col(name).between(start, stop)).withColumn(name, F.col(name) - start + to)
     return df.withColumn(name, F.when(F.col(name) >= to, F.col(name) + n).otherwise(F.col(name))).unionByName(again)
+
+
+def sequence(spark: SparkSession, numbers: list[int | None], n: int, w: int, noise: float = 0.0, seed: int = 42) -> DataFrame:
+    """A sequence of patterns: rec_idx, number (null: a reset), reset, bits; a share of each pattern's bits is moved by noise."""
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "rec_idx long, number int")
+    rows = rows.withColumns({"reset": F.col("number").isNull().cast("int"), "bits": pattern(F.col("number"), n, w, seed)})
+    return rows.withColumn("bits", with_noise("bits", n, noise, F.concat(F.lit(f"{seed}/"), F.col("rec_idx").cast("string")))) if noise else rows
+
+
+def sequence_numbers(count: int, length: int, shared: tuple[int, int] | None = None) -> list[int | None]:
+    """Numbers of `count` sequences of `length` different patterns, a reset after each; the patterns at places shared[0] to shared[1] are the same ones in all."""
+    same = range(*shared) if shared else ()
+    first = length if shared else 0
+    out: list[int | None] = []
+    for k in range(count):
+        out += [i if i in same else first + k * length + i for i in range(length)] + [None]
+    return out

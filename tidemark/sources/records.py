@@ -36,19 +36,30 @@ def _line(values: list[str]) -> str:
     return out.getvalue()
 
 
-def read_fields(spark: SparkSession, path: str) -> tuple[list[Field], list[str]]:
-    """The fields of a file and its three header lines, read by Spark."""
-    lines = [r["value"].rstrip("\r") for r in spark.read.text(path).limit(3).collect()]
-    names, types, specials = ([x.strip() for x in next(csv.reader([line]), [""])] for line in lines)
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a file or of a folder of parts (value), in their order (rec_idx)."""
+    return spark.read.text(path).select(F.rtrim(F.lit("\r"), "value").alias("value"), F.monotonically_increasing_id().alias("rec_idx"))
+
+
+def _header(spark: SparkSession, path: str) -> tuple[list[Field], int]:
+    """The fields of a file, and the place of the last of its three header lines: the three least places, found by each task for itself."""
+    first = _lines(spark, path).orderBy("rec_idx").limit(3).collect()
+    if len(first) < 3:
+        raise ValueError(f"no three header lines: {path}")
+    names, types, specials = ([x.strip() for x in next(csv.reader([r["value"]]), [""])] for r in first)
     specials += [""] * (len(names) - len(specials))
-    return [Field(*f) for f in zip(names, types, specials, strict=True)], lines
+    return [Field(*f) for f in zip(names, types, specials, strict=True)], first[-1]["rec_idx"]
+
+
+def read_fields(spark: SparkSession, path: str) -> list[Field]:
+    """The fields that a file's three header lines name."""
+    return _header(spark, path)[0]
 
 
 def read_records(spark: SparkSession, path: str, missing: tuple[str, ...] = ("",)) -> DataFrame:
-    """The typed records, and rec_idx in the file's order. Special flags are in the columns' metadata."""
-    fields, lines = read_fields(spark, path)
-    rows = spark.read.text(path).withColumn("rec_idx", F.monotonically_increasing_id())
-    rows = rows.withColumn("value", F.rtrim(F.lit("\r"), "value")).where(~F.col("value").isin(lines) & (F.col("value") != ""))
+    """The typed records, and rec_idx in the file's order. Special flags are in the columns' metadata. The header goes by its place, so that a record may look like it; an empty line is a record with all values missing."""
+    fields, last = _header(spark, path)
+    rows = _lines(spark, path).where(F.col("rec_idx") > last)
     parsed = F.from_csv("value", ", ".join(f"_{i} string" for i in range(len(fields))), {"mode": "PERMISSIVE", "escape": "\x00"})
     rows = rows.select("rec_idx", parsed.alias("r"))
     out = []

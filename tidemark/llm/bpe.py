@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import as_bytes, small_batches
 
 #: Pre-tokens that a worker remembers in each of two generations, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 120_000, 64
 #: Characters of text that are split at once, and bytes of new pre-tokens that share a queue; a longer text is split step by step, a longer pre-token taken whole.
 SPLIT, TOGETHER = 1 << 19, 1 << 15
 
@@ -214,16 +214,16 @@ def _bpe(ranks: dict[bytes, int], pattern: str) -> Bpe:
     return _made[key]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = bpe.packed([t or "" for t in batch.column("text").to_pylist()])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ids (little-endian unsigned 32-bit integers, as binary)."""
     given = docs.sparkSession.sparkContext.broadcast(ranks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(given.value, pattern)
-        for batch in batches:
-            ids = bpe.packed([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
+    run = lambda batches: _encoded(batches, _bpe(given.value, pattern))
     return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
 
 
@@ -255,13 +255,21 @@ class Tokens:
         return b"".join(out)
 
 
+def _decoded(batches: Iterator[pa.RecordBatch], tokens: Tokens) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = list(map(tokens.decode, as_bytes(batch, "ids")))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """encoded (doc_id, ids) -> doc_id, ids, decoded (bytes)."""
     given = encoded.sparkSession.sparkContext.broadcast(Tokens(ranks))
+    run = lambda batches: _decoded(batches, given.value)
+    return small_batches(encoded.select("doc_id", "ids")).mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids binary, decoded binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = list(map(given.value.decode, as_bytes(batch, "ids")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return small_batches(encoded.select("doc_id", "ids")).mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids binary, decoded binary")
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """decode(encode(docs)) in one Python worker a task instead of two."""
+    given = docs.sparkSession.sparkContext.broadcast((ranks, Tokens(ranks)))
+    run = lambda batches: _decoded(_encoded(batches, _bpe(given.value[0], pattern)), given.value[1])
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary, decoded binary")

@@ -46,6 +46,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast to drop their rows, at most; beyond that they join.
+DROPPED = 1 << 20
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in gone (doc_id). A counted, small gone is broadcast, so that no text moves."""
+    gone = written(gone.select("doc_id"), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= DROPPED else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def fold(hex_of: Column) -> Column:
     """A long as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(hex_of), 16, "0"))

@@ -1,20 +1,20 @@
 """SimHash near-deduplication with pivot distance tables.
 
 Fingerprints: 64-bit SimHash over word shingles. Equal fingerprints are one
-class from the start. For every class the table holds the Hamming distances to
-61 reference fingerprints (zero, and 15 Walsh patterns in each quarter of the
-word). The distance to a quarter's pattern less the distance to zero depends
-on that quarter's bits alone, so the coordinates of a quarter name its bits.
-Fingerprints that differ in two bits or fewer agree on two quarters at least:
-classes with equal coordinates there are candidates (six tables of quarter
-pairs, no near pair is lost). Candidates are discarded if any coordinates
+class from the start. Every class has its Hamming distances to 65 reference
+fingerprints: zero, and 16 in each quarter of the word (the quarter's Walsh
+patterns and all of its bits). The distance to a quarter's reference less the
+distance to zero depends on that quarter's bits alone. Fingerprints that differ
+in two bits or fewer agree on two quarters at least, and so in all of their
+coordinates: classes with equal coordinates there share a cell (six cells a
+class, no near pair is lost). Pairs in a cell are discarded if any coordinates
 differ by more than the distance allowed, and the survivors are verified.
 
-A cell of more than CELL classes isn't compared pair by pair: its members go
-to an exact way that is bounded whatever the cell's size. Two fingerprints
-differ in two bits or fewer exactly if they have a common neighbour at
-distance one or less, so each member joins the 65 groups of its neighbourhood,
-none of which can hold more than 65 members.
+A cell of more than CELL classes is split by further reference fingerprints:
+its members may differ in the other two quarters alone, which are four octets,
+of which two agree again; then four nibbles. After these three tables two
+members of a cell can differ in eight bits, so no cell has more than 256, and
+all cells come through the same comparison.
 
 Odd input: null and empty texts have the fingerprint zero and are linked like
 any other; a null id is in no component's minimum (a component of null ids has
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, fold, only, small_batches, written
+from tidemark.llm.common import as_bytes, fold, only, small_batches, without, written
 from tidemark.llm.components import components
 
 SHINGLE = 3
@@ -41,12 +41,14 @@ CELL = 64
 CHUNK = 1 << 16
 
 
-def _walsh(j: int) -> int:
-    return sum(1 << i for i in range(16) if (i & j).bit_count() % 2)
+#: Widths of the parts that the three tables' references are in.
+WIDTHS = (16, 8, 4)
 
 
-#: Quarter q has the places 1 + 15 * q to 15 + 15 * q.
-PIVOTS = [0] + [_walsh(j) << 16 * q for q in range(4) for j in range(1, 16)]
+def references(width: int) -> list[int]:
+    """Zero; then of each part of the word `width` patterns: those of its bits whose place has an odd number of ones in common with j (1 to width - 1), and all of its bits."""
+    own = [sum(1 << i for i in range(width) if (i & j).bit_count() % 2) for j in range(1, width)] + [(1 << width) - 1]
+    return [0] + [pattern << width * q for q in range(64 // width) for pattern in own]
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -76,19 +78,25 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
-def pivot_table(fps: DataFrame) -> DataFrame:
-    """Distinct fingerprints with their distances to the reference fingerprints: fp, far array<tinyint>."""
-    signed = [p - (1 << 64) if p >> 63 else p for p in PIVOTS]
-    return fps.select("fp", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p).cast("long"))).cast("tinyint") for p in signed]).alias("far"))
+def distances(width: int) -> Column:
+    """The Hamming distances of fp to the references, as an array."""
+    signed = [p - (1 << 64) if p >> 63 else p for p in references(width)]
+    return F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p).cast("long"))).cast("tinyint") for p in signed])
 
 
-def _cells() -> Column:
-    """A key for each pair of quarters: the hash of their coordinates less the distance to zero."""
-
-    def quarter(q: int) -> list[Column]:
-        return [F.col("far")[k] - F.col("far")[0] for k in range(1 + 15 * q, 16 + 15 * q)]
-
-    return F.array(*[F.xxhash64(F.lit(4 * a + b), *quarter(a), *quarter(b)) for a in range(4) for b in range(a + 1, 4)])
+def _split(rows: DataFrame, width: int) -> DataFrame:
+    """rows (cell, fp, left: the four parts in which its members may differ) -> six rows for each: for every two of the parts the cell of those that agree there, and what is left of the other two, halved."""
+    coordinates = lambda q: [F.col("far")[k] - F.col("far")[0] for k in range(1 + width * q, 1 + width * (q + 1))]
+    named = F.array(*[F.xxhash64(*coordinates(q)) for q in range(64 // width)])
+    part = lambda i: F.get("left", F.lit(i))
+    six = []
+    for i in range(4):
+        for j in range(i + 1, 4):
+            c, d = ({0, 1, 2, 3} - {i, j})
+            halves = F.array(*[part(k) * 2 + h for k in (c, d) for h in (0, 1)])
+            six.append(F.struct(F.xxhash64("cell", F.lit(4 * i + j), F.get("named", part(i)), F.get("named", part(j))).alias("cell"), halves.alias("left")))
+    rows = rows.withColumn("far", distances(width)).withColumn("named", named)
+    return rows.select("fp", F.explode(F.array(*six)).alias("s")).select("s.cell", "fp", "s.left")
 
 
 def _linked(fp: np.ndarray, far: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -113,14 +121,14 @@ def _linked(fp: np.ndarray, far: np.ndarray, distance: int) -> list[tuple[int, i
     return out
 
 
-def _compare(distance: int):
-    """Over rows sorted by cell: the links of each."""
+def _compare(distance: int, pivots: int):
+    """Over rows (cell, fp, far) sorted by cell: the links of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in _whole_cells(batches, held):
             cell, fp = batch.column("cell").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
-            far = batch.column("far").flatten().to_numpy().reshape(-1, len(PIVOTS))
+            far = batch.column("far").flatten().to_numpy().reshape(-1, pivots)
             edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
             links = [(fp[s + x], fp[s + y]) for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if e - s > 1 for x, y in _linked(fp[s:e], far[s:e], distance)]
             out = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
@@ -130,7 +138,7 @@ def _compare(distance: int):
 
 
 def _whole_cells(batches: Iterator[pa.RecordBatch], held: list) -> Iterator[pa.RecordBatch]:
-    """Batches cut where a cell ends; a cell holds CELL rows at most."""
+    """Batches cut where a cell ends; a cell holds 256 rows at most."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -148,24 +156,21 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], held: list) -> Iterator[pa.R
 def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp), enough to connect all that are within distance (2 at most) of each other."""
     if not 0 <= distance <= 2:
-        raise ValueError("two of the four quarters are only sure to agree at a distance of two or less")
-    table = written(pivot_table(fps), "pivots")
-    cells = table.select("fp", "far", F.explode(_cells()).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = written(cells.join(shared, "cell"), "cells")
-    few = members.where(F.col("n") <= CELL).select("cell", "fp", "far")
-    links = few.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(distance), "a long, b long")
-
-    many = members.where(F.col("n") > CELL).select("fp").distinct()
-    flips = [F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")) for i in range(64)]
-    around = many.select("fp", F.explode(F.array("fp", *flips)).alias("centre"))
-    around = around.groupBy("centre").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    far_enough = F.col("a") != F.col("b") if distance == 2 else F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).between(1, distance)
-    if distance == 2:  # all members of a neighbourhood are within two bits
-        ends = around.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b"))
-    else:
-        ends = around.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b"))
-    return links.union(ends.where(far_enough)).distinct()
+        raise ValueError("two of four parts are only sure to agree at a distance of two or less")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, out = fps.repartition(tasks).select(F.lit(0).cast("long").alias("cell"), "fp", F.array(*map(F.lit, range(4))).alias("left")), None
+    for width in WIDTHS:
+        cells = written(_split(rows, width), "cells")
+        shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+        members = written(cells.join(shared, "cell"), "members")
+        last = width == WIDTHS[-1]
+        few = members if last else members.where(F.col("n") <= CELL)
+        few = few.repartition("cell").sortWithinPartitions("cell").select("cell", "fp", distances(width).alias("far"))
+        links = few.mapInArrow(_compare(distance, len(references(width))), "a long, b long")
+        out = links if out is None else out.unionByName(links)
+        rows = members.where(F.col("n") > CELL).select("cell", "fp", "left")
+        if last or not rows.limit(1).count():
+            return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -184,4 +189,4 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with all their columns, less every document but the first of its component; rows without an id stay."""
     said = near_duplicates(only(docs, "doc_id", "text"))
     gone = said.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, gone)

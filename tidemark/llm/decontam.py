@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, small_batches, written
+from tidemark.llm.common import as_bytes, small_batches, without, written
 
 WINDOW = 13
 #: A shard is closed at so many words, so one row of the index stays at a few MB; only a longer document makes a longer row.
@@ -271,4 +271,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs with all their columns, less the contaminated ones; rows without an id stay."""
     gone = contamination(docs.select("doc_id", "text"), items).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, gone)

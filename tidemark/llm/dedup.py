@@ -1,8 +1,8 @@
 """Exact deduplication against immutable snapshots.
 
-A snapshot's distinct digests are dealt to buckets by hash, and each bucket
-keeps a static binary-fuse filter (about 9 bits a key, one false positive in
-256). Digests of a new batch are grouped on their own first; one row a distinct
+Publishing a snapshot writes its distinct digests, dealt to buckets by hash, and
+with each bucket a static binary-fuse filter (about 9 bits a key, one false
+positive in 256); later batches read both. Digests of a new batch are grouped on their own first; one row a distinct
 digest goes to its bucket's filter. What the filter refuses is new. What it
 admits joins the snapshot's exact digests, and the two representatives' bytes
 are compared. Rows of a digest are pre-aggregated before each shuffle, so a
@@ -16,12 +16,15 @@ columns are not read.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import only, written
+from tidemark.llm.common import only, scratch, without, written
 
 #: Keys that one filter holds on average; a bucket's filter is built and read in one task.
 KEYS_A_BUCKET = 250_000
@@ -133,6 +136,42 @@ def snapshot_filters(digests: DataFrame) -> DataFrame:
     return digests.select("bucket", "key").groupBy("bucket").applyInPandas(_build, "bucket long, seed long, segment long, segments long, filter binary")
 
 
+@dataclass(frozen=True, slots=True)
+class Snapshot:
+    """A published snapshot, read from its folder: its distinct digests (digest, first, n, key, bucket), the filter of each of its buckets, their number."""
+
+    digests: DataFrame
+    filters: DataFrame
+    buckets: int
+
+
+def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows (doc_id, old, digest, row) -> a row for each digest: its first row, how many it has, its filter key and bucket."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (~F.col("old")).alias("new"), "row")).alias("first")
+    parts = rows.groupBy("digest").agg(first, F.count("*").alias("n")).withColumn("key", F.xxhash64("digest"))
+    return parts.withColumn("bucket", F.pmod("key", F.lit(buckets)))
+
+
+def digests(docs: DataFrame, in_snapshot: Column) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, old, digest, row, written."""
+    docs = docs.select("doc_id", "text", F.coalesce(in_snapshot, F.lit(False)).alias("old"))
+    return written(docs.select("doc_id", "old", F.unhex(F.sha2(normal(F.col("text")), 256)).alias("digest"), F.monotonically_increasing_id().alias("row")), "dedup-rows")
+
+
+def publish(rows: DataFrame, folder: str) -> Snapshot:
+    """Write the snapshot of some rows' digests: once, as it never changes. Its filters are built here and nowhere else."""
+    buckets = max(LEAST_BUCKETS, -(-rows.count() // KEYS_A_BUCKET))
+    _grouped(rows, buckets).write.parquet(f"{folder}/digests")
+    snapshot_filters(rows.sparkSession.read.parquet(f"{folder}/digests")).withColumn("buckets", F.lit(buckets)).write.parquet(f"{folder}/filters")
+    return opened(rows.sparkSession, folder)
+
+
+def opened(spark: SparkSession, folder: str) -> Snapshot:
+    """A snapshot that was published."""
+    filters = spark.read.parquet(f"{folder}/filters")
+    return Snapshot(spark.read.parquet(f"{folder}/digests"), filters.drop("buckets"), filters.agg(F.max("buckets")).first()[0] or LEAST_BUCKETS)
+
+
 def screened(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     """The digests of incoming (bucket, key, digest) that the snapshot's filters admit."""
     return incoming.select("bucket", "key", "digest").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, "digest binary")
@@ -149,22 +188,22 @@ def perhaps_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.withColumn("_byte", byte).withColumn("_in_byte", (bit % 8).cast("int")).where(is_set).select(*docs.columns)
 
 
-def exact_dedup(docs: DataFrame, in_snapshot: Column) -> DataFrame:
+def exact_dedup(docs: DataFrame, in_snapshot: Column, snapshot: Snapshot | None = None) -> DataFrame:
     """Decide every row of docs (doc_id, text): which row of its group of equal texts stays.
 
     in_snapshot marks the rows of the published, immutable snapshot; the others
-    are the new batch. Of equal texts the row with the smallest doc_id stays.
-    Returns doc_id, keep_id, group_size, kept, text_sha256, a row for each row.
+    are the new batch. snapshot: what `publish` made of the marked rows; without
+    it, it is published to the shared folder first. Of equal texts the row with
+    the smallest doc_id stays. Returns doc_id, keep_id, group_size, kept,
+    text_sha256, a row for each row.
     """
     docs = docs.select("doc_id", "text", F.coalesce(in_snapshot, F.lit(False)).alias("old"))
-    rows = written(docs.select("doc_id", "old", F.unhex(F.sha2(normal(F.col("text")), 256)).alias("digest"), F.monotonically_increasing_id().alias("row")), "dedup-rows")
-    buckets = max(LEAST_BUCKETS, -(-rows.count() // KEYS_A_BUCKET))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    parts = rows.groupBy("digest", "old").agg(first, F.count("*").alias("n")).withColumn("key", F.xxhash64("digest"))
-    parts = written(parts.withColumn("bucket", F.pmod("key", F.lit(buckets))), "dedup-parts")
-    old, new = parts.where("old"), parts.where("not old")
+    rows = digests(docs, F.col("old"))
+    snapshot = snapshot or publish(rows.where("old"), f"{scratch(docs.sparkSession)}/snapshot-{uuid.uuid4().hex}")
+    old, new = snapshot.digests, written(_grouped(rows.where("not old"), snapshot.buckets), "dedup-new")
+    parts = new.withColumn("old", F.lit(False)).unionByName(old.withColumn("old", F.lit(True)))
 
-    admitted = screened(new, snapshot_filters(old))
+    admitted = screened(new, snapshot.filters)
     both = (
         admitted.join(new.select("digest", F.col("first").alias("new"), F.col("n").alias("new_n")), "digest")
         .join(old.select("digest", F.col("first").alias("known"), F.col("n").alias("known_n")), "digest")
@@ -179,7 +218,7 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     groups = parts.select("digest", "old", "first", "n").join(same, "digest", "left")
     groups = groups.select("digest", "old", F.coalesce("all_first", "first").alias("stays"), F.coalesce("all_n", "n").alias("group_size"))
     return rows.join(groups, ["digest", "old"]).select(
-        "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("stays.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+        "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", ((F.col("row") == F.col("stays.row")) & (F.col("old") != F.col("stays.new"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
@@ -190,7 +229,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     """
     said = exact_dedup(only(docs, "doc_id", "text"), halves())
     gone = said.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, gone)
 
 
 def halves() -> Column:

@@ -6,12 +6,15 @@ weights are log ratios of the two sides' n-gram distributions, counted over all
 training documents. A text's bit scores are average log odds a n-gram, so
 length doesn't matter. Decoding weighs each bit's logistic loss by how well
 that bit's classifier separates the language in training, and takes the
-nearest codeword; the lead over the runner-up flags ambiguity.
+nearest codeword; the lead over the runner-up flags ambiguity. A text whose
+nearest codeword is no nearer than it would be to an undecided text (all bits
+zero, a loss of ln 2) is in none of the learned languages: the stage rejects it.
 
 Odd input: a text that is null or has no letter is `und` with score 0, as is
 everything if no row is labelled; rows with a null id or label aren't learned
 from and count as not held out; repeated rows each get a row; label and id are
-never inputs of a prediction.
+never inputs of a prediction. The driver holds MOST languages x FEATURES numbers
+at most; more labels than that are an error, as they are no languages.
 """
 
 from __future__ import annotations
@@ -24,12 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tidemark.llm.common import bucket3, small_batches
+from tidemark.llm.common import as_bytes, bucket3, small_batches
 
 #: Hashed n-gram features (a power of two), and bytes that are counted at once.
 FEATURES, PIECE = 1 << 13, 1 << 19
 #: How steep the loss is in average log odds, and how far the losses' differences stretch to probabilities.
 STEEP, SHARP = 10.0, 4.0
+#: Languages at most.
+MOST = 512
+#: The loss of an undecided text.
+UNDECIDED = float(np.log(2))
 #: A score lead under this flags the prediction as ambiguous.
 LEAD = 0.2
 
@@ -76,8 +83,10 @@ def codebook(n: int) -> np.ndarray:
     best, spread, rng = None, -1, np.random.default_rng(7)
     for _ in range(200):
         code = rng.choice([-1.0, 1.0], (n, int(np.ceil(10 * np.log2(n)))))
+        while len(same := np.flatnonzero(np.abs(code.sum(0)) == n)):  # a bit that parts nothing is drawn anew
+            code[:, same] = rng.choice([-1.0, 1.0], (n, len(same)))
         apart = ((code.shape[1] - code @ code.T) / 2 + np.eye(n) * code.shape[1]).min()
-        if apart > spread and (np.abs(code.sum(0)) < n).all():
+        if apart > spread:
             best, spread = code, apart
     return best
 
@@ -94,33 +103,29 @@ class Codes:
         apart = np.maximum(share @ self.weights * self.code, 1e-6)  # how sure each bit is of each language
         self.trust = apart / np.maximum(apart.sum(1, keepdims=True), 1e-12)
 
-    def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The nearest codeword's place, its score, and its lead over the next one's."""
+    def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest codeword's place, its score, its lead over the next one's, and its loss."""
         if len(self.languages) == 1:
-            return np.zeros(len(counts), int), np.ones(len(counts)), np.ones(len(counts))
+            return np.zeros(len(counts), int), np.ones(len(counts)), np.ones(len(counts)), np.zeros(len(counts))
         bits = counts @ self.weights / np.maximum(counts.sum(1, keepdims=True), 1)
         loss = np.einsum("lb,nlb->nl", self.trust, np.logaddexp(0, -STEEP * bits[:, None, :] * self.code[None]))
         p = np.exp(-SHARP * (loss - loss.min(1, keepdims=True)))
         p /= p.sum(1, keepdims=True)
         two = np.sort(p, 1)[:, -2:]
-        return p.argmax(1), two[:, 1], two[:, 1] - two[:, 0]
+        return p.argmax(1), two[:, 1], two[:, 1] - two[:, 0], loss.min(1)
 
 
 def _has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text)) if text else False
 
 
-def _lettered(texts: pa.Array) -> pa.Array:
-    return pa.array(map(_has_letter, texts.to_pylist()), pa.bool_())
-
-
 def train(labelled: DataFrame) -> Codes | None:
     """From all rows of labelled (text, lang): n-gram counts a language, summed over the tasks. What the driver gets is languages x features numbers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("lang").to_pylist()
+            texts, langs = as_bytes(batch, "text"), batch.column("lang").to_pylist()
             for s in range(0, len(texts), 64):
                 for lang, row in zip(langs[s : s + 64], ngram_counts(texts[s : s + 64]), strict=True):
                     total.setdefault(lang, np.zeros(FEATURES, np.int64))
@@ -129,32 +134,37 @@ def train(labelled: DataFrame) -> Codes | None:
             seen = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(seen, pa.int32()), pa.array(row[seen], pa.int64())], names=["lang", "feature", "n"])
 
-    rows = small_batches(labelled).where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, feature int, n long")
-    rows = rows.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
+    labelled = small_batches(labelled).where("text is not null and lang is not null").select("text", "lang")
+    rows = labelled.mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).limit(MOST * FEATURES + 1).toPandas()
     if rows.empty:
         return None
+    if rows["lang"].nunique() > MOST:
+        raise ValueError(f"more than {MOST} labels: these are no languages")
     languages = sorted(rows["lang"].unique())
     counts = np.zeros((len(languages), FEATURES))
     counts[np.searchsorted(languages, rows["lang"]), rows["feature"]] = rows["n"]
     return Codes(languages, counts)
 
 
+NOTHING = {"lang_pred": "und", "score": 0.0, "lead": 0.0}
+
+
 def predict(docs: DataFrame, codes: Codes | None, column: str = "said") -> DataFrame:
-    """docs with one more column: a struct of lang_pred, score, lead."""
+    """docs with one more column: a struct of lang_pred, score, lead, and rejected (no letter, or no codeword is nearer than to an undecided text; without codes, what has a letter isn't)."""
     given = docs.sparkSession.sparkContext.broadcast(codes)
-    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("lead", pa.float64())])
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("lead", pa.float64()), ("rejected", pa.bool_())])
 
-    @arrow_udf("lang_pred string, score double, lead double")
+    @arrow_udf("lang_pred string, score double, lead double, rejected boolean")
     def said(texts: pa.Array) -> pa.Array:
         codes, out = given.value, []
         texts = texts.to_pylist()
         for s in range(0, len(texts), 64):
             some = texts[s : s + 64]
             if codes is None:
-                out += [{"lang_pred": "und", "score": 0.0, "lead": 0.0}] * len(some)
+                out += [NOTHING | {"rejected": not _has_letter(t)} for t in some]
                 continue
-            for t, which, score, lead in zip(some, *codes.decode(ngram_counts([(t or "").encode() for t in some])), strict=True):
-                out.append({"lang_pred": codes.languages[which], "score": float(score), "lead": float(lead)} if _has_letter(t) else {"lang_pred": "und", "score": 0.0, "lead": 0.0})
+            for t, which, score, lead, loss in zip(some, *codes.decode(ngram_counts([(t or "").encode() for t in some])), strict=True):
+                out.append({"lang_pred": codes.languages[which], "score": float(score), "lead": float(lead), "rejected": bool(loss >= UNDECIDED)} if _has_letter(t) else NOTHING | {"rejected": True})
         return pa.array(out, kind)
 
     return small_batches(docs).withColumn(column, said("text"))
@@ -173,10 +183,11 @@ def identify(docs: DataFrame) -> DataFrame:
     return said.select("doc_id", F.coalesce(F.col("fold") == 1, F.lit(False)).alias("held_out"), "said.lang_pred", "said.score", (F.col("said.lead") < LEAD).alias("ambiguous"))
 
 
-def in_a_language(docs: DataFrame) -> DataFrame:
-    """docs with all their columns, less those in no language (`und`). If no row is labelled, those with a letter stay."""
+def in_a_language(docs: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """docs with all their columns, less those that the decoder rejects (and those in other languages than the wanted ones, if any are named). If no row is labelled, those with a letter stay."""
     own = "_".join(["said", *docs.columns])  # longer than any of them
     codes = train(fold_of(docs.select("doc_id", "text", "lang")).where("fold <> 1"))
-    if codes is None:
-        return small_batches(docs).where(arrow_udf(_lettered, "boolean")("text"))
-    return predict(docs, codes, own).where(F.col(f"`{own}`.lang_pred") != "und").select(*docs.columns)
+    kept = predict(docs, codes, own).where(~F.col(f"`{own}`.rejected"))
+    if wanted is not None and codes is not None:
+        kept = kept.where(F.col(f"`{own}`.lang_pred").isin(wanted))
+    return kept.select(*docs.columns)

@@ -6,12 +6,15 @@ accepted and one of rejected URLs: a byte's probability under the longest
 context falls back on shorter ones as evidence thins. The mean log-likelihood
 difference a byte is held against a threshold calibrated on a fold that the
 models haven't seen: the least that lets at most FALSE_REJECT of its accepted
-URLs be blocked. Counts are hashed into tables of fixed size, so the models'
-size doesn't follow the data; counting covers every URL.
+URLs be blocked. No URL is judged by models that have counted it: the ids' hash
+parts the URLs in two, and each half's models judge the other half. Labels are
+an input; `weak_labels` makes some from rules and host words where there are
+none. Counts are hashed into tables of fixed size, so the models' size doesn't
+follow the data; counting covers every URL.
 
 Odd input: a null URL, or one without `://`, has an empty host and path, no
-rule, and is judged by what text it has (none: allow); a null id is never in
-the calibration fold; repeated rows each get a row; without rejected or
+rule, and is judged by what text it has (none: allow); a null id is in
+the first half and never in the calibration fold; repeated rows each get a row; without rejected or
 accepted training URLs the method allows; other columns are not read.
 """
 
@@ -30,7 +33,7 @@ from tidemark.llm.common import as_bytes, bucket3
 #: Fixed values: (host, path, verdict).
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
-#: Parts of host names that mark a URL as rejected for training.
+#: Parts of host names that mark a URL as rejected where no labels are given.
 SEEDS = ["casino", "gambl", "malware", "phish", "pills", "porn", "spam", "viagra", "warez", "xxx"]
 
 #: Longest context, hash bits of each order's table, weight of the shorter context.
@@ -151,15 +154,43 @@ def with_ratio(pages: DataFrame, models: Models) -> DataFrame:
     return pages.withColumn("ratio", ratio("url"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """pages (page_id, url) -> page_id, host, path, rule, verdict, ratio (null where a rule decides)."""
+def weak_labels(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """Labels where there are none: pages (page_id, url) -> page_id, url, rejected: what a rule says of it, else whether its host has a word of SEEDS."""
+    host, path = parts(F.col("url"))
+    verdict = ruled(host, path, rules)[1]
+    return pages.select("page_id", "url", F.coalesce(verdict == "block", host.rlike("|".join(SEEDS))).alias("rejected"))
+
+
+def halves(page_id: str) -> Column:
+    """0 or 1 by the id's hash; 0 for a null id."""
+    return F.pmod(F.xxhash64(F.lit("half"), page_id), F.lit(2)) * F.col(page_id).isNotNull().cast("int")
+
+
+def with_verdict(pages: DataFrame, labelled: DataFrame) -> DataFrame:
+    """pages (page_id, url, ...) with ratio and method (allow or block): each half by the models of the other half's labelled URLs (page_id, url, rejected)."""
+    labelled = labelled.where("url is not null and rejected is not null").select("url", "rejected", halves("page_id").alias("half"), F.coalesce(bucket3("page_id", 5) == 0, F.lit(False)).alias("calibrate"))
+    models = [train(labelled.where(F.col("half") != side)) for side in (0, 1)]
+    given = pages.sparkSession.sparkContext.broadcast(models)
+
+    @arrow_udf("double")
+    def ratio(urls: pa.Array, half: pa.Array) -> pa.Array:
+        batch, out = pa.RecordBatch.from_arrays([urls], names=["url"]), np.zeros(len(urls))
+        side = half.to_numpy()
+        for s, some in _some(batch):
+            for h in (0, 1):
+                at = np.flatnonzero(side[s : s + len(some)] == h)
+                out[s + at] = given.value[h].ratio([some[i] for i in at])
+        return pa.array(out)
+
+    threshold = F.when(halves("page_id") == 0, F.lit(float(models[0].threshold))).otherwise(F.lit(float(models[1].threshold)))
+    return pages.withColumn("ratio", ratio("url", halves("page_id").cast("int"))).withColumn("method", F.when(F.col("ratio") > threshold, "block").otherwise("allow"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
+    """pages (page_id, url) -> page_id, host, path, rule, verdict, ratio (null where a rule decides). labelled (page_id, url, rejected): what the method learns from; without it, weak labels."""
     host, path = parts(F.col("url"))
     pages = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     pages = pages.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    seeded = F.col("host").rlike("|".join(SEEDS))
-    rejected = F.coalesce(F.col("ruled") == "block", seeded)
-    models = train(pages.where("url is not null").select("url", rejected.alias("rejected"), F.coalesce(bucket3("page_id", 5) == 0, F.lit(False)).alias("calibrate")))
-    said = with_ratio(pages, models)
-    method = F.when(F.col("ratio") > models.threshold, "block").otherwise("allow")
-    return said.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.when(F.col("rule").isNull(), F.col("ratio")).alias("ratio"))
+    said = with_verdict(pages, weak_labels(pages, rules) if labelled is None else labelled)
+    return said.select("page_id", "host", "path", "rule", F.coalesce("ruled", "method").alias("verdict"), F.when(F.col("rule").isNull(), F.col("ratio")).alias("ratio"))

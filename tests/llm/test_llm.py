@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.oracle import differences
-from tidemark.llm import bpe, chat, decontam, dedup, langid, licenses, lm, pii, queries, simhash, urls
+from tidemark.llm import bpe, chat, decontam, dedup, langid, license_texts, licenses, lm, pii, queries, simhash, urls
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -79,6 +79,9 @@ def test_bpe_equals_tiktoken(spark, documents, odd, reference_encoding):
     for docs in (documents, odd):
         got = [tuple(r) for r in queries.bpe_digests(docs).collect()]
         assert sorted(got, key=str) == expected_bpe(reference_encoding, [(r["doc_id"], r["text"]) for r in docs.collect()])
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    apart = bpe.decode(bpe.encode(odd, ranks, public_tokenizers.PATTERN), ranks)
+    assert sorted(map(tuple, apart.collect()), key=str) == sorted(map(tuple, bpe.round_trip(odd, ranks, public_tokenizers.PATTERN).collect()), key=str)
 
 
 @pytest.mark.parametrize("bounds", [{}, {"SPLIT": 40, "TOGETHER": 8, "REMEMBERED": 5, "LONGEST": 4}])
@@ -119,6 +122,32 @@ def test_language_stage_without_labels(spark, odd):
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 4, 4, 6, 7, 8, 9]
 
 
+def test_language_stage_rejects_by_the_decoder(spark):
+    """Texts that no learned language is like go (another script, code, a mixture); every document of a learned language stays; so do wanted languages alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = spark.createDataFrame([(10_000_000 + i, x * 30, None, None, None) for i, x in enumerate(["Привет мир ", "def f(x): return x+1\n", "La la the und der les "])], DOCS)
+    both = docs.unionByName(noise)
+    kept = {r["doc_id"] for r in langid.in_a_language(both).select("doc_id").collect()}
+    rows = both.collect()
+    train = [r for r in rows if r["text"] and r["lang"] and fold(r["doc_id"], 3) != 1]
+    names = sorted({r["lang"] for r in train})
+    counts = np.zeros((len(names), langid.FEATURES))
+    for r in train:
+        counts[names.index(r["lang"])] += langid.ngram_counts([r["text"].encode()])[0]
+    codes = langid.Codes(names, counts)
+    want = {r["doc_id"] for r in rows if r["text"] and any(map(str.isalpha, r["text"])) and codes.decode(langid.ngram_counts([r["text"].encode()]))[3][0] < np.log(2)}
+    assert kept == want and not kept & {10_000_000, 10_000_001, 10_000_002}
+    assert len(kept) >= 0.995 * sum(any(map(str.isalpha, r["text"] or "")) for r in docs.collect())
+    only = {r["lang"] for r in langid.in_a_language(docs, ["fr"]).where("lang is not null and length(text) > 200").collect()}
+    assert "fr" in only and len(only) == 1
+
+
+def test_codewords_differ():
+    for n in (1, 2, 5, 7, 8, 12, 100):
+        code = langid.codebook(n)
+        assert code.shape[0] == n and len(np.unique(code, axis=0)) == n and (n < 2 or (np.abs(code.sum(0)) < n).all())
+
+
 # URL filters
 
 
@@ -151,6 +180,28 @@ def test_url_rules(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_verdicts_are_those_of_the_other_half(spark):
+    """Labels as input: bad paths are told from good ones, half by half, and each ratio is that of models of the other half's URLs."""
+    rng = np.random.default_rng(4)
+    word = lambda bad: "".join(rng.choice(list("qxzjk" if bad else "aeionrst"), 6))
+    rows = [(i, f"http://site{i % 9}.info/{word(i % 4 == 0)}/{word(i % 4 == 0)}", i % 4 == 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, rejected boolean")
+    got = {r["page_id"]: r for r in urls.judge(df, labelled=df).collect()}
+    wrong = [i for i, _, bad in rows if (got[i]["verdict"] == "block") != bad]
+    assert len(wrong) < 0.03 * len(rows)
+    half = {r["page_id"]: r["h"] for r in df.select("page_id", urls.halves("page_id").alias("h")).collect()}
+    counts = np.zeros((2, 2, urls.ORDER + 1, 1 << urls.BITS))
+    for i, u, bad in rows:
+        if half[i] == 1 and fold(i, 5) != 0:
+            _, gram, context = urls._grams([u.encode()])
+            for k in range(urls.ORDER + 1):
+                np.add.at(counts[int(bad), 0, k], gram[k], 1)
+                np.add.at(counts[int(bad), 1, k], context[k], 1)
+    models = urls.Models(counts)
+    some = [(i, u) for i, u, _ in rows if half[i] == 0][:200]
+    assert [got[i]["ratio"] for i, _ in some] == pytest.approx(models.ratio([u.encode() for _, u in some]), abs=1e-9)
+
+
 # language model
 
 
@@ -282,7 +333,7 @@ def test_simhash_links_of_crowded_cells(spark, monkeypatch):
     fps = {int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for c in rng.integers(0, 1 << 62, 6) for _ in range(60)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     want = expected_components(list(enumerate(sorted(fps))))
-    for cell in (4, 64):
+    for cell in (1, 4, 64):
         monkeypatch.setattr(simhash, "CELL", cell)
         from tidemark.llm.components import components
 
@@ -297,6 +348,26 @@ def test_simhash_links_of_crowded_cells(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_references_name_a_part():
+    """Equal coordinates in a part are equal bits there: the distances to its references tell all its values apart."""
+    for width in simhash.WIDTHS:
+        refs = simhash.references(width)
+        assert len(refs) == 65
+        values = np.arange(1 << width, dtype=np.uint64)
+        far = np.stack([np.bitwise_count(values ^ np.uint64(r & (1 << width) - 1)).astype(int) - np.bitwise_count(values) for r in refs[1 : width + 1]], 1)
+        assert len(np.unique(far, axis=0)) == 1 << width
+
+
+def test_simhash_links_within_a_quarter(spark):
+    """All values of twelve bits: the densest cells there can be, through all three tables."""
+    df = spark.range(1 << 12).select(F.col("id").alias("fp"))
+    from tidemark.llm.components import components
+
+    assert components(simhash.near_links(df)).select("root").distinct().count() == 1
+    apart = spark.createDataFrame([(0b111 << 3 * i) for i in range(21)], "long").toDF("fp")
+    assert simhash.near_links(apart).count() == 0
+
+
 # exact dedup
 
 
@@ -318,6 +389,20 @@ def test_exact_dedup_odd_input(spark, odd):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 3, 4, None, 6, 7, 8, 9}
 
 
+def test_a_stored_snapshot_serves_later_batches(spark, documents, tmp_path):
+    """Published once, read back, used for a batch that comes later: the decisions of one table that holds both."""
+    docs = documents.select("doc_id", "text")
+    whole = {tuple(r) for r in dedup.exact_dedup(docs, dedup.halves()).collect()}
+    dedup.publish(dedup.digests(docs.where(dedup.halves()), F.lit(True)), f"file://{tmp_path}/snap")
+    stored = dedup.opened(spark, f"file://{tmp_path}/snap")
+    assert stored.filters.count() == stored.digests.select("bucket").distinct().count()
+    built = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(dedup, "snapshot_filters", lambda *a: built.append(a))
+        again = {tuple(r)[:3] for r in dedup.exact_dedup(docs, dedup.halves(), stored).collect()}
+    assert again == {r[:3] for r in whole} and not built
+
+
 def test_fuse_filter_has_no_false_negatives():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 3, 10, 1000, 50_000):
@@ -379,29 +464,52 @@ def test_chat_odd_rows(spark):
 
 def test_license_scan_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    found = {(r["doc_id"], r["template"]) for r in licenses.scan(docs).collect()}
+    found = {(r["doc_id"], r["template"]) for r in licenses.scan(docs, license_table(spark)).collect()}
     sets = []
-    for _, text in licenses.TEMPLATES:
+    for _, text in sorted(license_texts.templates()):
         w = decontam.words(text.encode())
-        sets.append((set(zip(*(w[i:] for i in range(5)))), len(w) - 4))
+        numbers = [{tuple(w[i : i + 5]) for i in range(max(p - 4, 0), min(p, len(w) - 5) + 1)} for p, x in enumerate(w) if x.isdigit()]
+        sets.append((set(zip(*(w[i:] for i in range(5)))), len(w) - 4, numbers))
     want = set()
     for r in docs.collect():
         w = decontam.words((r["text"] or "").encode())
         shingles = list(zip(*(w[i:] for i in range(5))))
-        for t, (own, n) in enumerate(sets):
+        for t, (own, n, numbers) in enumerate(sets):
             at = [i for i, s in enumerate(shingles) if s in own]
-            reach = n + n // 4
-            if any(len({shingles[j] for j in at if i <= j < i + reach}) >= 0.8 * len(own) for i in at):
-                want.add((r["doc_id"], t))
+            for i in at:
+                held = {shingles[j] for j in at if i <= j < i + n + n // 4}
+                if len(held) >= 0.8 * len(own) and all(held & around for around in numbers):
+                    want.add((r["doc_id"], t))
     assert found == want and want
 
 
+def license_table(spark):
+    return spark.createDataFrame(license_texts.templates(), "license string, text string")
+
+
+def test_license_wordings_that_the_data_lack(spark):
+    """Whole licenses with small changes, versions told apart, none in plain prose."""
+    of = dict(license_texts.TEXTS)
+    notice = {n: t for n, t in license_texts.NOTICES}
+    texts = {
+        "MIT": "Copyright 2020 Someone. " + of["MIT"].replace("sublicense, and/or sell", "sublicense and sell").replace("AUTHORS", "WRITERS"), "ISC": of["ISC"].replace("fee is hereby", "charge is hereby"), "Zlib": of["Zlib"], "BSL-1.0": of["BSL-1.0"].lower(),
+        "GPL-2.0": notice["GPL-2.0"].replace("useful", "of use"), "GPL-3.0": "x " * 300 + notice["GPL-3.0"], "LGPL-2.1": "The code is released under the GNU Lesser General Public License, version 2.1.", "AGPL-3.0": notice["AGPL-3.0"], "EPL-2.0": notice["EPL-2.0"],
+        "CC-BY-SA-4.0": "Published under CC BY-SA 4.0!", "": "The license of this work is one that nobody has seen, version 3, or so they say.",
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    found = {}
+    for r in licenses.scan(docs, license_table(spark)).collect():
+        found.setdefault(list(texts)[r["doc_id"]], set()).add(r["license"])
+    assert all(name in found[name] for name in texts if name) and "" not in found
+    assert not found["GPL-2.0"] & {"GPL-3.0", "LGPL-3.0"} and not found["GPL-3.0"] & {"GPL-2.0"} and found["LGPL-2.1"] == {"LGPL-2.1"} and found["CC-BY-SA-4.0"] == {"CC-BY-SA-4.0"}
+
+
 def test_license_odd_input(spark, odd):
-    mit = licenses.TEMPLATES[1][1]
+    place, mit = next((i, t) for i, (n, t) in enumerate(sorted(license_texts.templates())) if t == dict(license_texts.TEXTS)["MIT"])
     more = spark.createDataFrame([(50, mit.upper(), None, None, None), (50, mit.upper(), None, None, None), (51, "x " * 5000 + mit + " y" * 5000, None, None, None)], DOCS)
-    got = licenses.scan(with_clashes(odd.unionByName(more))).collect()
-    assert sorted(r["doc_id"] for r in got if r["template"] == 1) == [50, 50, 51]
-    assert licenses.scan(odd.limit(0)).count() == 0
+    got = licenses.scan(with_clashes(odd.unionByName(more)), license_table(spark)).collect()
+    assert sorted(r["doc_id"] for r in got if r["template"] == place) == [50, 50, 51]
+    assert licenses.scan(odd.limit(0), license_table(spark)).count() == 0 and licenses.scan(odd, license_table(spark).limit(0)).count() == 0
 
 
 # decontamination
@@ -536,7 +644,8 @@ def test_pii_plan_is_native(spark, documents, capsys):
 
 def test_pipeline_equals_its_stages_by_brute_force(spark, documents, reference_encoding):
     rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
-    rows = [(i, t) for i, t in rows if t and any(map(str.isalpha, t))]
+    spoken = {r["doc_id"] for r in langid.in_a_language(documents).select("doc_id").collect()}  # held against brute force above
+    rows = [(i, t) for i, t in rows if i in spoken]
     first = {}
     for i, t in rows:
         key = re.sub(r"[\x20\x09-\x0D]+", " ", t)

@@ -9,6 +9,8 @@ most 3n for all but the shortest templates (and more for those), so it shares
 a band with a probability of 1 - 0.75 ** 32 > 0.9998. The retrieved pairs are
 verified: the template's distinct shingles in the text around the window,
 within the template's own length and a quarter more, over all its shingles.
+Versions are told apart there: each number of the template must stand in one of
+the shingles found. Templates are a table (license, text).
 
 Words: A-Z lower-cased, runs of digits, letters and non-ASCII characters. Odd
 input: a null or empty text, or one of fewer than five words, has no matches;
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import as_bytes, small_batches
 from tidemark.llm.decontam import words
@@ -33,27 +36,8 @@ SHINGLE, CONTAINED, BANDS = 5, 0.8, 32
 TOGETHER = 200_000
 REMEMBERED = 400_000
 
-#: Wordings of public licenses' notices.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    ("BSD", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
-    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-]
+#: Bytes of templates at most: every worker holds all of them.
+TEMPLATE_BYTES = 4 << 20
 
 
 class _Hashes(dict):
@@ -98,12 +82,16 @@ def _banded(h: np.ndarray, k: int) -> np.ndarray:
 class Templates:
     def __init__(self, templates: list[tuple[str, str]]):
         self.names, self.sets, self.lengths = [n for n, _ in templates], [], []
+        self.numbers: list[list[set[int]]] = []  # of each template: for each of its numbers, the places in its set of the shingles around it
         self.bands: dict[int, list[dict[int, list[int]]]] = {}  # by scale, then by band: a MinHash value's templates
         for i, (_, text) in enumerate(templates):
-            h = shingles(words(text.encode()))
+            own = words(text.encode())
+            h = shingles(own)
             if not len(h):
                 raise ValueError("a template has fewer than five words")
             self.sets.append(np.unique(h))
+            around = lambda p, h=h, i=i: set(np.searchsorted(self.sets[i], h[max(p - SHINGLE + 1, 0) : p + 1]).tolist())
+            self.numbers.append([around(p) for p, w in enumerate(own) if w.isdigit()])
             self.lengths.append(len(h))
             bands = self.bands.setdefault(scale(len(h)), [{} for _ in range(BANDS)])
             for k in range(BANDS):
@@ -145,9 +133,9 @@ class Templates:
                     del last[int(at[q])]
                 begin += 1
             share = len(last) / len(own)
-            if best is None or share > best[0]:
+            if (best is None or share > best[0]) and share >= CONTAINED and all(last.keys() & around for around in self.numbers[t]):
                 best = (share, lo + min(last.values()), lo + p)
-        return best if best and best[0] >= CONTAINED else None
+        return best
 
     def scan(self, texts: list[list[bytes]]) -> list[list[tuple[int, float, int, int]]]:
         """Of each text: (template, containment, first word, end word), in order."""
@@ -173,9 +161,12 @@ class Templates:
 MATCHES = "license string, template int, containment double, first_word int, end_word int"
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """docs (doc_id, text) -> a row for each match: doc_id, license, template (its place), containment, first_word, end_word."""
-    given = docs.sparkSession.sparkContext.broadcast(templates)
+def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
+    """docs (doc_id, text), templates (license, text) -> a row for each match: doc_id, license, template (its place in the order of license and text), containment, first_word, end_word."""
+    rows = templates.select("license", "text")
+    if (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > TEMPLATE_BYTES:
+        raise ValueError("the templates are too long to be held by every worker")
+    given = docs.sparkSession.sparkContext.broadcast(sorted(map(tuple, rows.collect())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(given.value)

@@ -338,7 +338,7 @@ class Distributed:
             for _ in range(2000):
                 bit = int(rng.integers(self.n))
                 new = {*order[1:], bit}
-                if bit not in order and all(len(new & s) <= 2 for s in seen[: -self.w + 1 or None]):
+                if not any(bit in s for s in seen[-self.w :]) and all(len(new & s) <= 2 for s in seen[: -self.w + 1 or None]):
                     break
             else:
                 raise ValueError("n is too small for w")

@@ -33,10 +33,10 @@ def likely(predictions: str, least: float, most: int) -> Column:
 
 
 def sample_range(df: DataFrame, spec: StreamSpec, n: int, start: int = 0, stop: int | None = None, seed: int = 42) -> DataFrame:
-    """n records of [start, stop) of each stream, chosen by a seeded hash of their place; they stay in order."""
+    """n records of [start, stop) of each stream, chosen by a seeded hash of stream and place."""
     df = df.withColumn("_at", F.row_number().over(spec.records()) - 1).where(F.col("_at") >= start)
     df = df if stop is None else df.where(F.col("_at") < stop)
-    draw = Window.partitionBy(*spec.keys).orderBy(F.xxhash64(F.lit(seed), "_at"), "_at")
+    draw = Window.partitionBy(*spec.keys).orderBy(F.xxhash64(F.lit(seed), *spec.keys, "_at"), "_at")
     return df.withColumn("_draw", F.row_number().over(draw)).where(F.col("_draw") <= n).drop("_draw", "_at")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tidemark.operators import aggregate as agg
 from tidemark.operators import metrics, profile, ranking, records, windows
 from tidemark.plans.catalog import EVENTS, EVENTS_SQL, RECORDS, events, query, table
 from tidemark.sources import generators
+from tidemark.sources.records import Field, read_records, shared_folder, write_records
 from tidemark.spec import Aggregation, Interval, StreamSpec, micros
 
 DAY = Interval.of(days=1)
@@ -171,13 +174,17 @@ def agg_by_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("user_id", F.col("_seq").alias("seq"), micros("ts").alias("w"), F.round("value", 6).alias("max_value"))
 
 
-@query(f"{DAYS} SELECT user_id, w, round(sum(x), 4) AS total FROM d WHERE x IS NOT NULL GROUP BY ALL")
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events),
+    r AS (SELECT user_id, pos, x, us AS start, 1 AS k FROM e WHERE pos = 1 UNION ALL
+    SELECT e.user_id, e.pos, e.x, CASE WHEN e.us < r.start THEN e.us ELSE r.start + (e.us - r.start) // 86400000000 * 86400000000 END, r.k + CAST(e.us < r.start OR e.us >= r.start + 86400000000 AS INT) FROM r JOIN e ON e.user_id = r.user_id AND e.pos = r.pos + 1)
+    SELECT user_id, start AS w, round(sum(x), 4) AS total FROM r GROUP BY user_id, k, start"""
+)
 def agg_in_record_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequential form for streams whose time may go back; on ordered records it agrees with the windows (of those with a value, but for the anchor)."""
-    df = events(spark, sf_dir).withColumn("x", F.coalesce("x", F.lit(0.0))).withColumn("at", F.row_number().over(EVENTS.records()))
-    spec = StreamSpec(("user_id",), "ts", ("at",))
-    sums = agg.aggregate_in_order(df, spec, DAY, "x", sum)
-    return sums.where("x <> 0").select("user_id", micros("ts").alias("w"), F.round("x", 4).alias("total"))
+    """In the order of event_id, in which time goes back: each step back closes a window and anchors anew."""
+    spec = StreamSpec(("user_id",), "ts", ("event_id",))
+    df = table(spark, sf_dir, "events")
+    return agg.aggregate_in_order(df, spec, DAY, "value", sum).select("user_id", micros("ts").alias("w"), F.round("value", 4).alias("total"))
 
 
 @query(
@@ -320,12 +327,6 @@ def top_k_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey")
 
 
-@query()
-def sample_range_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five of each user's records 2 to 30, by seeded hash."""
-    return ranking.sample_range(table(spark, sf_dir, "events"), EVENTS, 5, 2, 30).select("user_id", "event_id")
-
-
 @query(
     """SELECT event_id, k AS place FROM (SELECT event_id, CASE WHEN u < 0.2 THEN 0 WHEN u < 0.5 THEN 1 ELSE 2 END AS k FROM (SELECT event_id, (event_id % 97) / 97.0 AS u FROM events))"""
 )
@@ -354,3 +355,75 @@ def anomalies_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT range AS rec_idx, round(5 + 2 * sin(range * (2 * pi() / 20)), 6) AS y FROM range(500)")
 def sine_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.records(spark, 500, {"y": F.round(generators.sine(20.0, 2.0, 5.0), 6)})
+
+
+@query(f"WITH r AS (SELECT *, lag(value) OVER ({RECORDS}) AS b FROM events), d AS (SELECT event_id, value - b AS delta, row_number() OVER ({RECORDS}) AS pos FROM r) SELECT event_id, round(delta, 6) AS delta, pos = 2 AS begins FROM d WHERE pos > 1 AND delta BETWEEN -20 AND 20")
+def filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delta, then a range of it; the successor of a sequence's first record bears the reset."""
+    df = records.chain(table(spark, sf_dir, "events"), EVENTS, [lambda d, s: records.delta(d, s, "value"), lambda d, s: records.filter_records(d, {"delta": {"type": "number", "min": -20, "max": 20}})])
+    return df.select("event_id", F.round("delta", 6).alias("delta"), (F.col("_reset") == 1).alias("begins"))
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER ({RECORDS}) AS pos FROM events) SELECT event_id FROM r WHERE pos > 10 OR user_id % 3 = 0")
+def after_bookmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream taken up again after its tenth record; streams without a bookmark are read whole."""
+    df = table(spark, sf_dir, "events")
+    mark = records.bookmark(records.row_range(df.where("user_id % 3 <> 0"), EVENTS, 0, 10), EVENTS)
+    return records.after(df, EVENTS, mark).select("event_id")
+
+
+@query(
+    f"""WITH r AS (SELECT *, coalesce(event_id % 5 = 0, false) AS b, row_number() OVER ({RECORDS}) AS pos, CAST(sum(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) OVER ({RECORDS} ROWS UNBOUNDED PRECEDING) AS INT) AS block FROM events),
+    f AS (SELECT a.user_id, a.event_id, coalesce(min(n.pos) FILTER (n.event_id % 4 <> 0 AND n.event_id % 3 <> a.event_id % 3), 1000000) AS fails, count(n.pos) AS ahead, a.pos FROM r a LEFT JOIN r n ON a.user_id = n.user_id AND a.block = n.block AND n.pos > a.pos AND n.pos <= a.pos + 6 GROUP BY ALL)
+    SELECT event_id, CAST(least(fails - pos - 1, ahead) AS INT) AS extent FROM f"""
+)
+def prediction_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the next six inputs each output holds; an input is a residue, or one that every output holds."""
+    spec = StreamSpec(EVENTS.keys, EVENTS.ts, EVENTS.order, reset="begins")
+    own = lambda c: F.when(F.col("event_id") % 4 == 0, F.array(F.lit(9))).otherwise(F.array((F.col("event_id") % 3).cast("int"))).alias(c)
+    df = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", own("a"), F.array((F.col("event_id") % 3).cast("int"), F.lit(9)).alias("b"), (F.col("event_id") % 5 == 0).cast("int").alias("begins"))
+    return windows.prediction_extent(df, spec, "a", "b", 6).select("event_id", "extent")
+
+
+@query(
+    f"""WITH r AS (SELECT *, row_number() OVER ({RECORDS}) - 1 AS pos, first_value(epoch_us(ts)) OVER ({RECORDS}) AS t0, nth_value(epoch_us(ts), 2) OVER ({RECORDS} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t1 FROM events)
+    SELECT event_id, t0 + pos * coalesce(t1 - t0, 0) AS us FROM r"""
+)
+def respaced_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = records.with_index(table(spark, sf_dir, "events"), EVENTS)
+    return generators.respaced(df, EVENTS, "rec_idx").select("event_id", micros("ts").alias("us"))
+
+
+@query("SELECT v AS rec_idx, CASE WHEN v % 5 = 4 THEN NULL WHEN v % 5 IN (1, 2) THEN v % 5 ELSE 4 + v // 5 * 4 + v % 5 END::INT AS number, CAST(v % 5 = 4 AS INT) AS reset, CASE WHEN v % 5 = 4 THEN NULL ELSE 7 END::INT AS on_bits FROM range(50) r(v)")
+def pattern_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten sequences of four patterns whose middle two are shared; a reset after each."""
+    rows = generators.sequence(spark, generators.sequence_numbers(10, 4, shared=(1, 3)), 100, 7)
+    return rows.select("rec_idx", "number", "reset", F.when(F.col("bits").isNotNull(), F.size("bits")).alias("on_bits"))
+
+
+@query(
+    """WITH n AS (SELECT 'value' AS field, 'number' AS kind, unnest(['n', 'distinct', 'min', 'max']) AS statistic, unnest([count(*), count(DISTINCT value), min(value), max(value)]) AS v FROM events),
+    s AS (SELECT 'event_type', 'text', event_type, count(*) AS v FROM events GROUP BY event_type)
+    SELECT field, kind, statistic, round(CAST(v AS DOUBLE), 6) AS value FROM n UNION ALL SELECT *  FROM s"""
+)
+def profile_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = profile.profile(table(spark, sf_dir, "events").select("value", "event_type"), top=50)
+    some = F.col("statistic").isin("n", "distinct", "min", "max") | (F.col("kind") == "text")
+    return df.where(some).select("field", "kind", "statistic", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER ({RECORDS}) - 1 AS pos FROM events) SELECT user_id, CAST(least(5, greatest(0, least(max(pos) + 1, 30) - 2)) AS BIGINT) AS n, true AS within FROM r GROUP BY 1 HAVING max(pos) >= 2")
+def sample_range_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five of each user's records 2 to 30, by seeded hash: how many there are, and whether all are of that range."""
+    some = ranking.sample_range(records.with_index(table(spark, sf_dir, "events"), EVENTS), EVENTS, 5, 2, 30)
+    return some.groupBy("user_id").agg(F.count("*").alias("n"), F.every(F.col("rec_idx").between(2, 29)).alias("within"))
+
+
+@query("SELECT event_id, user_id, CASE WHEN event_id % 7 <> 0 THEN value END AS x, epoch_us(ts) AS us, event_type AS type FROM events")
+def records_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a record file with three header rows, and read back."""
+    df = events(spark, sf_dir).select("event_id", "user_id", "x", "ts", "event_type")
+    fields = [Field("event_id", "int"), Field("user_id", "int", "S"), Field("x", "float"), Field("ts", "datetime", "T"), Field("event_type", "string")]
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    write_records(df, fields, ["event_id"], path)
+    return read_records(spark, path).select("event_id", "user_id", "x", micros("ts").alias("us"), F.col("event_type").alias("type"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,17 @@ class Field:
             raise ValueError(f"no such field: {self}")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where driver and executors can write: spark.checkpoint.dir; unset, in a local session, a new temporary folder."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        known = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", known)
+    return known.rstrip("/")
+
+
 def _line(values: list[str]) -> str:
     out = io.StringIO()
     csv.writer(out, lineterminator="").writerow(values)
@@ -37,8 +49,12 @@ def _line(values: list[str]) -> str:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a file or of a folder of parts (value), in their order (rec_idx)."""
-    return spark.read.text(path).select(F.rtrim(F.lit("\r"), "value").alias("value"), F.monotonically_increasing_id().alias("rec_idx"))
+    """The lines of a file, or of a folder of parts by their names (value), in order (rec_idx). Scans take parts in any order, so each split of a file has its rank: a row a split, however many lines it has."""
+    own = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
+    splits = spark.read.text(path).select(*own).distinct()
+    ranks = splits.withColumn("_rank", F.row_number().over(Window.orderBy("_path", "_start")).cast("long"))
+    lines = spark.read.text(path).select(F.rtrim("value", F.lit("\r")).alias("value"), F.monotonically_increasing_id().alias("_id"), *own)
+    return lines.join(F.broadcast(ranks), ["_path", "_start"]).select("value", (F.shiftleft(F.col("_rank"), 33) + F.col("_id").bitwiseAND((1 << 33) - 1)).alias("rec_idx"))
 
 
 def _header(spark: SparkSession, path: str) -> tuple[list[Field], int]:
@@ -60,7 +76,7 @@ def read_records(spark: SparkSession, path: str, missing: tuple[str, ...] = ("",
     """The typed records, and rec_idx in the file's order. Special flags are in the columns' metadata. The header goes by its place, so that a record may look like it; an empty line is a record with all values missing."""
     fields, last = _header(spark, path)
     rows = _lines(spark, path).where(F.col("rec_idx") > last)
-    parsed = F.from_csv("value", ", ".join(f"_{i} string" for i in range(len(fields))), {"mode": "PERMISSIVE", "escape": "\x00"})
+    parsed = F.from_csv("value", ", ".join(f"_{i} string" for i in range(len(fields))), {"mode": "PERMISSIVE", "escape": '"'})
     rows = rows.select("rec_idx", parsed.alias("r"))
     out = []
     for i, f in enumerate(fields):

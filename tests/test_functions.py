@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import encoders, maths, sdr, text
+from tidemark.functions import encoders, maths, sdr, text, trees
 from tidemark.operators import anomaly, metrics, models, ranking, search, windows
 from tidemark.spec import StreamSpec
 
@@ -195,6 +195,21 @@ def test_search_decisions(spark):
     assert made["particles"] == 3 and made["metrics"] == [("alt_mape", "x", 1), ("alt_mape", "x", 5)] and set(made["encoders"]) == {"t", "x"}
 
 
+def test_a_search_from_its_description(spark):
+    description = {"includedFields": [{"fieldName": "t", "fieldType": "datetime"}, {"fieldName": "x", "fieldType": "float", "minValue": 0, "maxValue": 9}], "inferenceArgs": {"predictedField": "x"}, "swarmSize": "small"}
+    found, best = search.run_description(spark, description, lambda c: c.select("candidate", (F.abs(F.col("x__n") - 300) + F.col("t__time_of_day")).cast("double").alias("error")))
+    top = found.orderBy("error").first()
+    assert best["x"]["n"] == top["x__n"] and best["t"]["time_of_day"] == top["t__time_of_day"] and best["x"]["fieldname"] == "x" and encoders.Multi.of({"x": best["x"]}).width == top["x__n"]
+
+
+def test_nested_settings():
+    tree = {"a": {"b": 1, "c": {"d": [2]}}, "e": 3}
+    assert trees.merged(tree, {"a": {"b": 9, "f": {}}, "g": {"h": 1}}) == {"a": {"b": 9, "c": {"d": [2]}, "f": {}}, "e": 3, "g": {"h": 1}} and tree["a"]["b"] == 1
+    assert trees.get(tree, "a.c.d") == [2] and trees.get(tree, "a.x.d", 0) == 0 and trees.with_value(tree, "a.x.y", 5)["a"]["x"] == {"y": 5}
+    assert trees.mapped({"a": {"b": 1}, "c": 2}, lambda v: v + 1) == {"a": {"b": 2}, "c": 3}
+    assert trees.differences(tree, {"a": {"b": 2}, "e": 3, "z": 1}) == {"only_first": ["a.c.d"], "only_second": ["z"], "different": ["a.b"]}
+
+
 def test_draws(spark):
     """A sample of a range: as many of each stream as asked for, from the range alone, in order, the same again; every place about as often."""
     df = spark.range(4000).select((F.col("id") % 200).alias("k"), F.floor(F.col("id") / 200).alias("i"))

@@ -172,6 +172,11 @@ def test_sequences_of_patterns(spark):
     assert abs(names["a"] - 0.5) < 0.05 and abs(names["m"] - 5) < 0.2 and abs(names["s"] - 2) < 0.2
 
 
+def test_a_table_from_a_function(spark):
+    df = generators.from_function(spark, lambda part: ((part, i, f"{part}/{i}") for i in range(part * 10_001)), "part long, i long, s string", 3)
+    assert df.groupBy("part").count().orderBy("part").collect() == [(1, 10_001), (2, 20_002)] and df.where("part = 2").agg(F.max("i")).first()[0] == 20_001
+
+
 def test_profiles(spark, tmp_path):
     from tidemark.operators import profile
 

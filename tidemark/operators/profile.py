@@ -92,6 +92,11 @@ def cached(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trace_summary(df: DataFrame, keys: list[str], trace: str) -> DataFrame:
+    """Of a trace of numbers, by keys: n, min, max, sum, mean, stdev (of the whole trace)."""
+    return df.groupBy(*keys).agg(F.count(trace).alias("n"), F.min(trace).alias("min"), F.max(trace).alias("max"), F.sum(trace).alias("sum"), F.avg(trace).alias("mean"), F.stddev_pop(trace).alias("stdev"))
+
+
 def joint_counts(df: DataFrame, a: str, b: str) -> DataFrame:
     """A joint histogram with its conditional probabilities: a, b, n, p_b_given_a, p_a_given_b."""
     n = df.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (a, b)])).groupBy(a, b).agg(F.count("*").alias("n"))

@@ -206,3 +206,13 @@ def registered(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.parquet(folder)
     w = Window.partitionBy("job", "candidate").orderBy(F.desc("at"))
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def run_description(spark: SparkSession, description: dict, score: Callable[[DataFrame], DataFrame], generations: int = 4, seed: int = 42) -> tuple[DataFrame, dict]:
+    """A search from its description: all candidates, and the encoders' definitions of the best one. score takes candidates whose columns are the encoders' variables (name.parameter as name__parameter)."""
+    made = generated(description)
+    variables = {k.replace(".", "__"): v for name, e in made["encoders"].items() for k, v in e.variables(name).items()}
+    found = Swarm(variables, made["particles"], generations, seed, patience=2).run(spark, score)
+    top = found.orderBy("error", "candidate").first().asDict()
+    place = {k.replace("__", "."): v for k, v in top.items()}
+    return found, {name: e.definition(name, place) for name, e in made["encoders"].items()}

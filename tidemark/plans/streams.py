@@ -427,3 +427,15 @@ def records_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     write_records(df, fields, ["event_id"], path)
     return read_records(spark, path).select("event_id", "user_id", "x", micros("ts").alias("us"), F.col("event_type").alias("type"))
+
+
+@query("SELECT user_id, count(*) AS n, min(value) AS min, max(value) AS max, round(sum(value), 4) AS sum, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stdev FROM events GROUP BY 1")
+def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = profile.trace_summary(table(spark, sf_dir, "events"), ["user_id"], "value")
+    return s.select("user_id", "n", "min", "max", F.round("sum", 4).alias("sum"), F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"))
+
+
+@query("SELECT 'a' AS part, v AS i, v * v AS x FROM range(1000) r(v) UNION ALL SELECT 'b', v, v * v + 1 FROM range(1000) r(v)")
+def function_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that a function makes, a part in each task."""
+    return generators.from_function(spark, lambda part: (("ab"[part], i, i * i + part) for i in range(1000)), "part string, i long, x long", 2)

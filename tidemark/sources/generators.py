@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +83,17 @@ def sequence_numbers(count: int, length: int, shared: tuple[int, int] | None = N
     for k in range(count):
         out += [i if i in same else first + k * length + i for i in range(length)] + [None]
     return out
+
+
+def from_function(spark: SparkSession, make: Callable[[int], Iterator[tuple]], schema: str, parts: int) -> DataFrame:
+    """A table of what make(part) yields (rows as tuples), each part in a task of its own; a part that is lost is made again."""
+    names = spark.createDataFrame([], schema).columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in batch["part"].tolist():
+                rows = make(part)
+                while some := list(islice(rows, 10_000)):
+                    yield pd.DataFrame(some, columns=names)
+
+    return spark.range(parts, numPartitions=parts).withColumnRenamed("id", "part").mapInPandas(run, schema)

@@ -46,7 +46,7 @@ from tidemark.llm.common import as_bytes, bucket3, small_batches, written
 #: Strength of the unigrams in a bigram's probability.
 KAPPA = 100.0
 #: The filter's bits an entry, its probes, and the bytes of it that are broadcast at most.
-ENTRY_BITS, PROBES, BROADCAST = 10, 6, 128 << 20
+ENTRY_BITS, PROBES, BROADCAST = 8, 5, 128 << 20
 #: Exact counts that are broadcast; the others are joined.
 HOT = 1 << 17
 #: Bytes of training text a segment, and hashes that a task sorts at once.

@@ -551,6 +551,11 @@ def test_decontamination_equals_brute_force(spark, documents, odd):
     assert {r["n_hit"] for r in decontam.contamination(odd, items.limit(0)).collect()} == {0}
 
 
+def test_decontamination_equals_its_sql(spark):
+    for sf in (SF, "/root/testdata/sf0.01"):
+        assert not differences(queries.op10_benchmark_decontamination(spark, sf), queries.OP10_SQL, sf)
+
+
 def test_decontamination_takes_any_kind_of_id(spark):
     docs = spark.createDataFrame([(1, "one two three four"), (2, "five")], "doc_id long, text string")
     for kind, one in (("int", 7), ("long", 7), ("date", __import__("datetime").date(2024, 1, 5)), ("string", "q")):

@@ -98,10 +98,26 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+g AS (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM g)),
+dw AS (SELECT rid, k, n, array_to_string(w[k : k + n - 1], ' ') AS t FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw))),
+hit AS (SELECT DISTINCT rid, k, n, item_id FROM dw JOIN iw USING (n, t)),
+places AS (SELECT rid, count(DISTINCT k + j) AS n_hit FROM (SELECT rid, k, unnest(range(n)) AS j FROM hit) GROUP BY 1),
+found AS (SELECT rid, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN places USING (rid) LEFT JOIN found USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_pii_pseudonyms, op2_byte_level_bpe, op3_language_id, op4_url_filter, op5_lm_scoring, op6_simhash_near_dedup, op7_exact_dedup, op8_chat_formatting, op9_license_scan, op10_benchmark_decontamination]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op10_benchmark_decontamination": OP10_SQL}

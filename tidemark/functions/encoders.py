@@ -369,9 +369,10 @@ def adaptive(spec: StreamSpec, column: str, w: int, n: int) -> Column:
 
 
 def category_table(df: DataFrame, column: str, n: int, w: int, seed: int = 1) -> DataFrame:
-    """w of n bits for each category: the least by a hash of category and bit, so no order and no shared state is needed."""
+    """w of n bits for each category: the least by a hash (MD5 of seed, category and bit), so no order and no shared state is needed."""
     c = df.where(F.col(column).isNotNull()).select(column).distinct()
-    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.struct(F.xxhash64(F.lit(seed), F.col(column), b).alias("h"), b.cast("int").alias("b"))))
+    hashed = lambda b: F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(column).cast("string"), b.cast("string")))
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.struct(hashed(b).alias("h"), b.cast("int").alias("b"))))
     return c.withColumn("bits", F.array_sort(F.transform(F.slice(ranked, 1, w), lambda s: s["b"])))
 
 
@@ -381,12 +382,13 @@ def _extended(points: Column, span: Column) -> Column:
 
 
 def coordinate(xs: list[Column], radius: int, w: int, n: int) -> Column:
-    """The w best points of the neighbourhood by hashed order, each as a hashed bit of n: near coordinates share points, and so bits."""
+    """The w best points of the neighbourhood in the order of their hash (MD5), each as a bit of n that the hash names: near coordinates share points, and so bits."""
     points = F.array(F.array().cast("array<long>"))
     for x in xs:
         points = _extended(points, F.sequence(x.cast("long") - radius, x.cast("long") + radius))
-    ranked = F.reverse(F.array_sort(F.transform(points, lambda p: F.struct(F.xxhash64(F.lit("order"), p).alias("h"), F.pmod(F.xxhash64(F.lit("bit"), p), F.lit(n)).cast("int").alias("b")))))
-    return F.array_sort(F.array_distinct(F.transform(F.slice(ranked, 1, w), lambda s: s["b"])))
+    hashes = F.reverse(F.array_sort(F.transform(points, lambda p: F.md5(F.array_join(p.cast("array<string>"), "/")))))
+    bit = lambda h: F.pmod(F.conv(F.substring(h, 18, 15), 16, 10).cast("long"), F.lit(n)).cast("int")
+    return F.array_sort(F.array_distinct(F.transform(F.slice(hashes, 1, w), bit)))
 
 
 #: Fixed value: the earth's radius at the equator, in metres.

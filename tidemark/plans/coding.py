@@ -120,13 +120,20 @@ def enc_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", _text(F.array_sort("bits")).alias("bits"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT DISTINCT event_type FROM events), h AS (SELECT event_type, b, row_number() OVER (PARTITION BY event_type ORDER BY md5('1/' || event_type || '/' || b)) AS r FROM c, range(200) x(b))
+    SELECT event_type, string_agg(CAST(b AS VARCHAR), ' ' ORDER BY b) AS bits FROM h WHERE r <= 9 GROUP BY 1"""
+)
 def enc_category_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = encoders.category_table(table(spark, sf_dir, "events"), "event_type", 200, 9)
     return found.select("event_type", _text(F.col("bits")).alias("bits"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT event_id, CAST(floor(value / 10) AS BIGINT) AS x, event_id % 40 AS y FROM events), p AS (SELECT event_id, md5((x + i) || '/' || (y + j)) AS h FROM c, range(-3, 4) a(i), range(-3, 4) b(j)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY h DESC) AS r FROM p), b AS (SELECT DISTINCT event_id, CAST('0x' || substr(h, 18, 15) AS BIGINT) % 500 AS b FROM r WHERE r <= 15)
+    SELECT event_id, string_agg(CAST(b AS VARCHAR), ' ' ORDER BY b) AS bits FROM b GROUP BY 1"""
+)
 def enc_coordinate(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = encoders.coordinate([F.floor(F.col("value") / 10), F.col("event_id") % 40], 3, 15, 500)
     return table(spark, sf_dir, "events").select("event_id", _text(bits).alias("bits"))

@@ -152,15 +152,21 @@ def with_two_gram(df: DataFrame, spec: StreamSpec, column: str, name: str) -> Da
 
 
 def with_neg_auc(df: DataFrame, spec: StreamSpec, m: Metric, name: str) -> DataFrame:
-    """Minus the area under the ROC curve over the window: pairs of a positive and a negative, those in order and half of the ties."""
+    """Minus the area under the ROC curve over the window: one pass over its records in the order of their scores, each positive winning against the negatives below it and half of those beside it."""
     if m.window is None:
         return df.withColumn(name, F.lit(0.0))
-    pairs = F.collect_list(F.when(F.col(m.truth).isNotNull() & F.col(m.prediction).isNotNull(), F.struct(F.col(m.truth).cast("int").alias("t"), F.col(m.prediction).cast("double").alias("p")))).over(_frame(spec, m.window))
-    df = df.withColumn("_pairs", pairs)
-    pos, neg = F.filter("_pairs", lambda s: s["t"] == 1), F.filter("_pairs", lambda s: s["t"] == 0)
-    won = F.aggregate(pos, F.lit(0.0), lambda a, p: a + F.aggregate(neg, F.lit(0.0), lambda b, q: b + F.when(p["p"] > q["p"], 1.0).when(p["p"] == q["p"], 0.5).otherwise(0.0)))
-    n = F.size(pos) * F.size(neg)
-    return df.withColumn(name, F.when(n > 0, -won / n).otherwise(-0.5)).drop("_pairs")
+    both = F.col(m.truth).isNotNull() & F.col(m.prediction).isNotNull()
+    held = F.collect_list(F.when(both, F.struct(F.col(m.prediction).cast("double").alias("p"), F.col(m.truth).cast("int").alias("t")))).over(_frame(spec, m.window))
+    start = F.struct(F.lit(None).cast("double").alias("p"), F.lit(0).alias("below"), F.lit(0).alias("beside"), F.lit(0).alias("pos"), F.lit(0.0).alias("won"))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["p"].eqNullSafe(x["p"])
+        below, beside = F.when(same, s["below"]).otherwise(s["below"] + s["beside"]), F.when(same, s["beside"]).otherwise(0)  # of equal scores the negatives come first
+        return F.struct(x["p"].alias("p"), below.alias("below"), (beside + (x["t"] == 0).cast("int")).alias("beside"), (s["pos"] + (x["t"] == 1).cast("int")).alias("pos"), (s["won"] + F.when(x["t"] == 1, below + 0.5 * beside).otherwise(0.0)).alias("won"))
+
+    df = df.withColumn("_auc", F.aggregate(F.array_sort(held), start, step))
+    n = F.col("_auc.pos") * (F.col("_auc.below") + F.col("_auc.beside"))
+    return df.withColumn(name, F.when(n > 0, -F.col("_auc.won") / n).otherwise(-0.5)).drop("_auc")
 
 
 def multi(parts: dict[str, float], window: int | None = None, spec: StreamSpec | None = None) -> Column:

@@ -26,12 +26,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import as_bytes, small_batches
+from tidemark.llm.common import as_bytes, held, small_batches
 
 #: Pre-tokens that a worker remembers in each of two generations, and the longest of them.
-REMEMBERED, LONGEST = 120_000, 64
+REMEMBERED, LONGEST = 80_000, 64
 #: Characters of text that are split at once, and bytes of new pre-tokens that share a queue; a longer text is split step by step, a longer pre-token taken whole.
-SPLIT, TOGETHER = 1 << 19, 1 << 15
+SPLIT, TOGETHER = 1 << 17, 1 << 15
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -202,16 +202,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-_made: dict[tuple, Bpe] = {}
-
-
 def _bpe(ranks: dict[bytes, int], pattern: str) -> Bpe:
     """One table a worker process and vocabulary."""
-    key = (len(ranks), hash(frozenset(ranks.items())), pattern)
-    if key not in _made:
-        _made.clear()
-        _made[key] = Bpe(ranks, pattern)
-    return _made[key]
+    return held((len(ranks), hash(frozenset(ranks.items())), pattern), lambda: Bpe(ranks, pattern))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,6 +68,22 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(kind).to_pylist()]
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable[[], object]):
+    """What a worker process keeps between its tasks: one thing at a time, so another key lets the last one go."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """A task that keeps nothing frees what its worker holds for others."""
+    _held.clear()
+
+
 def bucket3(id_col: str, by: int) -> Column:
     """crc32 of the id as text, modulo by; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % by

@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, small_batches, without, written
+from tidemark.llm.common import as_bytes, let_go, small_batches, without, written
 
 WINDOW = 13
 #: A shard is closed at so many words, so one row of the index stays at a few MB; only a longer document makes a longer row.
-SHARD_WORDS = 500_000
+SHARD_WORDS = 250_000
 #: Test items are matched in blocks of about so many bytes of text; a block is what the driver and each worker hold.
 BLOCK_BYTES = 16_000_000
 #: Other bytes than digits, lower-case letters and those of non-ASCII characters part words.
@@ -71,6 +71,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         number = TaskContext.get().partitionId() << 32
         ids, texts, n, schema = [], [], 0, None
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tidemark.llm.common import as_bytes, bucket3, small_batches
+from tidemark.llm.common import as_bytes, bucket3, let_go, small_batches
 
 #: Hashed n-gram features (a power of two), and bytes that are counted at once.
 FEATURES, PIECE = 1 << 13, 1 << 19
@@ -123,6 +123,7 @@ def train(labelled: DataFrame) -> Codes | None:
     """From all rows of labelled (text, lang): n-gram counts a language, summed over the tasks. What the driver gets is languages x features numbers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = as_bytes(batch, "text"), batch.column("lang").to_pylist()

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, fold, only, small_batches, without, written
+from tidemark.llm.common import as_bytes, fold, let_go, only, small_batches, without, written
 from tidemark.llm.components import components
 
 SHINGLE = 3
@@ -71,6 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp (the 64 bits as a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in as_bytes(batch, "text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])

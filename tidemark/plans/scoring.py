@@ -88,9 +88,9 @@ def metric_neg_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A prediction of two values: the last one (0.7) and a third of it (0.3)."""
+    """A prediction of two values: the last one (0.7) and one under a third of it (0.3)."""
     last = F.lag("value").over(EVENTS.records())
-    return table(spark, sf_dir, "events").withColumn("said", F.when(last.isNotNull(), F.map_from_arrays(F.array(last, last / 3), F.array(F.lit(0.7), F.lit(0.3)))))
+    return table(spark, sf_dir, "events").withColumn("said", F.when(last.isNotNull(), F.map_from_arrays(F.array(last, last / 3 - 1), F.array(F.lit(0.7), F.lit(0.3)))))
 
 
 @query(f"WITH g AS (SELECT *, abs(value - lag(value) OVER ({RECORDS})) AS d FROM events) SELECT event_id, round(avg(d) {OVER}, 8) AS metric FROM g")
@@ -99,7 +99,7 @@ def metric_multi_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.with_metric(_distributions(spark, sf_dir), EVENTS, m, "metric").select("event_id", F.round("metric", 8).alias("metric"))
 
 
-@query(f"WITH l AS (SELECT *, lag(value) OVER ({RECORDS}) AS b FROM events), g AS (SELECT *, 0.7 * abs(value - b) + 0.3 * abs(value - b / 3) AS d FROM l) SELECT event_id, round(avg(d) {OVER}, 8) AS metric FROM g")
+@query(f"WITH l AS (SELECT *, lag(value) OVER ({RECORDS}) AS b FROM events), g AS (SELECT *, 0.7 * abs(value - b) + 0.3 * abs(value - b / 3 + 1) AS d FROM l) SELECT event_id, round(avg(d) {OVER}, 8) AS metric FROM g")
 def metric_multi_step_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = metrics.Metric("multi_step_probability", "value", "said", window=WINDOW)
     return metrics.with_metric(_distributions(spark, sf_dir), EVENTS, m, "metric").select("event_id", F.round("metric", 8).alias("metric"))
@@ -289,12 +289,12 @@ def softmax_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH w AS (SELECT event_id, range(CAST(floor((value + 2.5) / 5.0) AS INT), CAST(floor((value + 2.5) / 5.0) AS INT) + 21) AS b FROM events)
-    SELECT q.event_id AS query_id, p.event_id AS row_id, len(list_intersect(q.b, p.b)) AS overlap FROM w q, w p WHERE q.event_id % 100 = 0 AND len(list_intersect(q.b, p.b)) > 0"""
+    SELECT q.event_id AS query_id, p.event_id AS row_id, len(list_intersect(q.b, p.b)) AS overlap FROM w q, w p WHERE q.event_id % 1000 = 0 AND len(list_intersect(q.b, p.b)) > 0"""
 )
 def knn_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Common bits of the records whose id is divisible by 100 with all records."""
+    """Common bits of the records whose id is divisible by 1,000 with all records."""
     df = _records(spark, sf_dir)
-    return knn.overlaps(df.where("rec % 100 = 0").withColumnRenamed("rec", "query_id"), df.withColumnRenamed("rec", "row_id"))
+    return knn.overlaps(df.where("rec % 1000 = 0").withColumnRenamed("rec", "query_id"), df.withColumnRenamed("rec", "row_id"))
 
 
 @query("SELECT vec_id, round(sqrt(sum(pow(CAST(x AS DOUBLE) - m, 2))), 3) AS length FROM (SELECT vec_id, i, embedding[i] AS x, avg(embedding[i]) OVER (PARTITION BY i) AS m FROM embeddings, range(1, 65) r(i)) GROUP BY 1")

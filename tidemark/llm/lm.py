@@ -52,6 +52,8 @@ HOT = 1 << 17
 #: Bytes of training text a segment, and hashes that a task sorts at once.
 SEGMENT_BYTES, SORTED = 8 << 20, 1 << 20
 LEAST_SEGMENTS = 64
+#: Tasks that gather the segments at most; their number follows the segments', so what one reads doesn't grow with the corpus.
+MOST_TASKS = 1 << 15
 #: Tokens of the texts whose n-grams are asked for at once; a longer text is taken whole.
 TOGETHER = 400_000
 #: Words whose hashes a worker remembers.
@@ -181,7 +183,7 @@ def ngram_counts(training: DataFrame) -> tuple[DataFrame, int]:
         return pd.DataFrame([[key[0], one.tobytes(), one_n.tobytes(), made.tobytes(), len(one), int(one_n.sum())]], columns=["segment", "one", "one_n", "bits", "distinct", "total"])
 
     rows = small_batches(training.select("text")).mapInArrow(deal, "segment long, kind int, hashes binary, counts binary")
-    rows = rows.groupBy("segment").applyInPandas(gather, "segment long, one binary, one_n binary, bits binary, distinct long, total long")
+    rows = rows.repartition(min(1 << bits, MOST_TASKS), "segment").groupBy("segment").applyInPandas(gather, "segment long, one binary, one_n binary, bits binary, distinct long, total long")
     return written(rows, "ngrams"), 1 << bits
 
 

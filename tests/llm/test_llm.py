@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tests.llm import plain_pii
 from tests.oracle import differences
 from tidemark.llm import bpe, chat, decontam, dedup, langid, license_texts, licenses, lm, pii, queries, simhash, urls
 
@@ -596,6 +597,19 @@ def test_pii_pseudonyms(spark):
     assert other[0] != new[0]["text"]
 
 
+def test_pii_equals_plain_python(spark, documents, odd):
+    """Every document's text and kinds, found and permuted one by one."""
+    more = spark.createDataFrame([(i, t) for i, t in enumerate([*PERSONAL, "GB82 WEST 1234 5698 7654 32", "a.b+c@x.org, 5500005555555559 and 378282246310005", "+49 30 901820 (0)", "999.1.1.1 1799-12-31 2199-12-31 2200-01-01 12/31/1999"])], "doc_id long, text string")
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text rlike '[0-9@]'")
+    seen = set()
+    for docs in (big, odd, more):
+        for r in pii.pseudonymised(docs.select("doc_id", "text", F.col("text").alias("was")), "key").collect():
+            text, kinds = plain_pii.pseudonymised(r["was"], "key")
+            assert (r["text"], list(r["kinds"])) == (text, kinds), r["was"]
+            seen.update(kinds)
+    assert seen == {"email", "iban", "card", "ssn", "phone", "ip", "date"}
+
+
 def test_pii_adjacent_values(spark):
     """A neighbour ends a phone or a card; a time may follow an ISO date."""
     phone = "+1 (826) 555-4081"

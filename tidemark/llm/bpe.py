@@ -15,16 +15,17 @@ row; empty tables give empty results; columns besides those named are not read.
 from __future__ import annotations
 
 import base64
+import hashlib
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import as_bytes, held, small_batches
 
@@ -202,9 +203,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _bpe(ranks: dict[bytes, int], pattern: str) -> Bpe:
-    """One table a worker process and vocabulary."""
-    return held((len(ranks), hash(frozenset(ranks.items())), pattern), lambda: Bpe(ranks, pattern))
+def _table(spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> Callable[[], Bpe]:
+    """For tasks: one table a worker process and vocabulary, which is read from the broadcast only where it isn't held yet."""
+    key, given = (len(ranks), hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest(), pattern), spark.sparkContext.broadcast(ranks)
+    return lambda: held(key, lambda: Bpe(given.value, pattern))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordBatch]:
@@ -215,8 +217,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], bpe: Bpe) -> Iterator[pa.RecordB
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ids (little-endian unsigned 32-bit integers, as binary)."""
-    given = docs.sparkSession.sparkContext.broadcast(ranks)
-    run = lambda batches: _encoded(batches, _bpe(given.value, pattern))
+    table = _table(docs.sparkSession, ranks, pattern)
+    run = lambda batches: _encoded(batches, table())
     return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
 
 
@@ -252,6 +254,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], tokens: Tokens) -> Iterator[pa.R
     for batch in batches:
         texts = list(map(tokens.decode, as_bytes(batch, "ids")))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
+    pa.default_memory_pool().release_unused()
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -263,6 +266,6 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """decode(encode(docs)) in one Python worker a task instead of two."""
-    given = docs.sparkSession.sparkContext.broadcast((ranks, Tokens(ranks)))
-    run = lambda batches: _decoded(_encoded(batches, _bpe(given.value[0], pattern)), given.value[1])
+    table, given = _table(docs.sparkSession, ranks, pattern), docs.sparkSession.sparkContext.broadcast(Tokens(ranks))
+    run = lambda batches: _decoded(_encoded(batches, table()), given.value)
     return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary, decoded binary")

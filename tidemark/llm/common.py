@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 #: Rows and bytes of whole texts that pass to a Python worker at once, at most (one longer text passes alone): Spark's own 10,000 rows or 64 MB are too much for long documents in several workers.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 20}
 #: Bytes of a row group that a task holds as it writes.
 ROW_GROUP = 16 << 20
 
@@ -82,6 +82,7 @@ def held(key, make: Callable[[], object]):
 def let_go() -> None:
     """A task that keeps nothing frees what its worker holds for others."""
     _held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def bucket3(id_col: str, by: int) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontam, dedup, langid, license_texts, licenses, lm, pii, simhash, urls
+from tidemark.llm import ann, bpe, chat, decontam, dedup, langid, license_texts, licenses, lm, pii, repair, resample, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,8 +114,21 @@ FROM d LEFT JOIN places USING (rid) LEFT JOIN found USING (rid)
 """
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.structure(repair.damaged(rows), rows)
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii_pseudonyms, op2_byte_level_bpe, op3_language_id, op4_url_filter, op5_lm_scoring, op6_simhash_near_dedup, op7_exact_dedup, op8_chat_formatting, op9_license_scan, op10_benchmark_decontamination]
+    own = [op1_pii_pseudonyms, op2_byte_level_bpe, op3_language_id, op4_url_filter, op5_lm_scoring, op6_simhash_near_dedup, op7_exact_dedup, op8_chat_formatting, op9_license_scan, op10_benchmark_decontamination, op11_importance_resampling, op12_conversation_repair, op13_nearest_neighbours]
     return {f.__name__: f for f in own}
 
 

@@ -7,7 +7,9 @@ projection on the difference of two random members. Every point is then dealt
 to its leaf in each tree. A query takes leaves from one queue over all trees,
 least sum of crossed margins first, and meets all points of those leaves in the
 tasks that hold them, where inner products are exact; the best few of each leaf
-are merged by query.
+are merged by query. A query brings a bound with it: the sampled members of its
+first leaves give a score that its k-th neighbour reaches at least, and only
+points that reach it go out.
 
 Inner products are largest where distances are least once every vector gets one
 more component that makes all equally long, so norms may differ.
@@ -40,6 +42,8 @@ from tidemark.llm.common import let_go, written
 TREES, LEAF, LEAST = 2, 1024, 64
 #: The sample that trees are fitted on, at most: vectors and bytes.
 SAMPLE, SAMPLE_BYTES = 131_072, 32 << 20
+#: Leaves whose sampled members give a query its bound.
+FIRST = 4
 #: Queries that are answered by brute force to calibrate, and the share of their neighbours that has to be found.
 ASKED, RECALL = 192, 0.95
 
@@ -154,6 +158,24 @@ def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.n
     return a[own], b[own], score[own]
 
 
+class Bounds:
+    """The sample by leaf: what a query's k-th neighbour scores at least, from the members of its first leaves."""
+
+    def __init__(self, forest: Forest, sample: np.ndarray):
+        at = forest.dealt(sample)
+        self.sample, self.members = sample, np.argsort(at.ravel(), kind="stable") // at.shape[1]
+        self.ends = np.cumsum(np.bincount(at.ravel(), minlength=forest.leaves))
+
+    def least(self, q: np.ndarray, leaves: list[int], k: int) -> float:
+        """Over distinct members; less what a matrix product's rounding can be. Without k of them there is no bound."""
+        some = [self.members[self.ends[c - 1] if c else 0 : self.ends[c]] for c in leaves[:FIRST]]
+        x = self.sample[np.unique(np.concatenate(some))].astype(np.float64)
+        if len(x) < k:
+            return -np.inf
+        q = q.astype(np.float64)
+        return float(np.partition(x @ q, len(x) - k)[len(x) - k]) - 1e-12 * float(np.sqrt(q @ q) * np.sqrt((x * x).sum(1).max()))
+
+
 def _stacked(column: pa.Array) -> np.ndarray:
     """A column of lists of one length as a matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -233,22 +255,25 @@ def search(vectors: DataFrame, asks: Column, k: int, recall: float = RECALL, tre
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     forest, sample = _fitted(pts, n, trees, leaf)
     leaves = calibrated(pts, forest, sample[:: max(1, len(sample) // ASKED)][:ASKED], k, recall)
-    given = spark.sparkContext.broadcast(forest)
+    given = spark.sparkContext.broadcast((forest, Bounds(forest, sample)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each leaf of a point, and one for each leaf that a query takes."""
         let_go()
+        forest, bounds = given.value
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 some = batch.slice(i, 500)
                 x = _stacked(some.column("embedding"))
-                at = given.value.dealt(x)
+                at = forest.dealt(x)
                 asking = np.flatnonzero(some.column("asks").to_numpy(zero_copy_only=False))
-                taken = list(given.value.search(x[asking], leaves))
+                taken = list(forest.search(x[asking], leaves))
+                least = [bounds.least(v, t, k + 1) for v, t in zip(x[asking], taken, strict=True)]
+                least = np.concatenate([np.zeros(at.size), np.repeat(least, list(map(len, taken)))])
                 rows = np.concatenate([np.repeat(np.arange(len(x)), at.shape[1]), np.repeat(asking, list(map(len, taken)))])
                 cell = np.concatenate([at.ravel(), np.array([c for t in taken for c in t], np.int64)])
                 take = pa.array(rows.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(np.arange(len(rows)) >= at.size), *(some.column(c).take(take) for c in ("point", "ids", "embedding"))], names=["cell", "asks", "point", "ids", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(np.arange(len(rows)) >= at.size), *(some.column(c).take(take) for c in ("point", "ids", "embedding")), pa.array(least, pa.float64())], names=["cell", "asks", "point", "ids", "embedding", "least"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Cell by cell: its points first, then its queries, a batch at a time."""
@@ -256,6 +281,7 @@ def search(vectors: DataFrame, asks: Column, k: int, recall: float = RECALL, tre
         cell, held, stack = None, [], None
         for batch in batches:
             cells, asking, x = batch.column("cell").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False).astype(bool), _stacked(batch.column("embedding"))
+            least = batch.column("least").to_numpy()
             cuts = (np.flatnonzero((np.diff(cells) != 0) | (np.diff(asking.astype(np.int8)) != 0)) + 1).tolist() if len(cells) else []
             for lo, hi in zip([0, *cuts], [*cuts, len(cells)], strict=True):
                 if lo == hi:
@@ -272,10 +298,12 @@ def search(vectors: DataFrame, asks: Column, k: int, recall: float = RECALL, tre
                     order = point.to_numpy(zero_copy_only=False)
                 for i in range(lo, hi if held else lo, 500):
                     a, b, score = nearest(x[i : min(hi, i + 500)], stack, order, k + 1)
+                    may = score >= least[i + a]
+                    a, b, score = a[may], b[may], score[may]
                     of = pa.array(b)
                     yield pa.RecordBatch.from_arrays([names.column("point").take(pa.array(a + (i - lo))), point.take(of), ids.take(of), pa.array(score)], names=["asks", "point", "ids", "score"])
 
-    dealt = pts.select("point", "ids", "embedding", "asks").mapInArrow(deal, f"cell long, asks boolean, point {kind}, ids array<{kind}>, embedding {pts.schema['embedding'].dataType.simpleString()}")
+    dealt = pts.select("point", "ids", "embedding", "asks").mapInArrow(deal, f"cell long, asks boolean, point {kind}, ids array<{kind}>, embedding {pts.schema['embedding'].dataType.simpleString()}, least double")
     met = dealt.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(meet, f"asks {kind}, point {kind}, ids array<{kind}>, score double")
     # of each asking point the k + 1 nearest; one that several trees found has one place, and its ids are all its copies that can matter
     place = F.dense_rank().over(Window.partitionBy("asks").orderBy(F.desc("score"), "point"))

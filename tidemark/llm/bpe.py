@@ -4,7 +4,10 @@ A pre-token's byte positions form a linked list. Every adjacent pair that can
 merge stands in the bucket of its merge's rank; a three-level bitmap over the
 ranks names the lowest occupied bucket by find-first-set. A bucket gives up its
 positions from the left; an entry whose position no longer starts a pair of
-that rank is stale and skipped. A pre-token of n bytes takes O(n log n) steps,
+that rank is stale and skipped. A bucket is put in order once, as it comes up:
+no merge adds to the bucket that it comes from, since what it makes is longer.
+If a merge makes a pair of a lower rank, that one is next, and the rest of the
+bucket waits in order. A pre-token of n bytes takes O(n log n) steps,
 however long it is. Many short new pre-tokens share one queue, and what they
 merge to is kept in two bounded generations.
 
@@ -16,10 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import sys
-from array import array
 from collections.abc import Callable, Iterator
-from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -30,16 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import as_bytes, held, small_batches
 
 #: Pre-tokens that a worker remembers in each of two generations, and the longest of them.
-REMEMBERED, LONGEST = 120_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: Characters of text that are split at once, and bytes of new pre-tokens that share a queue; a longer text is split step by step, a longer pre-token taken whole.
 SPLIT, TOGETHER = 1 << 17, 1 << 15
-
-
-def _packed(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+#: Bits of a token in a pair.
+SHIFT = 32
 
 
 class Bpe:
@@ -53,29 +48,39 @@ class Bpe:
         self.upper = [0] * ((top >> 12) + 1)
         #: Of each rank: its places in the two lists, its bits there and in the top word.
         self.place = [(r >> 6, r >> 12, 1 << (r & 63), 1 << (r >> 6 & 63), 1 << (r >> 12)) for r in range(top)]
+        #: The ranks of single bytes (-1: none), and of what two tokens make together, by both.
+        self.single = np.array([ranks.get(bytes([a]), -1) for a in range(256)], np.int64)
+        self.pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None:
+                    self.pairs[left << SHIFT | right] = rank
         #: Pre-token -> its packed ids. A full young generation becomes the old one, whose entries return as they are asked for.
         self.seen: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each pre-token. They share one queue: no pair spans two of them, so none sees the others' merges."""
-        get, words, upper, place = self.ranks.get, self.words, self.upper, self.place
-        data, n = b"".join(pieces), sum(map(len, pieces))
-        after, before = list(range(1, n + 1)), list(range(-1, n))
-        rank = [get(data[p : p + 2], -1) for p in range(n)]  # of the pair that starts here
-        begins = bytearray(n + 1)  # where a piece begins, or the last one ends
-        at = 0
-        for piece in pieces:
-            begins[at], before[at] = 1, -1
-            at += len(piece)
-            rank[at - 1] = -1
-        begins[n] = 1
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each pre-token. They share one queue; a free place, whose token is -1, parts two of them, so no pair spans them and none sees the others' merges."""
+        get, words, upper, place = self.pairs.get, self.words, self.upper, self.place
+        raw = np.frombuffer(b"\0" + b"\0".join(pieces) + b"\0", np.uint8)
+        n, free = len(raw), np.cumsum([0, *(len(p) + 1 for p in pieces)])
+        token = self.single[raw]
+        token[free] = 0
+        if token.min() < 0:
+            raise ValueError("a byte is no token")
+        token[free] = -1
+        token = token.tolist()  # of the bytes that start here; -1 where they belong to another place
+        rank = [get(a << SHIFT | b, -1) for a, b in zip(token, token[1:])]  # of the pair that starts here
+        rank.append(-1)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        #: Positions by rank as they came, and what is left of interrupted buckets, the leftmost last.
         buckets: dict[int, list[int]] = {}
+        waiting: dict[int, list[int]] = {}
         top = 0
         for p, r in enumerate(rank):
             if r >= 0:
                 if r in buckets:
-                    buckets[r].append(p)  # in order, so already a heap
+                    buckets[r].append(p)
                 else:
                     buckets[r] = [p]
                     w, i, bit, above, high = place[r]
@@ -88,56 +93,61 @@ class Bpe:
             w = i << 6 | (x & -x).bit_length() - 1
             x = words[w]
             r = w << 6 | (x & -x).bit_length() - 1
-            bucket, lower = buckets[r], False
-            while bucket and not lower:
-                p = heappop(bucket)  # the leftmost
+            bucket = buckets.pop(r, None)
+            if bucket is None:
+                bucket = waiting.pop(r)
+            else:
+                if r in waiting:
+                    bucket += waiting.pop(r)
+                bucket.sort(reverse=True)
+            left, lower = r << SHIFT, r
+            while bucket:
+                p = bucket.pop()  # the leftmost
                 if rank[p] != r:
                     continue
-                q = after[p]
+                q, o = after[p], before[p]
                 e = after[p] = after[q]
-                rank[q] = new = -1
-                if not begins[e]:
-                    before[e] = p
-                    new = get(data[p : after[e]], -1)
-                    if new >= 0:
-                        if new in buckets:
-                            heappush(buckets[new], p)
-                        else:
-                            buckets[new] = [p]
-                            x, y, bit, above, high = place[new]
-                            words[x] |= bit
-                            upper[y] |= above
-                            top |= high
-                        lower = new < r
-                rank[p] = new
-                if (o := before[p]) >= 0:
-                    rank[o] = new = get(data[o:e], -1)
-                    if new >= 0:
-                        if new in buckets:
-                            heappush(buckets[new], o)
-                        else:
-                            buckets[new] = [o]
-                            x, y, bit, above, high = place[new]
-                            words[x] |= bit
-                            upper[y] |= above
-                            top |= high
-                        lower = lower or new < r
-            if not bucket:
-                del buckets[r]
+                before[e] = p
+                token[p], token[q], rank[q] = r, -1, -1
+                rank[p] = new = get(left | token[e], -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(p)
+                    else:
+                        buckets[new] = [p]
+                        x, y, bit, above, high = place[new]
+                        words[x] |= bit
+                        upper[y] |= above
+                        top |= high
+                    if new < lower:
+                        lower = new
+                rank[o] = new = get(token[o] << SHIFT | r, -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(o)
+                    else:
+                        buckets[new] = [o]
+                        x, y, bit, above, high = place[new]
+                        words[x] |= bit
+                        upper[y] |= above
+                        top |= high
+                    if new < lower:
+                        lower = new
+                if lower < r:
+                    break
+            if bucket:
+                waiting[r] = bucket
+            else:
                 words[w] ^= 1 << (r & 63)
                 if not words[w]:
                     upper[i] ^= 1 << (w & 63)
                     if not upper[i]:
                         top ^= 1 << i
-        out, ranks, p = [], self.ranks, 0
-        for piece in pieces:
-            end, ids = p + len(piece), []
-            while p < end:
-                e = after[p]
-                ids.append(ranks[data[p:e]])
-                p = e
-            out.append(ids)
-        return out
+        tokens = np.array(token, np.int64)
+        starts = np.flatnonzero(tokens >= 0)
+        packed = tokens[starts].astype("<u4").tobytes()
+        cuts = (4 * np.searchsorted(starts, free)).tolist()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _learn(self, wanted: set[str]) -> list[str]:
         """See to it that `seen` has all that is wanted; returns what is too long to be remembered."""
@@ -146,7 +156,7 @@ class Bpe:
         seen, some, size = self.seen, {}, 0
 
         def merged() -> None:
-            seen.update(zip(some, map(_packed, self.merge(list(some.values()))), strict=True))
+            seen.update(zip(some, self.merge(list(some.values())), strict=True))
             some.clear()
 
         new = wanted.difference(seen)
@@ -156,7 +166,7 @@ class Bpe:
                 continue
             raw = piece.encode()
             if (whole := self.ranks.get(raw)) is not None:
-                seen[piece] = _packed([whole])
+                seen[piece] = whole.to_bytes(4, "little")
                 continue
             if some and size + len(raw) > TOGETHER:
                 merged()

@@ -83,7 +83,7 @@ def test_time_that_goes_back(spark):
     at = ["2020-01-01 00:00", "2020-01-01 05:00", "2020-01-02 01:00", "2020-01-01 12:00", "2020-01-01 13:00", "2020-01-02 13:00"]
     df = spark.createDataFrame([(1, t(x), i, 1.0 + i) for i, x in enumerate(at)], "k long, ts timestamp, i long, x double")
     spec = StreamSpec(("k",), "ts", ("i",))
-    got = [(str(r["ts"])[5:16], r["x"]) for r in agg.aggregate_in_order(df, spec, Interval.of(days=1), "x", sum).collect()]
+    got = [(str(r["ts"])[5:16], r["x"]) for r in agg.aggregate_in_order(df, spec, Aggregation(Interval.of(days=1), (("x", lambda x, order: F.sum(x)),))).orderBy("i").collect()]
     assert got == [("01-01 00:00", 3.0), ("01-02 00:00", 3.0), ("01-01 12:00", 9.0), ("01-02 12:00", 6.0)]
     assert [r["i"] for r in out_of_order(df, spec).collect()] == [3]
 

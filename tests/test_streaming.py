@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.aggregate import aggregate
+from tidemark.operators.aggregate import aggregate, aggregate_in_order
 from tidemark.spec import Aggregation, Interval, StreamSpec
 from tidemark.streaming import stateful
 
@@ -30,28 +30,68 @@ def read(spark, df, path):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def run(out, tmp, name="check"):
+    out.writeStream.format("parquet").option("path", f"{tmp}/out").option("checkpointLocation", f"{tmp}/{name}").trigger(availableNow=True).start().awaitTermination()
+
+
+def windows_of(df):
+    return {(r["k"], r["start"]): (r["n"], r["n_values"], r["sum"]) for r in df.collect()}
+
+
+def batch_form(df):
+    whole = aggregate(df.withColumns({"n": F.lit(1.0), "v": F.col("x").isNotNull().cast("double")}), SPEC, Aggregation(Interval.of(hours=5), (("n", "sum"), ("v", "sum"), ("x", lambda x, order: F.sum(x)))))
+    return {(r["k"], r["ts"]): (r["n"], r["v"], r["x"] or 0.0) for r in whole.collect()}
+
+
 def test_anchored_sums_equal_the_batch_form(spark, folder):
-    """Windows that closed are those of the grouped aggregation; a query that is stopped goes on from its checkpoint."""
+    """Windows that closed and those that are open are together the grouped aggregation's, also after a restart and with records that came meanwhile."""
     df, path, tmp = folder
     out = stateful.anchored_sums(read(spark, df, path), SPEC, Interval.of(hours=5), "x")
-    for _ in range(2):  # the second run finds nothing new
-        out.writeStream.format("parquet").option("path", f"{tmp}/out").option("checkpointLocation", f"{tmp}/check").trigger(availableNow=True).start().awaitTermination()
-    got = {(r["k"], r["start"]): (r["n"], r["n_values"], r["sum"]) for r in spark.read.parquet(f"{tmp}/out").collect()}
-    whole = aggregate(df.withColumns({"n": F.lit(1.0), "v": F.col("x").isNotNull().cast("double")}), SPEC, Aggregation(Interval.of(hours=5), (("n", "sum"), ("v", "sum"), ("x", lambda x, order: F.sum(x)))))
-    want = {(r["k"], r["ts"]): (r["n"], r["v"], r["x"] or 0.0) for r in whole.collect()}
-    last = {k: max(t for key, t in want if key == k) for k in range(3)}
-    assert got == {key: v for key, v in want.items() if key[1] != last[key[0]]}
+    run(out, tmp)
+    closed = windows_of(spark.read.parquet(f"{tmp}/out"))
+    still = windows_of(stateful.open_windows(spark, f"{tmp}/check", SPEC))
+    assert len(still) == 3 and not closed.keys() & still.keys() and closed | still == batch_form(df)
+    more = spark.createDataFrame([(k, START + dt.timedelta(days=9, hours=3 * i), 100 + i, 1.0) for k in range(2) for i in range(4)] + [(9, START, 0, 2.0), (9, None, 1, 2.0)], df.schema)
+    more.coalesce(1).write.mode("append").parquet(path)
+    run(out, tmp)
+    got = windows_of(spark.read.parquet(f"{tmp}/out")) | windows_of(stateful.open_windows(spark, f"{tmp}/check", SPEC))
+    assert got == batch_form(df.union(more.where("ts is not null")))
+
+
+def test_steps_back_anchor_anew_between_and_within_micro_batches(spark, tmp_path):
+    """As the batch form in record order has it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = iter(range(100))
+    for hours in ([10, 11, 3, 4, 8], [5, 20, 19], [12, 13, 1, 30]):
+        spark.createDataFrame([(1, START + dt.timedelta(hours=h), next(at), 1.0) for h in hours][::-1], "k long, ts timestamp, i long, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    files = spark.read.parquet(f"{tmp_path}/in")
+    run(stateful.anchored_sums(read(spark, files, f"{tmp_path}/in"), SPEC, Interval.of(hours=4), "x"), tmp_path)
+    got = spark.read.parquet(f"{tmp_path}/out").union(stateful.open_windows(spark, f"{tmp_path}/check", SPEC))
+    want = aggregate_in_order(files.select("k", "ts", "i", "x"), SPEC, Aggregation(Interval.of(hours=4), (("x", lambda x, order: F.sum(x)),)))
+    assert sorted((r["start"], r["n"]) for r in got.collect()) == sorted((r["ts"], r["x"]) for r in want.collect())
 
 
-def test_a_step_back_anchors_anew(spark, tmp_path):
+def test_timers_close_the_windows_of_idle_keys(spark, tmp_path):
+    """Key 1 stops; key 2's records move the watermark on. What comes later for key 1 anchors anew."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    for hours in ([10, 11], [5], [12]):
-        spark.createDataFrame([(1, START + dt.timedelta(hours=h), h, 1.0) for h in hours], "k long, ts timestamp, i long, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for part in ([(1, 0), (1, 1), (2, 0)], [(2, 9)], [(2, 10)], [(1, 30), (2, 31)]):
+        spark.createDataFrame([(k, START + dt.timedelta(hours=h), h, 1.0) for k, h in part], "k long, ts timestamp, i long, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     files = spark.read.parquet(f"{tmp_path}/in")
-    out = stateful.anchored_sums(read(spark, files, f"{tmp_path}/in"), SPEC, Interval.of(hours=4), "x")
-    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
-    got = sorted((r["start"].hour, r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert got == [(5, 1), (10, 2)]
+    stream = read(spark, files, f"{tmp_path}/in").withWatermark("ts", "1 hour")
+    run(stateful.anchored_sums(stream, SPEC, Interval.of(hours=4), "x", Interval.of(hours=6)), tmp_path)
+    got = sorted((r["k"], (r["start"] - START).total_seconds() // 3600, r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got[0] == (1, 0, 2) and (2, 8, 2) in got
+    still = {r["k"]: (r["start"] - START).total_seconds() // 3600 for r in stateful.open_windows(spark, f"{tmp_path}/check", SPEC).collect()}
+    assert still.get(1, 30) == 30  # not 28: it anchored anew
+
+
+def test_session_windows(spark, folder):
+    df, path, tmp = folder
+    out = stateful.session_windows(read(spark, df, path), "ts", ["k"], "1 hour", "40 minutes", "x")
+    run(out, tmp)
+    want = {(r["k"], r["start"]): r["n"] for r in df.groupBy("k", F.session_window("ts", "40 minutes").alias("w")).agg(F.count("*").alias("n")).select("k", "w.start", "n").collect()}
+    got = {(r["k"], r["start"]): r["n"] for r in spark.read.parquet(f"{tmp}/out").collect()}
+    assert got and all(want[key] == n for key, n in got.items())
 
 
 def test_watermarked_windows(spark, folder):
@@ -68,5 +108,7 @@ def test_tee_and_periodic_calls(spark, folder):
     seen, called = [], []
     stateful.tee(read(spark, df, path), f"{tmp}/saved", lambda batch, n: seen.append((n, batch.count()))).option("checkpointLocation", f"{tmp}/c1").trigger(availableNow=True).start().awaitTermination()
     assert [n for _, n in seen] == [60, 60, 60] and spark.read.parquet(f"{tmp}/saved").count() == 180
-    stateful.every(read(spark, df, path), 50, called.append).option("checkpointLocation", f"{tmp}/c2").trigger(availableNow=True).start().awaitTermination()
-    assert called == [50, 100, 150]
+    for want in ([50, 100, 150], [50, 100, 150, 200]):  # started again, it goes on counting
+        stateful.every(read(spark, df, path), 50, called.append, f"{tmp}/counts").option("checkpointLocation", f"{tmp}/c2").trigger(availableNow=True).start().awaitTermination()
+        assert called == want
+        df.limit(30).coalesce(1).write.mode("append").parquet(path)

@@ -8,12 +8,12 @@ the anchors (and for sequence numbers where resets or sequence ids part them).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.anchors import with_windows
 from tidemark.spec import Aggregation, Interval, StreamSpec, micros
 
 Aggregate = Callable[[Column, Column], Column]
@@ -95,35 +95,18 @@ def aggregate(df: DataFrame, spec: StreamSpec, agg: Aggregation, legacy_int_divi
     return done.select(*[c for c in kinds if c in done.columns], "_seq")
 
 
-def aggregate_in_order(df: DataFrame, spec: StreamSpec, period: Interval, column: str, how: Callable[[list], float]) -> DataFrame:
-    """For records whose time goes back (spec.order alone is the order): a step back closes the window and anchors anew.
+def aggregate_in_order(df: DataFrame, spec: StreamSpec, agg: Aggregation) -> DataFrame:
+    """For records whose time goes back (spec.order alone is the order): a step back closes the window and anchors anew. Keys, window start (in spec.ts), _anchor (the number of the record that anchored the window), and the aggregated columns; records without a time are left out.
 
-    One stream is one task's work, as each window depends on the one before;
-    rows come as Arrow batches sorted by key and order, and one window is held at a time.
+    Windows are assigned part by part (operators.anchors), so one stream is many
+    tasks' work; then it is one grouped aggregation.
     """
-    keys, length = list(spec.keys), pd.Timedelta(period.micros, "us")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, start, held, out = None, None, [], []
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                own, t, x = tuple(row[: len(keys)]), row[len(keys)], row[len(keys) + 1]
-                if held and (own != key or t < start or t >= start + length):
-                    out.append((*key, start, how(held)))
-                    held = []
-                    start = t if own != key or t < start else start + length * ((t - start) // length)
-                elif not held:
-                    start = t
-                key = own
-                held.append(x)
-            yield pd.DataFrame(out, columns=[*keys, spec.ts, column])
-            out = []
-        if held:
-            yield pd.DataFrame([(*key, start, how(held))], columns=[*keys, spec.ts, column])
-
-    own = df.select(*keys, spec.ts, F.col(column).cast("double").alias(column), *[c for c in spec.order if c not in (*keys, spec.ts, column)])
-    kinds = dict(own.dtypes)
-    return own.repartition(*keys).sortWithinPartitions(*keys, *spec.order).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (*keys, spec.ts)) + f", {column} double")
+    named = dict(agg.fields)
+    order = F.struct(*spec.order)
+    out = [function(named.get(c, "first"), c, order).alias(c) for c in df.columns if c not in (*spec.keys, spec.ts)]
+    done = with_windows(df, spec, agg.period).groupBy(*spec.keys, "_anchor", "_start").agg(*(out or [F.count(F.lit(1)).alias("_n")]))
+    done = done.withColumn(spec.ts, F.col("_start").cast(df.schema[spec.ts].dataType))
+    return done.select(*[c for c in df.columns if c in done.columns], "_anchor")
 
 
 def dataset_name(source: str, period: Interval) -> str:

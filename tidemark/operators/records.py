@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.anchors import with_windows
 from tidemark.spec import Interval, StreamSpec, micros
 
 
@@ -92,7 +93,7 @@ def matching(patterns: list[str], names: list[str]) -> list[str] | None:
 def auto_reset(df: DataFrame, spec: StreamSpec, every: Interval) -> DataFrame:
     """_reset = 1 on the first record of each stretch of `every` since the stream's first record; explicit resets (spec.reset) stay and anchor anew.
 
-    Time must not go back within a stream.
+    Time must not go back within a stream; auto_reset_in_order is for streams in which it does.
     """
     w = spec.records()
     own = F.coalesce((F.col(spec.reset) != 0).cast("int"), F.lit(0)) if spec.reset else F.lit(0)
@@ -105,6 +106,14 @@ def auto_reset(df: DataFrame, spec: StreamSpec, every: Interval) -> DataFrame:
     return df.withColumn("_reset", (turned | (F.col("_own") == 1) | first).cast("int")).drop("_own", "_block", "_stretch")
 
 
+def auto_reset_in_order(df: DataFrame, spec: StreamSpec, every: Interval) -> DataFrame:
+    """The same in spec.order's order alone, of records that have a time. A record from before the stretch at hand anchors anew without a reset of its own; explicit resets anchor, too."""
+    forced = F.coalesce(F.col(spec.reset) != 0, F.lit(False)) if spec.reset else F.lit(False)
+    done = with_windows(df, spec, every, forced)
+    # a stretch that its anchor begins has a reset only as the stream's first record or by its own; the later ones of an anchor have one each
+    return done.withColumn("_reset", (forced | F.col("_first") | (F.col("_opens") & ~F.col("_anchors"))).cast("int")).drop("_start", "_anchor", "_opens", "_anchors", "_first")
+
+
 def delta(df: DataFrame, spec: StreamSpec, column: str, name: str = "delta") -> DataFrame:
     """x less the sequence's previous x; a sequence's first record goes, and its successor bears the reset. Needs _reset (with_record_meta)."""
     df = df.withColumn("_block", F.sum("_reset").over(spec.records().rowsBetween(Window.unboundedPreceding, 0)))

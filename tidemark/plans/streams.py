@@ -183,8 +183,23 @@ def agg_by_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_in_record_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In the order of event_id, in which time goes back: each step back closes a window and anchors anew."""
     spec = StreamSpec(("user_id",), "ts", ("event_id",))
-    df = table(spark, sf_dir, "events")
-    return agg.aggregate_in_order(df, spec, DAY, "value", sum).select("user_id", micros("ts").alias("w"), F.round("value", 4).alias("total"))
+    df = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    done = agg.aggregate_in_order(df, spec, Aggregation(DAY, (("value", lambda x, order: F.sum(x)),)))
+    return done.select("user_id", micros("ts").alias("w"), F.round("value", 4).alias("total"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS pos, event_type AS kind, event_id % 40 = 0 AS own FROM events),
+    r AS (SELECT kind, pos, event_id, us AS start, 1 AS is_reset FROM e WHERE pos = 1 UNION ALL
+    SELECT e.kind, e.pos, e.event_id, CASE WHEN e.own OR e.us < r.start THEN e.us ELSE r.start + (e.us - r.start) // 86400000000 * 86400000000 END,
+    CAST(e.own OR e.us >= r.start + 86400000000 AS INT) FROM r JOIN e ON e.kind = r.kind AND e.pos = r.pos + 1)
+    SELECT event_id, CAST(is_reset AS INT) AS is_reset FROM r"""
+)
+def auto_reset_in_record_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of one event type in the order of event_id, with explicit resets: time goes back within them."""
+    df = table(spark, sf_dir, "events").withColumn("own", (F.col("event_id") % 40 == 0).cast("int"))
+    done = records.auto_reset_in_order(df, StreamSpec(("event_type",), "ts", ("event_id",), reset="own"), DAY)
+    return done.select("event_id", F.col("_reset").alias("is_reset"))
 
 
 @query(

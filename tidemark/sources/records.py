@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.operators.aggregate import aggregate
 from tidemark.operators.records import filter_records, project, row_range
+from tidemark.shared import shared_folder  # noqa: F401  callers take it from here, too
 from tidemark.spec import Aggregation, Interval, StreamSpec
 
 #: Reading and writing by type.
@@ -31,17 +31,6 @@ class Field:
             raise ValueError(f"no such field: {self}")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors can write: spark.checkpoint.dir; unset, in a local session, a new temporary folder."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
 def _line(values: list[str]) -> str:
     out = io.StringIO()
     csv.writer(out, lineterminator="").writerow(values)

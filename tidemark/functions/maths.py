@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import running
+
 
 def entropy(df: DataFrame, column: str) -> DataFrame:
     """Shannon entropy (nats) of a column's values: one row."""
@@ -42,17 +44,20 @@ def softmax(x: Column) -> Column:
     return F.transform(x, lambda v: F.exp(v - top) / total)
 
 
-def roc_curve(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """fpr and tpr at each distinct score, from the highest down.
-
-    Rows are counted by score first, so the running sums are over distinct scores.
-    """
+def _judged(df: DataFrame, truth: str, score: str, by: list[str] | None) -> DataFrame:
+    """A row a distinct score: by, score, p and q (its true and false rows), p_upto and q_upto (those of no lower score), p_all and q_all. Rows are counted by score first; without `by` the running sums go by range partitions."""
     by = by or []
-    counts = df.groupBy(*by, score).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    neg = F.col("n") - F.col("p")
-    return counts.select(*by, F.col(score).alias("threshold"), (F.sum(neg).over(w) / F.sum(neg).over(whole)).alias("fpr"), (F.sum("p").over(w) / F.sum("p").over(whole)).alias("tpr"))
+    counts = df.groupBy(*by, score).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.sum(1 - F.col(truth).cast("long")).alias("q"))
+    if not by:
+        return running(counts, [F.desc(score)], {"p_upto": F.col("p"), "q_upto": F.col("q")}).withColumnsRenamed({"p_upto_all": "p_all", "q_upto_all": "q_all"})
+    w, whole = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+    return counts.withColumns({"p_upto": F.sum("p").over(w), "q_upto": F.sum("q").over(w), "p_all": F.sum("p").over(whole), "q_all": F.sum("q").over(whole)})
+
+
+def roc_curve(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """fpr and tpr at each distinct score, from the highest down."""
+    rows = _judged(df, truth, score, by)
+    return rows.select(*(by or []), F.col(score).alias("threshold"), (F.col("q_upto") / F.col("q_all")).alias("fpr"), (F.col("p_upto") / F.col("p_all")).alias("tpr"))
 
 
 def area(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
@@ -63,9 +68,10 @@ def area(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFram
     return df.select(*by, part.alias("part")).groupBy(*by).agg(F.sum("part").alias("auc"))
 
 
-def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """The area under the ROC curve of scores that are counted first."""
-    return area(roc_curve(df, truth, score), "fpr", "tpr")
+def auc(df: DataFrame, truth: str, score: str, by: list[str] | None = None) -> DataFrame:
+    """The area under the ROC curve: each score's false rows lie below all true rows of higher scores and half of its own."""
+    part = F.col("q") * (F.col("p_upto") - F.col("p") / 2) / (F.col("p_all") * F.col("q_all"))
+    return _judged(df, truth, score, by).groupBy(*(by or [])).agg(F.sum(part).alias("auc"))
 
 
 def log_likelihood(p: Column) -> Column:

@@ -66,7 +66,11 @@ def parse_bits(s: Column) -> Column:
 
 
 def format_bits(bits: Column, width: int) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(F.array_contains(bits, i), "1").otherwise("0")), "")
+    """Each bit from the last to the first: the zeros up to it, and a one; the bits are evaluated once."""
+    held = F.filter(F.array_sort(F.array_distinct(bits)), lambda b: b.between(0, width - 1))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda s, b: F.struct((b + 1).cast("int").alias("at"), F.concat(s["out"], F.repeat(F.lit("0"), (b - s["at"]).cast("int")), F.lit("1")).alias("out"))
+    return F.aggregate(held, start, step, lambda s: F.concat(s["out"], F.repeat(F.lit("0"), F.lit(width) - s["at"])))
 
 
 def draw_bits(bits: Column, width: int) -> Column:
@@ -83,5 +87,6 @@ def format_ints(values: Column) -> Column:
 
 
 def is_json_of(s: Column, schema: str) -> Column:
-    """Whether text is JSON of a DDL schema."""
-    return F.from_json(s, schema, {"mode": "PERMISSIVE"}).isNotNull()
+    """Whether text is JSON of a DDL schema: it parses, and no value is of another kind than the schema says (missing and null fields are allowed); null for null."""
+    read = F.from_json(s, f"{schema}, `_not json` string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_not json"})
+    return F.when(s.isNotNull(), F.coalesce(read["_not json"].isNull() & (F.trim(s) != ""), F.lit(False)))

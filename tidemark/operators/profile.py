@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.shared import written
+
 NUMBERS = ("int", "bigint", "float", "double", "smallint", "tinyint")
 
 
@@ -22,26 +24,57 @@ def category_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
-def numeric_profile(df: DataFrame, column: str) -> DataFrame:
-    """n, distinct, min, max, mean, the values at places int(p n) of the sorted list (median, p1, p99), and the mean step between distinct values.
+#: Distinct values among which a place is looked up at last, and the parts that more of them are cut into.
+FEW, PARTS = 65_536, 64
+PLACES = {"median": 0.5, "p1": 0.01, "p99": 0.99}
+
 
-    Values are counted by group first; places are found in running counts that
-    go by range partitions, not in one sorted list.
+def numeric_profiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A row a column: field, n, distinct, min, max, mean, the values at places int(p n) of the sorted list (median, p1, p99), and the mean step between distinct values.
+
+    One scan counts the values of all columns. Each place is then bracketed by
+    quantile sketches of the distinct values, and the counts in the sketch's
+    parts are exact, so the part that holds the place is known; it is cut
+    again until few values are left. Nothing depends on how rows are dealt.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    return _profile(counts)
+    each = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("x")) for c in columns])
+    counts = df.select(F.explode(each).alias("s")).where("s.x is not null").groupBy("s.field", "s.x").agg(F.count("*").alias("n"))
+    counts = written(counts, "counts")
+    total = counts.groupBy("field").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
+    rows = total.collect()  # a row a column
+    asked = {(r["field"], name): (int(r["n"] * p), r["min"], r["max"], 0, r["distinct"]) for r in rows for name, p in PLACES.items()}
+    found = _at(counts, asked)
+    out = [(r["field"], r["n"], r["distinct"], r["min"], r["max"], r["mean"], *(found[r["field"], name] for name in PLACES), (r["max"] - r["min"]) / (r["distinct"] - 1) if r["distinct"] > 1 else None) for r in rows]
+    return df.sparkSession.createDataFrame(out, "field string, n long, distinct long, min double, max double, mean double, median double, p1 double, p99 double, mean_step double")
+
+
+def _at(counts: DataFrame, asked: dict) -> dict:
+    """The value at each asked place. asked: (field, name) -> place, least and greatest value it can be, values before the least, distinct values between."""
+    spark = counts.sparkSession
+
+    def between(some: dict) -> DataFrame:
+        bounds = spark.createDataFrame([(f, name, at, lo, hi, before) for (f, name), (at, lo, hi, before, _) in some.items()], "field string, name string, at long, lo double, hi double, before long")
+        return counts.join(F.broadcast(bounds), "field").where(F.col("x").between(F.col("lo"), F.col("hi")))
+
+    while many := {key: v for key, v in asked.items() if v[4] > FEW}:
+        rows = between(many)
+        cuts = rows.groupBy("field", "name").agg(F.percentile_approx("x", [i / PARTS for i in range(1, PARTS)], 20 * PARTS).alias("cuts"))
+        part = F.size(F.filter("cuts", lambda c: c < F.col("x")))
+        sums = rows.join(F.broadcast(cuts), ["field", "name"]).groupBy("field", "name", part.alias("part")).agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("d"))
+        before = {key: v[3] for key, v in many.items()}
+        for r in sums.orderBy("field", "name", "part").collect():  # PARTS rows a place at most
+            key = r["field"], r["name"]
+            if before[key] <= many[key][0] < before[key] + r["n"]:
+                asked[key] = many[key][0], r["lo"], r["hi"], before[key], r["d"]
+            before[key] += r["n"]
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("field", "name").orderBy("x"))
+    rows = between(asked).withColumn("upto", upto).where("upto > at").groupBy("field", "name").agg(F.min("x").alias("x"))
+    return {(r["field"], r["name"]): r["x"] for r in rows.collect()}
 
 
-def _profile(counts: DataFrame) -> DataFrame:
-    parts = counts.repartitionByRange("x").withColumn("part", F.spark_partition_id())
-    sums = parts.groupBy("part").agg(F.sum("n").alias("pn"))  # a row a partition
-    before = sums.select("part", (F.sum("pn").over(Window.orderBy("part")) - F.col("pn")).alias("before"))
-    run = parts.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("x")))
-    total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("total") * p), F.col("x")))
-    row = run.crossJoin(F.broadcast(total)).groupBy("total", "distinct", "min", "max", "mean").agg(at(0.5).alias("median"), at(0.01).alias("p1"), at(0.99).alias("p99"))
-    step = F.try_divide(F.col("max") - F.col("min"), F.col("distinct") - 1)  # sorted distinct values' differences add up to the range
-    return row.select(F.col("total").cast("long").alias("n"), "distinct", "min", "max", "mean", "median", "p1", "p99", step.alias("mean_step"))
+def numeric_profile(df: DataFrame, column: str) -> DataFrame:
+    """numeric_profiles of one column, without its name."""
+    return numeric_profiles(df, [column]).drop("field")
 
 
 def string_profile(df: DataFrame, column: str, top: int = 5) -> DataFrame:
@@ -65,10 +98,15 @@ def entries(df: DataFrame, error: float | None = None) -> DataFrame:
 def profile(df: DataFrame, top: int = 5) -> DataFrame:
     """Every column by its kind: field, kind, statistic, value (text). Numbers: of numeric_profile; text: `value` and its count for the most frequent ones; dates: whether each part varies."""
     out = None
+    numbers = [c for c, kind in df.dtypes if kind in NUMBERS]
+    if numbers:
+        own = numeric_profiles(df, numbers)
+        each = F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).cast("string").alias("value")) for n in own.columns if n != "field"])
+        out = own.select("field", F.lit("number").alias("kind"), F.explode(each).alias("s")).select("field", "kind", "s.statistic", "s.value")
     for c, kind in df.dtypes:
         if kind in NUMBERS:
-            own, name = numeric_profile(df, c), "number"
-        elif kind.startswith(("timestamp", "date")):
+            continue
+        if kind.startswith(("timestamp", "date")):
             own, name = varying_date_parts(df, c), "date"
         elif kind == "string":
             own, name = string_profile(df, c, top), "text"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.shared import written
 from tidemark.spec import StreamSpec
 
 
@@ -46,3 +47,19 @@ def pick(distribution: str, draw: str | Column) -> Column:
     total = F.aggregate(distribution, F.lit(0.0), lambda a, x: a + x)
     step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.when(s["sum"] + x <= draw * total, s["i"] + 1).otherwise(s["i"]).alias("i"))
     return F.aggregate(distribution, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i")), step)["i"]
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with running sums, each row's own part in them, along a total order over all rows; with the sums over all rows, too (<name>_all). Range partitions are numbered as they are written, so that sums and rows agree; each is summed up, and each runs over its own rows."""
+    parts = written(df.withColumns(sums).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    of = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    before = of.select("_part", *[F.coalesce(F.sum(f"_{c}").over(whole), F.lit(0)).alias(f"_{c}") for c in sums], *[F.sum(f"_{c}").over(Window.partitionBy(F.lit(0))).alias(f"{c}_all") for c in sums])
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.withColumns({c: F.sum(c).over(w) for c in sums}).join(F.broadcast(before), "_part")
+    return out.withColumns({c: F.col(c) + F.col(f"_{c}") for c in sums}).drop("_part", *[f"_{c}" for c in sums])
+
+
+def with_places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with each row's place, from 1, in a total order over all rows."""
+    return running(df, order, {name: F.lit(1).cast("long")}).drop(f"{name}_all")

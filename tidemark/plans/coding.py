@@ -330,7 +330,7 @@ def small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON of a schema, coordinates to an index, an indicator vector, a likelihood's log scale."""
     back = maths.index_of(F.array(F.col("event_id") % 6, F.col("event_id") % 10), [6, 10])
     hot = F.array_join(maths.one_hot(F.col("event_id") % 6, 6).cast("array<string>"), "")
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k long")["k"].isNotNull() & text.is_json_of(F.col("props"), "k long"), F.lit(False)).alias("fits"), back.alias("back"), hot.alias("hot"), F.round(maths.log_likelihood(F.col("event_id") % 100 / 100.0), 6).alias("scaled"))
+    return table(spark, sf_dir, "events").select("event_id", text.is_json_of(F.col("props"), "k long").alias("fits"), back.alias("back"), hot.alias("hot"), F.round(maths.log_likelihood(F.col("event_id") % 100 / 100.0), 6).alias("scaled"))
 
 
 @query(

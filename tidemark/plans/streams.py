@@ -329,12 +329,8 @@ def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS place FROM orders")
 def sort_multi_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range sort; the places come from the sorted partitions' sizes, not from one window."""
-    df = ranking.sort_records(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderdate"], ["o_orderkey"], ["o_orderkey", "o_orderpriority", "o_orderdate"])
-    df = df.withColumn("part", F.spark_partition_id())
-    sizes = df.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    at = F.row_number().over(Window.partitionBy("part").orderBy("o_orderpriority", "o_orderdate", "o_orderkey"))
-    return df.join(F.broadcast(before), "part").select("o_orderkey", (at + F.col("before")).cast("long").alias("place"))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    return ranking.with_places(df, [F.col(c) for c in ("o_orderpriority", "o_orderdate", "o_orderkey")]).select("o_orderkey", "place")
 
 
 @query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")

@@ -112,3 +112,48 @@ def test_tee_and_periodic_calls(spark, folder):
         stateful.every(read(spark, df, path), 50, called.append, f"{tmp}/counts").option("checkpointLocation", f"{tmp}/c2").trigger(availableNow=True).start().awaitTermination()
         assert called == want
         df.limit(30).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_likelihoods_in_state_equal_the_batch_form(spark, tmp_path):
+    """Several settings: blocks shorter than an average, histories that begin later than the stream, a wait beyond the history."""
+    import numpy as np
+    from tidemark.operators.anomaly import online_likelihoods
+    from tidemark.streaming.likelihood import Fitting, Moments
+
+    rng = np.random.default_rng(5)
+    raw = rng.random(400) ** 3
+    df = spark.createDataFrame([(1, START + dt.timedelta(minutes=i), i, float(x)) for i, x in enumerate(raw)], "k long, ts timestamp, i long, raw double").cache()
+    for setting in (dict(learning=20, samples=10, history=40, every=5, average=10), dict(learning=50, samples=20, history=60, every=8, average=4), dict(learning=3, samples=4, history=100, every=30, average=1), dict(learning=90, samples=10, history=64, every=16, average=7)):
+        want = [r["likelihood"] for r in online_likelihoods(df, SPEC, "raw", **setting).orderBy("i").collect()]
+        moments, parts = Moments(Fitting(**setting)), []
+        for lo, hi in ((0, 1), (1, 7), (7, 130), (130, 131), (131, 400)):
+            parts.append(moments.add(raw[lo:hi]))
+            moments = Moments(Fitting(**setting), moments.state())
+        said = np.concatenate(parts)
+        with np.errstate(invalid="ignore"):
+            from math import erfc
+
+            tail = [None if np.isnan(m) else (lambda t: t if a >= m else 1 - t)(erfc(abs(a - m) / d / 1.4142) / 2) for a, m, d, *_ in said]
+        got = [0.5 if t is None else 1 - (1e-3 if t <= 1e-5 and i and tail[i - 1] is not None and tail[i - 1] <= 1e-5 else t) for i, t in enumerate(tail)]
+        assert np.abs(np.array(got) - np.array(want)).max() < 1e-6
+        assert len(moments.m1) <= setting["history"] // Fitting(**setting).block + setting["every"] // Fitting(**setting).block + 1
+
+
+def test_models_are_exported_and_asked_with_frozen_counts(spark, folder):
+    from tidemark.streaming import models
+
+    df, path, tmp = folder
+    df = df.withColumns({"v": (F.col("i") % 5 % 3).cast("string"), "learns": F.col("i") < 40})
+    df.coalesce(1).write.parquet(f"{tmp}/values")
+    run(models.two_grams(read(spark, df, f"{tmp}/values"), SPEC, "v", "learns"), tmp, "models")
+    counts = {}
+    for k in range(3):
+        v = [i % 5 % 3 for i in range(60)]
+        for i in range(1, 40):
+            key = (k, str(v[i - 1]), str(v[i]))
+            counts[key] = counts.get(key, 0) + 1
+    held = models.learnt(spark, f"{tmp}/models", SPEC)
+    assert {(r["k"], r["value"], r["follower"]): r["n"] for r in held.collect()} == counts
+    asked = models.inferred(df.where("i >= 40"), SPEC, "v", held)
+    streamed = {(r["k"], r["i"]): r["prediction"] for r in spark.read.parquet(f"{tmp}/out").collect()}
+    assert all(r["prediction"] == streamed[r["k"], r["i"]] for r in asked.where("i > 40").collect())

@@ -128,12 +128,13 @@ def prediction_log(df: DataFrame, spec: StreamSpec, inputs: list[str], predictio
     return df.select(*own, reset.alias("reset"), *[text(c).alias(c) for c in sorted(inputs)], *said, *[text(c).alias(c) for c in labels])
 
 
-def with_two_gram(df: DataFrame, spec: StreamSpec, column: str, name: str) -> DataFrame:
-    """What has followed the previous value most often so far (the least on a tie); null if nothing has."""
+def with_two_gram(df: DataFrame, spec: StreamSpec, column: str, name: str, learns: Column | None = None) -> DataFrame:
+    """What has followed the previous value most often so far (the least on a tie); null if nothing has. learns: the records that count; the others are predicted alone."""
     w = spec.records()
     df = df.withColumns({"_prev": F.lag(column).over(w), "_at": F.row_number().over(w)})
     keys = list(spec.keys)
-    seen = df.where(F.col("_prev").isNotNull() & F.col(column).isNotNull()).select(*keys, "_prev", F.col(column).alias("_next"), "_at")
+    counts = F.coalesce(learns, F.lit(False)) if learns is not None else F.lit(True)
+    seen = df.where(F.col("_prev").isNotNull() & F.col(column).isNotNull() & counts).select(*keys, "_prev", F.col(column).alias("_next"), "_at")
     n = F.row_number().over(Window.partitionBy(*keys, "_prev", "_next").orderBy("_at"))
     counted = seen.withColumn("_n", n)
     # after each pair, the leader among the previous value's followers: the greatest count so far, the least value of those

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import Metric, prediction_log, with_metrics, with_two_gram
@@ -17,9 +17,9 @@ def previous_value(df: DataFrame, spec: StreamSpec, column: str, steps: tuple[in
     return df.withColumn("predictions", F.create_map(*[x for s in steps for x in (F.lit(s), F.create_map(F.col(column), F.lit(1.0)))]))
 
 
-def two_gram(df: DataFrame, spec: StreamSpec, column: str) -> DataFrame:
-    """prediction for this record: the most frequent follower so far of the value before."""
-    return with_two_gram(df, spec, column, "prediction")
+def two_gram(df: DataFrame, spec: StreamSpec, column: str, learns: Column | None = None) -> DataFrame:
+    """prediction for this record: the most frequent follower so far of the value before. learns: which records are learnt from."""
+    return with_two_gram(df, spec, column, "prediction", learns)
 
 
 MODELS = {"previous_value": previous_value, "two_gram": two_gram}
@@ -78,14 +78,14 @@ class Experiment:
         return cls(description["model"], column, spec, description.get("steps", 1), metrics, tuple(map(tuple, description.get("tasks", ()))))
 
     def run(self, df: DataFrame) -> DataFrame:
-        """df with prediction (for each record, made `steps` before it), phase if there is a cycle, and a column for each metric's label. Records of a phase other than `learn` take part in both."""
+        """df with prediction (for each record, made `steps` before it), phase if there is a cycle, and a column for each metric's label. Records of the phase `infer` are predicted, but not learnt from."""
+        df = phases(df, self.spec, list(self.cycle)) if self.cycle else df
         if self.model == "two_gram":
             if self.steps != 1:
                 raise ValueError("two_gram predicts one step")
-            df = two_gram(df, self.spec, self.column)
+            df = two_gram(df, self.spec, self.column, F.col("phase") != "infer" if self.cycle else None)
         else:
             df = with_metrics(df.withColumn("prediction", F.col(self.column)), self.spec, [], {"prediction": self.steps})
-        df = phases(df, self.spec, list(self.cycle)) if self.cycle else df
         return with_metrics(df, self.spec, list(self.metrics))
 
     def log(self, done: DataFrame, inputs: list[str]) -> DataFrame:

@@ -70,6 +70,16 @@ def two_gram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.two_gram(table(spark, sf_dir, "events"), EVENTS, "event_type").select("event_id", "prediction")
 
 
+PHASED = TWO_GRAM.replace("AND y.pos < x.pos", "AND y.pos < x.pos AND (y.pos - 1) % 7 < 5")
+
+
+@query(f"{PHASED} SELECT event_id, guess AS prediction FROM g")
+def two_gram_in_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from five records, then only predicts two, over and over."""
+    experiment = models.Experiment("two_gram", "event_type", EVENTS, cycle=(("learn", 5), ("infer", 2)))
+    return experiment.run(table(spark, sf_dir, "events")).select("event_id", "prediction")
+
+
 @query(f"{TWO_GRAM} SELECT event_id, round(avg(CASE WHEN guess IS NULL THEN NULL ELSE CAST(guess <> c AS INT) END) {OVER}, 8) AS metric FROM g")
 def metric_two_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = metrics.Metric("two_gram", "event_type", window=WINDOW, error="avg_err")

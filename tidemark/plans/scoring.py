@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.encoders import Scalar
-from tidemark.operators import anomaly, knn, metrics, models, pooling, ranking, search
+from tidemark.operators import anomaly, knn, knn_learn, metrics, models, pooling, ranking, search
 from tidemark.operators.records import with_index
 from tidemark.plans.catalog import EVENTS, EVENTS_SQL, RECORDS, events, query, register, table
 from tidemark.plans.coding import erf_sql
@@ -329,6 +329,18 @@ def knn_prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.remapped(left, spark.createDataFrame([(9, 90)], "category int, new int")).select("row_id", "category")
 
 
+@query(
+    """WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, CAST(embedding[1:3] AS DOUBLE[]) AS x FROM embeddings),
+    r AS (SELECT i, vec_id, [x] AS kept, true AS learnt FROM v WHERE i = 1 UNION ALL
+    SELECT i, vec_id, CASE WHEN learnt THEN list_append(kept, x) ELSE kept END, learnt FROM (SELECT v.i, v.vec_id, v.x, r.kept, len([k FOR k IN r.kept IF list_distance(k, v.x) < 0.12]) = 0 AS learnt FROM r JOIN v ON v.i = r.i + 1))
+    SELECT vec_id AS row_id FROM r WHERE learnt"""
+)
+def knn_learnt_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the vectors' first three values, in order of id, those that no stored one is nearer to than 0.12."""
+    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.slice("embedding", 1, 3).cast("array<double>").alias("vector"), F.col("label").alias("category"), F.lit(None).cast("long").alias("part"))
+    return knn_learn.apart(df, 0.12).select("row_id")
+
+
 @query(
     """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
     SELECT vec_id, array_to_string([i - 1 FOR i IN range(1, 65) IF e[i] > 0.5], ' ') AS bits, CAST(len([x FOR x IN e IF abs(x) > 0.1]) AS BIGINT) AS kept FROM v"""

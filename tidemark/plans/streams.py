@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregate as agg
-from tidemark.operators import metrics, profile, ranking, records, windows
+from tidemark.operators import groups, metrics, profile, ranking, records, windows
 from tidemark.plans.catalog import EVENTS, EVENTS_SQL, RECORDS, events, query, table
 from tidemark.sources import generators
 from tidemark.sources.records import Field, read_records, shared_folder, write_records
@@ -110,6 +111,45 @@ def align_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.align(left, right, ["k"], [F.count("*").alias("n_events")], [F.count("*").alias("n_orders")]).select("k", n("n_events"), n("n_orders"))
 
 
+@query(
+    """WITH e AS (SELECT user_id AS k, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1), o AS (SELECT o_custkey AS k, count(*) AS n_orders, max(o_totalprice) AS dearest FROM orders GROUP BY 1),
+    c AS (SELECT c_custkey AS k, count(*) AS n_customers FROM customer GROUP BY 1), l AS (SELECT l_suppkey AS k, count(*) AS n_lines, min(l_shipdate) AS first FROM lineitem GROUP BY 1),
+    a AS (SELECT k FROM e UNION SELECT k FROM o UNION SELECT k FROM c UNION SELECT k FROM l)
+    SELECT k, coalesce(n_events, 0) AS n_events, coalesce(n_orders, 0) AS n_orders, coalesce(n_customers, 0) AS n_customers, coalesce(n_lines, 0) AS n_lines, total, dearest, epoch_us(first) AS first_us
+    FROM a LEFT JOIN e USING (k) LEFT JOIN o USING (k) LEFT JOIN c USING (k) LEFT JOIN l USING (k)"""
+)
+def align_four_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = lambda name, key, *more: table(spark, sf_dir, name).select(F.col(key).alias("k"), *more)
+    inputs = {"events": keyed("events", "user_id", "value"), "orders": keyed("orders", "o_custkey", "o_totalprice"), "customers": keyed("customer", "c_custkey"), "lines": keyed("lineitem", "l_suppkey", "l_shipdate")}
+    of = {"events": lambda c: [F.round(F.sum(c("value")), 4).alias("total")], "orders": lambda c: [F.max(c("o_totalprice")).alias("dearest")], "lines": lambda c: [micros(F.min(c("l_shipdate"))).alias("first_us")]}
+    return groups.aligned(inputs, ["k"], of)
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS k, o_orderdate AS t, o_totalprice AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders),
+    e AS (SELECT user_id AS k, ts AS t, event_type AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
+    SELECT coalesce(o.k, e.k) AS k, r, o.x AS price, e.x AS kind FROM o FULL JOIN e USING (k, r)"""
+)
+def merge_in_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders beside the same user's events, the first with the first: both in order, through one exchange."""
+    inputs = {"orders": table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderdate", "o_orderkey", "o_totalprice"), "events": table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), "ts", "event_id", "event_type")}
+    in_order = {"orders": ["o_orderdate", "o_orderkey"], "events": ["ts", "event_id"]}
+
+    def rows(key, parts):
+        """Two numbers are held: how far each input has come."""
+        at = {"orders": 0, "events": 0}
+        for name, batch in parts:
+            n = batch.num_rows
+            places = pa.array(range(at[name] + 1, at[name] + n + 1), pa.int64())
+            at[name] += n
+            price, kind = (batch.column("o_totalprice"), pa.nulls(n, pa.string())) if name == "orders" else (pa.nulls(n, pa.float64()), batch.column("event_type"))
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.int64()), places, price, kind], names=["k", "r", "price", "kind"])
+
+    numbered = groups.merged(inputs, ["k"], in_order, rows, "k long, r long, price double, kind string")
+    return numbered.groupBy("k", "r").agg(F.max("price").alias("price"), F.max("kind").alias("kind"))
+
+
+
 @query(f"{DAYS} SELECT user_id, w, round(avg(x) * count(*), 4) AS sum_x, round(avg(value), 6) AS mean_value FROM d GROUP BY ALL")
 def agg_sum_imputed_and_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir, x="sum", value="mean").select("user_id", "w", F.round("x", 4).alias("sum_x"), F.round("value", 6).alias("mean_value"))

@@ -91,7 +91,11 @@ class Scalar:
         return self.low + bucket * self.step + (self.step / 2 if self.periodic else 0.0)
 
     def decode(self, bits: Column) -> Column:
-        """The value whose bucket has the most of the bits (the least on a tie); null for none. Only buckets that begin or end at a bit can have the most, and a block of neighbours names its own."""
+        """The value whose bucket has the most of the bits (the least on a tie); null for none. The bits are evaluated once."""
+        return F.get(F.transform(F.array(bits), self._decoded), F.lit(0))
+
+    def _decoded(self, bits: Column) -> Column:
+        """Only buckets that begin or end at a bit can have the most, and a block of neighbours names its own."""
         n = self.width if self.periodic else self.width - self.w + 1
         half = (self.w - 1) // 2 if self.periodic else 0
         first = lambda b: F.pmod(b + half, F.lit(n)) if self.periodic else F.least(F.greatest(b, F.lit(0)), F.lit(n - 1))
@@ -265,8 +269,9 @@ class Multi:
         return {name: own(at, self.fields[name][1]) for name, at in self.offsets.items()}
 
     def decode(self, bits: Column) -> Column:
-        """The fields' values of their parts of the bits, as a struct; null where a part has none."""
-        return F.struct(*[self.fields[name][1].decode(part).alias(name) for name, part in self.parts(bits).items()])
+        """The fields' values of their parts of the bits, as a struct; null where a part has none. The bits are evaluated once."""
+        of = lambda b: F.struct(*[self.fields[name][1].decode(part).alias(name) for name, part in self.parts(b).items()])
+        return F.get(F.transform(F.array(bits), of), F.lit(0))
 
     @classmethod
     def of(cls, definitions: dict[str, dict | None]) -> Multi:

@@ -70,15 +70,18 @@ def online_likelihoods(df: DataFrame, spec: StreamSpec, raw: str, learning: int
     if history < average:
         raise ValueError("the history is shorter than an average")
     df = df.withColumns({"_n": (F.row_number().over(w) - 1).cast("long"), "_avg": moving_average(spec, raw, average)})
-    full = w.rowsBetween(-history, -1)
-    sums = {"_m1": F.sum("_avg").over(full), "_m2": F.sum(F.col("_avg") * F.col("_avg")).over(full), "_k": F.count("_avg").over(full)}
+    # sums over a history are differences of running sums, the learning period's left out of them
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    learnt = F.when(F.col("_n") >= learning, F.col("_avg"))
+    df = df.withColumns({"_r1": F.coalesce(F.sum(learnt).over(past), F.lit(0.0)), "_r2": F.coalesce(F.sum(learnt * learnt).over(past), F.lit(0.0)), "_rk": F.count("_avg").over(past)})
+    over = lambda c: F.col(c) - F.coalesce(F.lag(c, history).over(w), F.lit(0))
     skip = skipped(F.col("_n"), history, learning)
     # a fit happens where the first is due, and at each multiple of `every` after it
     due = (F.col("_n") == wait) | ((F.col("_n") > wait) & (F.col("_n") % every == 0))
-    early = F.sum(F.when(F.col("_n") < learning, F.col("_avg"))).over(full), F.sum(F.when(F.col("_n") < learning, F.col("_avg") * F.col("_avg"))).over(full)
-    df = df.withColumns(sums | {"_e1": F.coalesce(early[0], F.lit(0.0)), "_e2": F.coalesce(early[1], F.lit(0.0)), "_skip": skip})
+    sums = {"_m1": over("_r1"), "_m2": over("_r2"), "_k": over("_rk")}
+    df = df.withColumns(sums | {"_skip": skip}).drop("_r1", "_r2", "_rk")
     # the averages at the start of a history that begins later than the stream: only its own records are terms
-    m1, m2, terms = F.col("_m1") - F.col("_e1"), F.col("_m2") - F.col("_e2"), F.lit(0.0)
+    m1, m2, terms = F.col("_m1"), F.col("_m2"), F.lit(0.0)
     for i in range(average - 1):
         terms = terms + F.lag(raw, history - i).over(w)
         partial, usual, counts = terms / (i + 1), F.lag("_avg", history - i).over(w), (F.col("_n") > history) & (F.col("_skip") <= i)
@@ -90,7 +93,7 @@ def online_likelihoods(df: DataFrame, spec: StreamSpec, raw: str, learning: int
     df = df.withColumn("_fit", F.when(due, F.struct(mean.alias("mean"), F.sqrt(variance).alias("dev"))))
     last = F.last("_fit", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumn("_fit", last).withColumns({"_mean": F.col("_fit.mean"), "_dev": F.col("_fit.dev")})
-    return _judged(df, spec, F.col("_n") >= wait).drop("_n", "_fit", "_skip", "_e1", "_e2", *sums)
+    return _judged(df, spec, F.col("_n") >= wait).drop("_n", "_fit", "_skip", *sums)
 
 
 def valid_fit(fit: dict) -> bool:

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def by_pattern(records: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `make` says of records (rec, bits), said once for each distinct pattern and given to all its records: a state is met by patterns, not by records. What it makes has a rec."""
+    patterns = records.groupBy("bits").agg(F.min("rec").alias("_first"))
+    said = make(patterns.select(F.col("_first").alias("rec"), "bits"))
+    return records.select("rec", "bits").join(patterns, "bits").select("rec", "_first").join(said.withColumnRenamed("rec", "_first"), "_first").drop("_first")
+
+
 def overlaps(records: DataFrame, synapses: DataFrame, connected: float = 0.1) -> DataFrame:
     """records (rec, bits), synapses (column, input, permanence) -> rec, column, overlap."""
     on = records.select("rec", F.explode("bits").alias("input"))

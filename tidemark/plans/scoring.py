@@ -272,7 +272,7 @@ POOL = f"WITH b AS ({BITS}), s AS ({SYNAPSES}), o AS (SELECT rec, col, count(*)
 
 @query(f'{POOL} SELECT rec, CAST(col AS INT) AS "column", overlap FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY overlap DESC, col DESC) AS r FROM o) WHERE r <= 5')
 def pooler_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pooling.inhibited(pooling.overlaps(_records(spark, sf_dir), _synapses(spark), 0.5), 5)
+    return pooling.by_pattern(_records(spark, sf_dir), lambda patterns: pooling.inhibited(pooling.overlaps(patterns, _synapses(spark), 0.5), 5))
 
 
 @query(
@@ -282,9 +282,12 @@ def pooler_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def segment_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     synapses = _synapses(spark).select(F.col("column").alias("segment"), F.col("input").alias("cell"), "permanence")
-    active = _records(spark, sf_dir).select("rec", F.explode("bits").alias("cell"))
-    done = pooling.segment_activity(active, synapses).where("connected >= 9")
-    return done.groupBy("rec", F.floor(F.col("segment") / 4).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+
+    def of(patterns: DataFrame) -> DataFrame:
+        done = pooling.segment_activity(patterns.select("rec", F.explode("bits").alias("cell")), synapses).where("connected >= 9")
+        return done.groupBy("rec", F.floor(F.col("segment") / 4).cast("int").alias("cell")).agg(F.count("*").alias("n"))
+
+    return pooling.by_pattern(_records(spark, sf_dir), of)
 
 
 @query(
@@ -364,9 +367,9 @@ def state_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH s AS ({SYNAPSES}), b AS ({BITS}), a AS (SELECT rec, col AS segment, count(*) FILTER (permanence > 0.5 - 1e-5) AS n FROM b JOIN s ON b.input = s.input GROUP BY ALL) SELECT DISTINCT rec, CAST(segment // 4 AS INT) AS cell FROM a WHERE n >= 9")
 def predicted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     synapses = _synapses(spark).select(F.col("column").alias("segment"), F.col("input").alias("cell"), "permanence")
-    active = _records(spark, sf_dir).select("rec", F.explode("bits").alias("cell"))
     owners = spark.range(64).select(F.col("id").cast("int").alias("segment"), F.floor(F.col("id") / 4).cast("int").alias("cell"))
-    return pooling.predictive_cells(pooling.segment_activity(active, synapses), owners, 9)
+    active = lambda patterns: patterns.select("rec", F.explode("bits").alias("cell"))
+    return pooling.by_pattern(_records(spark, sf_dir), lambda patterns: pooling.predictive_cells(pooling.segment_activity(active(patterns), synapses), owners, 9))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from tidemark.functions import text
 from tidemark.operators.aggregate import aggregate
 from tidemark.operators.records import filter_records, project, row_range
 from tidemark.shared import shared_folder  # noqa: F401  callers take it from here, too
+from tidemark.sources import lines
 from tidemark.spec import Aggregation, Interval, StreamSpec
 
 #: Reading and writing by type.
@@ -51,9 +53,7 @@ def _header(spark: SparkSession, path: str) -> tuple[list[Field], int]:
     first = _lines(spark, path).orderBy("rec_idx").limit(3).collect()
     if len(first) < 3:
         raise ValueError(f"no three header lines: {path}")
-    names, types, specials = ([x.strip() for x in next(csv.reader([r["value"]]), [""])] for r in first)
-    specials += [""] * (len(names) - len(specials))
-    return [Field(*f) for f in zip(names, types, specials, strict=True)], first[-1]["rec_idx"]
+    return _fields([r["value"] for r in first]), first[-1]["rec_idx"]
 
 
 def read_fields(spark: SparkSession, path: str) -> list[Field]:
@@ -61,10 +61,8 @@ def read_fields(spark: SparkSession, path: str) -> list[Field]:
     return _header(spark, path)[0]
 
 
-def read_records(spark: SparkSession, path: str, missing: tuple[str, ...] = ("",)) -> DataFrame:
-    """The typed records, and rec_idx in the file's order. Special flags are in the columns' metadata. The header goes by its place, so that a record may look like it; an empty line is a record with all values missing."""
-    fields, last = _header(spark, path)
-    rows = _lines(spark, path).where(F.col("rec_idx") > last)
+def _typed(rows: DataFrame, fields: list[Field], missing: tuple[str, ...]) -> DataFrame:
+    """value, rec_idx -> the typed fields and rec_idx."""
     parsed = F.from_csv("value", ", ".join(f"_{i} string" for i in range(len(fields))), {"mode": "PERMISSIVE", "escape": '"'})
     rows = rows.select("rec_idx", parsed.alias("r"))
     out = []
@@ -74,6 +72,44 @@ def read_records(spark: SparkSession, path: str, missing: tuple[str, ...] = ("",
     return rows.select(*out, "rec_idx")
 
 
+def read_records(spark: SparkSession, path: str, missing: tuple[str, ...] = ("",)) -> DataFrame:
+    """The typed records, and rec_idx in the file's order. Special flags are in the columns' metadata. The header goes by its place, so that a record may look like it; an empty line is a record with all values missing."""
+    fields, last = _header(spark, path)
+    return _typed(_lines(spark, path).where(F.col("rec_idx") > last), fields, missing)
+
+
+def _fields(head: list[str]) -> list[Field]:
+    names, types, specials = ([x.strip() for x in next(csv.reader([line]), [""])] for line in head)
+    specials += [""] * (len(names) - len(specials))
+    return [Field(*f) for f in zip(names, types, specials, strict=True)]
+
+
+def read_growing(spark: SparkSession, path: str, stream: bool = False, missing: tuple[str, ...] = ("",)) -> DataFrame:
+    """The typed records of one file that may grow; rec_idx is a record's byte offset, which is also what a stream resumes at. Its header is read from its first block, once."""
+    spark.dataSource.register(lines.RecordLines)
+    rows = (spark.readStream if stream else spark.read).format("record_lines").load(path)
+    return _typed(rows, _fields(lines.header(path)[0]), missing)
+
+
+def append_records(df: DataFrame, fields: list[Field], order: list[str], path: str) -> None:
+    """Records behind those of a folder that write_records made, in order; its header says what the fields have to be, and stays the only one. Tasks write parts beside the folder's own, which then get the names that come next: no record moves twice, and none passes through the driver."""
+    spark = df.sparkSession
+    if read_fields(spark, path) != fields:
+        raise ValueError(f"the folder has other fields: {path}")
+    fresh = f"{path.rstrip('/')}/_new-{uuid.uuid4().hex}"  # readers pass over such names
+    df.orderBy(*order).select(F.concat_ws(",", *[_quoted(_written(f)) for f in fields]).alias("value")).write.text(fresh)
+    jvm = spark.sparkContext._jvm
+    at = lambda *names: jvm.org.apache.hadoop.fs.Path(*names)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = lambda folder: sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(at(folder)) if s.getPath().getName().startswith("part-"))
+    number = max(int(name[5:10]) for name, _ in parts(path)) + 1
+    for name, length in parts(fresh):
+        if length:
+            fs.rename(at(fresh, name), at(path, f"part-{number:05d}{name[10:]}"))
+            number += 1
+    fs.delete(at(fresh), True)
+
+
 def spec_of(df: DataFrame, keys: tuple[str, ...] = ()) -> StreamSpec:
     """The roles that the columns' metadata names; a file without a key is one stream."""
     special = {f.metadata.get("special"): f.name for f in df.schema.fields if f.metadata.get("special")}
@@ -91,11 +127,14 @@ def _written(f: Field) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def _quoted(c: Column) -> Column:
+    return F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
 def write_records(df: DataFrame, fields: list[Field], order: list[str], path: str) -> None:
     """One folder of text parts in order, the header at the start of the first."""
     head = [_line([getattr(f, k) for f in fields]) for k in ("name", "type", "special")]
-    quoted = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
-    rows = df.orderBy(*order).select(F.concat_ws(",", *[quoted(_written(f)) for f in fields]).alias("value"))
+    rows = df.orderBy(*order).select(F.concat_ws(",", *[_quoted(_written(f)) for f in fields]).alias("value"))
     rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     spark = df.sparkSession
     header = spark.createDataFrame([(line, -1, i - 3) for i, line in enumerate(head)], "value string, _part int, _at long")

@@ -6,8 +6,11 @@ value so far. All are window aggregates in record order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,7 +158,7 @@ def with_two_gram(df: DataFrame, spec: StreamSpec, column: str, name: str, learn
 def with_neg_auc(df: DataFrame, spec: StreamSpec, m: Metric, name: str) -> DataFrame:
     """Minus the area under the ROC curve over the window: one pass over its records in the order of their scores, each positive winning against the negatives below it and half of those beside it."""
     if m.window is None:
-        return df.withColumn(name, F.lit(0.0))
+        return _running_neg_auc(df, spec, m, name)
     both = F.col(m.truth).isNotNull() & F.col(m.prediction).isNotNull()
     held = F.collect_list(F.when(both, F.struct(F.col(m.prediction).cast("double").alias("p"), F.col(m.truth).cast("int").alias("t")))).over(_frame(spec, m.window))
     start = F.struct(F.lit(None).cast("double").alias("p"), F.lit(0).alias("below"), F.lit(0).alias("beside"), F.lit(0).alias("pos"), F.lit(0.0).alias("won"))
@@ -170,6 +173,56 @@ def with_neg_auc(df: DataFrame, spec: StreamSpec, m: Metric, name: str) -> DataF
     return df.withColumn(name, F.when(n > 0, -F.col("_auc.won") / n).otherwise(-0.5)).drop("_auc")
 
 
+class Ranks:
+    """How many records of lower and of equal score there are, over numbered scores: a binary indexed tree for each kind of record."""
+
+    def __init__(self, scores: int):
+        self.tree = np.zeros((2, scores + 1), np.int64)
+
+    def add(self, kind: int, at: int) -> None:
+        tree, i = self.tree[kind], at + 1
+        while i < len(tree):
+            tree[i] += 1
+            i += i & -i
+
+    def upto(self, kind: int, n: int) -> int:
+        """Records among the n lowest scores."""
+        tree, total = self.tree[kind], 0
+        while n:
+            total += int(tree[n])
+            n &= n - 1
+        return total
+
+
+def _running_neg_auc(df: DataFrame, spec: StreamSpec, m: Metric, name: str) -> DataFrame:
+    """Minus the area over all records so far. Each record's score is numbered within its stream first; a stream's records then pass in order, and each adds the pairs that it wins or loses, found in a tree over the numbers. The tree holds two numbers a distinct score; records aren't held."""
+    keys = list(spec.keys)
+    t, p = F.col(m.truth).cast("int"), F.col(m.prediction).cast("double")
+    own = df.withColumn("_score", F.when(t.isNotNull() & p.isNotNull(), p)).withColumn("_truth", t)
+    own = own.withColumn("_at", F.when(F.col("_score").isNotNull(), F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.col("_score").asc_nulls_last())) - 1))
+    own = own.withColumn("_all", F.coalesce(F.max("_at").over(Window.partitionBy(*keys)) + 1, F.lit(0)))
+    columns, schema = df.columns, ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ranks, n, won = None, None, [0, 0], 0.0
+        for batch in batches:
+            out = []
+            for *k, at, truth, scores in zip(*(batch.column(c).to_pylist() for c in (*keys, "_at", "_truth", "_all")), strict=True):
+                if k != key:
+                    key, ranks, n, won = k, Ranks(scores), [0, 0], 0.0
+                if at is not None and truth in (0, 1):
+                    below = ranks.upto(1 - truth, at)
+                    beside = ranks.upto(1 - truth, at + 1) - below
+                    won += below + beside / 2 if truth else n[1] - below - beside / 2
+                    ranks.add(truth, at)
+                    n[truth] += 1
+                out.append(-won / (n[0] * n[1]) if n[0] and n[1] else -0.5)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.float64())], names=[*columns, name])
+
+    in_order = own.repartition(*keys).sortWithinPartitions(*keys, spec.ts, *spec.order)
+    return in_order.mapInArrow(run, f"{schema}, `{name}` double")
+
+
 def multi(parts: dict[str, float], window: int | None = None, spec: StreamSpec | None = None) -> Column:
     """A weighted sum of metric columns, averaged over a window if one is given."""
     total = sum((F.col(c) * weight for c, weight in parts.items()), F.lit(0.0))

@@ -353,10 +353,10 @@ def array_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", F.round(maths.array_entropy(F.col("p")), 6).alias("entropy"), F.round(maths.differential_entropy(F.col("p"), areas), 6).alias("differential"), F.round(maths.product(F.col("p")), 8).alias("product"), maths.any_of(F.transform("p", lambda v: v > 0.45)).alias("some"), maths.all_of(F.transform("p", lambda v: v < 0.65)).alias("every"))
 
 
-@query("SELECT n, k, CAST(round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1))) AS DOUBLE) AS ways FROM range(1, 31) a(n), range(0, 31) b(k) WHERE k <= n")
+@query("WITH v AS (SELECT event_id, event_id % 30 + 1 AS n, event_id % 31 AS k FROM events) SELECT event_id, CAST(round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1))) AS DOUBLE) AS ways FROM v WHERE k <= n")
 def binomial_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, k = (F.floor(F.col("id") / 31) + 1).cast("long"), F.col("id") % 31
-    return spark.range(30 * 31).select(n.alias("n"), k.alias("k")).where("k <= n").withColumn("ways", maths.choose(F.col("n"), F.col("k")))
+    df = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 30 + 1).alias("n"), (F.col("event_id") % 31).alias("k"))
+    return df.where("k <= n").select("event_id", maths.choose(F.col("n"), F.col("k")).alias("ways"))
 
 
 @query(

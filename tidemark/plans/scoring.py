@@ -97,6 +97,18 @@ def metric_neg_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.with_metric(df, EVENTS, metrics.Metric("neg_auc", "t", "value", window=WINDOW), "metric").select("event_id", F.round("metric", 6).alias("metric"))
 
 
+@query(
+    f"""WITH r AS (SELECT *, CAST(event_type = 'error' AS INT) AS t, row_number() OVER ({RECORDS}) AS pos FROM events),
+    g AS (SELECT p.user_id, greatest(p.pos, q.pos) AS pos, sum(CASE WHEN p.value > q.value THEN 1.0 WHEN p.value = q.value THEN 0.5 ELSE 0 END) AS won FROM r p JOIN r q ON p.user_id = q.user_id AND p.t = 1 AND q.t = 0 GROUP BY ALL),
+    s AS (SELECT r.*, sum(coalesce(won, 0)) OVER w AS total, sum(t) OVER w * (sum(1 - t) OVER w) AS pairs FROM r LEFT JOIN g ON r.user_id = g.user_id AND r.pos = g.pos WINDOW w AS (PARTITION BY r.user_id ORDER BY r.pos))
+    SELECT event_id, CASE WHEN pairs > 0 THEN round(-total / pairs, 6) ELSE -0.5 END AS metric FROM s"""
+)
+def metric_neg_auc_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all records so far."""
+    df = table(spark, sf_dir, "events").withColumn("t", (F.col("event_type") == "error").cast("int"))
+    return metrics.with_metric(df, EVENTS, metrics.Metric("neg_auc", "t", "value"), "metric").select("event_id", F.round("metric", 6).alias("metric"))
+
+
 def _distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prediction of two values: the last one (0.7) and one under a third of it (0.3)."""
     last = F.lag("value").over(EVENTS.records())
@@ -193,9 +205,11 @@ def anomaly_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in each.items()])
 
 
-@query("SELECT n, CAST(least(n, greatest(0, 288 - greatest(0, n - 8640))) AS BIGINT) AS skipped FROM range(0, 10000, 7) r(n)")
+@query(f"WITH r AS (SELECT event_id, (row_number() OVER ({RECORDS}) - 1) * 31 AS n FROM events) SELECT event_id, CAST(least(n, greatest(0, 288 - greatest(0, n - 700))) AS BIGINT) AS skipped FROM r")
 def likelihood_skip_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 10000, 7).select(F.col("id").alias("n"), anomaly.skipped(F.col("id"), 8640, 288).cast("long").alias("skipped"))
+    """As if each record stood for 31: how many of those so far a fit over 700 leaves out, if 288 are learnt from."""
+    df = with_index(table(spark, sf_dir, "events"), EVENTS)
+    return df.select("event_id", anomaly.skipped(F.col("rec_idx") * 31, 700, 288).cast("long").alias("skipped"))
 
 
 @query("SELECT user_id, CASE WHEN var_pop(value % 1) < 1.5e-5 THEN 0.5 ELSE round(greatest(avg(value / 500), 0.03), 6) END AS mean, CASE WHEN var_pop(value % 1) < 1.5e-5 THEN 1e6 ELSE round(greatest(var_pop(value / 500), 0.0003), 6) END AS variance FROM (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 7.5 ELSE value END AS value FROM events) GROUP BY 1")
@@ -354,14 +368,18 @@ def knn_input_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS ({SYNAPSES}), t AS (SELECT col, input, CASE WHEN input % 10 = 3 THEN permanence + 1 ELSE permanence END AS permanence FROM s WHERE col <> 5 UNION ALL SELECT 64, 0, 0.5)
-    SELECT CAST(coalesce(s.col, t.col) AS INT) AS "column", CAST(coalesce(s.input, t.input) AS INT) AS input, CASE WHEN t.col IS NULL THEN 'only_first' WHEN s.col IS NULL THEN 'only_second' ELSE 'different' END AS kind
-    FROM s FULL JOIN t ON s.col = t.col AND s.input = t.input WHERE t.col IS NULL OR s.col IS NULL OR s.permanence <> t.permanence"""
+    """WITH s AS (SELECT o_orderkey AS k, o_totalprice AS x, o_orderstatus AS y FROM orders), t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS x, o_orderstatus AS y FROM orders WHERE o_custkey % 5 <> 0
+    UNION ALL SELECT -1 - o_orderkey, o_totalprice, NULL FROM orders WHERE o_orderkey % 100 = 0)
+    SELECT coalesce(s.k, t.k) AS k, CASE WHEN t.k IS NULL THEN 'only_first' WHEN s.k IS NULL THEN 'only_second' ELSE 'different' END AS kind
+    FROM s FULL JOIN t ON s.k = t.k WHERE t.k IS NULL OR s.k IS NULL OR s.x <> t.x"""
 )
 def state_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _synapses(spark)
-    two = one.where("column <> 5").withColumn("permanence", F.when(F.col("input") % 10 == 3, F.col("permanence") + 1).otherwise(F.col("permanence")))
-    return pooling.state_differences(one, two.unionByName(spark.createDataFrame([(64, 0, 0.5)], "column int, input int, permanence double")), ["column", "input"])
+    """Two states of the orders: some are gone, some dearer, some new."""
+    orders = table(spark, sf_dir, "orders")
+    one = orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"), F.col("o_orderstatus").alias("y"))
+    two = orders.where("o_custkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") + F.when(F.col("o_orderkey") % 10 == 3, 1.0).otherwise(0.0)).alias("x"), F.col("o_orderstatus").alias("y"))
+    new = orders.where("o_orderkey % 100 = 0").select((-1 - F.col("o_orderkey")).alias("k"), F.col("o_totalprice").alias("x"), F.lit(None).cast("string").alias("y"))
+    return pooling.state_differences(one, two.unionByName(new), ["k"])
 
 
 @query(f"WITH s AS ({SYNAPSES}), b AS ({BITS}), a AS (SELECT rec, col AS segment, count(*) FILTER (permanence > 0.5 - 1e-5) AS n FROM b JOIN s ON b.input = s.input GROUP BY ALL) SELECT DISTINCT rec, CAST(segment // 4 AS INT) AS cell FROM a WHERE n >= 9")

@@ -403,9 +403,11 @@ def anomalies_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.copy(table(spark, sf_dir, "events"), EVENTS, 2, 4, 10).select("user_id", "event_id", "rec_idx")
 
 
-@query("SELECT range AS rec_idx, round(5 + 2 * sin(range * (2 * pi() / 20)), 6) AS y FROM range(500)")
+@query("SELECT event_id AS rec_idx, round(value + 5 + 2 * sin(event_id * (2 * pi() / 20)), 6) AS y FROM events")
 def sine_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.records(spark, 500, {"y": F.round(generators.sine(20.0, 2.0, 5.0), 6)})
+    """A wave over the records' own values."""
+    df = table(spark, sf_dir, "events").withColumnRenamed("event_id", "rec_idx")
+    return df.select("rec_idx", F.round(F.col("value") + generators.sine(20.0, 2.0, 5.0), 6).alias("y"))
 
 
 @query(f"WITH r AS (SELECT *, lag(value) OVER ({RECORDS}) AS b FROM events), d AS (SELECT event_id, value - b AS delta, row_number() OVER ({RECORDS}) AS pos FROM r) SELECT event_id, round(delta, 6) AS delta, pos = 2 AS begins FROM d WHERE pos > 1 AND delta BETWEEN -20 AND 20")
@@ -445,10 +447,12 @@ def respaced_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.respaced(df, EVENTS, "rec_idx").select("event_id", micros("ts").alias("us"))
 
 
-@query("SELECT v AS rec_idx, CASE WHEN v % 5 = 4 THEN NULL WHEN v % 5 IN (1, 2) THEN v % 5 ELSE 4 + v // 5 * 4 + v % 5 END::INT AS number, CAST(v % 5 = 4 AS INT) AS reset, CASE WHEN v % 5 = 4 THEN NULL ELSE 7 END::INT AS on_bits FROM range(50) r(v)")
+@query("SELECT event_id AS rec_idx, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 IN (1, 2) THEN event_id % 5 ELSE 4 + event_id // 5 * 4 + event_id % 5 END AS number, CAST(event_id % 5 = 4 AS INT) AS reset, CASE WHEN event_id % 5 = 4 THEN NULL ELSE 7 END::INT AS on_bits FROM events")
 def pattern_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten sequences of four patterns whose middle two are shared; a reset after each."""
-    rows = generators.sequence(spark, generators.sequence_numbers(10, 4, shared=(1, 3)), 100, 7)
+    """Sequences of four patterns whose middle two are shared, a reset after each, in place of the events."""
+    v = F.col("event_id")
+    number = F.when(v % 5 == 4, None).when((v % 5).isin(1, 2), v % 5).otherwise(4 + F.floor(v / 5) * 4 + v % 5)
+    rows = generators.in_patterns(table(spark, sf_dir, "events").select(v.alias("rec_idx"), number.alias("number")), 100, 7)
     return rows.select("rec_idx", "number", "reset", F.when(F.col("bits").isNotNull(), F.size("bits")).alias("on_bits"))
 
 
@@ -486,7 +490,8 @@ def trace_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", "n", "min", "max", F.round("sum", 4).alias("sum"), F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"))
 
 
-@query("SELECT 'a' AS part, v AS i, v * v AS x FROM range(1000) r(v) UNION ALL SELECT 'b', v, v * v + 1 FROM range(1000) r(v)")
+@query("SELECT user_id AS part, v AS i, user_id * 10 + v * v AS x FROM (SELECT DISTINCT user_id FROM events), range(20) r(v)")
 def function_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that a function makes, a part in each task."""
-    return generators.from_function(spark, lambda part: (("ab"[part], i, i * i + part) for i in range(1000)), "part string, i long, x long", 2)
+    """Records that a function makes for each user."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("part")).distinct()
+    return generators.from_function(spark, lambda part: ((part, i, part * 10 + i * i) for i in range(20)), "part long, i long, x long", users)

@@ -71,6 +71,11 @@ def copy(df: DataFrame, spec: StreamSpec, start: int, stop: int, to: int, name:
 def sequence(spark: SparkSession, numbers: list[int | None], n: int, w: int, noise: float = 0.0, seed: int = 42) -> DataFrame:
     """A sequence of patterns: rec_idx, number (null: a reset), reset, bits; a share of each pattern's bits is moved by noise."""
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "rec_idx long, number int")
+    return in_patterns(rows, n, w, noise, seed)
+
+
+def in_patterns(rows: DataFrame, n: int, w: int, noise: float = 0.0, seed: int = 42) -> DataFrame:
+    """rows (rec_idx, number), with reset and bits."""
     rows = rows.withColumns({"reset": F.col("number").isNull().cast("int"), "bits": pattern(F.col("number"), n, w, seed)})
     return rows.withColumn("bits", with_noise("bits", n, noise, F.concat(F.lit(f"{seed}/"), F.col("rec_idx").cast("string")))) if noise else rows
 
@@ -85,8 +90,8 @@ def sequence_numbers(count: int, length: int, shared: tuple[int, int] | None = N
     return out
 
 
-def from_function(spark: SparkSession, make: Callable[[int], Iterator[tuple]], schema: str, parts: int) -> DataFrame:
-    """A table of what make(part) yields (rows as tuples), each part in a task of its own; a part that is lost is made again."""
+def from_function(spark: SparkSession, make: Callable[[int], Iterator[tuple]], schema: str, parts: int | DataFrame) -> DataFrame:
+    """A table of what make(part) yields (rows as tuples): for a number of parts, each in a task of its own; or for the parts that a table's column `part` names. A part that is lost is made again."""
     names = spark.createDataFrame([], schema).columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,4 +101,5 @@ def from_function(spark: SparkSession, make: Callable[[int], Iterator[tuple]], s
                 while some := list(islice(rows, 10_000)):
                     yield pd.DataFrame(some, columns=names)
 
-    return spark.range(parts, numPartitions=parts).withColumnRenamed("id", "part").mapInPandas(run, schema)
+    asked = spark.range(parts, numPartitions=parts).withColumnRenamed("id", "part") if isinstance(parts, int) else parts.select("part")
+    return asked.mapInPandas(run, schema)

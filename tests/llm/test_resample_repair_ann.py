@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, queries, repair, resample
+from tidemark.llm import ann, chat, queries, repair, resample
 
 SF = "/root/testdata/sf0.001"
 
@@ -293,3 +293,18 @@ def test_neighbours_of_copies_ties_and_odd_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
     few = df.where("vec_id in (1120, 1121, 1100)")
     assert rows_of(ann.search(few, F.col("vec_id") % 20 == 0, 20)) == brute_nearest([(1100, [2.0, 0.0, 0.0]), (1120, [0.0, 2.0, 0.0]), (1121, [0.0, 2.0, 0.0])], 20, 20)
+
+
+# chat formatting
+
+
+def test_a_very_large_conversation_among_many(spark, monkeypatch):
+    """What a task holds is bounded by size: small conversations go out around the large one, whole and in order."""
+    monkeypatch.setattr(chat, "TOGETHER", 2000)
+    rows = [(c, t, ("user", "assistant")[t % 2], f"<s>{c}/{t} " + "x\\" * (200_000 if c == 7 else 20)) for c in range(60) for t in range(4)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.canonical_turns(chat.as_records(turns)))).collect()}
+    assert len(got) == 60
+    for c in range(60):
+        own = [r for r in rows if r[0] == c]
+        assert [(t["role"], t["text"]) for t in got[c]["turns"]] == [r[2:] for r in own] and got[c]["loss"] == [r[3] for r in own if r[2] == "assistant"]

@@ -19,7 +19,7 @@ nested too deep to be parsed), becomes one turn of the role `unmapped` that
 holds it as it came, none is lost; null payloads have no fields and are
 unmapped, too; fields of EXTRA beside a known layout are passed over; an empty
 table gives an empty result. One conversation is held in memory at a time, as its
-output is one row.
+output is one row, with finished ones up to a bounded size.
 """
 
 from __future__ import annotations
@@ -33,6 +33,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
+
+#: Characters of finished conversations that a task holds before it gives them out; one longer conversation goes alone.
+TOGETHER = 1 << 20
+
 #: The template's own marks first, then other formats' control strings.
 CONTROL = ["<|turn|>", "<|text|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
 
@@ -124,7 +129,7 @@ def canonical_turns(records: DataFrame) -> DataFrame:
             turn, role, text, layout = zip(*rows, strict=True) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays([batch.column("conv_id").take(pa.array(ids, pa.int32())), pa.array(turn, pa.int64()), pa.array(role, pa.string()), pa.array(text, pa.string()), pa.array(layout, pa.int64())], names=["conv_id", "turn", "role", "text", "layout"])
 
-    return records.select("conv_id", "payload").mapInArrow(run, f"conv_id {dict(records.dtypes)['conv_id']}, turn long, role string, text string, layout long")
+    return small_batches(records.select("conv_id", "payload")).mapInArrow(run, f"conv_id {dict(records.dtypes)['conv_id']}, turn long, role string, text string, layout long")
 
 
 _CONTROL = re.compile("|".join(map(re.escape, ["\\", *CONTROL])))
@@ -158,33 +163,40 @@ def render(turns: DataFrame) -> DataFrame:
     kind = dict(turns.dtypes)["conv_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, done, id_type = None, [], [], None
+        current, held, done, size, id_type = None, [], [], 0, None
+
+        def finish() -> None:
+            nonlocal size
+            done.append((current, *render_one(held)))
+            held.clear()
+            size += len(done[-1][1])
 
         def flush() -> pa.RecordBatch:
-            formatted, mask = zip(*(render_one(t) for _, t in done), strict=True)
+            nonlocal size
+            ids, formatted, mask = zip(*done, strict=True)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in done], id_type), pa.array(formatted, pa.string()), pa.array([[{"start": s, "end": e} for s, e in m] for m in mask], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                [pa.array(ids, id_type), pa.array(formatted, pa.string()), pa.array([[{"start": s, "end": e} for s, e in m] for m in mask], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                 names=["conv_id", "formatted", "mask"],
             )
             done.clear()
+            size = 0
             return out
 
         for batch in batches:
             id_type = batch.schema.field("conv_id").type
             for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if held and conv != current:
-                    done.append((current, held))
-                    held = []
-                    if len(done) >= 500:
+                    finish()
+                    if size > TOGETHER:
                         yield flush()
                 current = conv
                 held.append((role, text))
         if held:
-            done.append((current, held))
+            finish()
         if done:
             yield flush()
 
-    in_order = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
+    in_order = small_batches(turns).repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
     return in_order.mapInArrow(run, f"conv_id {kind}, formatted string, mask array<struct<start: int, end: int>>")
 
 
@@ -200,7 +212,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             loss = [[unescape(x[s["start"] : s["end"]]) for s in m] for x, m in zip(texts, masks, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(turns, turn_type), pa.array(loss, pa.list_(pa.string())), pa.array(list(map(len, texts)), pa.int64())], names=["conv_id", "turns", "loss", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "mask").mapInArrow(run, f"conv_id {kind}, turns array<struct<role: string, text: string>>, loss array<string>, formatted_chars long")
+    return small_batches(formatted.select("conv_id", "formatted", "mask")).mapInArrow(run, f"conv_id {kind}, turns array<struct<role: string, text: string>>, loss array<string>, formatted_chars long")
 
 
 def as_records(conversations: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.encoders import Multi, Scalar
 from tidemark.operators import aggregate as agg
 from tidemark.operators import groups, metrics, profile, ranking, records, windows
 from tidemark.plans.catalog import EVENTS, EVENTS_SQL, RECORDS, events, query, table
@@ -495,3 +496,16 @@ def function_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records that a function makes for each user."""
     users = table(spark, sf_dir, "events").select(F.col("user_id").alias("part")).distinct()
     return generators.from_function(spark, lambda part: ((part, i, part * 10 + i * i) for i in range(20)), "part long, i long, x long", users)
+
+
+@query(
+    f"""WITH s AS (SELECT *, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 86400000000 AS k FROM events), l AS (SELECT *, lag(k) OVER ({RECORDS}) AS before FROM s)
+    SELECT event_id, CAST(CASE WHEN before IS NULL OR before <> k THEN 1 ELSE 0 END AS INT) AS is_reset, (epoch_us(ts) + 719162 * 86400000000) // 3600000000 AS time_index, array_to_string(range(CAST(floor((value + 2.5) / 5.0) AS INT), CAST(floor((value + 2.5) / 5.0) AS INT) + 21), ' ') AS bits
+    FROM l WHERE value BETWEEN 5 AND 300"""
+)
+def sensor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sensor: records with a reset a day, those in a range of values, encoded."""
+    in_range = lambda d, s: records.filter_records(d, {"value": {"type": "number", "min": 5, "max": 300}})
+    sensor = records.Sensor(EVENTS, Multi({"value": ("value", Scalar(21, 0, 500, n=121))}), (lambda d, s: records.auto_reset(d, s, DAY), in_range), Interval.of(hours=1))
+    done = sensor.sense(table(spark, sf_dir, "events"))
+    return done.select("event_id", F.col("_reset").alias("is_reset"), F.col("_time_index").alias("time_index"), F.array_join(F.col("bits").cast("array<string>"), " ").alias("bits"))

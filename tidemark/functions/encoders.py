@@ -145,6 +145,13 @@ class Log:
     def value_of(self, bucket: Column) -> Column:
         return F.pow(F.lit(10.0), self.inner.value_of(bucket))
 
+    def closeness(self, expected: Column, actual: Column, fractional: bool = True) -> Column:
+        """By the distance of the logarithms, of the range's; what has no logarithm counts as the least value."""
+        low, high = math.log10(max(self.low, 1e-7)), math.log10(self.high)
+        of = lambda x: F.when(x > 0, F.log10(x)).when(x <= 0, low)
+        error = F.abs(of(expected) - of(actual))
+        return 1 - F.least(F.lit(1.0), error / (high - low)) if fractional else error
+
 
 @dataclass(frozen=True, slots=True)
 class Category:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.knn_join import EACH, PIVOT_BYTES, PIVOTS, ROOM, distances, stacked
@@ -108,3 +108,83 @@ def apart(new: DataFrame, threshold: float, norm: float = 2.0, least_bits: int =
     learnt = state.select("row_id", "vector")
     own = new.withColumn("_v", vector).dropDuplicates(["row_id", "vector"]).join(learnt.withColumnRenamed("vector", "_v"), ["row_id", "_v"], "left_semi")
     return old.unionByName(own.select(*columns))
+
+
+class Recent:
+    """The prototypes of one classifier: `most` at most, of which the one goes that has been of no use for the longest."""
+
+    def __init__(self, most: int, threshold: float, norm: float, least_bits: int, replace: bool):
+        self.most, self.threshold, self.norm, self.least_bits, self.replace = most, threshold, norm, least_bits, replace
+        self.x, self.used, self.rows = np.empty((0, 0)), [], []
+
+    def learn(self, v: np.ndarray, row_id: int, row: tuple) -> bool:
+        """Whether the vector is stored. row: (row_id, category, part)."""
+        adds = True
+        if self.rows:
+            if self.replace and len(same := np.flatnonzero((self.x == v).all(1))):
+                at = int(same[0])
+                self.rows[at], self.used[at], adds = (self.rows[at][0], row[1], self.rows[at][2]), row_id, False
+            if self.threshold > 0:
+                far = distances(v[None], self.x, self.norm)[0]
+                at = int(far.argmin())
+                adds = bool(far[at] >= self.threshold)
+                if not adds:
+                    self.used[at] = row_id
+        if not adds or np.count_nonzero(v) < self.least_bits:
+            return False
+        self.x = np.concatenate([self.x, v[None]]) if self.rows else v[None]
+        self.used.append(row_id)
+        self.rows.append(row)
+        if len(self.rows) > self.most:
+            gone = int(np.argmin(self.used))
+            self.x = np.delete(self.x, gone, 0)
+            del self.used[gone], self.rows[gone]
+        return True
+
+
+def capped(new: DataFrame, most: int, threshold: float = 0.0, norm: float = 2.0, least_bits: int = 0, replace: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """new (keys, row_id, vector, category, part) -> the prototypes that each key's classifier holds in the end, with used, the row_id that was last of use to each.
+
+    Vectors come in order of row_id. One that is nearer to a stored one than the
+    threshold isn't stored, but its nearest (the first on a tie) counts as used;
+    replace: one that equals a stored one gives it its category. Of more than `most`
+    the least recently used goes.
+
+    Without a threshold and replacement these are the latest `most` of a key, which
+    a window finds, cut down before its exchange. Otherwise each vector rests on the
+    one before: a classifier is one task's pass, which holds `most` vectors.
+    """
+    if most < 1:
+        raise ValueError("at least one prototype has to stay")
+    keys, kinds = list(keys), dict(new.dtypes)
+    vector = F.col("vector").cast("array<double>")
+    rows = new.where("vector is not null").select(*keys, "row_id", vector.alias("vector"), "category", "part")
+    if threshold <= 0 and not replace:
+        latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("row_id")))
+        rows = rows.where(F.size(F.filter("vector", lambda v: v != 0)) >= least_bits)
+        return rows.withColumn("_at", latest).where(F.col("_at") <= most).drop("_at").withColumn("used", F.col("row_id"))
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"row_id {kinds['row_id']}", "vector array<double>", f"category {kinds['category']}", f"part {kinds['part']}", f"used {kinds['row_id']}"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, kind = None, None, None
+
+        def told() -> pa.RecordBatch:
+            ids, categories, parts = zip(*held.rows, strict=True)
+            own = [pa.array([k] * len(ids), kind.field(i).type) for i, k in enumerate(at)]
+            rest = [pa.array(v, kind.field(n).type) for v, n in ((ids, "row_id"), (held.x.tolist(), "vector"), (categories, "category"), (parts, "part"), (held.used, "row_id"))]
+            return pa.RecordBatch.from_arrays([*own, *rest], names=[*keys, "row_id", "vector", "category", "part", "used"])
+
+        for batch in batches:
+            kind, x = batch.schema, stacked(batch.column("vector"))
+            of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * len(x)
+            for i, (key, *row) in enumerate(zip(of, *(batch.column(c).to_pylist() for c in ("row_id", "category", "part")), strict=True)):
+                if key != at:
+                    if held and held.rows:
+                        yield told()
+                    at, held = key, Recent(most, threshold, norm, least_bits, replace)
+                held.learn(x[i], row[0], tuple(row))
+        if held and held.rows:
+            yield told()
+
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    return dealt.sortWithinPartitions(*keys, "row_id").mapInArrow(run, schema)

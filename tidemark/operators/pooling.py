@@ -27,6 +27,13 @@ def inhibited(over: DataFrame, k: int, stimulus: int = 1) -> DataFrame:
     return over.where(F.col("overlap") >= stimulus).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
+def winners(columns: int, density: float = 0.0, per_area: float = 0.0, area: int | None = None) -> int:
+    """How many columns of all may win: by their density, or by how many of an area of columns may (half of it at most)."""
+    if density <= 0:
+        density = min(per_area / min(columns, area or columns), 0.5)
+    return int(density * columns)
+
+
 def segment_activity(active: DataFrame, synapses: DataFrame, connected: float = 0.5) -> DataFrame:
     """active (rec, cell), synapses (segment, cell, permanence) -> rec, segment, potential, connected."""
     hit = active.join(synapses, "cell")

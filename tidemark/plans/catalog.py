@@ -50,7 +50,7 @@ EVENTS_SQL = "SELECT *, CASE WHEN event_id % 7 <> 0 THEN value END AS x FROM eve
 
 
 def _all() -> None:
-    from tidemark.plans import coding, scoring, streamed, streams  # noqa: F401  they register their queries
+    from tidemark.plans import coding, scoring, streamed, streams, traces  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:

@@ -465,23 +465,33 @@ def test_chat_odd_rows(spark):
 
 def test_license_scan_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    found = {(r["doc_id"], r["template"]) for r in licenses.scan(docs, license_table(spark)).collect()}
-    sets = []
-    for _, text in sorted(license_texts.templates()):
-        w = decontam.words(text.encode())
-        numbers = [{tuple(w[i : i + 5]) for i in range(max(p - 4, 0), min(p, len(w) - 5) + 1)} for p, x in enumerate(w) if x.isdigit()]
-        sets.append((set(zip(*(w[i:] for i in range(5)))), len(w) - 4, numbers))
-    want = set()
+    rows = licenses.scan(docs, license_table(spark)).collect()
+    every = sorted(license_texts.templates())
+    of = [decontam.words(text.encode()) for _, text in every]
+    found = {(r["doc_id"], r["template"]) for r in rows if len(of[r["template"]]) > 5}
+    sets = {}
+    for t, w in enumerate(of):
+        if len(w) > 5:
+            numbers = [{tuple(w[i : i + 5]) for i in range(max(p - 4, 0), min(p, len(w) - 5) + 1)} for p, x in enumerate(w) if x.isdigit()]
+            sets[t] = set(zip(*(w[i:] for i in range(5)))), len(w) - 4, numbers
+    want, short = set(), set()
     for r in docs.collect():
         w = decontam.words((r["text"] or "").encode())
         shingles = list(zip(*(w[i:] for i in range(5))))
-        for t, (own, n, numbers) in enumerate(sets):
+        for t, (own, n, numbers) in sets.items():
             at = [i for i, s in enumerate(shingles) if s in own]
             for i in at:
                 held = {shingles[j] for j in at if i <= j < i + n + n // 4}
                 if len(held) >= 0.8 * len(own) and all(held & around for around in numbers):
                     want.add((r["doc_id"], t))
+        longer = [m for m in rows if m["doc_id"] == r["doc_id"]]
+        for t, name in enumerate(of):
+            for i in range(len(w) - len(name) + 1 if len(name) <= 5 else 0):
+                end = i + len(name)
+                if w[i:end] == name and not any(m["license"] == every[t][0] and m["first_word"] <= i and end <= m["end_word"] and (m["first_word"], m["end_word"]) != (i, end) for m in longer):
+                    short.add((r["doc_id"], t, i, end))
     assert found == want and want
+    assert {(r["doc_id"], r["template"], r["first_word"], r["end_word"]) for r in rows if len(of[r["template"]]) <= 5} == short and short
 
 
 def license_table(spark):
@@ -505,6 +515,25 @@ def test_license_wordings_that_the_data_lack(spark):
     assert not found["GPL-2.0"] & {"GPL-3.0", "LGPL-3.0"} and not found["GPL-3.0"] & {"GPL-2.0"} and found["LGPL-2.1"] == {"LGPL-2.1"} and found["CC-BY-SA-4.0"] == {"CC-BY-SA-4.0"}
 
 
+def test_license_usual_wordings(spark):
+    """Each as projects write it; none in prose about licenses."""
+    texts = {
+        "SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "You may use it under the MIT license.": "MIT", "Licensed under MIT, see LICENSE": "MIT",
+        "This project is licensed under the Apache License 2.0.": "Apache-2.0", "Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n 1. Definitions.": "Apache-2.0",
+        "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>": "GPL-3.0", "Photo: someone, CC BY-SA 3.0": "CC-BY-SA-3.0", "License: GNU GPL v3": "GPL-3.0",
+        "They asked which license would suit, and MIT or GPL were named; the Apache helicopter, version 2, flew by.": None, "A BSD clause, a creative commons room.": None, "the MIT": None,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for r in licenses.scan(docs, license_table(spark)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    for i, of in enumerate(texts.values()):
+        assert found.get(i, set()) - {"GPL"} == ({of} if of else set()), (i, found.get(i))
+    twice = spark.createDataFrame([(1, "Released under the MIT License. Or under the MIT license?")], "doc_id long, text string")
+    spans = [(r["first_word"], r["end_word"]) for r in licenses.scan(twice, license_table(spark)).collect()]
+    assert (0, 5) in spans and (7, 10) in spans and (2, 5) not in spans
+
+
 def test_license_odd_input(spark, odd):
     place, mit = next((i, t) for i, (n, t) in enumerate(sorted(license_texts.templates())) if t == dict(license_texts.TEXTS)["MIT"])
     more = spark.createDataFrame([(50, mit.upper(), None, None, None), (50, mit.upper(), None, None, None), (51, "x " * 5000 + mit + " y" * 5000, None, None, None)], DOCS)

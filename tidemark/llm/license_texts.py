@@ -1,4 +1,4 @@
-"""Wordings of public licenses: names and the ways of naming them, notices, and whole texts."""
+"""Wordings of public licenses: names and the ways of naming them, tags, notices, openings and clauses, and whole texts."""
 
 from __future__ import annotations
 
@@ -33,6 +33,34 @@ NAMES = [
 #: How texts say that they are under a license.
 FORMS = ["Licensed under {}", "Released under {}", "Distributed under {}", "Available under {}", "Published under {}"]
 
+#: Short names that stand alone.
+SHORT = [
+    ("AGPL-3.0", "GNU AGPL v3"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("Apache-2.0", "under Apache 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("CC-BY-3.0", "CC BY 3.0"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+    ("CC-BY-SA-3.0", "CC BY-SA 3.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("GPL-2.0", "GNU GPL v2"),
+    ("GPL-3.0", "GNU GPL v3"),
+    ("ISC", "the ISC license"),
+    ("LGPL-2.1", "GNU LGPL v2.1"),
+    ("LGPL-3.0", "GNU LGPL v3"),
+    ("MIT", "the MIT license"),
+    ("MIT", "licensed under MIT"),
+    ("MPL-2.0", "MPL 2.0"),
+    ("Zlib", "the zlib license"),
+]
+
+#: Identifiers that stand in no name above, but in tags.
+TAGGED = ["Artistic-2.0", "CC-BY-3.0", "CC-BY-SA-3.0", "CDDL-1.0", "EPL-1.0", "EUPL-1.2", "GPL-1.0", "LGPL-2.0", "MPL-1.1", "NCSA", "PostgreSQL", "Python-2.0", "WTFPL"]
+TAG = "SPDX-License-Identifier: {}"
+
 #: Notices.
 NOTICES = [
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -54,6 +82,25 @@ NOTICES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
 
+#: Openings and main clauses of longer licenses.
+CLAUSES = [
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("Apache-2.0", "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document."),
+    ("Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("CC-BY-4.0", "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License (\"Public License\")."),
+    ("CC-BY-SA-4.0", "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License (\"Public License\")."),
+    ("CC0-1.0", "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an \"owner\") of an original work of authorship and/or a database (each, a \"Work\")."),
+    ("EPL-2.0", "Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."),
+    ("GPL", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("MPL-2.0", "\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+]
+
 #: Whole licenses.
 TEXTS = [
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
@@ -67,4 +114,5 @@ TEXTS = [
 
 def templates() -> list[tuple[str, str]]:
     """All wordings: (license, text)."""
-    return [(license, form.format(name)) for license, name in NAMES for form in FORMS] + NOTICES + TEXTS
+    tags = [(of, TAG.format(of)) for of in dict.fromkeys([*(of for of, _ in NAMES), *TAGGED])]
+    return [(license, form.format(name)) for license, name in NAMES for form in FORMS] + SHORT + tags + NOTICES + CLAUSES + TEXTS

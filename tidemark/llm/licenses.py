@@ -1,6 +1,9 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
-Texts and templates are word shingles of five. For a template of n shingles the
+Texts and templates are word shingles of five; templates of fewer than six words
+(names, tags) are met by shingles of three, so that they have to stand there as
+they are, and such a match within a longer one of the same license is left out.
+For a template of n shingles the
 text is cut into windows of 2s shingles every s, s being the least width on a
 scale of half octaves that lets a window hold the whole template. A band is
 one of BANDS MinHash values (one row a band). A window that holds 0.8 of a
@@ -13,7 +16,7 @@ Versions are told apart there: each number of the template must stand in one of
 the shingles found. Templates are a table (license, text).
 
 Words: A-Z lower-cased, runs of digits, letters and non-ASCII characters. Odd
-input: a null or empty text, or one of fewer than five words, has no matches;
+input: a null or empty text, or one of fewer than three words, has no matches;
 repeated rows each give their matches; equal matches of neighbouring windows
 are one; empty tables give empty results; other columns are not read.
 """
@@ -32,6 +35,8 @@ from tidemark.llm.common import as_bytes, small_batches
 from tidemark.llm.decontam import words
 
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 32
+#: Words of a shingle of short templates, and of the shortest that isn't short.
+SHORT, WHOLE = 3, 6
 #: Words that are windowed at once; a longer text is taken whole.
 TOGETHER = 200_000
 REMEMBERED = 400_000
@@ -51,16 +56,15 @@ class _Hashes(dict):
 _memo = _Hashes()
 
 
-def shingles(text_words: list[bytes]) -> np.ndarray:
-    """Hashes of the runs of SHINGLE words, in order."""
-    w = np.fromiter(map(_memo.__getitem__, text_words), np.uint64, len(text_words))
-    return _shingled(w)
+def hashes(text_words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_memo.__getitem__, text_words), np.uint64, len(text_words))
 
 
-def _shingled(w: np.ndarray) -> np.ndarray:
-    n = max(len(w) - SHINGLE + 1, 0)
+def shingled(w: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the runs of `size` words, given the words' hashes in order."""
+    n = max(len(w) - size + 1, 0)
     h = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
+    for k in range(size):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n]
         h ^= h >> np.uint64(29)
     return h
@@ -80,17 +84,19 @@ def _banded(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Templates:
-    def __init__(self, templates: list[tuple[str, str]]):
-        self.names, self.sets, self.lengths = [n for n, _ in templates], [], []
+    """Templates that are met by shingles of one size."""
+
+    def __init__(self, templates: list[tuple[str, str]], size: int = SHINGLE):
+        self.size, self.sets, self.lengths = size, [], []
         self.numbers: list[list[set[int]]] = []  # of each template: for each of its numbers, the places in its set of the shingles around it
         self.bands: dict[int, list[dict[int, list[int]]]] = {}  # by scale, then by band: a MinHash value's templates
         for i, (_, text) in enumerate(templates):
             own = words(text.encode())
-            h = shingles(own)
+            h = shingled(hashes(own), size)
             if not len(h):
-                raise ValueError("a template has fewer than five words")
+                raise ValueError(f"a template has fewer than {size} words")
             self.sets.append(np.unique(h))
-            around = lambda p, h=h, i=i: set(np.searchsorted(self.sets[i], h[max(p - SHINGLE + 1, 0) : p + 1]).tolist())
+            around = lambda p, h=h, i=i: set(np.searchsorted(self.sets[i], h[max(p - size + 1, 0) : p + 1]).tolist())
             self.numbers.append([around(p) for p, w in enumerate(own) if w.isdigit()])
             self.lengths.append(len(h))
             bands = self.bands.setdefault(scale(len(h)), [{} for _ in range(BANDS)])
@@ -137,27 +143,63 @@ class Templates:
                 best = (share, lo + min(last.values()), lo + p)
         return best
 
-    def scan(self, texts: list[list[bytes]]) -> list[list[tuple[int, float, int, int]]]:
-        """Of each text: (template, containment, first word, end word), in order."""
-        n_words = np.array([len(t) for t in texts])
-        w = np.fromiter((_memo[x] for t in texts for x in t), np.uint64, int(n_words.sum()))
-        h = _shingled(w)
-        out: list[list[tuple[int, float, int, int]]] = [[] for _ in texts]
+    def scan(self, w: np.ndarray, n_words: np.ndarray) -> list[list[tuple[int, float, int, int]]]:
+        """Words' hashes of texts, one after another, and how many each text has -> of each text: (template, containment, first word, end word), in order."""
+        h = shingled(w, self.size)
+        out: list[list[tuple[int, float, int, int]]] = [[] for _ in n_words]
         if not len(h):
             return out
         begins = np.concatenate([[0], np.cumsum(n_words)])
-        of = np.repeat(np.arange(len(texts)), n_words)
-        crossing = of[: len(h)] != of[SHINGLE - 1 :]
+        of = np.repeat(np.arange(len(n_words)), n_words)
+        crossing = of[: len(h)] != of[self.size - 1 :]
         seen: set[tuple[int, int, int]] = set()
         for t, at, width in sorted(self.candidates(h, crossing)):
             for d in sorted({int(of[at]), int(of[min(at + width, len(of) - 1)])} | set(of[at : at + width].tolist())):
-                lo, hi = max(int(begins[d]), at - self.lengths[t]), min(int(begins[d + 1]) - SHINGLE + 1, at + width + self.lengths[t])
+                lo, hi = max(int(begins[d]), at - self.lengths[t]), min(int(begins[d + 1]) - self.size + 1, at + width + self.lengths[t])
                 if hi > lo and (m := self.verify(t, h, lo, hi)) and (t, m[1], m[2]) not in seen:
                     seen.add((t, m[1], m[2]))
-                    out[d].append((t, m[0], m[1] - int(begins[d]), m[2] - int(begins[d]) + SHINGLE))
+                    out[d].append((t, m[0], m[1] - int(begins[d]), m[2] - int(begins[d]) + self.size))
         return [sorted(x) for x in out]
 
 
+class Wordings:
+    """All templates, in their order: short ones by short shingles, giving way to longer matches of their license."""
+
+    def __init__(self, templates: list[tuple[str, str]]):
+        self.names = [name for name, _ in templates]
+        self.short = [len(words(text.encode())) < WHOLE for _, text in templates]
+        self.parts = [
+            (own, Templates([templates[i] for i in own], size))
+            for is_short, size in ((False, SHINGLE), (True, SHORT))
+            if (own := [i for i, x in enumerate(self.short) if x == is_short])
+        ]
+
+    def scan(self, texts: list[list[bytes]]) -> list[list[tuple[int, float, int, int]]]:
+        """Of each text: (template, containment, first word, end word), in order."""
+        n_words = np.array([len(t) for t in texts], np.int64)
+        w = np.fromiter((_memo[x] for t in texts for x in t), np.uint64, int(n_words.sum()))
+        found: list[list[tuple[int, float, int, int]]] = [[] for _ in texts]
+        for own, part in self.parts:
+            for matches, of_text in zip(found, part.scan(w, n_words), strict=True):
+                matches += [(own[t], *rest) for t, *rest in of_text]
+        return [sorted(self._longest(matches)) for matches in found]
+
+    def _longest(self, matches: list[tuple[int, float, int, int]]) -> list[tuple[int, float, int, int]]:
+        """Matches less the short ones that lie within longer ones of their license. Spans are taken by their beginnings: those that begin before it, and how far any of them goes."""
+        if not any(self.short[t] for t, *_ in matches):
+            return matches
+        kept, reach = [], {}  # license: how far what began so far goes
+        for t, share, first, end in sorted(matches, key=lambda m: (m[2], -m[3])):
+            name = self.names[t]
+            far, longest_here = reach.get(name, (-1, None))
+            within = far >= end and (far > end or longest_here != (first, end))
+            if not (self.short[t] and within):
+                kept.append((t, share, first, end))
+            if end > far:
+                reach[name] = end, (first, end)
+        return kept
+
+
 MATCHES = "license string, template int, containment double, first_word int, end_word int"
 
 
@@ -169,7 +211,7 @@ def scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     given = docs.sparkSession.sparkContext.broadcast(sorted(map(tuple, rows.collect())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Templates(given.value)
+        known = Wordings(given.value)
         for batch in batches:
             texts, rows, at = as_bytes(batch, "text"), [], 0
             while at < len(texts):

@@ -89,7 +89,7 @@ def pseudonym(m, key):
         return ("phone", poured(m, digits[:3] + characters(digits[3:], key, "phone" + digits[:3]))) if 7 <= len(digits) <= 15 else None
     if regex.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", m):
         o = list(map(int, m.split(".")))
-        if max(o) > 255:
+        if max(o) > 255 or m != ".".join(map(str, o)):
             return None
         x, y = feistel(key, o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip")
         return "ip", f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
@@ -98,12 +98,12 @@ def pseudonym(m, key):
             return None
         x, y = feistel(key, found[0] // 773, found[0] % 773, 189, 773, "date")
         return "date", (DAY0 + dt.timedelta(days=x * 773 + y)).strftime(found[1])
-    if regex.fullmatch(r"\d{3}-\d\d-\d{4}", m):
-        area, group, serial = map(int, m.split("-"))
+    if regex.fullmatch(r"\d{3}([ -])\d\d\1\d{4}", m):
+        area, group, serial = map(int, m.replace("-", " ").split())
         if area in (0, 666) or area >= 900 or not group or not serial:
             return None
         x, y = feistel(key, area - (2 if area > 666 else 1), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, "ssn")
-        return "ssn", f"{x + (2 if x >= 665 else 1):03d}-{y // 9999 + 1:02d}-{y % 9999 + 1:04d}"
+        return "ssn", f"{x + (2 if x >= 665 else 1):03d}{m[3]}{y // 9999 + 1:02d}{m[3]}{y % 9999 + 1:04d}"
     if luhn(digits, 1) % 10:
         return None
     front = digits[0] + characters(digits[1:-1], key, "card")

@@ -1,15 +1,18 @@
 r"""Personal data as format-preserving Feistel pseudonyms, in DataFrame functions alone.
 
 Found and validated: e-mail addresses (the part before the @), IBANs (check
-modulo 97), payment cards (Luhn), US social security numbers (assigned ranges),
-international phone numbers (7 to 15 digits), IPv4 addresses (octets) and dates
+modulo 97), payment cards (Luhn), US social security numbers (assigned ranges,
+with hyphens or spaces), international phone numbers (7 to 15 digits), IPv4
+addresses (octets, none with a leading zero) and dates
 (ISO, d.m.y and m/d/y; 1800 to 2199). Each valid value is mapped by a keyed
 permutation of its own format: an eight-round Feistel network over the product
 Z_a x Z_b whose size is just the format's, so nothing has to be walked or
 padded: a date becomes a date, a card a card of the same length and first
 digit with a right check digit. Equal values get equal pseudonyms in every
 document, different ones different ones, and the key reverses them. A phone's,
-card's or IBAN's separators make no difference; an e-mail address's case does.
+card's, IBAN's or social security number's separators make no difference; an
+e-mail address's case does. Of an e-mail address digits and letters from A to Z
+are permuted, and other letters stay.
 Round values come from SHA-256 over the key, the format, the round and the other
 half.
 
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 ROUNDS, PIECE = 8, 24
 
 #: Labels and their number are bounded, as a mail domain's are: the matcher recurses once a label.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,127}[A-Za-z]{2,}+"
+#: Accented Latin, Greek and Cyrillic letters stand in local parts, too; in scripts without spaces a sentence would run into one.
+_LOCAL = r"[A-Za-z0-9._%+\u00C0-\u024F\u0370-\u052F-]"
+EMAIL = r"(?<!" + _LOCAL + ")" + _LOCAL + r"{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,127}[A-Za-z]{2,}+"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
 #: What a space sets apart from a phone or card before it.
 _NEXT = r"\d{1,3}(?:\.\d{1,3}){3}|\d{2}\.\d{2}\.\d{4}|\d{1,2}/\d{2}|\d{4}-\d{2}-\d{2}(?![\d-])|\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -39,7 +44,8 @@ _NEXT = r"\d{1,3}(?:\.\d{1,3}){3}|\d{2}\.\d{2}\.\d{4}|\d{1,2}/\d{2}|\d{4}-\d{2}-
 PHONE = r"(?<![\w+])\+\d{1,3}(?:[ -]?\(\d{1,4}\))?(?:(?: (?!" + _NEXT + r"|\d{4}(?:[ -]?\d{4}){3}(?![\w-]))|-?)\d{2,4}){2,5}(?![\w-])(?<!" + r"\d[ ()-]{0,3}" * 16 + ")"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 DATE = r"(?<![\w.])(?:\d{4}-\d{2}-\d{2}(?=T\d{2})|(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\w))"
-SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+#: With spaces it is no part of a longer row of digits.
+SSN = r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}(?![\w-])|(?<!\d )\d{3} \d{2} \d{4}(?![\w-])(?! (?!" + _NEXT + r")\d))"
 CARD = r"(?<![\w-])\d(?:(?: (?!" + _NEXT + r")|-?)\d){12,18}(?![\w-])"
 ANY = "|".join([EMAIL, IBAN, PHONE, IP, DATE, SSN, CARD])
 
@@ -179,18 +185,18 @@ def _iban(m: Column, permute: Permute) -> Column:
 
 
 def _ssn_ok(m: Column) -> Column:
-    return ~m.rlike(r"^(?:000|666|9)|^...-00|0000$")
+    return ~m.rlike(r"^(?:000|666|9)|^....00|0000$")
 
 
 def _ssn(m: Column, permute: Permute) -> Column:
     area, group, serial = (F.substring(m, s, n).cast("long") for s, n in ((1, 3), (5, 2), (8, 4)))
     done = permute(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), "ssn")
     area = done["x"] + F.when(done["x"] >= 665, 2).otherwise(1)
-    return F.concat_ws("-", F.lpad(area.cast("string"), 3, "0"), F.lpad((_div(done["y"], F.lit(9999).cast("long")) + 1).cast("string"), 2, "0"), F.lpad((done["y"] % 9999 + 1).cast("string"), 4, "0"))
+    return _poured(m, F.concat(F.lpad(area.cast("string"), 3, "0"), F.lpad((_div(done["y"], F.lit(9999).cast("long")) + 1).cast("string"), 2, "0"), F.lpad((done["y"] % 9999 + 1).cast("string"), 4, "0")))
 
 
 def _ip_ok(m: Column) -> Column:
-    return F.forall(F.split(m, r"\."), lambda o: o.cast("int") <= 255)
+    return F.forall(F.split(m, r"\."), lambda o: (o.cast("int") <= 255) & ~o.rlike("^0."))
 
 
 def _ip(m: Column, permute: Permute) -> Column:

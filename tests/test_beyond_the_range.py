@@ -1,10 +1,11 @@
 """Queries against their SQL on values that the small tables lack: zeros, and values beyond an encoder's range."""
 
 import datetime as dt
+import math
 
 import pytest
 
-from tests.oracle import differences
+from tests.oracle import differences, sql_rows
 from tidemark.plans import catalog
 
 
@@ -47,3 +48,12 @@ ENCODED = ["monitor_traces", "monitor_metrics", "sequence_cells", "pooler_by_den
 @pytest.mark.parametrize("name", ENCODED)
 def test_values_beyond_the_range_keep_their_places(spark, folder, name):
     assert not differences(catalog.queries()[name](spark, folder), _sql(name), folder)
+
+
+def test_growth_over_a_zero_is_not_a_number(spark, folder):
+    names, rows = sql_rows(_sql("exponential_change_10"), folder)
+    want = {r[names.index("event_id")]: r[names.index("growth")] for r in rows}
+    got = {r["event_id"]: r["growth"] for r in catalog.queries()["exponential_change_10"](spark, folder).collect()}
+    same = lambda a, b: a is b is None or (a is not None and b is not None and (a == b or math.isnan(a) and math.isnan(b)))
+    assert got.keys() == want.keys() and all(same(got[k], want[k]) for k in want)
+    assert sum(v is not None and math.isnan(v) for v in got.values()) == 3  # the zero is the third of its user's records

@@ -47,8 +47,9 @@ def regression_slope(spec: StreamSpec, y: str | Column, x: str | Column, size: i
 
 
 def exponential_change(spec: StreamSpec, y: str, x: str, size: int) -> Column:
-    """exp of the slope of ln y, less 1."""
-    return F.exp(regression_slope(spec, F.log(F.col(y)), x, size)) - 1
+    """exp of the slope of ln y, less 1; not a number where a y of the window is 0 or less."""
+    ln = F.when(F.col(y) > 0, F.log(F.col(y))).when(F.col(y).isNotNull(), float("nan"))
+    return F.exp(regression_slope(spec, ln, x, size)) - 1
 
 
 def average_change(df: DataFrame, spec: StreamSpec, y: str, size: int) -> DataFrame:

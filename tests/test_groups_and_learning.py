@@ -66,3 +66,32 @@ def test_prototypes_that_keep_apart_equal_the_sequential_rule(spark, monkeypatch
     assert knn_learn.apart(df, 0.0).count() == 500 and knn_learn.apart(df.limit(0), 1.0).count() == 0
     with pytest.raises(ValueError):
         knn_learn.apart(df, 1.0, 0.5)
+
+
+@pytest.mark.parametrize("first", [7, 60, 4096])
+def test_blocks_and_cells_equal_the_sequential_rule(spark, monkeypatch, first):
+    """Half of the vectors are covered by the first few, the others are in nobody's reach; blocks alone, or cells after them."""
+    monkeypatch.setattr(knn_learn, "EACH", 25)
+    monkeypatch.setattr(knn_learn, "FIRST", first)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 0.1, (250, 3)), rng.uniform(5, 25, (150, 3))])[rng.permutation(400)]
+    df = spark.createDataFrame([(i, v.tolist(), 0, None) for i, v in enumerate(x)], "row_id long, vector array<double>, category int, part long").repartition(4)
+    for old in (0, 5, 100):
+        kept = list(range(old))
+        for i in range(old, 400):
+            if all(np.sqrt(((x[i] - x[j]) ** 2).sum()) >= 0.6 for j in kept):
+                kept.append(i)
+        got = knn_learn.apart(df.where(F.col("row_id") >= old), 0.6, stored=df.where(F.col("row_id") < old) if old else None)
+        assert sorted(r["row_id"] for r in got.collect()) == kept
+
+
+def test_covered_vectors_pass_through_no_cell(spark, monkeypatch):
+    """Where a few prototypes cover all vectors, blocks decide everything: copies for cells grew with vectors times cells."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, v.tolist(), 0, None) for i, v in enumerate(rng.normal(0, 0.1, (900, 3)))], "row_id long, vector array<double>, category int, part long")
+    monkeypatch.setattr(knn_learn, "FIRST", 100)
+    monkeypatch.setattr(knn_learn, "EACH", 1)
+    written, names = knn_learn.written, []
+    monkeypatch.setattr(knn_learn, "written", lambda d, name: names.append(name) or written(d, name))
+    assert 1 < knn_learn.apart(df, 0.3).count() < 100
+    assert names.count("state") == 1 and "block" in names

@@ -1,7 +1,14 @@
 """Learning prototypes that keep apart: in order of row_id, a vector is stored if no stored one is nearer than a threshold.
 
 That is the order-first maximal independent set of the graph of near pairs, of
-which no pair is ever listed. Prototypes go to the cell of their nearest pivot and,
+which no pair is ever listed. What is stored of the first vectors rests on these
+alone: a block of the first open ones is decided by one task, and all others that
+are near to what it stores are dropped where they lie, as matrix work. As long as
+blocks drop most of what is open they go on, so where prototypes cover the space
+the work grows with the vectors and not with their square. What is left is near to
+nothing that is stored, and is decided in cells.
+
+Prototypes go to the cell of their nearest pivot and,
 so that a cell sees all that its own members can be near to, to every other cell
 whose pivot is not farther by more than twice the threshold. A cell takes its
 vectors in order and decides what it can: its own member is dropped if a stored one
@@ -18,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +33,10 @@ from tidemark.operators.knn_join import EACH, PIVOT_BYTES, PIVOTS, ROOM, distanc
 from tidemark.shared import written
 
 OPEN, STORED, DROPPED = 0, 1, 2
+#: Vectors of a block that one task decides, and their bytes, at most.
+FIRST, FIRST_BYTES = 4096, 8 << 20
+#: Vectors that are held against those of a block at once.
+ROWS = 1024
 
 
 class Held:
@@ -63,14 +75,14 @@ def apart(new: DataFrame, threshold: float, norm: float = 2.0, least_bits: int =
     # of equal vectors only the first can be stored
     first = both.groupBy(vector.alias("vector")).agg(F.min(F.struct((-F.col("status")).alias("_s"), "row_id")).alias("_f"))
     state = written(first.select("_f.row_id", "vector", (-F.col("_f._s")).alias("status")), "state")
-    n = state.count()
-    if not n:
+    schema = f"row_id {kind}, vector array<double>, status int"
+    if not state.limit(1).count():
         return both.select(*columns)
     size = len(state.select("vector").first()["vector"]) or 1
-    most = max(1, min(PIVOTS, PIVOT_BYTES // (8 * size), n // EACH))
+    state, early = _covered(state, threshold, norm, max(1, min(FIRST, FIRST_BYTES // (8 * size))), schema)
+    most = max(1, min(PIVOTS, PIVOT_BYTES // (8 * size), state.count() // EACH))
     pivots = stacked(state.select("vector").orderBy(F.xxhash64("row_id")).limit(most).toArrow().column("vector").combine_chunks())
     given = spark.sparkContext.broadcast(pivots)
-    schema = f"row_id {kind}, vector array<double>, status int"
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,11 +117,71 @@ def apart(new: DataFrame, threshold: float, norm: float = 2.0, least_bits: int =
         # stored ones first: nothing open that is near to one comes before it in order, or it wouldn't be stored yet
         cells = state.mapInArrow(dealt, f"cell long, home boolean, {schema}").repartition("cell").sortWithinPartitions("cell", F.col("status") != STORED, "row_id", "vector")
         state = written(cells.mapInArrow(decided, schema).where(F.col("status") != DROPPED), "state")
-    learnt = state.select("row_id", "vector")
-    own = new.withColumn("_v", vector).dropDuplicates(["row_id", "vector"]).join(learnt.withColumnRenamed("vector", "_v"), ["row_id", "_v"], "left_semi")
+    learnt = written(early.unionByName(state).select("row_id", F.col("vector").alias("_v")), "learnt")
+    own = new.withColumn("_v", vector).join(learnt, ["row_id", "_v"], "left_semi").dropDuplicates(["row_id", "vector"])
     return old.unionByName(own.select(*columns))
 
 
+def _covered(state: DataFrame, threshold: float, norm: float, most: int, schema: str) -> tuple[DataFrame, DataFrame]:
+    """state (row_id, vector, status) -> the state that cells go on from, and the rows that are stored and that nothing open is near to.
+
+    Stored ones from before drop what is near to them first, a block at a time, if
+    they are few; then blocks of the first open ones are decided and drop others, as
+    long as half of the rest goes with each.
+    """
+    spark, is_open = state.sparkSession, F.col("status") == OPEN
+    before = state.where(~is_open)
+    if before.limit(most + 1).count() > most:
+        return state, before.limit(0)
+    early, rest = before, state.where(is_open)
+    block = before
+    left = rest.count()
+    while left:
+        kept = block.toArrow().column("vector").combine_chunks()  # `most` vectors at most
+        if len(kept):
+            rest = written(rest.mapInArrow(_far_from(spark.sparkContext.broadcast(stacked(kept)), threshold, norm), schema), "rest")
+            had, left = left, rest.count()
+            if not left or block is not before and 2 * left > had:
+                break
+        first = written(rest.orderBy("row_id", "vector").limit(most), "first")
+        block = written(first.repartition(1).sortWithinPartitions("row_id", "vector").mapInArrow(_sequential(threshold, norm), schema), "block")
+        early = early.unionByName(block)
+        rest = rest.join(F.broadcast(first.select("vector")), "vector", "left_anti").select("row_id", "vector", "status")
+        left -= first.count()
+    return rest, early
+
+
+def _far_from(kept: Broadcast, threshold: float, norm: float):
+    """The rows that are near to none of the kept vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = stacked(batch.column("vector"))
+            far = [distances(x[i : i + ROWS], kept.value, norm).min(1) >= threshold for i in range(0, len(x), ROWS)]
+            if far:
+                yield batch.filter(pa.array(np.concatenate(far)))
+
+    return run
+
+
+def _sequential(threshold: float, norm: float):
+    """The rows that are stored, of one task's in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            x, learnt = stacked(batch.column("vector")), []
+            held = held or Held(x.shape[1])
+            for i in range(len(x)):
+                if not held.near(x[i], threshold, norm)[0]:
+                    held.add(x[i], False)
+                    learnt.append(i)
+            stored = batch.take(pa.array(learnt, pa.int64()))
+            yield stored.set_column(2, "status", pa.array([STORED] * len(learnt), pa.int32()))
+
+    return run
+
+
 class Recent:
     """The prototypes of one classifier: `most` at most, of which the one goes that has been of no use for the longest."""
 

@@ -57,3 +57,10 @@ def test_growth_over_a_zero_is_not_a_number(spark, folder):
     same = lambda a, b: a is b is None or (a is not None and b is not None and (a == b or math.isnan(a) and math.isnan(b)))
     assert got.keys() == want.keys() and all(same(got[k], want[k]) for k in want)
     assert sum(v is not None and math.isnan(v) for v in got.values()) == 3  # the zero is the third of its user's records
+
+
+def test_rows_are_exchanged_for_no_overlap(spark, folder):
+    """Pairs of patterns and queries are small, so they go to the rows and no row is written for a join."""
+    df = catalog.queries()["knn_overlaps"](spark, folder)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan

@@ -157,3 +157,20 @@ def test_models_are_exported_and_asked_with_frozen_counts(spark, folder):
     asked = models.inferred(df.where("i >= 40"), SPEC, "v", held)
     streamed = {(r["k"], r["i"]): r["prediction"] for r in spark.read.parquet(f"{tmp}/out").collect()}
     assert all(r["prediction"] == streamed[r["k"], r["i"]] for r in asked.where("i > 40").collect())
+
+
+def test_rows_of_a_key_are_ordered_as_frames_are():
+    """Several frames, ties, missing and text order columns."""
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.streaming.stateful import in_order
+
+    rng = np.random.default_rng(3)
+    df = pd.DataFrame({"ts": pd.to_datetime(rng.integers(0, 5, 40), unit="h"), "id": rng.integers(0, 4, 40).astype(float), "name": [f"n{i % 3}" for i in range(40)], "x": range(40)})
+    df.loc[3, "ts"], df.loc[7, "id"] = pd.NaT, np.nan
+    for order in (["ts", "id"], ["name", "ts"], []):
+        want = df.sort_values(order, kind="stable") if order else df
+        got = in_order(iter([df[:25], df[25:]]), order)
+        assert list(got) == list(df.columns) and got["x"].tolist() == want["x"].tolist() and got["name"].tolist() == want["name"].tolist()
+    assert in_order(iter([df]), ["ts"])["x"].tolist() == df.sort_values("ts", kind="stable")["x"].tolist()

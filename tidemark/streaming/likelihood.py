@@ -27,6 +27,7 @@ from pyspark.sql.types import StructType
 from tidemark.functions.maths import log_likelihood, tail_probability
 from tidemark.operators.anomaly import LEAST_MEAN, LEAST_VARIANCE, RED, YELLOW
 from tidemark.spec import StreamSpec
+from tidemark.streaming.stateful import in_order
 
 #: n: records so far; recent: the last raw scores; m1, m2: each block's sums; c1, c2: their corrections; mean, dev: of the last fit; before_*: how the last record was judged.
 STATE = "n long, recent array<double>, m1 array<double>, m2 array<double>, c1 array<double>, c2 array<double>, mean double, dev double, before_avg double, before_mean double, before_dev double"
@@ -146,13 +147,11 @@ class Likelihoods(StatefulProcessor):
         self.state = handle.getValueState("moments", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")  # a key's rows of a micro-batch
+        got = in_order(rows, self.order)
         moments = Moments(self.fitting, tuple(self.state.get()) if self.state.exists() else None)
-        said = moments.add(got[RAW].to_numpy(np.float64))
+        said = moments.add(got[RAW].astype(np.float64))
         self.state.update(moments.state())
-        for i, c in enumerate(("_avg", "_mean", "_dev", "_avg0", "_mean0", "_dev0")):
-            got[c] = said[:, i]
-        yield got
+        yield pd.DataFrame(got | dict(zip(("_avg", "_mean", "_dev", "_avg0", "_mean0", "_dev0"), said.T, strict=True)))
 
     def close(self) -> None:
         pass

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from tidemark.spec import StreamSpec
+from tidemark.streaming.stateful import in_order
 
 #: Columns on their way to the processor (a name that begins with an underscore wouldn't arrive).
 VALUE, LEARNS = "model_value", "model_learns"
@@ -27,7 +29,7 @@ class TwoGrams(StatefulProcessor):
         self.counts = handle.getMapState("counts", "value string", "followers array<string>, n array<long>", self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")  # a key's rows of a micro-batch
+        got = in_order(rows, self.order)
         before = self.last.get()[0] if self.last.exists() else None
         held: dict[str, dict[str, int]] = {}
         changed, said = set(), []
@@ -51,7 +53,7 @@ class TwoGrams(StatefulProcessor):
             self.last.clear()
         else:
             self.last.update((before,))
-        yield got.drop(columns=[VALUE, LEARNS]).assign(prediction=pd.Series(said, index=got.index, dtype=object))
+        yield pd.DataFrame({c: v for c, v in got.items() if c not in (VALUE, LEARNS)} | {"prediction": np.array(said, object)})
 
     def close(self) -> None:
         pass

@@ -16,6 +16,18 @@ from tidemark.operators.anchors import Stretch
 from tidemark.spec import Interval, StreamSpec
 
 
+def in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> dict[str, np.ndarray]:
+    """A key's rows of a micro-batch as columns, stably sorted by `order` (missing last). Keys are many and their rows few, so no frame is made on the way."""
+    frames = list(rows)
+    got = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    by = [got[c] for c in reversed(order)]
+    if any(c.dtype.kind not in "biufM" for c in by):
+        got = got.sort_values(order, kind="stable")
+        return {c: got[c].to_numpy() for c in got.columns}
+    at = np.lexsort([c.to_numpy() for c in by]) if by else slice(None)
+    return {c: got[c].to_numpy()[at] for c in got.columns}
+
+
 STATE = "start long, n long, held long, sum double"
 
 

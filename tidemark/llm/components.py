@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import passing, written
 
 
+@passing
 def components(links: DataFrame) -> DataFrame:
     """links (a, b), longs without nulls -> (node, root), a row for each node that is linked; nodes of one component share the root.
 

@@ -271,5 +271,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs with all their columns, less the contaminated ones; rows without an id stay."""
-    gone = contamination(docs.select("doc_id", "text"), items).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    return without(docs, gone)
+    return without(docs, lambda: contamination(docs.select("doc_id", "text"), items).where("contaminated and doc_id is not null").select("doc_id").distinct())

@@ -16,7 +16,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import only, scratch, without, written
+from tidemark.llm.common import new_folder, only, without, written
 
 #: Keys that one filter holds on average; a bucket's filter is built and read in one task.
 KEYS_A_BUCKET = 250_000
@@ -199,7 +198,7 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column, snapshot: Snapshot | None
     """
     docs = docs.select("doc_id", "text", F.coalesce(in_snapshot, F.lit(False)).alias("old"))
     rows = digests(docs, F.col("old"))
-    snapshot = snapshot or publish(rows.where("old"), f"{scratch(docs.sparkSession)}/snapshot-{uuid.uuid4().hex}")
+    snapshot = snapshot or publish(rows.where("old"), new_folder(docs.sparkSession, "snapshot"))
     old, new = snapshot.digests, written(_grouped(rows.where("not old"), snapshot.buckets), "dedup-new")
     parts = new.withColumn("old", F.lit(False)).unionByName(old.withColumn("old", F.lit(True)))
 
@@ -227,9 +226,8 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
     doc_id names a document: rows without one stay, and repeated rows of one id stay together.
     """
-    said = exact_dedup(only(docs, "doc_id", "text"), halves())
-    gone = said.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept and doc_id is not null").select("doc_id")
-    return without(docs, gone)
+    said = lambda: exact_dedup(only(docs, "doc_id", "text"), halves())
+    return without(docs, lambda: said().groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept and doc_id is not null"))
 
 
 def halves() -> Column:

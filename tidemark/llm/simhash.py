@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, fold, let_go, only, small_batches, without, written
+from tidemark.llm.common import as_bytes, fold, let_go, only, removed, small_batches, without, written
 from tidemark.llm.components import components
 
 SHINGLE = 3
@@ -164,6 +164,7 @@ def near_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         cells = written(_split(rows, width), "cells")
         shared = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
         members = written(cells.join(shared, "cell"), "members")
+        removed(cells)
         last = width == WIDTHS[-1]
         few = members if last else members.where(F.col("n") <= CELL)
         few = few.repartition("cell").sortWithinPartitions("cell").select("cell", "fp", distances(width).alias("far"))
@@ -188,6 +189,4 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with all their columns, less every document but the first of its component; rows without an id stay."""
-    said = near_duplicates(only(docs, "doc_id", "text"))
-    gone = said.where("doc_id <> component_id").select("doc_id").distinct()
-    return without(docs, gone)
+    return without(docs, lambda: near_duplicates(only(docs, "doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct())

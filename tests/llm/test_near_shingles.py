@@ -109,6 +109,33 @@ def test_every_pair_at_the_threshold(spark):
     assert {g: got[2 * g + 1] == 2 * g for g in want} == want and 0 < sum(want.values()) < 150
 
 
+def test_pairs_that_share_no_cell_or_differ_in_many_bits(spark):
+    """Of pairs at 0.8, those that no cell holds or that fingerprints would rule out are found too."""
+    rng, rows = random.Random(11), []
+    while len(rows) < 6:
+        n = rng.choice([30, 40, 60])
+        base = prose(rng, n + 4)
+        other = base[: -(n // 9)] + prose(rng, n // 9)
+        texts = [" ".join(base), " ".join(other)]
+        (fp, least), (gp, most) = (near_shingles.sketch(near_shingles.shingles(t.encode())) for t in texts)
+        cells = (least == most).reshape(near_shingles.BANDS, -1).all(1).any()
+        if similar(*map(plain_set, texts)) and not (cells and ((fp ^ gp) % 2**64).bit_count() <= near_shingles.BITS):
+            rows += [(len(rows), texts[0]), (len(rows) + 1, texts[1])]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == [(i, i // 2 * 2) for i in range(6)]
+
+
+def test_the_last_step_alone_finds_all(spark, monkeypatch):
+    """Every link that neither pivots nor cells give, with frequent shingles in the order's end; a text that is frequent as a whole too."""
+    none = lambda docs, classes, *_: classes.limit(0).selectExpr("node AS a", "node AS b")
+    monkeypatch.setattr(near_shingles, "_by_pivots", none)
+    monkeypatch.setattr(near_shingles, "_tested", none)
+    monkeypatch.setattr(near_shingles, "SAMPLED", 2)
+    rows = planted(8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert len(near_shingles.frequent(docs)) > 100
+    assert found(docs) == plain_components(rows)
+
+
 def test_minima_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(2)
     agree = []

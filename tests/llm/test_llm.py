@@ -286,6 +286,28 @@ def test_lm_scores_hold_every_bigram(spark, documents, odd, monkeypatch):
                 assert {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()} == pytest.approx(want, rel=1e-3), setting
 
 
+def test_lm_holds_nothing_in_the_driver(spark, documents, monkeypatch):
+    """No filter and no count is collected, and no side of a join is broadcast, however small Spark takes it for."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(self):
+        raise AssertionError("collected")
+
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, refused)
+    done = lm.score_documents(documents)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert done.count() == documents.count() and "Broadcast" not in plan
+
+
+def test_lm_learns_from_another_table(spark):
+    """What is learned from is not scored, and what is scored is not learned from."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, text string")
+    got = {r["id"]: r for r in lm.score(docs, spark.createDataFrame([("a b a",), (None,)], "text string")).collect()}
+    assert {i: (r["n_tokens"], r["n_known"], r["train_tokens"]) for i, r in got.items()} == {1: (3, 3, 5), 2: (2, 1, 5)}
+    assert got[1]["base_score"] == pytest.approx(log10(3 / 9) + log10(2 / 9) + log10(3 / 9)) and got[2]["base_score"] == pytest.approx(log10(1 / 9) + log10(3 / 9))
+
+
 # SimHash
 
 

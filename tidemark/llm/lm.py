@@ -1,29 +1,26 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-Training counts word unigrams and bigrams (64-bit hashes) over all training
-documents. Tasks hand sorted hash arrays to hash segments, whose number follows
-the corpus, so no segment outgrows a task and no hot n-gram a row. An n-gram of
-quantised log frequency q goes into the filter q times, as (n-gram, 1) to
-(n-gram, q); probing upwards until the first miss reads q back. Every unigram
-and every bigram is held, whatever the corpus's size: each segment has bits of
-its own, ENTRY_BITS an entry, made in the segment's task. There an n-gram is
-known by the 32 bits after the segment's: as a segment's n-grams are bounded,
-few share them at any size (some 600,000 of 4 billion, far below the filter's
-own false positives).
-
-The segments together are broadcast if they measure BROADCAST bytes at most.
-Beyond that no machine holds more than one: the distinct n-grams of a batch of
-texts go to their segments, and their levels come back to the batch. Both ways
-probe the same bits, so they give the same scores.
+All texts are tokenised once, into batches of some texts: a batch's distinct
+words (64-bit hashes) and each token's place among them. A batch sends its
+distinct unigrams and bigrams to hash segments, with their counts in what is
+learned from. The segments' number follows the corpus, so no segment outgrows a
+task and no hot n-gram a row. In its task a segment sums the counts and makes
+its filter: an n-gram of quantised log frequency q goes into the filter q times,
+as (n-gram, 1) to (n-gram, q); probing upwards until the first miss reads q
+back. Every unigram and every bigram is held, whatever the corpus's size, by
+bits of the segment's own, ENTRY_BITS an entry. There an n-gram is known by the
+32 bits after the segment's: as a segment's n-grams are bounded, few share them
+at any size (some 600,000 of 4 billion, far below the filter's own false
+positives). The same task reads the levels of all that was sent, and they go
+back to the batches with the unigrams' exact counts, which the base score uses.
+So an n-gram moves once, and no filter or count is collected or broadcast: what
+a machine holds is a segment or a batch.
 
 A level stands for a range of counts. P(w|h) = (low c(h,w) + KAPPA * P(w)) /
 (high c(h) + KAPPA) and P(w) = (low c(w) + 1) / (N + V + 1), low and high being
 the range's ends, so that the probabilities after a history never sum to more
 than 1 (false positives of the filter excepted).
 
-The base score uses exact counts: those of the HOT most frequent tokens are
-broadcast; a text's other tokens join the count table.
-
 Odd input: a null or empty text is its end token alone; a null id is not held
 out and not learned from; repeated rows each get a row; without training rows
 every count is zero; other columns are not read.
@@ -31,12 +28,11 @@ every count is zero; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,17 +41,15 @@ from tidemark.llm.common import as_bytes, bucket3, small_batches, written
 
 #: Strength of the unigrams in a bigram's probability.
 KAPPA = 100.0
-#: The filter's bits an entry, its probes, and the bytes of it that are broadcast at most.
-ENTRY_BITS, PROBES, BROADCAST = 8, 5, 128 << 20
-#: Exact counts that are broadcast; the others are joined.
-HOT = 1 << 17
-#: Bytes of training text a segment, and hashes that a task sorts at once.
-SEGMENT_BYTES, SORTED = 8 << 20, 1 << 20
+#: The filter's bits an entry, its probes, and the bytes of it that are broadcast: none at any size.
+ENTRY_BITS, PROBES, BROADCAST = 8, 5, 0
+#: Bytes of training text a segment.
+SEGMENT_BYTES = 8 << 20
 LEAST_SEGMENTS = 64
 #: Tasks that gather the segments at most; their number follows the segments', so what one reads doesn't grow with the corpus.
 MOST_TASKS = 1 << 15
-#: Tokens of the texts whose n-grams are asked for at once; a longer text is taken whole.
-TOGETHER = 400_000
+#: Tokens of the texts that are a batch; a longer text is taken whole.
+TOGETHER = 1 << 20
 #: Words whose hashes a worker remembers.
 REMEMBERED = 250_000
 
@@ -119,72 +113,13 @@ def _low(keys: np.ndarray) -> np.ndarray:
     return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _packed(which: np.ndarray) -> bytes:
+def _packed(numbers: np.ndarray, kind: str = "<u4") -> bytes:
     """Small numbers byte plane by byte plane: the upper ones are zero nearly everywhere, and compress."""
-    return which.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unpacked(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
-def _counted(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, with their counts."""
-    if n is None:
-        return np.unique(h, return_counts=True)
-    order = np.argsort(h)
-    h, n = h[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return h[first], np.add.reduceat(n, first) if len(h) else n
+    return numbers.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
 
 
-def ngram_counts(training: DataFrame) -> tuple[DataFrame, int]:
-    """A row a segment of the hash space (segment, hashes and counts of its unigrams, the filter of its unigrams and bigrams, the unigrams' number and total), and the segments' number (a power of two)."""
-    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(LEAST_SEGMENTS, size // SEGMENT_BYTES + 1).bit_length()
-    shift, room = np.uint64(64 - bits), ENTRY_BITS  # what a task uses is closed over: a worker has no changed module
-
-    def dealt(kind: int, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        h, n = _counted(_keys(h, bits) if kind else h)
-        segment = (h >> (np.uint64(32) if kind else shift)).astype(np.int64)
-        h = _low(h) if kind else h
-        edges = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]]))
-        spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(segment[s]) for s, _ in spans], pa.int64()), pa.array([kind] * len(spans), pa.int32()), pa.array([h[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([_packed(n[s:e]) for s, e in spans], pa.binary())],
-            names=["segment", "kind", "hashes", "counts"],
-        )
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one: list[np.ndarray] = []
-        two: list[np.ndarray] = []
-        held = 0
-        for batch in batches:
-            for text in as_bytes(batch, "text"):
-                t = tokens(text)
-                one.append(t)
-                two.append(pairs(np.concatenate([[END], t[:-1]]), t))
-                held += len(t)
-                if held >= SORTED:
-                    yield from dealt(0, np.concatenate(one))
-                    yield from dealt(1, np.concatenate(two))
-                    one, two, held = [], [], 0
-        if held:
-            yield from dealt(0, np.concatenate(one))
-            yield from dealt(1, np.concatenate(two))
-
-    def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        held = []
-        for kind in (0, 1):
-            own = rows[rows["kind"] == kind]
-            held.append(_counted(np.frombuffer(b"".join(own["hashes"]), np.uint32 if kind else np.uint64), np.concatenate([np.zeros(0, np.int64), *map(_unpacked, own["counts"])]).astype(np.int64)))
-        (one, one_n), (two, two_n) = held
-        made = Filter.holding(np.concatenate([_low(_keys(one, bits)), two]).astype(np.uint64), np.concatenate([one_n, two_n]), room).bits
-        return pd.DataFrame([[key[0], one.tobytes(), one_n.tobytes(), made.tobytes(), len(one), int(one_n.sum())]], columns=["segment", "one", "one_n", "bits", "distinct", "total"])
-
-    rows = small_batches(training.select("text")).mapInArrow(deal, "segment long, kind int, hashes binary, counts binary")
-    rows = rows.repartition(min(1 << bits, MOST_TASKS), "segment").groupBy("segment").applyInPandas(gather, "segment long, one binary, one_n binary, bits binary, distinct long, total long")
-    return written(rows, "ngrams"), 1 << bits
+def _unpacked(planes: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 class Filter:
@@ -239,177 +174,161 @@ class Filter:
         return q
 
 
-def log10_p(words: np.ndarray, which: np.ndarray, read: Callable[[np.ndarray], np.ndarray], n: int, v: int, kappa: float) -> np.ndarray:
-    """log10 P of each token of texts that are laid end to end; a token's history is the one before (a first token's: an end). The tokens are words[which]; read gives the levels of n-grams that asked_for has."""
-    level = read(words)
-    least, most = low(level), high(level)
-    distinct, at = np.unique(_bigrams(words[which]), return_inverse=True)
-    before = np.concatenate([np.flatnonzero(words == END), which[:-1]])
-    two = np.minimum(low(read(distinct))[at], np.minimum(least[which], least[before]))
-    return np.log10((two + kappa * (least[which] + 1) / (n + v + 1)) / (most[before] + kappa))
-
-
-def _bigrams(t: np.ndarray) -> np.ndarray:
-    return pairs(np.concatenate([[END], t[:-1]]), t)
-
-
-def asked_for(words: np.ndarray, which: np.ndarray, bits: int) -> np.ndarray:
-    """The distinct keys of the n-grams of the tokens words[which], in order."""
-    return np.unique(_keys(np.concatenate([words, _bigrams(words[which])]), bits))
+#: The ends of each level's range of counts.
+_LOW, _HIGH = low(np.arange(TOP + 2)), high(np.arange(TOP + 2))
 
 
-def filter_scores(batches: DataFrame, ngrams: DataFrame, segments: int, n: int, v: int, kappa: float) -> DataFrame:
-    """batches (batch, words, which, lengths, rows) -> row, score. Each n-gram is looked up in its segment's filter."""
-    bits = segments.bit_length() - 1
-
-    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in rows:
-            for batch, words, which in zip(*(some.column(c).to_pylist() for c in ("batch", "words", "which")), strict=True):
-                h = asked_for(np.frombuffer(words, np.uint64), _unpacked(which), bits)
-                segment, h = (h >> np.uint64(32)).astype(np.int64), _low(h)
-                edges = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1], [True]])).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(segment[edges[:-1]]), pa.array([batch] * (len(edges) - 1), pa.int64()), pa.array([h[s:e].tobytes() for s, e in zip(edges[:-1], edges[1:], strict=True)], pa.binary())],
-                    names=["segment", "batch", "hashes"],
-                )
+def log10_p(words: np.ndarray, which: np.ndarray, one: np.ndarray, two: np.ndarray, n: int, v: int, kappa: float) -> np.ndarray:
+    """log10 P of each token of texts that are laid end to end; a token's history is the one before (a first token's: an end). The tokens are words[which]; one: the words' levels, two: those of each token's bigram."""
+    least, most = _LOW[one], _HIGH[one]
+    before = np.concatenate([np.flatnonzero(words == END), which[:-1]])
+    both = np.minimum(_LOW[two], np.minimum(least[which], least[before]))
+    return np.log10((both + kappa * (least[which] + 1) / (n + v + 1)) / (most[before] + kappa))
 
-    def probe(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        levels = [b"\0" * (len(h) // 4) for h in asked["hashes"]]
-        if len(own) and len(asked):
-            known = Filter.of([own["bits"].iloc[0]])
-            levels = [known.levels(np.frombuffer(h, np.uint32).astype(np.uint64)).astype(np.uint8).tobytes() for h in asked["hashes"]]
-        return pd.DataFrame({"batch": asked["batch"], "segment": asked["segment"], "levels": levels})
 
-    def answer(key: tuple, batch: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        (given,) = batch.itertuples()
-        words, which = np.frombuffer(given.words, np.uint64), _unpacked(given.which)
-        asked, levels = asked_for(words, which, bits), np.frombuffer(b"".join(told.sort_values("segment")["levels"]), np.uint8)
-        log10 = log10_p(words, which, lambda h: levels[np.searchsorted(asked, _keys(h, bits))].astype(np.int64), n, v, kappa)
-        starts = np.concatenate([[0], np.cumsum(np.frombuffer(given.lengths, np.int64))[:-1]])
-        return pd.DataFrame({"row": np.frombuffer(given.rows, np.int64), "score": np.add.reduceat(log10, starts)})
+def _bigrams(words: np.ndarray, which: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of the bigrams of the tokens words[which], in order, and each token's place among them."""
+    t = words[which]
+    return np.unique(_keys(pairs(np.concatenate([[END], t[:-1]]), t), bits), return_inverse=True)
 
-    asked = batches.select("batch", "words", "which").mapInArrow(ask, "segment long, batch long, hashes binary")
-    told = ngrams.select("segment", "bits").groupBy("segment").cogroup(asked.groupBy("segment")).applyInPandas(probe, "batch long, segment long, levels binary")
-    return batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(answer, "row long, score double")
 
+def batched(docs: DataFrame) -> DataFrame:
+    """docs (text, learn, and others, the last of them row) -> a row a text: the others, n_tokens; and a row a batch: batch, words (the frequent ones first), which (each token's place there), lengths, rows, learn (a byte a text), size (bytes that are learned from). Written, so that a batch stays what it is."""
+    others, together = [c for c in docs.columns if c not in ("text", "learn")], TOGETHER
+    of_batch = {"batch": pa.int64(), "words": pa.binary(), "which": pa.binary(), "lengths": pa.binary(), "rows": pa.binary(), "learned": pa.binary(), "size": pa.int64()}
 
-def unigrams(ngrams: DataFrame) -> DataFrame:
-    """The exact counts as rows: token (its hash), c."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[np.ndarray] = []
+        rows: list[int] = []
+        learned: list[bool] = []
+        kinds: list[pa.DataType] = []
+        held = size = 0
+
+        def joint() -> pa.RecordBatch:
+            distinct, which, times = np.unique(np.concatenate(some), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            values = [rows[0], distinct[order].tobytes(), _packed(rank[which]), np.array([len(t) for t in some], np.int64).tobytes(), np.array(rows, np.int64).tobytes(), np.array(learned, np.uint8).tobytes(), size]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), pa.nulls(1, pa.int64()), *(pa.array([x], k) for x, k in zip(values, of_batch.values(), strict=True))], names=[*others, "n_tokens", *of_batch])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, n in zip(batch.column("one").to_pylist(), batch.column("one_n").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["token", "c"])
-
-    return ngrams.select("one", "one_n").mapInArrow(rows, "token long, c long")
+            kinds = [batch.schema.field(c).type for c in others]
+            lengths = []
+            for text, row, learn in zip(as_bytes(batch, "text"), batch.column("row").to_pylist(), batch.column("learn").to_pylist(), strict=True):
+                some.append(t := tokens(text))
+                rows.append(row)
+                learned.append(bool(learn))
+                lengths.append(len(t))
+                held, size = held + len(t), size + len(text) * bool(learn)
+                if held >= together:
+                    yield joint()
+                    some, rows, learned, held, size = [], [], [], 0, 0
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(lengths, pa.int64()), *(pa.nulls(len(lengths), k) for k in of_batch.values())], names=[*others, "n_tokens", *of_batch])
+        if some:
+            yield joint()
 
+    kinds = "".join(f"`{c}` {kind}, " for c, kind in docs.select(*others).dtypes)
+    return written(small_batches(docs).mapInArrow(run, kinds + "n_tokens long, batch long, words binary, which binary, lengths binary, rows binary, learned binary, size long"), "read")
 
-def most_frequent(counts: DataFrame) -> DataFrame:
-    """The tokens of the greatest counts: HOT at most, those above a bound found in a histogram of a few hundred bins."""
-    step = F.floor(F.log2("c") * 16).cast("int")
-    held, bound = 0, None
-    for r in sorted(counts.groupBy(step.alias("bin")).count().collect(), key=lambda r: -r["bin"]):
-        if (held := held + r["count"]) > HOT:
-            break
-        bound = r["bin"]
-    return counts.where(F.lit(False) if bound is None else step >= bound)
 
+def looked_up(batches: DataFrame, bits: int) -> DataFrame:
+    """batches (see `batched`) -> for each batch and segment: batch, segment, known (exact counts of the batch's words there, by their hash), one and two (levels of its words and bigrams there); for each segment, without a batch: distinct and total (its unigrams' number, and that of all their occurrences)."""
+    shift, room = np.uint64(64 - bits), ENTRY_BITS  # what a task uses is closed over: a worker has no changed module
 
-def whole_filter(ngrams: DataFrame, segments: int) -> Filter | None:
-    """All segments' bits in one; None if they measure more than BROADCAST bytes."""
-    if (ngrams.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) > BROADCAST:
-        return None
-    rows = ngrams.select("segment", "bits").orderBy("segment").toArrow()
-    sizes = np.zeros(segments, np.uint64)
-    sizes[rows.column("segment").to_numpy()] = pc.binary_length(rows.column("bits")).to_numpy() * 8
-    return Filter(np.concatenate([np.zeros(0, np.uint8), *(_bytes_of(chunk) for chunk in rows.column("bits").chunks)]), sizes)
+    def sent(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = ("batch", "words", "which", "lengths", "learned")
+        for batch in given:
+            for number, words, which, lengths, learned in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                words, which = np.frombuffer(words, np.uint64), _unpacked(which)
+                learn = np.repeat(np.frombuffer(learned, np.uint8), np.frombuffer(lengths, np.int64)).astype(np.float64)
+                two, at = _bigrams(words, which, bits)
+                order = np.argsort(words)
+                one, one_n, two_n = words[order], np.bincount(which, learn, len(words))[order], np.bincount(at, learn, len(two))
+                edges = np.arange((1 << bits) + 1, dtype=np.int64)
+                a, b = (np.searchsorted(x, edges).tolist() for x in ((one >> shift).astype(np.int64), (two >> np.uint64(32)).astype(np.int64)))
+                two = _low(two)
+                own = [k for k in range(1 << bits) if a[k + 1] > a[k] or b[k + 1] > b[k]]
+                cut = lambda x, e, made: pa.array([made(x[e[k] : e[k + 1]]) for k in own], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own, pa.int64()), pa.array([number] * len(own), pa.int64()), cut(one, a, np.ndarray.tobytes), cut(one_n, a, _packed), cut(two, b, np.ndarray.tobytes), cut(two_n, b, _packed)],
+                    names=["segment", "batch", "one", "one_n", "two", "two_n"],
+                )
 
+    def summed(h: list[bytes], n: list[bytes], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct hashes in order, their counts, the place among them of each that was sent, and where each batch's begin."""
+        distinct, at = np.unique(np.frombuffer(b"".join(h), kind), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([np.zeros(0), *map(_unpacked, n)]), len(distinct)).astype(np.int64)
+        return distinct, counts, at, np.cumsum([0, *(len(x) // np.dtype(kind).itemsize for x in h)])
+
+    def answered(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        one, one_n, one_at, a = summed(rows["one"], rows["one_n"], np.uint64)
+        two, two_n, two_at, b = summed(rows["two"], rows["two_n"], np.uint32)
+        low, there = _low(_keys(one, bits)), one_n > 0
+        known = Filter.holding(np.concatenate([low[there], two[two_n > 0]]).astype(np.uint64), np.concatenate([one_n[there], two_n[two_n > 0]]), room)
+        one_q, two_q = (known.levels(h.astype(np.uint64)).astype(np.uint8) for h in (low, two))
+        spans = range(len(rows))
+        told = pd.DataFrame(
+            {
+                "batch": rows["batch"].astype("Int64").to_numpy(), "known": [_packed(one_n[one_at[a[k] : a[k + 1]]], "<u8") for k in spans],
+                "one": [one_q[one_at[a[k] : a[k + 1]]].tobytes() for k in spans], "two": [two_q[two_at[b[k] : b[k + 1]]].tobytes() for k in spans], "distinct": None, "total": None,
+            }
+        )
+        sums = pd.DataFrame([[None, None, None, None, int(there.sum()), int(one_n.sum())]], columns=told.columns)
+        out = pd.concat([told.astype(object), sums.astype(object)])
+        out["segment"] = key[0]
+        return out
+
+    rows = small_batches(batches.select("batch", "words", "which", "lengths", "learned")).mapInArrow(sent, "segment long, batch long, one binary, one_n binary, two binary, two_n binary")
+    rows = rows.repartition(min(1 << bits, MOST_TASKS), "segment").groupBy("segment")
+    return written(rows.applyInPandas(answered, "batch long, segment long, known binary, one binary, two binary, distinct long, total long"), "told")
+
+
+def answers(batches: DataFrame, told: DataFrame, bits: int, n: int, v: int, kappa: float) -> DataFrame:
+    """batches and what was looked up for them -> row, n_known, base_score, score."""
 
-def _bytes_of(rows: pa.Array) -> np.ndarray:
-    """The values of a binary array end to end, where they are."""
-    kind = np.int64 if pa.types.is_large_binary(rows.type) else np.int32
-    _, offsets, data = rows.buffers()
-    first, last = np.frombuffer(offsets, kind)[[rows.offset, rows.offset + len(rows)]] if len(rows) else (0, 0)
-    return np.frombuffer(data, np.uint8)[first:last] if last > first else np.zeros(0, np.uint8)
+    def answer(key: tuple, batch: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        (given,) = batch.itertuples()
+        words, which, lengths = np.frombuffer(given.words, np.uint64), _unpacked(given.which), np.frombuffer(given.lengths, np.int64)
+        told, order = told.sort_values("segment"), np.argsort(words)
+        one, count = np.empty(len(words), np.uint8), np.empty(len(words), np.int64)
+        one[order] = np.frombuffer(b"".join(told["one"]), np.uint8)
+        count[order] = np.concatenate([_unpacked(x, "<u8") for x in told["known"]])
+        two = np.frombuffer(b"".join(told["two"]), np.uint8)[_bigrams(words, which, bits)[1]]
+        starts = np.cumsum(lengths) - lengths
+        total = lambda x: np.add.reduceat(x, starts)
+        return pd.DataFrame({
+            "row": np.frombuffer(given.rows, np.int64), "n_known": total((count > 0)[which].astype(np.int64)),
+            "base_score": total(np.log10(count + 1.0)[which]) - lengths * float(np.log10(n + v + 1)), "score": total(log10_p(words, which, one, two, n, v, kappa)),
+        })
+
+    told = told.where("batch is not null").select("batch", "segment", "known", "one", "two")
+    batches = batches.select("batch", "words", "which", "lengths", "rows")
+    return batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInPandas(answer, "row long, n_known long, base_score double, score double")
+
+
+def scored(docs: DataFrame, kappa: float = KAPPA) -> DataFrame:
+    """docs (text, learn: whether it is learned from, and others): the others, n_tokens, n_known, train_tokens, base_score, score."""
+    others = [c for c in docs.columns if c not in ("text", "learn")]
+    both = batched(docs.withColumn("row", F.monotonically_increasing_id()))  # stays with the row, as what is read is written at once
+    batches = both.where("batch is not null")
+    size = batches.agg(F.sum("size")).first()[0] or 0
+    bits = max(LEAST_SEGMENTS, size // SEGMENT_BYTES + 1).bit_length()
+    told = looked_up(batches, bits)
+    n, v = (x or 0 for x in told.where("batch is null").agg(F.sum("total"), F.sum("distinct")).first())
+    done = answers(batches, told, bits, n, v, kappa)
+    # Neither side is ever broadcast, whatever Spark takes its size for.
+    seen = both.where("batch is null").select(*others, "n_tokens", "row").join(done.hint("merge"), "row")
+    return seen.select(*others, "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score(docs: DataFrame, training: DataFrame, kappa: float = KAPPA) -> DataFrame:
-    """docs (text and others): the others, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    ngrams, segments = ngram_counts(training)
-    sums = ngrams.agg(F.sum("total"), F.sum("distinct")).first()
-    n, v = (x or 0 for x in sums)
-    bits = segments.bit_length() - 1
-    counts = unigrams(ngrams)
-    top = most_frequent(counts).toPandas().sort_values("token")
-    hot_token, hot_c = top["token"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    whole = whole_filter(ngrams, segments)
-    joined = whole is None
-    given = spark.sparkContext.broadcast((hot_token, hot_c, whole))
-    docs = docs.withColumn("row", F.monotonically_increasing_id())  # stays with the row, as what is read is written at once
-    others = [c for c in docs.columns if c != "text"]
-    together = TOGETHER
-    of_text = {"n_tokens": pa.int64(), "hot_known": pa.int64(), "hot_base": pa.float64(), "rare": pa.list_(pa.int64()), "score": pa.float64()}
-    of_batch = {"batch": pa.int64(), "words": pa.binary(), "which": pa.binary(), "lengths": pa.binary(), "rows": pa.binary()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a text. If the filter isn't here: one more for some texts together, their distinct tokens (frequent ones first) and each token's place there."""
-        hot_token, hot_c, whole = given.value
-        hot_log = np.log10(hot_c + 1.0)
-        for batch in batches:
-            texts, at = as_bytes(batch, "text"), 0
-            names, kinds = [*others, *of_text, *of_batch], [*(batch.schema.field(c).type for c in others), *of_text.values(), *of_batch.values()]
-            while at < len(texts):  # some texts at once, or one long one
-                some, size = [], 0
-                while at + len(some) < len(texts) and size < together:
-                    some.append(tokens(texts[at + len(some)]))
-                    size += len(some[-1])
-                lengths = np.array([len(t) for t in some])
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                t = np.concatenate(some)
-                distinct, which, times = np.unique(t, return_inverse=True, return_counts=True)
-                signed = distinct.view(np.int64)
-                place = np.minimum(np.searchsorted(hot_token, signed), max(len(hot_token) - 1, 0))
-                hot = hot_token[place] == signed if len(hot_token) else np.zeros(len(signed), bool)
-                base = np.add.reduceat(np.where(hot, hot_log[place] if len(hot_log) else 0.0, 0.0)[which], starts)
-                hot, signed = hot[which], t.view(np.int64)
-                known = np.add.reduceat(hot.astype(np.int64), starts)
-                rare = np.where(~hot)[0]
-                cut = np.concatenate([[0], np.searchsorted(rare, starts[1:]), [len(rare)]]).astype(np.int32)
-                own = [batch.column(c).slice(at, len(some)) for c in others]
-                scores = pa.nulls(len(some), pa.float64())
-                if whole is not None:
-                    scores = pa.array(np.add.reduceat(log10_p(distinct, which, lambda h: whole.levels(_keys(h, bits)), n, v, kappa), starts))
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(lengths, pa.int64()), pa.array(known), pa.array(base), pa.ListArray.from_arrays(pa.array(cut), pa.array(signed[rare])), scores, *(pa.nulls(len(some), k) for k in of_batch.values())], names=names
-                )
-                at += len(some)
-                if whole is not None:
-                    continue
-                order = np.argsort(-times, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                rows = own[-1].to_numpy()
-                joint = [int(rows[0]), distinct[order].tobytes(), _packed(rank[which]), lengths.astype(np.int64).tobytes(), rows.astype(np.int64).tobytes()]
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[: -len(of_batch)]), *(pa.array([x], k) for x, k in zip(joint, of_batch.values(), strict=True))], names=names)
-
-    kinds = "".join(f"`{c}` {kind}, " for c, kind in docs.select(*others).dtypes)
-    both = written(small_batches(docs).mapInArrow(run, kinds + "n_tokens long, hot_known long, hot_base double, rare array<long>, score double, batch long, words binary, which binary, lengths binary, rows binary"), "read")
-    seen = both.where("batch is null").drop(*of_batch)
-    if joined:
-        seen = seen.drop("score").join(filter_scores(both.where("batch is not null").select(*of_batch), ngrams, segments, n, v, kappa), "row")
-    rare = seen.select("row", F.explode("rare").alias("token")).join(counts, "token")
-    rare = rare.groupBy("row").agg(F.count("*").alias("k"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("b"))
-    each = float(np.log10(n + v + 1))
-    return seen.join(rare, "row", "left").select(
-        *others[:-1], "n_tokens", (F.col("hot_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + F.coalesce("b", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), "score",
-    )
+    """docs (text and others), by what training (text) says: the others, n_tokens, n_known, train_tokens, base_score, score."""
+    both = docs.withColumn("learn", F.lit(False)).unionByName(training.select("text").withColumn("learn", F.lit(True)), allowMissingColumns=True)
+    return scored(both.withColumn("_learn", F.col("learn")), kappa).where("not _learn").drop("_learn")
 
 
 def score_documents(docs: DataFrame, by: int = 7, fold: int = 2) -> DataFrame:
     """docs (doc_id, text): doc_id, held_out (its fold, not learned from), and the scores."""
-    docs = docs.select("doc_id", "text")
-    training = docs.where(bucket3("doc_id", by) != fold).select("text")
-    held_out = F.coalesce(bucket3("doc_id", by) == fold, F.lit(False))
-    return score(docs.select("doc_id", held_out.alias("held_out"), "text"), training)
+    held_out = bucket3("doc_id", by) == fold
+    return scored(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text", F.coalesce(~held_out, F.lit(False)).alias("learn")))
